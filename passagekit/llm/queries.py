@@ -6,12 +6,16 @@ from .byte_bpe import op2_byte_bpe
 from .jpeg import op7_media_columns
 from .language import op8_language_id
 from .packing import op5_packing
+from .substrings import OP3_SQL, op3_substring_dedup
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_packing": op5_packing,
     "op7_media_columns": op7_media_columns,
     "op8_language_id": op8_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": OP3_SQL,
+}
