@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op2_byte_bpe
+from .jaccard import op4_jaccard_join
 from .jpeg import op7_media_columns
 from .language import op8_language_id
 from .packing import op5_packing
@@ -11,6 +12,7 @@ from .substrings import OP3_SQL, op3_substring_dedup
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_packing": op5_packing,
     "op7_media_columns": op7_media_columns,
     "op8_language_id": op8_language_id,
