@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op2_byte_bpe
+from .html_text import op10_html_extraction
 from .jaccard import op4_jaccard_join
 from .jpeg import op7_media_columns
 from .language import op8_language_id
@@ -10,6 +11,7 @@ from .packing import op5_packing
 from .substrings import OP3_SQL, op3_substring_dedup
 
 QUERIES = {
+    "op10_html_extraction": op10_html_extraction,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
