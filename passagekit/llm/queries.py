@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op2_byte_bpe
+from .curves import op9_nearest_neighbours
 from .html_text import op10_html_extraction
 from .jaccard import op4_jaccard_join
 from .jpeg import op7_media_columns
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op7_media_columns": op7_media_columns,
     "op8_language_id": op8_language_id,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {
