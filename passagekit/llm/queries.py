@@ -8,10 +8,12 @@ from .html_text import op10_html_extraction
 from .jaccard import op4_jaccard_join
 from .jpeg import op7_media_columns
 from .language import op8_language_id
+from .language_model import op1_kneser_ney
 from .packing import op5_packing
 from .substrings import OP3_SQL, op3_substring_dedup
 
 QUERIES = {
+    "op1_kneser_ney": op1_kneser_ney,
     "op10_html_extraction": op10_html_extraction,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
