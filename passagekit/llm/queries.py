@@ -10,6 +10,7 @@ from .jpeg import op7_media_columns
 from .language import op8_language_id
 from .language_model import op1_kneser_ney
 from .packing import op5_packing
+from .pii import op6_pii
 from .substrings import OP3_SQL, op3_substring_dedup
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
     "op7_media_columns": op7_media_columns,
     "op8_language_id": op8_language_id,
     "op9_nearest_neighbours": op9_nearest_neighbours,
