@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import documents, map_batches, slices
 from .textkit import mix
@@ -22,7 +23,6 @@ DIMENSIONS = 1024
 GRAM = 3
 TRAIN_ROWS = 20_000  # training documents, about: the documented bound of the sample
 UNKNOWN = "und"
-SCHEMA = "doc_id long, lang_pred string, score double"
 
 
 @lru_cache(maxsize=1)
@@ -145,23 +145,25 @@ def train(df: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]
 
 
 def predict(df: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
-    """(doc_id, text) -> lang_pred and score, the cosine with the winning prototype, at least 0.
+    """df, further columns included, with lang_pred and score, the cosine of ``text`` with the winning prototype, at
+    least 0.
 
     ``und`` with score 0: text null, empty or without a letter, or nothing learned.  Ties go to the first language by
     name.  Whole texts count, of any length.
     """
+    place = df.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
-            vectors, letters = document_vectors(part.column(1).fill_null("").to_pylist())
+            vectors, letters = document_vectors(part.column(place).fill_null("").to_pylist())
             some = (letters > 0) & bool(langs)
             cosine = _unit(vectors) @ prototypes.T if langs else np.zeros((len(vectors), 1))
             best = cosine.argmax(axis=1)
             pred = [langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), some.tolist(), strict=True)]
             score = np.where(some, np.clip(cosine.max(axis=1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred), pa.array(np.round(score, 6))], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(np.round(score, 6))], [*part.schema.names, "lang_pred", "score"])
 
-    return map_batches(df, run, SCHEMA)
+    return map_batches(df, run, StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(folds: int, ident: str = "doc_id") -> Column:

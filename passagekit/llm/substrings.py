@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, clean, documents, map_batches, slices
 from .textkit import Words, mix, words
@@ -138,14 +139,8 @@ def _cut(window: int):
     return run
 
 
-def repeated_windows(df: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
-    """Remove the words of each (doc_id, text) that a window covers which also starts in a document of smaller id.
-
-    Returns doc_id, n_words, n_removed and kept_sha256, or with ``texts`` the kept text (changed rows only have their
-    white space made single) in place of the hash.  Null and empty texts have no words; texts shorter than the window
-    lose nothing; a later exact copy of a long enough text loses all; repeats inside one document, or between rows of
-    one id, stay.
-    """
+def _search(df: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (doc_id, text): each row's profile; for each word sequence the smallest id that has it; and what is cut."""
     scratch = Scratch(df.sparkSession, "substrings")
     profile = scratch.table(
         map_batches(df, _profile(window), "doc_id long, d1 long, d2 long, n_words long, all_sha256 string, anchors array<long>"), "profile"
@@ -158,29 +153,59 @@ def repeated_windows(df: DataFrame, window: int = WINDOW, texts: bool = False) -
     again = half.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
     live = half.join(again, "h", "left_semi").groupBy(*KEY).agg(F.collect_list("h").alias("found"))
     # level two: only texts with a repeated half window go on
-    texted = map_batches(df, _with_digest, "doc_id long, d1 long, text string")
-    kept = scratch.table(texted.join(live, KEY).select(*KEY, "text", "found").dropDuplicates(KEY), "texts")
+    kept = scratch.table(with_digest(df).join(live, KEY).select(*KEY, "text", "found").dropDuplicates(KEY), "texts")
     full = scratch.table(map_batches(kept, _candidates(window), "h long, doc_id long, d1 long, pos int"), "windows")
     twice = full.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("b")).where("low < b").select("h", "low")
     gone = full.join(twice, "h").where("doc_id > low").groupBy(*KEY).agg(F.collect_list("pos").alias("found"))
     cut = map_batches(kept.drop("found").join(gone, KEY).select(*KEY, "text", "found"), _cut(window), "doc_id long, d1 long, n_removed long, kept_sha256 string, kept string")
-    rows = profile.drop("anchors").join(first, ["d1", "d2"])
+    return profile.drop("anchors"), first, cut
+
+
+def repeated_windows(df: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Remove the words of each (doc_id, text) that a window covers which also starts in a document of smaller id.
+
+    Returns doc_id, n_words, n_removed and kept_sha256.  Null and empty texts have no words; texts shorter than the
+    window lose nothing; a later exact copy of a long enough text loses all; repeats inside one document, or between
+    rows of one id, stay.
+    """
+    profile, first, cut = _search(df, window)
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window)
-    if texts:
-        return rows, copy, cut
-    out = rows.join(cut.drop("kept"), KEY, "left")
     nothing = hashlib.sha256(b"").hexdigest()
-    return out.select(
-        "doc_id",
-        "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "all_sha256")).alias("kept_sha256"),
+    return (
+        profile.join(first, ["d1", "d2"])
+        .join(cut.drop("kept"), KEY, "left")
+        .select(
+            "doc_id",
+            "n_words",
+            F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+            F.when(copy, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "all_sha256")).alias("kept_sha256"),
+        )
     )
 
 
-def _with_digest(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for part in slices(batch):
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sequence_digests(words(part.column(1)))[0]), part.column(1)], ["doc_id", "d1", "text"])
+def without_repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of df, further columns included, with repeated windows cut from ``text``.
+
+    Texts that lose nothing stay as they are, white space included; others have their kept words with one space
+    between; rows that lose all their words go.
+    """
+    profile, first, cut = _search(df.select(*clean()), window)
+    copies = profile.where(F.col("n_words") >= window).join(first, ["d1", "d2"]).where("doc_id > first_id").select(*KEY, F.lit("").alias("kept")).distinct()
+    changed = copies.union(cut.select(*KEY, "kept"))
+    rows = with_digest(df).join(changed, KEY, "left").where("kept IS NULL OR kept != ''")
+    return rows.select(*(F.coalesce("kept", "text").alias("text") if c == "text" else F.col(c) for c in df.columns))
+
+
+def with_digest(df: DataFrame) -> DataFrame:
+    """df and a column d1, a hash of the text's words."""
+    place = df.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch):
+            d1 = sequence_digests(words(part.column(place)))[0]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(d1)], [*part.schema.names, "d1"])
+
+    return map_batches(df, run, StructType([*df.schema.fields, StructField("d1", LongType())]))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
