@@ -1,0 +1 @@
+"""Passage analytics and corpus operators on Spark."""
