@@ -1 +1,4 @@
-"""Composite plans, registered queries and their SQL."""
+"""All registered queries of the library's own operators."""
+
+from . import catalog_queries, retrieval_queries, text_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -98,7 +98,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("entity"),
         F.concat(F.lit("v"), (F.col("user_id") % 97).cast("string")).alias("video_id"),
         state[F.col("event_type")].alias("status"),
-        F.unix_micros("ts").alias("updated_at"),
+        F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")).alias("updated_at"),
         F.col("props").alias("meta"),
     )
 
