@@ -148,3 +148,84 @@ def section_reference(raw: Column) -> Column:
     n = F.regexp_extract(F.trim(raw), r"^(?i:\[\s*(?:source|section)?\s*([0-9]+)\s*\].*|([0-9]+))$", 1)
     bare = F.regexp_extract(F.trim(raw), r"^([0-9]+)$", 1)
     return F.coalesce(F.nullif(n, F.lit("")), F.nullif(bare, F.lit(""))).cast("int")
+
+
+#: Marks that a punctuation model may insert, and both spaces.
+MARKS = "，。！？、；：．…,.!?;: 　"
+#: What error texts say, first match wins.
+ERRORS = [("(?i)rate.?limit|429", "rate_limited"), ("(?i)sign in|log ?in|cookies|403", "needs_auth"), ("(?i)not found|404|unavailable|removed", "not_found"), ("(?i)timed? ?out", "timeout")]
+
+
+def strip_marks(text: Column) -> Column:
+    return F.translate(text, MARKS, "")
+
+
+def seconds(milliseconds: Column) -> Column:
+    return milliseconds / 1000.0
+
+
+def speaker_label(number: Column) -> Column:
+    """SPK_n; null stays null."""
+    return F.concat(F.lit("SPK_"), number.cast("string"))
+
+
+def safe_duration(raw: Column) -> Column:
+    """Whole seconds from text; 0 for what is no number."""
+    return F.coalesce(F.floor(raw.try_cast("double")).cast("long"), F.lit(0))
+
+
+def error_class(message: Column) -> Column:
+    out = F.lit("internal_error")
+    for pattern, name in reversed(ERRORS):
+        out = F.when(message.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def chunk_key(source: Column, start: Column, end: Column) -> Column:
+    """Exact times, for fusing lists; not the id that is shown."""
+    return F.concat_ws("_", source.cast("string"), start.cast("string"), end.cast("string"))
+
+
+def shown_id(source: Column, start: Column, end: Column) -> Column:
+    """Whole seconds, for what a reader has seen."""
+    return F.concat_ws("_", source.cast("string"), start.cast("long").cast("string"), end.cast("long").cast("string"))
+
+
+def sequence_index(chunk_id: Column) -> Column:
+    """The number behind the last underscore, else null."""
+    return F.substring_index(chunk_id, "_", -1).try_cast("int")
+
+
+def resource_type(url: Column) -> Column:
+    """Course before playlist before video."""
+    return F.when(url.rlike("/(course|cheese)/"), "course").when(url.rlike("[?&](list|playlist)=|/playlist"), "playlist").otherwise("video")
+
+
+def part_number(url: Column) -> Column:
+    return F.nullif(F.regexp_extract(url, "[?&]p(?:age)?=([0-9]+)", 1), F.lit("")).cast("int")
+
+
+def cookies(header: Column) -> Column:
+    """"a=1; b=2" to a map; parts without a key go."""
+    parts = F.filter(F.split(header, "; "), lambda x: F.instr(x, "=") > 1)
+    pairs = F.transform(parts, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substr(x, F.instr(x, "=") + 1).alias("v")))
+    return F.map_from_entries(pairs)
+
+
+def without_private(m: Column) -> Column:
+    """A map without keys that begin with an underscore."""
+    return F.map_filter(m, lambda k, _: ~k.startswith("_"))
+
+
+def transcript_language(configured: Column, detected: Column) -> Column:
+    """What is configured unless that is auto, else what was detected, else en."""
+    return F.coalesce(F.nullif(F.nullif(F.trim(configured), F.lit("")), F.lit("auto")), F.nullif(detected, F.lit("")), F.lit("en"))
+
+
+def connections(jobs: Column) -> Column:
+    """Download connections of each of so many jobs: sixty-four in all, one to sixteen each."""
+    return F.greatest(F.lit(1), F.least(F.lit(16), F.floor(F.lit(64) / jobs))).cast("int")
+
+
+def over_budget(tokens: Column, answer: int, window: int, spare: int = 2048) -> Column:
+    return tokens + answer + spare > window
