@@ -409,3 +409,37 @@ def score_documents(df: DataFrame, model: Model) -> DataFrame:
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(*clean()).select("doc_id", F.coalesce(held_out(FOLDS), F.lit(False)).alias("held_out"), "text")
     return score_documents(docs, train(docs.where("not held_out")))
+
+
+def _discount_sql(counts: str) -> str:
+    """Three discounts from a relation's column c."""
+    return f"""SELECT [least(greatest(CASE WHEN n1 > 0 THEN 1 - 2 * y * n2 / n1 ELSE 0.5 END, 0.05), 0.95), least(greatest(CASE WHEN n2 > 0 THEN 2 - 3 * y * n3 / n2 ELSE 1 END, 0.05), 1.95),
+             least(greatest(CASE WHEN n3 > 0 THEN 3 - 4 * y * n4 / n3 ELSE 1.5 END, 0.05), 2.95)] AS d
+      FROM (SELECT *, CASE WHEN n1 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5 END AS y FROM (
+        SELECT count(*) FILTER (WHERE c = 1)::DOUBLE AS n1, count(*) FILTER (WHERE c = 2)::DOUBLE AS n2, count(*) FILTER (WHERE c = 3)::DOUBLE AS n3, count(*) FILTER (WHERE c = 4)::DOUBLE AS n4 FROM {counts}))"""
+
+
+#: crc32 is not among DuckDB's functions: bit by bit over the digits of the id.
+CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))))"""
+
+OP1_SQL = rf"""
+WITH doc AS (SELECT doc_id, {CRC32_SQL} % 10 = 0 AS held_out,
+               list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), chr(10)) AS ws FROM documents),
+tok AS (SELECT doc_id, held_out, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), chr(9)) AS v, w
+        FROM (SELECT doc_id, held_out, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM doc)),
+uni AS (SELECT w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY w),
+pair AS (SELECT v, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY v, w),
+before AS (SELECT w, count(*) AS c FROM pair GROUP BY w),
+d1 AS ({_discount_sql("before")}), d2 AS ({_discount_sql("pair")}),
+size AS (SELECT (SELECT sum(c) FROM uni)::DOUBLE AS n, (SELECT count(*) FROM uni) AS size, (SELECT count(*) FROM pair)::DOUBLE AS pairs),
+low AS (SELECT w, (c - d[least(c, 3)]) / pairs AS p FROM before, d1, size),
+spare AS (SELECT sum(d[least(c, 3)]) / any_value(pairs) / (any_value(size) + 1) AS p FROM before, d1, size),
+context AS (SELECT v, sum(c)::DOUBLE AS total, sum(d[least(c, 3)]) / sum(c) AS weight FROM pair, d2 GROUP BY v),
+high AS (SELECT v, w, c - d[least(c, 3)] AS c FROM pair, d2)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(uni.c) AS n_known, any_value(n)::BIGINT AS train_tokens,
+       sum(log10((coalesce(uni.c, 0) + 0.1) / (n + 0.1 * (size + 1)))) AS base_score,
+       sum(log10(CASE WHEN total IS NULL THEN coalesce(low.p, 0) + spare.p ELSE coalesce(high.c, 0) / total + weight * (coalesce(low.p, 0) + spare.p) END)) AS score
+FROM tok LEFT JOIN uni USING (w) LEFT JOIN low USING (w) LEFT JOIN context USING (v) LEFT JOIN high USING (v, w), spare, size
+GROUP BY doc_id
+"""

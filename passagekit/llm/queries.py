@@ -8,7 +8,7 @@ from .html_text import op10_html_extraction
 from .jaccard import op4_jaccard_join
 from .jpeg import op7_media_columns
 from .language import op8_language_id
-from .language_model import op1_kneser_ney
+from .language_model import OP1_SQL, op1_kneser_ney
 from .packing import op5_packing
 from .pii import op6_pii
 from .substrings import OP3_SQL, op3_substring_dedup
@@ -27,5 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_kneser_ney": OP1_SQL,
     "op3_substring_dedup": OP3_SQL,
 }
