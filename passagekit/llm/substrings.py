@@ -150,12 +150,13 @@ def _search(df: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame
     # level one
     lead = profile.join(first, ["d1", "d2"]).where("doc_id = first_id")
     half = scratch.table(lead.select(*KEY, F.explode("anchors").alias("h")), "half")
-    again = half.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    # what repeats is written before it is joined: else the join would sit on the grouping's shuffle, and Spark could not split a common passage
+    again = scratch.table(half.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "again")
     live = half.join(again, "h", "left_semi").groupBy(*KEY).agg(F.collect_list("h").alias("found"))
     # level two: only texts with a repeated half window go on
     kept = scratch.table(with_digest(df).join(live, KEY).select(*KEY, "text", "found").dropDuplicates(KEY), "texts")
     full = scratch.table(map_batches(kept, _candidates(window), "h long, doc_id long, d1 long, pos int"), "windows")
-    twice = full.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("b")).where("low < b").select("h", "low")
+    twice = scratch.table(full.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("b")).where("low < b").select("h", "low"), "twice")
     gone = full.join(twice, "h").where("doc_id > low").groupBy(*KEY).agg(F.collect_list("pos").alias("found"))
     cut = map_batches(kept.drop("found").join(gone, KEY).select(*KEY, "text", "found"), _cut(window), "doc_id long, d1 long, n_removed long, kept_sha256 string, kept string")
     return profile.drop("anchors"), first, cut
