@@ -4,6 +4,9 @@ Each curve orders randomly rotated, projected and shifted vectors by their Hilbe
 and numbers the vectors along each curve.  A query's candidates are the vectors within ``window`` places of it on any
 curve; they are re-ranked by their exact inner products.  Equal vectors are one point, so a frequent vector fills no
 window, and its smallest ids are listed when results are written out.
+
+How wide a window must be depends on the table: sampled queries are answered by brute force, and the window is widened
+until it holds the wanted share of their true neighbours.
 """
 
 from __future__ import annotations
@@ -19,7 +22,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_batches, partitions
 
 CURVES = 32
-WINDOW = 768
+WINDOW = 768  # at least
+RECALL = 0.95  # share of the sampled queries' true neighbours that the window must hold
+SAMPLE = 256  # queries answered by brute force: the documented bound of the sample
+CELL = 8192  # places of a curve that are ranked together, at most
 DIMENSIONS = 16
 BITS = 3
 
@@ -171,12 +177,49 @@ def _rank(dtype: str, window: int, best: int):
     return run
 
 
-def nearest(df: DataFrame, every: int = 20, k: int = 20, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
+def _scan(asked: list[int], vectors: np.ndarray, dtype: str, best: int):
+    """(rep, vec) -> the best others of a task for each of the asked vectors, by brute force."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, reps = np.zeros((len(asked), 0)), np.zeros((len(asked), 0), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                rep = batch.column(0).to_numpy()
+                new = vectors @ _numbers(batch, "vec", dtype).T
+                new[np.array(asked)[:, None] == rep] = -np.inf
+                score, reps = np.hstack([score, new]), np.hstack([reps, np.broadcast_to(rep, new.shape)])
+                top = np.argsort(-score, axis=1, kind="stable")[:, :best]
+                score, reps = np.take_along_axis(score, top, 1), np.take_along_axis(reps, top, 1)
+        real = score > -np.inf
+        q = np.broadcast_to(np.array(asked)[:, None], score.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(reps[real]), pa.array(score[real])], ["q", "rep", "score"])
+
+    return run
+
+
+def _fitted(point: DataFrame, query: DataFrame, numbered: DataFrame, scratch: Scratch, dtype: str, k: int, window: int, recall: float) -> int:
+    """The least window, ``window`` at least, that holds the share ``recall`` of sampled queries' true neighbours."""
+    drawn = query.select("rep").distinct().orderBy(F.xxhash64("rep", F.lit(9))).limit(SAMPLE)
+    drawn = point.select("rep", "vec").join(drawn, "rep", "left_semi").toArrow().combine_chunks()
+    if not drawn.num_rows:
+        return window
+    asked, vectors = drawn["rep"].to_pylist(), _numbers(drawn.to_batches()[0], "vec", dtype)
+    found = point.select("rep", "vec").mapInArrow(_scan(asked, vectors, dtype, k), "q long, rep long, score double")
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))
+    true = scratch.table(found.withColumn("nth", nth).where(F.col("nth") <= k).select("q", "rep"), "true")
+    own = numbered.where("query").join(true.select(F.col("q").alias("rep")).distinct(), "rep").select(F.col("rep").alias("q"), "curve", F.col("place").alias("at"))
+    away = numbered.where("NOT query").join(true, "rep").join(own, ["q", "curve"]).groupBy("q", "rep").agg(F.min(F.abs(F.col("place") - F.col("at"))).alias("away"))
+    least = away.agg(F.percentile("away", F.lit(recall))).first()[0]
+    return max(window, int(np.ceil(least or 0)))
+
+
+def nearest(df: DataFrame, every: int = 20, k: int = 20, curves: int = CURVES, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
     """(vec_id, embedding) -> query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, the ``k``
     others of largest inner product found, ties to the smaller id.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, neither as queries; fewer
-    than k others give as many rows.  All valid rows are indexed.  All vectors must have one length.
+    than k others give as many rows.  All valid rows are indexed.  All vectors must have one length.  ``window`` is
+    widened as far as sampled queries need for ``recall``; 0 leaves it as it is.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "curves")
@@ -201,8 +244,11 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, curves: int = CURVES, w
     ahead = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = ordered.select("curve", "part").distinct().join(size, ["curve", "part"], "left").select("curve", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     numbered = ordered.join(parts, ["curve", "part"]).select("curve", "rep", "query", (F.col("place") + F.col("ahead")).alias("place"))
-    cell = F.floor(F.col("place") / window)
-    cells = F.when(F.col("query"), F.array(cell - 1, cell, cell + 1)).otherwise(F.array(cell))
+    if recall and point.count() > window:
+        window = _fitted(point, query, numbered, scratch, dtype, k, window, recall)
+    step = min(window, CELL)
+    cell, reach = F.floor(F.col("place") / step), -(-window // step)
+    cells = F.when(F.col("query"), F.sequence(cell - reach, cell + reach)).otherwise(F.array(cell))
     near = numbered.join(point.select("rep", "vec"), "rep").select("curve", F.explode(cells).alias("cell"), "rep", "query", "place", "vec")
     found = near.groupBy("curve", "cell").applyInArrow(_rank(dtype, window, k + 1), "q long, rep long, score double")
     # merge the curves, then list ids

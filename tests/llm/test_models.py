@@ -162,3 +162,26 @@ def test_neighbours_of_awkward_vectors(spark):
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest(df).collect())
     assert got == [(0, 1, 3, 1.0), (0, 2, 20, 1.0), (0, 3, 8, 0.5), (20, 1, 0, 1.0), (20, 2, 3, 1.0), (20, 3, 8, 0.5)]
     assert nearest(df.limit(0)).count() == 0
+
+
+def recall_of(spark, x, every, k=20, **how):
+    """The share of true neighbours found, by brute force over the rows of x."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, every, k, **how).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), every):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s, kind="stable")[:k].tolist()))
+    return hits / (k * len(range(0, len(x), every)))
+
+
+def unit_vectors(n, width=64, seed=1):
+    x = np.random.default_rng(seed).standard_normal((n, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_neighbours_where_windows_are_a_small_part_of_the_table(spark):
+    assert recall_of(spark, unit_vectors(6000), 20, curves=8, window=40) >= 0.9
