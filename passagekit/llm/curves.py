@@ -5,6 +5,9 @@ and numbers the vectors along each curve.  A query's candidates are the vectors
 curve; they are re-ranked by their exact inner products.  Equal vectors are one point, so a frequent vector fills no
 window, and its smallest ids are listed when results are written out.
 
+Long vectors must not crowd the others: vectors of like length make a band, each band has curves of its own on which
+only directions count, and a query is looked up in every band.
+
 How wide a window must be depends on the table: sampled queries are answered by brute force, and the window is widened
 until it holds the wanted share of their true neighbours.
 """
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_batches, partitions
@@ -113,27 +116,33 @@ def _with_digest(dtype: str):
     return run
 
 
-def _points(dtype: str, curves: int, longest: float):
-    """(rep, vec, norm, asked) -> one row for each curve, and one more for a query: the inner product's order is the
-    distance's order once a further coordinate brings all stored vectors to one length."""
+def _band(norm: Column, middle: float) -> Column:
+    """Lengths within a factor of sqrt 2; lengths near ``middle`` are in the midst of band 0."""
+    return F.floor(2 * F.log2(norm / middle) + 0.5).cast("int")
+
+
+def _points(dtype: str, curves: int, bands: list[int]):
+    """(rep, vec, norm, asked, band) -> one row for each curve of its band, and for a query one for each curve of every
+    band.  Within a band lengths differ little, so that the inner product's order is nearly the direction's order."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x = _numbers(batch, "vec", dtype)
-        norm = batch.column(2).to_numpy()[:, None]
-        stored = np.hstack([x / longest, np.sqrt(np.maximum(0, 1 - (norm / longest) ** 2))])
+        x = _numbers(batch, "vec", dtype) / batch.column(2).to_numpy()[:, None]
         asked = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False))
-        query = np.hstack([x[asked] / norm[asked], np.zeros((len(asked), 1))])
+        band = np.searchsorted(bands, batch.column(4).to_numpy())
         rep = batch.column(0).to_numpy()
         for c in range(curves):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(rep) + len(asked), c, np.int32)),
-                    pa.array(np.concatenate([curve_keys(stored, c), curve_keys(query, c)])),
-                    pa.array(np.concatenate([rep, rep[asked]])),
-                    pa.array(np.arange(len(rep) + len(asked)) >= len(rep)),
-                ],
-                ["curve", "key", "rep", "query"],
-            )
+            key = curve_keys(x, c)
+            for i in range(-1, len(bands)):
+                own = np.arange(len(rep)) if i < 0 else asked
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(((band if i < 0 else np.full(len(own), i)) * curves + c).astype(np.int32)),
+                        pa.array(key[own]),
+                        pa.array(rep[own]),
+                        pa.array(np.full(len(own), i >= 0)),
+                    ],
+                    ["curve", "key", "rep", "query"],
+                )
 
     return run
 
@@ -235,9 +244,11 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, curves: int = CURVES, w
     point = scratch.table(whole.withColumn("rep", F.element_at("ids", 1)), "points")
     asked = map_batches(valid.where(F.col("vec_id") % every == 0), _with_digest(dtype), "query_id long, d1 long, d2 long")
     query = scratch.table(asked.join(point.select("d1", "d2", "rep"), ["d1", "d2"]).select("query_id", "rep"), "queries")
-    longest = point.agg(F.max("norm")).first()[0] or 1.0
-    flagged = point.select("rep", "vec", "norm").join(query.select("rep", F.lit(True).alias("asked")).distinct(), "rep", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-    placed = map_batches(flagged, _points(dtype, curves, longest), "curve int, key long, rep long, query boolean")
+    middle = point.agg(F.percentile_approx("norm", 0.5)).first()[0] or 1.0
+    banded = point.select("rep", "vec", "norm", _band(F.col("norm"), middle).alias("band"))
+    bands = sorted(r["band"] for r in banded.select("band").distinct().collect())
+    flagged = banded.join(query.select("rep", F.lit(True).alias("asked")).distinct(), "rep", "left").select("rep", "vec", "norm", F.coalesce("asked", F.lit(False)).alias("asked"), "band")
+    placed = map_batches(flagged, _points(dtype, curves, bands), "curve int, key long, rep long, query boolean")
     ordered = placed.repartitionByRange(partitions(spark), "curve", "key", "rep").sortWithinPartitions("curve", "key", "rep", "query")
     ordered = scratch.table(ordered.mapInArrow(_number, "curve int, rep long, query boolean, part int, place long"), "ordered")
     size = ordered.where(~F.col("query")).groupBy("curve", "part").agg(F.count("*").alias("n"))

@@ -185,3 +185,12 @@ def unit_vectors(n, width=64, seed=1):
 
 def test_neighbours_where_windows_are_a_small_part_of_the_table(spark):
     assert recall_of(spark, unit_vectors(6000), 20, curves=8, window=40) >= 0.9
+
+
+def test_neighbours_of_mixed_lengths(spark):
+    x = unit_vectors(4000)
+    one = x.copy()
+    one[7] *= 10
+    assert recall_of(spark, one, 20, window=60, recall=0) >= 0.9
+    mixed = x * np.exp(np.random.default_rng(2).standard_normal((4000, 1)))
+    assert recall_of(spark, mixed, 20) >= 0.9
