@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from passagekit.llm.common import Scratch, clean, documents
 from passagekit.llm.jaccard import jaccard_components
-from passagekit.llm.language import UNKNOWN, held_out, predict, train
+from passagekit.llm.language import held_out, predict, train
 from passagekit.llm.packing import pack_documents
 from passagekit.llm.pii import masked
 from passagekit.llm.substrings import without_repeats
@@ -23,15 +23,19 @@ def _counted(df: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: texts without any letter go."""
+    """Documents whose text has a letter, whatever was learned of languages: only texts without any letter go."""
     langs, prototypes = train(docs.where(~held_out(5)))
-    return predict(docs.select(*COLUMNS), langs, prototypes).where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
+    return predict(docs.select(*COLUMNS), langs, prototypes).where("has_letter").select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingle sets the one with the smallest id."""
+    """Of documents linked by similar shingle sets the one with the smallest id.
+
+    Rows without an id cannot stand for a group: all stay, but for repeats of the same text.
+    """
     first = jaccard_components(docs.select(*clean())).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

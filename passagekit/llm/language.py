@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import documents, map_batches, slices
 from .textkit import mix
@@ -145,8 +145,8 @@ def train(df: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]
 
 
 def predict(df: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
-    """df, further columns included, with lang_pred and score, the cosine of ``text`` with the winning prototype, at
-    least 0.
+    """df, further columns included, with lang_pred, score, the cosine of ``text`` with the winning prototype, at
+    least 0, and has_letter.
 
     ``und`` with score 0: text null, empty or without a letter, or nothing learned.  Ties go to the first language by
     name.  Whole texts count, of any length.
@@ -161,9 +161,9 @@ def predict(df: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFram
             best = cosine.argmax(axis=1)
             pred = [langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), some.tolist(), strict=True)]
             score = np.where(some, np.clip(cosine.max(axis=1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(np.round(score, 6))], [*part.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(np.round(score, 6)), pa.array(letters > 0)], [*part.schema.names, "lang_pred", "score", "has_letter"])
 
-    return map_batches(df, run, StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return map_batches(df, run, StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("has_letter", BooleanType())]))
 
 
 def held_out(folds: int, ident: str = "doc_id") -> Column:

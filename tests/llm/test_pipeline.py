@@ -40,3 +40,13 @@ def test_whole_run(spark, tmp_path):
     out = corpus_pipeline.run(spark, folder(spark, tmp_path / "d", awkward()))
     assert out.count() > 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
     assert corpus_pipeline.run(spark, folder(spark, tmp_path / "e", [])).count() == 0
+
+
+def test_nothing_is_lost_without_labels_or_ids(spark, tmp_path):
+    rows = [(1, "some words of a text", None, "s", 20), (2, "12 34", None, "s", 5)]
+    assert plain(stage(spark, "language_id", rows)) == rows[:1]
+    und = [(i, f"words of text number {i}", "und", "s", 22) for i in range(20)]
+    assert len(plain(stage(spark, "language_id", und))) == 20
+    nameless = [(None, "a text that has no id at all", None, "s", 28), (3, "another text that has an id", None, "s", 27)]
+    for name in ("language_id", "jaccard_join", "substring_dedup", "pii"):
+        assert [r[1] for r in plain(stage(spark, name, nameless))] == ["another text that has an id", "a text that has no id at all"], name
