@@ -27,7 +27,10 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|head|svg|iframe|textarea|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
+    r"|<svg\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<=/)>"
+    r"|<title\b[^>]*>[^<]*(?:</title\s*>)?"
+    r"|<(?:(script|style|iframe|textarea)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
+    r"|(noscript|template|svg|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?</\2\s*>)"
     r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -35,6 +38,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
@@ -46,7 +50,11 @@ class Block:
 
 
 def leaf_blocks(html: str) -> list[Block]:
-    """The non-empty leaf blocks in page order.  Broken markup is read leniently; a tag cut off at the end is none."""
+    """The non-empty leaf blocks in page order.  Broken markup is read leniently; a tag cut off at the end is none.
+
+    Only script, style, iframe and textarea run to the page's end where their end tag is missing, as in browsers; an open
+    head ends at the first tag that belongs to the body, and a closed-in-itself svg is empty.
+    """
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -80,8 +88,8 @@ def leaf_blocks(html: str) -> list[Block]:
     for m in TOKEN.finditer(html):
         say(html[at : m.start()])
         at = m.end()
-        skipped, slash, name, rest = m.groups()
-        if skipped:
+        raw, closed, slash, name, rest = m.groups()
+        if skipped := raw or closed:
             if skipped.lower() not in ("svg",):
                 close()
             continue
@@ -93,6 +101,8 @@ def leaf_blocks(html: str) -> list[Block]:
         if slash:
             pop(name)
             continue
+        if name not in IN_HEAD and any(x[0] == "head" for x in stack[:2]):
+            pop("head")
         if name in VOID or rest.endswith("/") and name in INLINE:
             continue
         if name in CLOSES_P and any(x[0] == "p" for x in stack[-4:]):
@@ -140,8 +150,8 @@ def features(pages: list[list[Block]]) -> list[np.ndarray]:
             np.log1p(count) / 4,
             np.minimum(1, np.array([b.linked for b in flat]) / np.maximum(size, 1)),
             [b.text[-1] in ".!?:;\"'" for b in flat],
-            [any(c in b.text[:200] for c in "©®|·»") for b in flat],
-            np.array([sum(map(str.isdigit, b.text[:200])) for b in flat]) / np.minimum(size, 200),
+            [any(c in b.text for c in "©®|·»") for b in flat],
+            np.array([sum(map(str.isdigit, b.text)) for b in flat]) / np.maximum(size, 1),
             place,
             [b.text[:1].isupper() for b in flat],
         ],

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from passagekit.llm.curves import nearest, op9_nearest_neighbours
-from passagekit.llm.html_text import leaf_blocks, main_text
+from passagekit.llm.html_text import PATH, WORD, Block, features, leaf_blocks, main_text
 from passagekit.llm.jpeg import decode, encode, op7_media_columns, pad, unpack
 from passagekit.llm.language import op8_language_id
 from passagekit.llm.pii import all_spans, base_spans, card_ok, decode_windows, find_spans, mask, masked, model, op6_pii, training_lines
@@ -194,3 +194,17 @@ def test_neighbours_of_mixed_lengths(spark):
     assert recall_of(spark, one, 20, window=60, recall=0) >= 0.9
     mixed = x * np.exp(np.random.default_rng(2).standard_normal((4000, 1)))
     assert recall_of(spark, mixed, 20) >= 0.9
+
+
+def test_blocks_of_open_elements():
+    texts = lambda html: [b.text for b in leaf_blocks(html)]
+    assert texts("<html><head><title>T</title><meta charset=x><body><article><p>a</p></article>") == ["a"]
+    assert leaf_blocks("<html><head><title>T</title><body><p>a</p>")[0].path == leaf_blocks("<html><head></head><body><p>a</p>")[0].path
+    assert texts("<head><style>b{}</style><title>T</title><p>a</p>") == ["a"]
+    assert texts('<p>a <svg class="i" /> b</p><p>c</p><svg><text>no</text></svg><p>d</p>') == ["a b", "c", "d"]
+    assert texts("<p>a</p><noscript><p>b</p>") == ["a", "b"] and texts("<p>a</p><textarea>b") == ["a"]
+
+
+def test_features_see_whole_blocks():
+    x = features([[Block((), "x" * 300 + tail, 0)] for tail in ("", "©", "9" * 300)])
+    assert (x[0] != x[1]).any() and x[2][0, PATH + WORD + 5] == 0.5
