@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: exact links between documents whose shingle sets are similar, and their components.
+"""N-gram Jaccard join: the exact components of documents whose shingle sets are similar, by links that span them.
 
 Texts with equal sets are one node.  Candidates share enough of the rarest shingles: a set's prefix under an order that
 puts frequent shingles last, long enough that linked sets share several members of it.  Candidates form clusters,
@@ -282,7 +282,8 @@ def jaccard_components(df: DataFrame) -> DataFrame:
 
     Letters A-Z count as lower case.  Null, empty and blank texts have no shingles and are linked with nothing; texts
     of fewer than five words have their whole sequence as one.  Equal sets are always linked.  Rows that repeat an id
-    are one node.  All links count: no list, block or cluster is capped or sampled.
+    are one node.  Components are those of all links; of the links only so many are found as join them, and pairs of one
+    component in different blocks of a large cluster are not compared.
     """
     spark = df.sparkSession
     scratch, shards = Scratch(spark, "jaccard"), partitions(spark)
