@@ -23,12 +23,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         low = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{turn}m")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.table(large, f"{name}-{turn}l")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{turn}s")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.table(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{turn}")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}-{turn}m")
         scratch.drop(f"{name}-{turn}l")
+        scratch.drop(f"{name}-{turn}s")
         scratch.drop(f"{name}-{turn - 1}")
         e = new
         if state == before or state[0] == 0:

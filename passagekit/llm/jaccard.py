@@ -1,19 +1,17 @@
-"""N-gram Jaccard join: the exact components of documents whose shingle sets are similar, by links that span them.
+"""N-gram Jaccard join: all links of documents whose shingle sets are similar, and the components that they make.
 
 Texts with equal sets are one node.  Candidates share enough of the rarest shingles: a set's prefix under an order that
-puts frequent shingles last, long enough that linked sets share several members of it.  Candidates form clusters,
-clusters are cut into blocks, and in each block a T-occurrence search (DivideSkip) finds every link that joins two
-components.  Links across the blocks of a large cluster come from seeds that visit every block; what then stands apart
-from the cluster's main component is searched against all blocks.
+puts frequent shingles last, long enough that linked sets share several members of it.  Candidates form clusters.  A
+small cluster is searched by itself; a large one is cut into blocks by size and hash, and each pair of blocks whose
+sizes can be similar is searched once.  The search is by T-occurrence (DivideSkip) and verifies every link; a task gives
+out how many links each node has, and of the links only those that join components.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
-from math import ceil, log2, sqrt
+from math import ceil, log, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +28,11 @@ PERCENT = 80
 CELLS_BITS = 24  # of the frequency sketch: 16 MB at any size of the input
 CHUNK_BITS = 20
 SMALL_LIST = 48  # up to here all pairs of a shared prefix shingle are counted
-BLOCK = 96
-SEEDS = 12
+SHARD = 2_000_000  # prefix shingles that a task counts pairs of, about
+BLOCK = 1 << 18  # shingles of a block, about
+BUNDLE = 1 << 18  # shingles of the small clusters that are searched in one group, about
+HEAP = 256  # entries of short lists that a heap merges; more are merged by a sort
+STEP = log(1.25)  # linked sets lie in one size class or in neighbouring ones
 
 
 def least_overlap(n: np.ndarray | int, percent: int = PERCENT):
@@ -105,25 +106,67 @@ def frequency_levels(profile: DataFrame) -> bytes:
 # --- candidates ----------------------------------------------------------------------------------------------------
 
 
+def _size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / STEP + 1e-9).astype(np.int64)
+
+
+def _ties(key: np.ndarray, doc: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of long lists, sorted by key -> which row is the first of its list and size class, and edges from the
+    others to it.  Neighbouring classes of a list are tied by their first rows."""
+    step = _size_class(size)
+    order = np.lexsort((doc, step, key))
+    k, c, d = key[order], step[order], doc[order]
+    new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
+    lead = np.flatnonzero(new)
+    own = lead[np.cumsum(new) - 1]
+    a, b = d[own[~new]], d[~new]
+    near = np.flatnonzero((k[lead][1:] == k[lead][:-1]) & (c[lead][1:] - c[lead][:-1] == 1))
+    first = np.zeros(len(key), bool)
+    first[order[lead]] = True
+    return first, np.concatenate([a, d[lead][near]]), np.concatenate([b, d[lead][near + 1]])
+
+
 def _postings(levels, shards: int):
-    """(doc_id, text) -> the prefix of each set, by shard of the shingle, as packed columns."""
+    """(doc_id, text) -> the prefix of each set, by shard of the shingle, as packed columns.
+
+    A task's own long lists are tied at once: of these only the first document of each size class travels, marked by a
+    negative size, so that no shard gets a common shingle's documents.  The ties stand under shard -1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(zstandard.ZstdDecompressor().decompress(levels.value), np.uint8)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        pack = zstandard.ZstdCompressor(level=1).compress
+
+        def give(shard: int, key: np.ndarray, doc: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            ids = doc.astype("<u4") if 0 <= doc.min() and doc.max() < 1 << 32 else doc
+            columns = [pa.array([shard], pa.int32())] + [pa.array([pack(np.ascontiguousarray(x).tobytes())], pa.binary()) for x in (key, ids, n)]
+            return pa.RecordBatch.from_arrays(columns, ["shard", "keys", "docs", "sizes"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             key, doc, n = (np.concatenate([h[i] for h in held]) for i in range(3))
             held.clear()
-            shard = (mix(key) % np.uint64(shards)).astype(np.int32)
-            order = np.lexsort((key, shard))
+            order = np.argsort(key, kind="stable")
+            key, doc, n = key[order], doc[order], n[order]
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            length = np.diff(np.append(at, len(key)))
+            long = np.repeat(length > SMALL_LIST, length)
+            if long.any():
+                first, a, b = _ties(key[long], doc[long], n[long])
+                if len(a):
+                    yield give(-1, a.view(np.uint64), b, np.zeros(0, np.int32))
+                rows = np.flatnonzero(long)
+                n = n.copy()
+                n[rows[first]] *= -1
+                stay = np.ones(len(key), bool)
+                stay[rows[~first]] = False
+                key, doc, n = key[stay], doc[stay], n[stay]
+            shard = (mix(key) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
             key, doc, n, shard = key[order], doc[order], n[order], shard[order]
             edge = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                pack = zstandard.ZstdCompressor(level=1).compress
-                ids = doc[a:b].astype("<u4") if 0 <= doc[a:b].min() and doc[a:b].max() < 1 << 32 else doc[a:b]
-                columns = [pa.array([int(shard[a])], pa.int32())] + [pa.array([pack(x.tobytes())], pa.binary()) for x in (key[a:b], ids, n[a:b])]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "keys", "docs", "sizes"])
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                yield give(int(shard[lo]), key[lo:hi], doc[lo:hi], n[lo:hi])
 
         for batch in batches:
             for part in slices(batch):
@@ -132,7 +175,7 @@ def _postings(levels, shards: int):
                 key, n = key[order], np.diff(at)
                 size = n - least_overlap(n) + common_prefix(n)
                 first = np.arange(len(key)) - at[row] < np.minimum(size, n)[row]
-                held.append((key[first], part.column(0).to_numpy()[row[first]], n[row[first]].astype(np.uint32)))
+                held.append((key[first], part.column(0).to_numpy()[row[first]], n[row[first]].astype(np.int32)))
             if sum(len(h[0]) for h in held) > 1_000_000:
                 yield from flush()
         if held and sum(len(h[0]) for h in held):
@@ -144,52 +187,59 @@ def _postings(levels, shards: int):
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All of a shard's postings -> pairs of documents with the number of prefix shingles that they share here.
 
-    Lists beyond SMALL_LIST, which frequent shingles alone have, tie their documents to the first one instead.
+    Lists beyond SMALL_LIST, which frequent shingles alone have, tie their documents by size classes instead.
     """
     unpack = zstandard.ZstdDecompressor().decompress
     keys, docs, sizes = [], [], []
     for batch in batches:
-        for k, d, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+        for s, k, d, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             k = np.frombuffer(unpack(k), np.uint64)
             raw = unpack(d)
+            doc = np.frombuffer(raw, np.uint32 if len(raw) == 4 * len(k) else np.int64).astype(np.int64)
+            if s < 0:
+                tie = np.unique(np.stack([k.view(np.int64), doc]), axis=1)
+                one = pa.array(np.ones(tie.shape[1], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(tie[0]), pa.array(tie[1]), one, one], ["a", "b", "shared", "need"])
+                continue
             keys.append(k)
-            docs.append(np.frombuffer(raw, np.uint32 if len(raw) == 4 * len(k) else np.int64).astype(np.int64))
-            sizes.append(np.frombuffer(unpack(n), np.uint32))
+            docs.append(doc)
+            sizes.append(np.frombuffer(unpack(n), np.int32))
     if not keys:
         return
     key, doc, size = np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes).astype(np.int64)
-    order = np.lexsort((doc, key))
+    order = np.lexsort((size, doc, key))
     key, doc, size = key[order], doc[order], size[order]
     new = np.ones(len(key), bool)  # one id may stand on several rows
     new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
     key, doc, size = key[new], doc[new], size[new]
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     length = np.diff(np.append(start, len(key)))
-    start, length = start[length > 1], length[length > 1]
+    marked = np.minimum.reduceat(size, start) < 0  # a task has tied some of the list already
+    size = np.abs(size)
 
-    def give(a: np.ndarray, b: np.ndarray, tied: bool) -> pa.RecordBatch:
-        if not tied:
-            ok = 100 * np.minimum(size[a], size[b]) >= PERCENT * np.maximum(size[a], size[b])
-            a, b = a[ok], b[ok]
-        x, y, need = doc[a], doc[b], common_prefix(np.minimum(size[a], size[b]))
-        order = np.lexsort((y, x))
-        x, y, need = x[order], y[order], need[order]
-        at = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[: len(x)]
-        count = np.diff(np.append(at, len(x)))
-        need = need[at] if not tied else np.ones(len(at), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (x[at], y[at], count, need)], ["a", "b", "shared", "need"])
-
-    for n in np.unique(length[length <= SMALL_LIST]).tolist():
+    def give(x: np.ndarray, y: np.ndarray, count: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (x, y, count, need)], ["a", "b", "shared", "need"])
+
+    short = (length > 1) & (length <= SMALL_LIST) & ~marked
+    for n in np.unique(length[short]).tolist():
         i, j = np.triu_indices(n, 1)
-        own = start[length == n]
+        own = start[short & (length == n)]
         for lo in range(0, len(own), step := max(1, 1_000_000 // len(i))):
             s = own[lo : lo + step, None]
-            yield give((s + i).ravel(), (s + j).ravel(), False)
-    big = length > SMALL_LIST
-    if big.any():
-        a = np.repeat(start[big], length[big] - 1)
-        nth = np.arange(len(a)) - np.repeat(np.cumsum(length[big] - 1) - (length[big] - 1), length[big] - 1)
-        yield give(a, a + 1 + nth, True)
+            a, b = (s + i).ravel(), (s + j).ravel()
+            ok = 100 * np.minimum(size[a], size[b]) >= PERCENT * np.maximum(size[a], size[b])
+            a, b = a[ok], b[ok]
+            x, y, need = doc[a], doc[b], common_prefix(np.minimum(size[a], size[b]))
+            order = np.lexsort((y, x))
+            x, y, need = x[order], y[order], need[order]
+            at = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[: len(x)]
+            yield give(x[at], y[at], np.diff(np.append(at, len(x))), need[at])
+    long = np.repeat((length > SMALL_LIST) | marked & (length > 1), length)
+    if long.any():
+        _, a, b = _ties(key[long], doc[long], size[long])
+        tie = np.unique(np.stack([a, b]), axis=1)
+        one = np.ones(tie.shape[1], np.int64)
+        yield give(tie[0], tie[1], one, one)
 
 
 # --- exact links ---------------------------------------------------------------------------------------------------
@@ -205,127 +255,195 @@ class Forest:
             x = self.up[x]
         return x
 
-    def union(self, x: int, y: int) -> None:
-        self.up[self.find(y)] = self.find(x)
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.find(x), self.find(y)
+        self.up[y] = x
+        return x != y
+
+
+class Lists:
+    """Inverted lists over sets: for each shingle the sorted places of the sets that have it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = max(1, len(sets))
+        key = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        place = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.lexsort((place, key))
+        key, self.place = key[order], place[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.keys, self.at = key[at], np.append(at, len(key))
+        self.both = np.repeat(np.arange(len(at)), np.diff(self.at)) * self.n + self.place  # (shingle, place) as one sorted number
+
+    def found(self, own: np.ndarray) -> np.ndarray:
+        """The lists of a set's shingles that have one."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        i = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        return i[self.keys[i] == own]
+
+    def divide_skip(self, lists: np.ndarray, least: int, below: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places under ``below`` that occur in at least ``least`` of the lists, and how often.
+
+        The longest lists are set aside, the others are merged; who occurs often enough there to reach the threshold at
+        all is probed in the long lists by binary search, and given up as soon as it cannot reach it.
+        """
+        size = self.at[lists + 1] - self.at[lists]
+        order = np.argsort(size, kind="stable")
+        lists, size = lists[order], size[order]
+        long = min(max(0, least - 1), int(least / (0.0085 * log2(max(2, int(size[-1])))) + 1), len(lists)) if len(lists) else 0
+        short = len(lists) - long
+        runs = [self.place[self.at[i] : self.at[i + 1]] for i in lists[:short].tolist()]
+        if size[:short].sum() <= HEAP:
+            merged = np.fromiter(heapq.merge(*(r.tolist() for r in runs)), np.int64)
+        else:
+            merged = np.sort(np.concatenate(runs), kind="stable")
+        edge = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))[: len(merged)]
+        who, count = merged[edge], np.diff(np.append(edge, len(merged)))
+        probe = lists[short:]
+        able = (count + long >= least) & (who < below)
+        who, count = who[able], count[able]
+        if len(who) <= 64:
+            want = probe[:, None] * self.n + who
+            i = np.minimum(np.searchsorted(self.both, want), len(self.both) - 1) if len(self.both) else want
+            count = count + (self.both[i] == want).sum(axis=0) if len(who) and long else count
+        else:
+            for left, i in enumerate(probe.tolist()):
+                own = self.place[self.at[i] : self.at[i + 1]]
+                spot = np.minimum(np.searchsorted(own, who), len(own) - 1)
+                count = count + (own[spot] == who)
+                if left % 8 == 7:
+                    able = count + (long - 1 - left) >= least
+                    who, count = who[able], count[able]
+        able = count >= least
+        return who[able], count[able]
 
 
-def divide_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
-    """The members that occur in at least ``least`` of the sorted lists, with their number of occurrences.
+def block_links(ids: list[int], sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For each set the copies of all others linked with it, and links that join what hangs together.
 
-    The longest lists are set aside, the others are merged by a heap; who occurs often enough there to reach the
-    threshold at all is probed in the long lists by binary search.
+    Each pair is looked at once; with ``side``, only pairs of different sides are.
     """
-    lists = sorted(lists, key=len)
-    longest = len(lists[-1]) if lists else 0
-    long = min(max(0, least - 1), int(least / (0.0085 * log2(max(2, longest)) + 1)), len(lists))
-    short, probe = lists[: len(lists) - long], lists[len(lists) - long :]
-    for member, run in groupby(heapq.merge(*short)):
-        count = sum(1 for _ in run)
-        if count < least - long:
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.lexsort((np.array(ids, np.int64), size))
+    inside = np.ones(len(ids), bool) if side is None else ~side
+    asks = np.ones(len(ids), bool) if side is None else side
+    stored = order[inside[order]]  # by size, so that places rise with the sizes
+    index, stored_size = Lists([sets[i] for i in stored.tolist()]), size[stored]
+    place = np.full(len(ids), -1)
+    place[stored] = np.arange(len(stored))
+    forest, links, edges = Forest(len(ids)), np.zeros(len(ids), np.int64), []
+    for i in order[asks[order]].tolist():
+        n = int(size[i])
+        lists = index.found(sets[i])
+        least = int(least_overlap(n))
+        if len(lists) < least:
             continue
-        for left, x in enumerate(probe):
-            if count + len(probe) - left < least:
-                break
-            at = bisect_left(x, member)
-            count += at < len(x) and x[at] == member
-        else:
-            if count >= least:
-                yield member, count
-
-
-def block_links(ids: list[int], sets: list[np.ndarray], query: list[bool] | None = None, label: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that join the components of a block.  With ``query``, only pairs of a query and another are looked at;
-    with ``label``, members of one label count as joined already."""
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    forest, first = Forest(len(ids)), {}
-    if label is not None:
-        for i, x in enumerate(label):
-            forest.union(first.setdefault(x, i), i)
-    index: dict[int, list[int]] = {}
-    out = []
-    for place, i in enumerate(order):
-        own = sets[i].tolist()
-        n = len(own)
-        lists = [x for x in map(index.get, own) if x]
-        least = least_overlap(n)
-        if len(lists) >= least:
-            for other, both in divide_skip(lists, int(least)):
-                j = order[other]
-                if query is not None and query[i] == query[j] and not query[i]:
-                    continue
-                if 100 * both >= PERCENT * (n + len(sets[j]) - both) and forest.find(i) != forest.find(j):
-                    forest.union(i, j)
-                    out.append((ids[i], ids[j]))
-        for x in own:
-            index.setdefault(x, []).append(place)
-    return out
+        who, both = index.divide_skip(lists, least, int(place[i]) if side is None else len(stored))
+        ok = 100 * both >= PERCENT * (n + stored_size[who] - both)
+        other = stored[who[ok]]
+        links[i] += copies[other].sum()
+        links[other] += copies[i]
+        edges += [(ids[i], ids[j]) for j in other.tolist() if forest.join(i, j)]
+    return links, edges
+
+
+_FOUND = "a long, b long, d1 long, links long"
+
+
+def _given(ids: list[int], d1: list[int], links: np.ndarray, edges: list[tuple[int, int]]) -> list[tuple]:
+    """Rows of links that join (a, b), and of numbers of links (a, d1, links)."""
+    return [(a, b, None, None) for a, b in edges] + [(ids[i], None, d1[i], int(links[i])) for i in np.flatnonzero(links).tolist()]
 
 
 def _search(table: pa.Table) -> pa.Table:
-    """One block, or one block and its queries: the links found."""
-    role = table["query"].to_pylist() if "query" in table.column_names else None
-    label = table["label"].to_pylist() if "label" in table.column_names else None
-    ids, sets = table["doc_id"].to_pylist(), [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()]
-    links = block_links(ids, sets, role, label)
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+    """Some small clusters, or two blocks of a large one, or a block by itself: links by node, and joining links."""
+    table = table.sort_by("cluster")
+    cluster, copies, second = (table[c].to_numpy() for c in ("cluster", "copies", "second"))
+    ids, d1, members = (table[c].to_pylist() for c in ("doc_id", "d1", "members"))
+    edge = np.append(np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1])), len(cluster)).tolist()
+    rows = []
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        sets = [np.frombuffer(x, np.uint64) for x in members[lo:hi]]
+        side = second[lo:hi] if second[lo:hi].any() else None
+        rows += _given(ids[lo:hi], d1[lo:hi], *block_links(ids[lo:hi], sets, copies[lo:hi], side))
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("a", "b", "d1", "links"), columns, strict=True)})
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for part in slices(batch):
         key, _, at = shingles(words(part.column(1), lower=True), WORDS)
+        d1, _ = digest128(key, at)
         members = [key[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(members, pa.binary()), *part.columns[2:]], ["doc_id", "members", "cluster", "blocks"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d1), pa.array(members, pa.binary()), part.column(2)], ["doc_id", "d1", "members", "cluster"])
+
+
+def _blocks(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Sets of clusters -> rows with a group to search: bundles of small clusters, pairs of blocks of large ones."""
+    n = F.length("members") / 8
+    step = F.floor(F.log(n) / STEP + 1e-9).cast("long")
+    sized = scratch.table(sets.groupBy("cluster").agg(F.sum(n).alias("total")), "sizes")
+    small = sized.where(F.col("total") <= BLOCK)
+    bundles = max(1, ceil((small.agg(F.sum("total")).first()[0] or 0) / BUNDLE))
+    whole = sets.join(small.select("cluster"), "cluster").select(
+        F.lit(None).cast("long").alias("large"), F.pmod(F.xxhash64("cluster"), F.lit(bundles)).alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(False).alias("second"), "cluster", "doc_id", "d1", "copies", "members"
+    )
+    large = sized.where(F.col("total") > BLOCK)
+    if not large.limit(1).count():
+        return whole
+    cut = scratch.table(sets.join(large.select("cluster"), "cluster").withColumn("step", step), "large")
+    parts = scratch.table(cut.groupBy("cluster", "step").agg(F.ceil(F.sum(n) / BLOCK).cast("int").alias("parts")), "parts")
+    beside = parts.select("cluster", (F.col("step") + 1).alias("step"), F.col("parts").alias("below"))
+    above = parts.select("cluster", (F.col("step") - 1).alias("step"), F.col("parts").alias("above"))
+    known = parts.join(beside, ["cluster", "step"], "left").join(above, ["cluster", "step"], "left").fillna(0, ["below", "above"])
+    row = cut.join(scratch.table(known, "beside"), ["cluster", "step"]).withColumn("part", F.pmod(F.xxhash64("doc_id", "d1", F.lit(4)), F.col("parts")).cast("int"))
+    # a block is its size class and part; a pair of blocks is met as (lower, higher), and the higher one asks
+    block = lambda s, p: s * (1 << 32) + p
+    own = block(F.col("step"), F.col("part"))
+    up_to = lambda count: F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    same = F.transform(up_to(F.col("parts")), lambda p: F.struct(block(F.col("step"), F.least(p, F.col("part"))).alias("lo"), block(F.col("step"), F.greatest(p, F.col("part"))).alias("hi"), (p < F.col("part")).alias("second")))
+    lower = F.transform(up_to(F.col("below")), lambda p: F.struct(block(F.col("step") - 1, p).alias("lo"), own.alias("hi"), F.lit(True).alias("second")))
+    upper = F.transform(up_to(F.col("above")), lambda p: F.struct(own.alias("lo"), block(F.col("step") + 1, p).alias("hi"), F.lit(False).alias("second")))
+    visits = row.select(F.col("cluster").alias("large"), F.explode(F.concat(same, lower, upper)).alias("v"), "cluster", "doc_id", "d1", "copies", "members")
+    return whole.unionByName(visits.select("large", "v.lo", "v.hi", "v.second", "cluster", "doc_id", "d1", "copies", "members"))
 
 
 def jaccard_components(df: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, component_id.
+    """(doc_id, text) -> doc_id, n_shingles, component_id, n_links: one row for each row.
 
     Letters A-Z count as lower case.  Null, empty and blank texts have no shingles and are linked with nothing; texts
-    of fewer than five words have their whole sequence as one.  Equal sets are always linked.  Rows that repeat an id
-    are one node.  Components are those of all links; of the links only so many are found as join them, and pairs of one
-    component in different blocks of a large cluster are not compared.
+    of fewer than five words have their whole sequence as one.  Equal sets are always linked.  n_links is the number of
+    other rows whose set is linked with the row's.  Rows that repeat an id are one node of a component.  All links count:
+    none is capped or sampled.  An empty table gives an empty result.
     """
     spark = df.sparkSession
-    scratch, shards = Scratch(spark, "jaccard"), partitions(spark)
+    scratch = Scratch(spark, "jaccard")
     both = scratch.table(df.mapInArrow(_profile, "doc_id long, n long, d1 long, d2 long, chunk int, counts binary"), "profile")
     profile = both.where(F.col("chunk").isNull()).select("doc_id", "n", "d1", "d2")
-    first = profile.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # equal sets are written as one node: joins with this table do not sit on its own grouping
+    first = scratch.table(profile.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.sum("n").alias("n")), "nodes")
     levels = spark.sparkContext.broadcast(frequency_levels(both))
     reps = first.select(F.col("rep").alias("doc_id")).distinct()
+    inside = first.agg(F.sum(F.col("n") / F.col("copies"))).first()[0] or 0
+    shards = max(partitions(spark), ceil(0.31 * inside / SHARD))
     posted = df.join(reps, "doc_id", "left_semi").mapInArrow(_postings(levels, shards), "shard int, keys binary, docs binary, sizes binary")
-    pairs = posted.repartition(shards, "shard").mapInArrow(_pairs, "a long, b long, shared long, need long")
+    spread = F.when(F.col("shard") >= 0, F.col("shard")).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
+    pairs = posted.withColumn("at", spread).repartition(shards, "at").drop("at").mapInArrow(_pairs, "a long, b long, shared long, need long")
     edges = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
-    cluster = components(edges, scratch, "candidates")
-    size = cluster.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = scratch.table(cluster.join(size, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks"), "members")
-    # the sets of clustered documents; a row that repeats an id with another text adds a set of its own
-    sets = scratch.table(map_batches(df.join(member, "doc_id").select("doc_id", "text", "cluster", "blocks"), _sets, "doc_id long, members binary, cluster long, blocks int").distinct(), "sets")
-    draw = F.xxhash64("doc_id", F.lit(4))
-    home = F.pmod(draw, F.col("blocks")).cast("int")
-    seed = F.pmod(F.xxhash64("doc_id", F.lit(44)), F.col("blocks") * BLOCK) < SEEDS
-    visits = F.when((F.col("blocks") > 1) & seed, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))
-    blocks = sets.where(F.length("members") > 0).select("doc_id", "members", "cluster", F.explode(visits).alias("block"))
-    links = scratch.table(blocks.groupBy("cluster", "block").applyInArrow(_search, "a long, b long"), "links")
-    # what stands apart in clusters of several blocks is searched against all blocks
-    wide = member.where("blocks > 1")
-    if wide.limit(1).count():
-        found = components(links, scratch, "inner")
-        label = wide.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "cluster", "blocks", F.coalesce("component", "doc_id").alias("label"))
-        label = scratch.table(label, "labels")
-        main = label.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        apart = label.join(main, "cluster").where("label != main")
-        many = apart.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-        held = sets.where(F.length("members") > 0).join(label.select("doc_id", "label"), "doc_id").join(many, "cluster")
-        held = held.join(apart.select("doc_id", F.lit(True).alias("query")), "doc_id", "left").withColumn("query", F.coalesce("query", F.lit(False)))
-        part = F.pmod(F.xxhash64("doc_id", F.lit(444)), F.col("parts")).cast("int")
-        asks = held.where("query").select("doc_id", "members", "cluster", "label", "query", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        there = held.select("doc_id", "members", "cluster", "label", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), home.alias("block"))
-        more = asks.union(there.select(*asks.columns)).groupBy("cluster", "block", "part").applyInArrow(_search, "a long, b long")
-        links = links.union(scratch.table(more, "more"))
-    final = components(links, scratch, "final")
-    named = first.join(final, first["rep"] == final["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    member = scratch.table(components(edges, scratch, "candidates").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "members")
+    # the sets of clustered nodes; a row that repeats a node's id with another text is no node, or one of its own
+    text = df.join(member, "doc_id").select("doc_id", "text", "cluster")
+    sets = map_batches(text, _sets, "doc_id long, d1 long, members binary, cluster long").dropDuplicates(["doc_id", "d1"])
+    sets = scratch.table(sets.join(first.select(F.col("rep").alias("doc_id"), "d1", "copies"), ["doc_id", "d1"]), "sets")
+    found = scratch.table(_blocks(sets, scratch).groupBy("large", "lo", "hi").applyInArrow(_search, _FOUND), "links")
+    final = components(found.where("b IS NOT NULL").select("a", "b"), scratch, "final")
+    number = found.where("d1 IS NOT NULL").groupBy(F.col("a").alias("rep"), "d1").agg(F.sum("links").alias("links"))
+    named = first.join(final, first["rep"] == final["node"], "left").join(number, ["rep", "d1"], "left")
+    named = scratch.table(named.select("d1", "d2", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "named")
     out = profile.join(named, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = F.col("n") > 0
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.col("links")).otherwise(0).alias("n_links"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from passagekit.llm.jaccard import block_links, divide_skip, jaccard_components, op4_jaccard_join
+from passagekit.llm import jaccard
+from passagekit.llm.jaccard import Lists, block_links, jaccard_components, op4_jaccard_join
 from passagekit.llm.substrings import op3_substring_dedup, without_repeats
 
 from .data import awkward, folder, frame, words
@@ -90,7 +92,7 @@ def classes(rows):
     for k, (_, s) in enumerate(sets):
         for x in s:
             holders[x].append(k)
-    seen = set()
+    seen, links = set(), defaultdict(int)
     for own in holders.values():
         for a in range(len(own)):
             for b in own[a + 1 :]:
@@ -100,7 +102,9 @@ def classes(rows):
                     if 100 * len(s & t) >= 80 * len(s | t):
                         x, y = sorted((find(i), find(j)))
                         up[y] = x
-    return sorted((i, len(s), find(i)) for i, s in sets)
+                        links[own[a]] += 1
+                        links[b] += 1
+    return sorted((i, len(s), find(i), links[k]) for k, (i, s) in enumerate(sets))
 
 
 def near_copies(count=400, seed=8):
@@ -122,9 +126,14 @@ def near_copies(count=400, seed=8):
     return rows
 
 
-@pytest.mark.parametrize("rows", [awkward(), near_copies()])
-def test_jaccard(spark, tmp_path, rows):
-    got = op4_jaccard_join(spark, folder(spark, tmp_path / "d", rows)).select("doc_id", "n_shingles", "component_id").collect()
+@pytest.mark.parametrize(("rows", "block"), [(awkward(), None), (near_copies(), None), (near_copies(), 2000)])
+def test_jaccard(spark, tmp_path, monkeypatch, rows, block):
+    """With small blocks, so that families are cut into many; with copies, which count as links."""
+    if block:
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "BUNDLE", block)
+        rows = [*rows, *((9000 + i, t, *r) for i, (_, t, *r) in enumerate(rows[:50]))]
+    got = op4_jaccard_join(spark, folder(spark, tmp_path / "d", rows)).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     want = classes(rows)
     if len({i for i, *_ in want}) == len(want):
         assert sorted(map(tuple, got)) == want
@@ -138,20 +147,25 @@ def test_jaccard_of_nothing(spark):
 
 def test_divide_skip_against_counting():
     rng = random.Random(2)
-    for _ in range(200):
-        lists = [sorted(rng.sample(range(40), rng.randrange(1, 30))) for _ in range(rng.randrange(1, 12))]
-        least = rng.randrange(1, len(lists) + 1)
-        want = {m: n for m in range(40) if (n := sum(m in x for x in lists)) >= least}
-        assert dict(divide_skip(lists, least)) == want
+    for heavy in (False, True):  # lists that a heap merges, and longer ones with many candidates
+        for _ in range(100):
+            n, m = (300, 400) if heavy else (40, 12)
+            sets = [np.array(sorted(rng.sample(range(m), rng.randrange(1, m))), np.uint64) for _ in range(n)]
+            own = np.array(sorted(rng.sample(range(m), rng.randrange(1, m))), np.uint64)
+            index = Lists(sets)
+            lists = index.found(own)
+            least, below = rng.randrange(1, len(lists) + 1), rng.randrange(n + 1)
+            want = {i: k for i in range(below) if (k := len(np.intersect1d(sets[i], own))) >= least}
+            who, count = index.divide_skip(lists, least, below)
+            assert dict(zip(who.tolist(), count.tolist(), strict=True)) == want
 
 
 def test_block_links_join_what_is_linked():
-    import numpy as np
-
     rng = random.Random(3)
     base = list(range(50))
     sets = [np.array(sorted({x if rng.random() > 0.08 else 100 + rng.randrange(900) for x in base}), np.uint64) for _ in range(40)]
-    links = block_links(list(range(40)), sets)
+    copies = np.array([rng.randrange(1, 4) for _ in sets])
+    number, links = block_links(list(range(40)), sets, copies)
 
     def classes_of(pairs):
         up = list(range(40))
@@ -170,3 +184,11 @@ def test_block_links_join_what_is_linked():
 
     every = [(i, j) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
     assert classes_of(links) == classes_of(every)
+    want = np.zeros(40, int)
+    for i, j in every:
+        want[i] += copies[j]
+        want[j] += copies[i]
+    assert number.tolist() == want.tolist()
+    side = np.array([i % 3 == 0 for i in range(40)])
+    number, _ = block_links(list(range(40)), sets, copies, side)
+    assert number.sum() == sum(copies[i] + copies[j] for i, j in every if side[i] != side[j])
