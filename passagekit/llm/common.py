@@ -50,6 +50,15 @@ class Scratch:
         self._files.delete(self._target(f"{self.path}/{name}"), True)
 
 
+SMALL = 1_000_000
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row: sent to all executors up to SMALL rows (tens of MB), else joined as Spark
+    plans it."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, clean, documents, map_batches, partitions, slices
+from .common import Scratch, broadcast_if_small, clean, documents, map_batches, partitions, slices
 from .graph import components
 from .textkit import digest128, mix, shingles, words
 
@@ -357,8 +357,12 @@ def _given(ids: list[int], d1: list[int], links: np.ndarray, edges: list[tuple[i
 
 
 def _search(table: pa.Table) -> pa.Table:
-    """Some small clusters, or two blocks of a large one, or a block by itself: links by node, and joining links."""
-    table = table.sort_by("cluster")
+    """Some small clusters, or two blocks of a large one, or a block by itself: links by node, and joining links.
+
+    A node whose row is repeated in the table stands there more than once, and counts once.
+    """
+    place = pa.table({"cluster": table["cluster"], "doc_id": table["doc_id"], "d1": table["d1"], "i": np.arange(table.num_rows)})
+    table = table.take(place.group_by(["cluster", "doc_id", "d1"]).aggregate([("i", "min")]).sort_by([("cluster", "ascending"), ("i_min", "ascending")])["i_min"])
     cluster, copies, second = (table[c].to_numpy() for c in ("cluster", "copies", "second"))
     ids, d1, members = (table[c].to_pylist() for c in ("doc_id", "d1", "members"))
     edge = np.append(np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1])), len(cluster)).tolist()
@@ -372,11 +376,13 @@ def _search(table: pa.Table) -> pa.Table:
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, d1, copies, cluster) -> the sets of nodes; another text of a node's id is none."""
     for part in slices(batch):
         key, _, at = shingles(words(part.column(1), lower=True), WORDS)
-        d1, _ = digest128(key, at)
-        members = [key[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d1), pa.array(members, pa.binary()), part.column(2)], ["doc_id", "d1", "members", "cluster"])
+        own = np.flatnonzero(digest128(key, at)[0] == part.column(2).to_numpy())
+        members = pa.array([key[at[i] : at[i + 1]].tobytes() for i in own.tolist()], pa.binary())
+        doc, d1, copies, cluster = (part.column(i).take(pa.array(own)) for i in (0, 2, 3, 4))
+        yield pa.RecordBatch.from_arrays([doc, d1, members, cluster, copies], ["doc_id", "d1", "members", "cluster", "copies"])
 
 
 def _blocks(sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -424,18 +430,17 @@ def jaccard_components(df: DataFrame) -> DataFrame:
     # equal sets are written as one node: joins with this table do not sit on its own grouping
     first = scratch.table(profile.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.sum("n").alias("n")), "nodes")
     levels = spark.sparkContext.broadcast(frequency_levels(both))
-    reps = first.select(F.col("rep").alias("doc_id")).distinct()
+    reps = scratch.table(first.select(F.col("rep").alias("doc_id")).distinct(), "reps")
     inside = first.agg(F.sum(F.col("n") / F.col("copies"))).first()[0] or 0
     shards = max(partitions(spark), ceil(0.31 * inside / SHARD))
-    posted = df.join(reps, "doc_id", "left_semi").mapInArrow(_postings(levels, shards), "shard int, keys binary, docs binary, sizes binary")
+    posted = df.join(broadcast_if_small(reps), "doc_id", "left_semi").mapInArrow(_postings(levels, shards), "shard int, keys binary, docs binary, sizes binary")
     spread = F.when(F.col("shard") >= 0, F.col("shard")).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
     pairs = posted.withColumn("at", spread).repartition(shards, "at").drop("at").mapInArrow(_pairs, "a long, b long, shared long, need long")
     edges = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
-    member = scratch.table(components(edges, scratch, "candidates").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "members")
-    # the sets of clustered nodes; a row that repeats a node's id with another text is no node, or one of its own
-    text = df.join(member, "doc_id").select("doc_id", "text", "cluster")
-    sets = map_batches(text, _sets, "doc_id long, d1 long, members binary, cluster long").dropDuplicates(["doc_id", "d1"])
-    sets = scratch.table(sets.join(first.select(F.col("rep").alias("doc_id"), "d1", "copies"), ["doc_id", "d1"]), "sets")
+    cluster = components(edges, scratch, "candidates").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    member = scratch.table(first.join(cluster, "rep").select(F.col("rep").alias("doc_id"), "d1", "copies", "cluster"), "members")
+    text = df.join(broadcast_if_small(member), "doc_id").select("doc_id", "text", "d1", "copies", "cluster")
+    sets = scratch.table(map_batches(text, _sets, "doc_id long, d1 long, members binary, cluster long, copies long"), "sets")
     found = scratch.table(_blocks(sets, scratch).groupBy("large", "lo", "hi").applyInArrow(_search, _FOUND), "links")
     final = components(found.where("b IS NOT NULL").select("a", "b"), scratch, "final")
     number = found.where("d1 IS NOT NULL").groupBy(F.col("a").alias("rep"), "d1").agg(F.sum("links").alias("links"))
