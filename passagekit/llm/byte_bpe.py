@@ -23,6 +23,7 @@ from .common import clean, documents, map_batches, slices
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CACHE = 400_000  # pre-tokens kept by a worker
+_SENT: dict[str, str] = {}  # what ship() has sent, by name
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -123,10 +124,17 @@ def _loaded(name: str, pattern: str) -> ByteBPE:
 
 
 def ship(spark: SparkSession, path: str) -> str:
-    """Send a vocabulary file (a fixed few MB) to all executors; its name for SparkFiles.get()."""
+    """Send a vocabulary file (a fixed few MB) to all executors; its name for SparkFiles.get().
+
+    A name that was sent already from another place is refused: executors would read the other file.
+    """
     name = path.rsplit("/", 1)[-1]
-    if not any(str(x).endswith("/" + name) for x in spark.sparkContext.listFiles):
+    sent = [str(x) for x in spark.sparkContext.listFiles if str(x).endswith("/" + name)]
+    if not sent:
+        _SENT[name] = path
         spark.sparkContext.addFile(path)
+    elif _SENT.get(name, path) != path:
+        raise ValueError(f"a file {name} was sent from {_SENT[name]} before")
     return name
 
 
@@ -134,7 +142,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, text) -> token count, and digests of the ids and of the decoded bytes.
 
     Null and empty texts have no tokens and the digests of nothing.  Texts of any length are encoded whole; repeated
-    rows give repeated results.
+    rows give repeated results, null ids stay null; an empty table gives an empty result.
     """
     name = ship(df.sparkSession, path)
 

@@ -168,16 +168,19 @@ def _rank(dtype: str, window: int, best: int):
         batch = table.combine_chunks().to_batches()[0]
         is_query = batch.column(batch.schema.get_field_index("query")).to_numpy(zero_copy_only=False)
         vec, rep, place = _numbers(batch, "vec", dtype), table["rep"].to_numpy(), table["place"].to_numpy()
+        length = np.linalg.norm(vec, axis=1)
         q, s = np.flatnonzero(is_query), np.flatnonzero(~is_query)
         out: list[tuple] = []
         for lo in range(0, len(q) if len(s) else 0, 256):
             own = q[lo : lo + 256]
             score = vec[own] @ vec[s].T
             score[np.abs(place[own][:, None] - place[s]) > window] = -np.inf
-            near = min(best + 11, len(s))
-            top = np.argpartition(-score, near - 1, axis=1)[:, :near]
-            for i, cols in zip(own.tolist(), top, strict=True):
-                cols = cols[np.abs(place[i] - place[s[cols]]) <= window]
+            near = min(best, len(s))
+            least = np.partition(score, len(s) - near, axis=1)[:, len(s) - near]
+            # products of a matrix may differ from exact ones in the last digits: all that may be among the best are kept
+            slack = 1e-12 * vec.shape[1] * length[own] * length[s].max()
+            for row, (i, low) in enumerate(zip(own.tolist(), (least - slack).tolist(), strict=True)):
+                cols = np.flatnonzero((score[row] >= low) & (score[row] > -np.inf))
                 exact = (vec[s[cols]] * vec[i]).sum(axis=1)
                 order = np.lexsort((rep[s[cols]], -exact))[:best]
                 out += zip([int(rep[i])] * len(order), rep[s[cols]][order].tolist(), exact[order].tolist(), strict=True)
@@ -226,9 +229,11 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, curves: int = CURVES, w
     """(vec_id, embedding) -> query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, the ``k``
     others of largest inner product found, ties to the smaller id.
 
-    Vectors that are null, empty, zero or hold null or non-finite components take no part, neither as queries; fewer
-    than k others give as many rows.  All valid rows are indexed.  All vectors must have one length.  ``window`` is
-    widened as far as sampled queries need for ``recall``; 0 leaves it as it is.
+    Vectors that are null, empty, zero or hold null or non-finite components take no part, neither as queries; of
+    vectors of several dimensions those of the commonest one do (of equally common ones, the largest).  Rows without an
+    id take no part; rows that repeat an id are found as often as they stand.  Fewer than k others give as many rows; an
+    empty table gives an empty result.  All valid rows are indexed.  ``window`` is widened as far as sampled queries need
+    for ``recall``; 0 leaves it as it is.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "curves")
@@ -237,6 +242,8 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, curves: int = CURVES, w
     valid = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", bad)
     )
+    common = valid.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    valid = valid.where(F.size("embedding") == (common["size"] if common else 0))
     part = valid.mapInArrow(_distinct(dtype, k + 1), "d1 long, d2 long, vec binary, norm double, ids array<long>")
     few = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, k + 1)
     halves = part.groupBy("d1", "d2", F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("salt")).agg(F.first("vec").alias("vec"), F.first("norm").alias("norm"), few("ids").alias("ids"))

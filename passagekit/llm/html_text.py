@@ -27,10 +27,10 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<svg\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<=/)>"
-    r"|<title\b[^>]*>[^<]*(?:</title\s*>)?"
-    r"|<(?:(script|style|iframe|textarea)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|(noscript|template|svg|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?</\2\s*>)"
+    r"|<svg(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<=/)>"
+    r"|<title(?=[\s/>])[^>]*>[^<]*(?:</title\s*>)?"
+    r"|<(?:(script|style|iframe|textarea)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
+    r"|(noscript|template|svg|select)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?</\2\s*>)"
     r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -42,10 +42,37 @@ IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
+class Node:
+    """An open element: its name, and the hashed marks of it and all elements around it."""
+
+    __slots__ = ("name", "around", "marks")
+
+    def __init__(self, name: str, marks: tuple[str, ...], outer: Node | None):
+        self.name, self.marks = name, marks
+        self.around = _marked(name, marks, False) if outer is None else outer.around + _marked(name, marks, False)
+
+    def path(self, outer: Node | None) -> np.ndarray:
+        """The hashed tag path of a text that stands in this element itself."""
+        leaf = _marked(self.name, self.marks, True)
+        return leaf if outer is None else outer.around + leaf
+
+
+@lru_cache(maxsize=20_000)
+def _marked(name: str, marks: tuple[str, ...], leaf: bool) -> np.ndarray:
+    row = np.zeros(PATH, np.float32)
+    if name not in ("html", "body") or marks:
+        for token in (f"{'leaf' if leaf else 'over'} {name}", name, *(f".{x}" for x in marks)):
+            row[zlib.crc32(token.encode()) % PATH] += 1
+    return row
+
+
+_NOWHERE = np.zeros(PATH, np.float32)
+
+
 class Block:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple, text: str, linked: int):
+    def __init__(self, path: np.ndarray, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
@@ -56,9 +83,9 @@ def leaf_blocks(html: str) -> list[Block]:
     head ends at the first tag that belongs to the body, and a closed-in-itself svg is empty.
     """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
     parts: list[str] = []
-    where: tuple = ()
+    where: np.ndarray | None = None
     linked = in_link = at = 0
 
     def close() -> None:
@@ -66,22 +93,22 @@ def leaf_blocks(html: str) -> list[Block]:
         if parts:
             if text := " ".join(unescape("".join(parts)).split()):
                 blocks.append(Block(where, text, linked))
-        parts, linked, where = [], 0, ()
+        parts, linked, where = [], 0, None
 
     def say(raw: str) -> None:
         nonlocal linked, where
         if raw:
-            if not parts or not where:
-                where = tuple(stack[:2] + stack[2:][-6:])
+            if where is None:
+                where = stack[-1].path(stack[-2] if len(stack) > 1 else None) if stack else _NOWHERE
             parts.append(raw)
             linked += len(raw) if in_link else 0
 
     def pop(name: str) -> None:
         nonlocal in_link
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                for gone, _ in stack[i:]:
-                    in_link -= gone == "a"
+            if stack[i].name == name:
+                for gone in stack[i:]:
+                    in_link -= gone.name == "a"
                 del stack[i:]
                 return
 
@@ -101,43 +128,32 @@ def leaf_blocks(html: str) -> list[Block]:
         if slash:
             pop(name)
             continue
-        if name not in IN_HEAD and any(x[0] == "head" for x in stack[:2]):
+        if name not in IN_HEAD and any(x.name == "head" for x in stack[:2]):
             pop("head")
         if name in VOID or rest.endswith("/") and name in INLINE:
             continue
-        if name in CLOSES_P and any(x[0] == "p" for x in stack[-4:]):
+        if name in CLOSES_P and any(x.name == "p" for x in stack[-4:]):
             pop("p")
-        if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
+        if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1].name == name:
             stack.pop()
         if name == "a":
             if in_link:
                 pop("a")
             in_link += 1
         marks = tuple(t for _, *v in ATTRIBUTE.findall(rest) for t in re.split(r"[^a-z]+", "".join(v).lower()) if t) if rest else ()
-        stack.append((name, marks))
+        stack.append(Node(name, marks, stack[-1] if stack else None))
     say(html[at:])
     close()
     return blocks
 
 
-@lru_cache(maxsize=50_000)
-def _path_row(path: tuple) -> np.ndarray:
-    row = np.zeros(PATH, np.float32)
-    for depth, (name, marks) in enumerate(reversed(path)):
-        if name in ("html", "body") and not marks:
-            continue
-        for token in (f"{'leaf' if depth == 0 else 'over'} {name}", name, *(f".{x}" for x in marks)):
-            row[zlib.crc32(token.encode()) % PATH] += 1
-    return np.minimum(row, 2)
-
-
 def features(pages: list[list[Block]]) -> list[np.ndarray]:
     """For each page: blocks x (hashed tag path, hashed words, sizes)."""
     flat = [b for page in pages for b in page]
     if not flat:
         return [np.zeros((0, PATH + WORD + EXTRA), np.float32) for _ in pages]
     x = np.zeros((len(flat), PATH + WORD + EXTRA), np.float32)
-    x[:, :PATH] = [_path_row(b.path) for b in flat]
+    x[:, :PATH] = np.minimum([b.path for b in flat], 2)
     w = words(pa.array([b.text for b in flat]), lower=True)
     bag = np.bincount(w.doc * WORD + (w.hash % np.uint64(WORD)).astype(np.int64), minlength=len(flat) * WORD).reshape(-1, WORD)
     count = np.diff(w.first)
@@ -329,8 +345,9 @@ def label(p: recurrent.Params, pages: list[list[Block]]) -> list[np.ndarray]:
 def main_text(df: DataFrame) -> DataFrame:
     """(page_id, url, html) -> page_id, url, text, n_chars: the article's blocks joined by one space.
 
-    Null, empty and text-free pages give an empty text.  Pages are read whole, however long; repeated pages give equal
-    texts.
+    Null, empty and text-free pages give an empty text.  Pages are read whole, however long or deep; repeated rows give
+    repeated results; null ids and addresses stay null; further columns are not read; an empty table gives an empty
+    result.
     """
     p = df.sparkSession.sparkContext.broadcast(model())  # about 100 kB
 

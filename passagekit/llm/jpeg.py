@@ -139,6 +139,8 @@ def _parse(data: bytes) -> dict:
         raise ValueError("no JPEG")
     x, at = {"interval": 0, "dht": {}, "dqt": {}, "comment": b""}, 2
     while True:
+        if len(data) < at + 4 or data[at] != 0xFF:
+            raise ValueError("a JPEG cut off or damaged before its scan")
         marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
@@ -164,6 +166,8 @@ def _parse(data: bytes) -> dict:
         elif marker == 0xDD:
             x["interval"] = int.from_bytes(body, "big")
         elif marker == 0xDA:
+            if len(body) < 3 or "width" not in x or x["step"] not in x["dqt"] or not {body[2] >> 4, 16 | body[2] & 15} <= x["dht"].keys():
+                raise ValueError("a JPEG without the tables of its scan")
             x["tables"] = x["dht"][body[2] >> 4], x["dht"][16 | body[2] & 15]
             return x | {"scan": at}
 
@@ -224,7 +228,7 @@ def _decode(scan: np.ndarray, start: np.ndarray, blocks: np.ndarray, tables: tup
 
 
 def decode(images: list[bytes]) -> list[Image]:
-    """Read JPEGs; those with the same Huffman tables are decoded together."""
+    """Read JPEGs; those with the same Huffman tables are decoded together.  A ValueError tells what cannot be read."""
     heads = [_parse(x) for x in images]
     groups: dict[tuple, list[int]] = {}
     for i, h in enumerate(heads):
@@ -294,8 +298,9 @@ def pad(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def media_features(df: DataFrame) -> DataFrame:
     """(doc_id, text) -> digests of the stored JPEG and of what is read back from it.
 
-    Null and empty texts become one block of zeros; repeated texts give equal values; there is no size limit below a
-    JPEG's 65535 x 65535 pixels (4.2 GB of text).
+    Null and empty texts become one block of zeros; repeated texts give equal values and repeated rows repeated results;
+    null ids stay null; an empty table gives an empty result.  There is no size limit below a JPEG's 65535 x 65535 pixels
+    (4.2 GB of text).
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -83,7 +83,7 @@ def document_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first[1:] = row[1:] != row[:-1]
     starts = np.flatnonzero(first)
     letter, row = np.insert(letter, starts, 0), np.insert(row, starts, row[starts])
-    out = np.zeros((len(texts), DIMENSIONS), np.float32)
+    out = np.zeros((len(texts), DIMENSIONS))
     if len(row) < GRAM:
         return out, letters
     letter = letter.astype(np.uint64)
@@ -99,8 +99,10 @@ def document_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         vectors = _grams.of(distinct[lo : lo + 8192]).astype(np.float32)
         for i in range(len(texts)):
             a, b = edge[i] + np.searchsorted(which[edge[i] : edge[i + 1]], [lo, lo + len(vectors)])
-            if b > a:
+            if b > a and count[a:b].sum() < 1 << 24:  # exact in single precision
                 out[i] += count[a:b] @ vectors[which[a:b] - lo]
+            elif b > a:
+                out[i] += count[a:b].astype(np.float64) @ vectors[which[a:b] - lo]
     return out, letters
 
 
@@ -112,14 +114,13 @@ def train(df: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]
     """Prototypes of (doc_id, text, lang): unit document vectors added by language.
 
     At most about ``rows`` documents are read as training texts, chosen by a hash of doc_id with equal shares for the
-    languages.  Bundling is a sum, made in the tasks and then by Spark; the driver gets one vector a language.
+    languages.  Bundling is a sum, made in the tasks and then by Spark; the driver gets one vector (8 kB) a language.
     """
-    labelled = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    share = rows / max(1, len(sizes))
-    parts = [F.when(F.col("lang") == lang, F.lit(min(1.0, share / n))) for lang, n in sizes.items()]
+    labelled = df.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    size = labelled.groupBy("lang").agg(F.count("*").alias("size"))
+    share = size.crossJoin(size.agg(F.count("*").alias("langs"))).select("lang", (F.lit(rows) / F.col("langs") / F.col("size")).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.where(draw < F.coalesce(*parts, F.lit(0.0))) if parts else labelled.limit(0)
+    chosen = labelled.join(share, "lang").where(draw < F.col("share"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -146,11 +147,12 @@ def train(df: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]
 
 def predict(df: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
     """df, further columns included, with lang_pred, score, the cosine of ``text`` with the winning prototype, at
-    least 0, and has_letter.
+    least 0, and has_letter; columns of these names are replaced.
 
     ``und`` with score 0: text null, empty or without a letter, or nothing learned.  Ties go to the first language by
-    name.  Whole texts count, of any length.
+    name.  Whole texts count, of any length.  Repeated rows give repeated results; an empty table gives an empty one.
     """
+    df = df.drop("lang_pred", "score", "has_letter")
     place = df.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ END_ID = 1
 GROUP = 4096  # documents in a group, about
 CACHE = 1_500_000  # words kept by a worker
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-SCHEMA = f"{PIECES}, sequence_id long, offset long"
+SCHEMA = f"{PIECES}, piece long, sequence_id long, offset long"
 
 
 class WordTokens:
@@ -135,35 +135,38 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack(pieces: DataFrame, group: int = GROUP, sequence: int = SEQUENCE) -> DataFrame:
-    """Sequence and offset of each piece.  ``pieces`` must be a written table: it is counted and then read again.
+    """Sequence and offset of each piece.  ``pieces`` must be a written table with a number of its own for each row
+    (``piece``): it is counted and then read again.
 
-    The number of groups follows the number of documents, so that a group stays near ``group`` of them at any size.
-    Groups are chosen by a hash of doc_id; a sequence's id is its group's number and its own number in the group.
+    The number of groups follows the number of pieces, so that a group stays near ``group`` of them at any size.  Groups
+    are chosen by a hash of the row's number, so that repeated ids, or null ones, spread as well; a sequence's id is its
+    group's number and its own number in the group.
     """
     rests = pieces.where(F.col("length") < sequence)
     groups = max(1, -(-rests.count() // group))
-    key = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(groups))
+    key = F.pmod(F.xxhash64("piece", F.lit(5)), F.lit(groups))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        table = table.sort_by([("length", "descending"), ("piece", "ascending")])
         bins, at = first_fit_decreasing(table["length"].to_numpy(), sequence)
-        ids = table["group"].to_numpy() * (1 << 24) + bins * 2
+        ids = (table["group"].to_numpy() << 32) + bins * 2
         return table.drop_columns(["group"]).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(at, pa.int64()))
 
     packed = rests.withColumn("group", key).groupBy("group").applyInArrow(run, SCHEMA)
     # a full piece is a sequence by itself: odd numbers, apart from the even ones of packed sequences
-    full = pieces.where(F.col("length") == sequence).withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
-    return packed.unionByName(full)
+    full = pieces.where(F.col("length") == sequence).withColumn("sequence_id", F.col("piece") * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
+    return packed.unionByName(full).drop("piece")
 
 
 def pack_documents(df: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
     """(doc_id, text) -> pieces with sequence_id and offset.
 
-    A null or empty text is one piece of the end id.  Repeated rows are packed each by itself.  An empty table gives an
-    empty result.
+    A null or empty text is one piece of the end id.  Repeated rows are packed each by itself, null ids too.  Equal
+    lengths are placed in the order of the rows.  An empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "packing")
-    return pack(scratch.table(token_pieces(df, path, sequence, end_id), "pieces"), group, sequence)
+    pieces = token_pieces(df, path, sequence, end_id).withColumn("piece", F.monotonically_increasing_id())
+    return pack(scratch.table(pieces, "pieces"), group, sequence)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Personal data: exact patterns, and a character-level bidirectional LSTM with CRF transitions that adds to them.
 
-The network is trained in numpy on labelled spans in generated lines.  All four kinds need a digit or an @, so only
-windows around these are read; windows overlap, each is decoded by Viterbi, and every character takes its tag from the
-window in which it lies most centrally.  What the network marks must still be a valid number or address of its kind.
+The network is trained in numpy on labelled spans in generated lines.  It reads whole texts in overlapping windows; the
+scores of windows that overlap are averaged, by how central a character lies in each, and every text is decoded by one
+Viterbi path over all its characters.  What the network marks must still be a valid number or address of its kind.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +22,10 @@ from .common import clean, documents, map_batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-SIZE, STRIDE, AROUND, HIDDEN = 64, 32, 16, 14
+LINE, HIDDEN = 48, 16  # characters of a training line, at least
+SIZE, STRIDE = 160, 128  # windows of a text; a character lies in at most two
+BATCH = 512  # windows read together
+BLOCK = 1 << 20  # characters of a very long text whose scores are held at once, about
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 Span = tuple[str, int, int]
@@ -83,72 +87,70 @@ def base_spans(text: str) -> list[Span]:
 # --- the network ---------------------------------------------------------------------------------------------------
 
 _MARKS = "@.-+()/:_%=\"',#;&[]"
-INPUTS = len(_MARKS) + 6
+CODES = 130  # ASCII, all other characters, and what fills a window behind its text's end
+INPUTS = 26 + len(_MARKS) + 5
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """The input of a code point below 128; all others share the last but one."""
-    out = np.full(129, len(_MARKS), np.int64)
+def _inputs() -> np.ndarray:
+    """The input of each code: its letter or mark, and its class."""
+    out = np.zeros((CODES, INPUTS), np.float32)
     for c in range(128):
         x = chr(c)
-        if x in _MARKS:
-            out[c] = _MARKS.index(x)
-        elif x.isdigit():
-            out[c] = len(_MARKS) + 1
-        elif x.islower():
-            out[c] = len(_MARKS) + 2
-        elif x.isupper():
-            out[c] = len(_MARKS) + 3
-        elif x.isspace():
-            out[c] = len(_MARKS) + 4
-    out[128] = len(_MARKS) + 5
+        if x.lower() in "abcdefghijklmnopqrstuvwxyz":
+            out[c, ord(x.lower()) - 97] = 1
+        elif x in _MARKS:
+            out[c, 26 + _MARKS.index(x)] = 1
+        out[c, INPUTS - 5 + (0 if x.isdigit() else 1 if x.islower() else 2 if x.isupper() else 3 if x.isspace() else 4)] = 1
+    out[128, INPUTS - 5 + 1] = 1
     return out
 
 
-def encode(windows: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    steps = max(map(len, windows))
-    code = np.zeros((len(windows), steps), np.int64)
-    mask = np.zeros((len(windows), steps), np.float32)
-    for i, w in enumerate(windows):
-        code[i, : len(w)] = _classes()[np.minimum(np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32), 128)]
-        mask[i, : len(w)] = 1
-    return np.eye(INPUTS, dtype=np.float32)[code] * mask[:, :, None], mask
+def codes(text: str) -> np.ndarray:
+    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128).astype(np.uint8)
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+def encode(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Training lines as inputs and mask."""
+    steps = max(map(len, lines))
+    code = np.full((len(lines), steps), CODES - 1, np.uint8)
+    for i, x in enumerate(lines):
+        code[i, : len(x)] = codes(x)
+    return _inputs()[code], (code < CODES - 1).astype(np.float32)
 
 
 def crf_loss(score: np.ndarray, mask: np.ndarray, tags: np.ndarray, move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Mean negative log-likelihood of the tag sequences, and its derivatives by scores and transitions."""
+    """Mean negative log-likelihood of the tag sequences, and its derivatives by scores and transitions.
+
+    Forward and backward sums are kept as probabilities, scaled to one at each step.  Every sequence has a first
+    character; its padding comes last.
+    """
     batch, steps, n = score.shape
-    score, move = score.astype(np.float64), move.astype(np.float64)
-    forward = np.zeros((batch, steps, n))
-    back = np.zeros((batch, steps, n))
-    forward[:, 0] = score[:, 0]
-    for t in range(1, steps):
-        new = _logsum(forward[:, t - 1, :, None] + move, 1) + score[:, t]
-        forward[:, t] = np.where(mask[:, t, None] > 0, new, forward[:, t - 1])
-    for t in range(steps - 2, -1, -1):
-        new = _logsum(move + (score[:, t + 1] + back[:, t + 1])[:, None, :], 2)
-        back[:, t] = np.where(mask[:, t + 1, None] > 0, new, back[:, t + 1])
-    total = _logsum(forward[:, -1], 1)
-    dscore = np.exp(forward + back - total[:, None, None]) * mask[:, :, None]
-    rows = np.arange(batch)
-    gold = np.zeros(batch)
-    dmove = np.zeros((n, n))
+    top = score.max(axis=2).astype(np.float64)
+    emit, pass_ = np.exp(score - top[:, :, None]), np.exp(move.astype(np.float64))
+    ahead, behind, scale = np.zeros((batch, steps, n)), np.ones((batch, steps, n)), np.ones((batch, steps))
+    ahead[:, 0] = emit[:, 0]
+    on = mask > 0
     for t in range(steps):
-        m = mask[:, t]
-        gold += m * score[rows, t, tags[:, t]]
-        dscore[rows, t, tags[:, t]] -= m
         if t:
-            gold += m * move[tags[:, t - 1], tags[:, t]]
-            pair = np.exp(forward[:, t - 1, :, None] + move + (score[:, t] + back[:, t])[:, None, :] - total[:, None, None])
-            dmove += (pair * m[:, None, None]).sum(axis=0)
-            np.add.at(dmove, (tags[:, t - 1], tags[:, t]), -m)
-    return float((total - gold).mean()), dscore / batch, dmove / batch
+            ahead[:, t] = np.where(on[:, t, None], (ahead[:, t - 1] @ pass_) * emit[:, t], ahead[:, t - 1])
+        scale[:, t] = ahead[:, t].sum(axis=1)
+        ahead[:, t] /= scale[:, t, None]
+    reach = np.zeros((batch, steps, n))
+    for t in range(steps - 1, 0, -1):
+        reach[:, t] = emit[:, t] * behind[:, t] / scale[:, t, None] * on[:, t, None]
+        behind[:, t - 1] = np.where(on[:, t, None], reach[:, t] @ pass_.T, behind[:, t])
+    dscore = ahead * behind * mask[:, :, None]
+    dmove = pass_ * np.tensordot(ahead[:, :-1], reach[:, 1:], ([0, 1], [0, 1]))
+    rows, cols = np.nonzero(on)
+    own = tags[rows, cols]
+    dscore[rows, cols, own] -= 1
+    gold = score[rows, cols, own].sum(dtype=np.float64)
+    r, c = np.nonzero(on[:, 1:])
+    np.add.at(dmove, (tags[r, c], tags[r, c + 1]), -1)
+    gold += move[tags[r, c], tags[r, c + 1]].sum(dtype=np.float64)
+    total = (np.log(scale) + np.where(on, top, 0)).sum()
+    return float(total - gold) / batch, dscore / batch, dmove / batch
 
 
 def viterbi(score: np.ndarray, mask: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -173,7 +175,7 @@ def training_lines(count: int, seed: int) -> list[tuple[str, list[Span]]]:
     digits = lambda n: "".join(str(x) for x in rng.integers(0, 10, n))
     letters = list("etaoinshrdlucmwfgypbvkéèüöñ")
 
-    def word(least: int = 1, most: int = 10) -> str:
+    def word(least: int = 1, most: int = 14) -> str:
         w = "".join(pick(letters) for _ in range(int(rng.integers(least, most + 1))))
         return w.capitalize() if rng.random() < 0.15 else w
 
@@ -195,7 +197,10 @@ def training_lines(count: int, seed: int) -> list[tuple[str, list[Span]]]:
 
     def email() -> str:
         user = pick([plain(6), f"{plain(4)}.{plain(6)}", f"{plain(7)}.{digits(2)}", f"{plain(3)}_{plain(5)}", f"{plain(5)}+{plain(3)}"])
-        return f"{user}@{pick([plain(6), 'mail' + digits(1)])}.{pick(['com', 'example.com', 'org', 'co.uk', 'net'])}"
+        host, end = pick([plain(6), "mail" + digits(1), "example", plain(4) + "-" + plain(4)]), pick(["com", "example.com", "org", "co.uk", "net", "de", "fr", "edu", "io"])
+        at = pick(["@"] * 5 + [" at ", " [at] ", "(at)", "[at]", " (at) ", " AT "])
+        dot = "." if at == "@" else pick([" dot ", " [dot] ", "(dot)", "[dot]", " (dot) ", " DOT ", "."])
+        return f"{user}{at}{host}{dot}{end.replace('.', dot)}"
 
     make = {"email": email, "ip": lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)), "card": card, "phone": phone}
 
@@ -205,26 +210,25 @@ def training_lines(count: int, seed: int) -> list[tuple[str, list[Span]]]:
                 digits(4), f"{digits(1)}.{digits(1)}", digits(int(rng.integers(1, 9))), f"20{digits(2)}-0{pick('123456789')}-1{digits(1)}", f"20{digits(2)}-11-2{digits(1)} 1{digits(1)}:{digits(2)}", f"1{digits(1)}:{digits(2)}:{digits(2)}",
                 f"version {digits(1)}.", f"v{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(2)}%", f"{digits(1)},{digits(3)},{digits(3)}", f"${digits(3)}.{digits(2)}", f"AKIA{plain(4).upper()}{digits(2)}{plain(6).upper()}",
                 "password=" + "".join(pick("0123456789abcdef") for _ in range(18)), 'token = "' + "".join(pick("0123456789abcdef") for _ in range(40)) + '"', f"@{plain(6)}", f"{digits(3)} {digits(2)} {digits(3)} {digits(1)} {digits(2)}",
-                f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(2)} + {digits(2)}", f"ISBN 978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", f"{digits(4)}-{digits(4)}", f"{digits(20)}", f"{digits(3)}.{digits(3)}", f"{plain(2)}{digits(3)}{plain(2)}{digits(2)}", f"({digits(4)})", f"[{digits(2)}]",
+                f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(2)} + {digits(2)}", f"ISBN 978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", f"{digits(4)}-{digits(4)}", f"{digits(20)}", f"{digits(3)}.{digits(3)}", f"{plain(2)}{digits(3)}{plain(2)}{digits(2)}", f"({digits(4)})", f"[{digits(2)}]", f"{word(2)} at {word(2)}", f"{word(3)} at the {word(2)}. {word(2)}", f"a dot {word(2)}", f"[{plain(3)}]", f"({plain(4)})", f"{plain(5)}.{plain(4)}", f"{plain(4)}-{plain(5)}",
             ]
         )
 
     lines = []
     for _ in range(count):
         text, spans = "", []
-        while len(text) < SIZE:
+        dull = 0.6 * (rng.random() < 0.4)  # much text is words alone
+        while len(text) < LINE:
             text += pick(["", " ", " ", "\n"]) if not text else pick([" ", " ", " ", ", ", ". ", "\n", ": "])
-            kind = rng.random()
+            kind = rng.random() + dull
             if kind < 0.3:
                 k = pick(KINDS)
                 value = make[k]()
                 spans.append((k, len(text), len(text) + len(value)))
                 text += value
             else:
-                text += other() if kind < 0.6 else " ".join(word() for _ in range(int(rng.integers(1, 5))))
-        cut = int(rng.integers(0, max(1, len(text) - SIZE + 1)))
-        own = [(k, max(0, a - cut), min(SIZE, b - cut)) for k, a, b in spans if a - cut < SIZE and b > cut]
-        lines.append((text[cut : cut + SIZE], own))
+                text += other() if kind < 0.6 else " ".join(word() for _ in range(int(rng.integers(1, 7))))
+        lines.append((text, spans))
     return lines
 
 
@@ -238,14 +242,14 @@ def tag_row(spans: list[Span], steps: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def model(lines: int = 4000, epochs: int = 6, seed: int = 6) -> recurrent.Params:
+def model(lines: int = 6000, epochs: int = 6, seed: int = 6) -> recurrent.Params:
     """Train network and transitions; the same parameters each time."""
     data = training_lines(lines, seed)
     p = recurrent.init(INPUTS, HIDDEN, TAGS, seed)
     p["M"] = np.zeros((TAGS, TAGS), np.float32)
     adam, rng = recurrent.Adam(p, 0.02), np.random.default_rng(seed)
     for epoch in range(epochs):
-        adam.rate = 0.02 * 0.6**epoch
+        adam.rate = 0.02 * 0.65**epoch
         order = rng.permutation(len(data))
         for lo in range(0, len(order), 48):
             own = [data[i] for i in order[lo : lo + 48]]
@@ -267,57 +271,166 @@ def model(lines: int = 4000, epochs: int = 6, seed: int = 6) -> recurrent.Params
 # --- from windows to spans -----------------------------------------------------------------------------------------
 
 
-def windows_of(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over all characters near a digit or an @."""
-    out: list[tuple[int, int]] = []
-    near: list[list[int]] = []
-    for m in _HINT.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if near and a <= near[-1][1]:
-            near[-1][1] = max(b, near[-1][1])
-        else:
-            near.append([a, b])
-    for a, b in near:
-        at = a
-        while True:
-            out.append((at, min(b, at + SIZE)))
-            if at + SIZE >= b:
-                break
-            at += STRIDE
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _states(p: recurrent.Params, side: str, code: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The LSTM's states over windows, steps x windows x hidden; ``size`` is each window's length, the longest first or equal."""
+    n = HIDDEN
+    # one sigmoid serves all gates: tanh(x) = 2 sigmoid(2x) - 1
+    stretch = np.ones(4 * n, np.float32)
+    stretch[3 * n :] = 2
+    table = ((_inputs() @ p[f"W{side}"] + p[f"b{side}"]) * stretch).astype(np.float32)
+    move = (p[f"U{side}"] * stretch).astype(np.float32)
+    steps, count = code.shape
+    out = np.empty((steps, count, n), np.float32)
+    h, c = np.zeros((count, n), np.float32), np.zeros((count, n), np.float32)
+    uneven = size.min() < steps
+    for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
+        z = h @ move
+        z += table[code[t]]
+        z = _sigmoid(z)
+        c *= z[:, n : 2 * n]
+        c += z[:, :n] * (2 * z[:, 3 * n :] - 1)
+        if uneven and side == "b":
+            c *= (size > t)[:, None]
+        h = 2 * _sigmoid(2 * c) - 1
+        h *= z[:, 2 * n : 3 * n]
+        if uneven and side == "b":
+            h *= (size > t)[:, None]
+        out[t] = h
+    return out
+
+
+def scores(p: recurrent.Params, text: list[np.ndarray], lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Averaged scores of all characters of the coded texts, one text after the other, and where each text begins.
+
+    With ``lo`` and ``hi``, those of this part of a single text; its windows lie as for the whole text.
+    """
+    total = np.array([len(x) for x in text], np.int64)
+    at = np.append(0, np.cumsum(total))
+    flat = np.concatenate([*text, np.full(SIZE, CODES - 1, np.uint8)])
+    number = np.maximum(0, -(-np.maximum(total - (SIZE - STRIDE), (total > 0).astype(int)) // STRIDE))
+    of = np.repeat(np.arange(len(text)), number)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
+    start, size = nth * STRIDE, np.minimum(SIZE, total[of] - nth * STRIDE)
+    if hi is not None:
+        own = (start < hi) & (start + size > lo)
+        of, nth, start, size = of[own], nth[own], start[own], size[own]
+    base, end = (lo, hi) if hi is not None else (0, int(at[-1]))
+    out, weight = np.zeros((end - base, TAGS), np.float32), np.zeros(end - base, np.float32)
+    order = np.argsort(-size, kind="stable")
+    for first in range(0, len(order), BATCH):
+        own = order[first : first + BATCH]
+        steps = int(size[own[0]])
+        step = np.arange(steps)
+        where = at[of[own]] + start[own] + step[:, None]
+        code = flat[where]
+        code[step[:, None] >= size[own]] = CODES - 1
+        with np.errstate(over="ignore"):
+            score = _states(p, "f", code, size[own]) @ p["V"][:HIDDEN] + _states(p, "b", code, size[own]) @ p["V"][HIDDEN:] + p["c"]
+        # how central: the text's own ends are no edges
+        left = np.where(start[own] == 0, SIZE, step[:, None] + 1)
+        right = np.where(start[own] + size[own] == total[of[own]], SIZE, size[own] - step[:, None])
+        central = np.where(step[:, None] < size[own], np.minimum(left, right), 0).astype(np.float32)
+        score = np.ascontiguousarray((score * central[:, :, None]).transpose(1, 0, 2))
+        central = np.ascontiguousarray(central.T)
+        begin = at[of[own]] + start[own]
+        for i, (a, n) in enumerate(zip(begin.tolist(), size[own].tolist(), strict=True)):
+            x, y = max(a, base), min(a + n, end)
+            out[x - base : y - base] += score[i, x - a : y - a]
+            weight[x - base : y - base] += central[i, x - a : y - a]
+    out /= np.maximum(weight, 1e-9)[:, None]
+    return out, at
+
+
+def sure(score: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Characters that the best path surely leaves outside.
+
+    A stretch of other tags gains at most its characters' scores above ``outside`` and the best transitions into, inside
+    and out of such a stretch.  Where no stretch around a character can gain anything, the path is outside there.
+    """
+    other = move[1:, 1:].max() - move[0, 0]
+    ends = max(0.0, move[0, 1:].max() - move[0, 0]) + max(0.0, move[1:, 0].max() - move[0, 0]) - other
+    top = score[:, 1].copy()
+    for k in range(2, TAGS):
+        np.maximum(top, score[:, k], out=top)
+    total = np.append(0.0, np.cumsum((top - score[:, 0]).astype(np.float64) + other))
+    before = np.minimum.accumulate(total)[:-1]
+    after = np.maximum.accumulate(total[:0:-1])[::-1]
+    return after - before + ends < -1e-6
+
+
+def best_path(score: np.ndarray, edge: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The tags of the best path over each text (``edge``: where texts begin, and the end), exact.
+
+    Paths are only searched between characters that are surely outside.
+    """
+    tags = np.zeros(len(score), np.int64)
+    open_ = ~sure(score, move)
+    at = np.flatnonzero(open_)
+    if not len(at):
+        return tags
+    begins = np.zeros(len(score) + 1, bool)
+    begins[edge] = True
+    first = np.append(True, (np.diff(at) > 1) | begins[at[1:]])
+    lo = at[first]
+    hi = at[np.append(first[1:], True)] + 1
+    lo, hi = np.where(begins[lo], lo, lo - 1), np.where(begins[hi], hi, hi + 1)
+    order = np.argsort(lo - hi, kind="stable")
+    done = 0
+    while done < len(order):
+        steps = int(hi[order[done]] - lo[order[done]])
+        own = order[done : done + max(1, 200_000 // steps)]
+        own = own[(hi - lo)[own] >= 0.7 * steps]
+        done += len(own)
+        step = np.arange(steps)
+        where = lo[own][:, None] + step
+        mask = where < hi[own][:, None]
+        found = viterbi(score[np.minimum(where, len(score) - 1)], mask, move)
+        tags[where[mask]] = found[mask]
+    return tags
+
+
+def _runs(tags: np.ndarray, offset: int) -> list[Span]:
+    kind, begin = (tags + 1) // 2, tags % 2 == 1
+    edge = np.flatnonzero(np.append(True, (kind[1:] != kind[:-1]) | begin[1:]))[: len(tags)]
+    return [(KINDS[kind[s] - 1], offset + s, offset + e) for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(tags)], strict=True) if kind[s]]
+
+
+def _long(p: recurrent.Params, text: np.ndarray) -> list[Span]:
+    """The spans of a very long text: scores are made block by block, and a path ends where a character is surely outside."""
+    out, held, begin = [], np.zeros((0, TAGS), np.float32), 0
+    for lo in range(0, len(text), BLOCK):
+        hi = min(len(text), lo + BLOCK)
+        held = np.concatenate([held, scores(p, [text], lo, hi)[0]])
+        cut = len(held) if hi == len(text) else int(np.flatnonzero(np.append(True, sure(held, p["M"])))[-1])
+        if cut:
+            out += _runs(best_path(held[:cut], np.array([0, cut]), p["M"]), begin)
+            held, begin = held[cut:], begin + cut
     return out
 
 
-def decode_windows(p: recurrent.Params, texts: list[str]) -> list[list[Span]]:
-    """Each text's spans by the network: windows are decoded together, then reconciled text by text."""
-    where = [(i, a, b) for i, text in enumerate(texts) for a, b in windows_of(text)]
-    tags: list[np.ndarray] = []
-    for lo in range(0, len(where), 2048):
-        x, mask = encode([texts[i][a:b] for i, a, b in where[lo : lo + 2048]])
-        tags += list(viterbi(recurrent.forward(p, x, mask), mask, p["M"]))
+def decode(p: recurrent.Params, texts: list[str]) -> list[list[Span]]:
+    """Each text's spans by the network."""
+    coded = [codes(t) for t in texts]
+    if any(len(x) > 2 * BLOCK for x in coded):
+        return [_long(p, x) if len(x) else [] for x in coded]
+    score, at = scores(p, coded)
+    tags = best_path(score, at, p["M"])
     out: list[list[Span]] = [[] for _ in texts]
-    at = 0
-    while at < len(where):
-        end = at + 1
-        while end < len(where) and where[end][0] == where[at][0] and where[end][1] < where[end - 1][2]:
-            end += 1
-        lo, hi = where[at][1], where[end - 1][2]
-        tag, depth = np.zeros(hi - lo, np.int64), np.full(hi - lo, -1)
-        for (_, a, b), own in zip(where[at:end], tags[at:end], strict=True):
-            inner = np.minimum(np.arange(b - a) + (STRIDE * 2 if a == lo else 0), (b - a - 1 - np.arange(b - a)) + (STRIDE * 2 if b == hi else 0))
-            better = inner > depth[a - lo : b - lo]
-            tag[a - lo : b - lo][better] = own[: b - a][better]
-            depth[a - lo : b - lo][better] = inner[better]
-        kind, begin = (tag + 1) // 2, tag % 2 == 1
-        edge = np.flatnonzero(np.append(True, (kind[1:] != kind[:-1]) | begin[1:]))
-        for s, e in zip(edge.tolist(), [*edge[1:].tolist(), hi - lo], strict=True):
-            if kind[s]:
-                out[where[at][0]].append((KINDS[kind[s] - 1], lo + s, lo + e))
-        at = end
+    busy = np.unique(np.searchsorted(at, np.flatnonzero(tags), "right") - 1)
+    for i in busy.tolist():
+        out[i] = _runs(tags[at[i] : at[i + 1]], 0)
     return out
 
 
 _ADDED = {
-    "email": re.compile(r"[^\s@]+@[^\s@]+\.[^\s@.,;]+"),
+    "email": re.compile(r"[^\s@]+@[^\s@]+\.[^\s@.,;]+|[A-Za-z0-9._%+-]+ ?[\[(]?(?:at|AT|@)[\])]? ?[A-Za-z0-9-]+(?: ?[\[(]?(?:dot|DOT|\.)[\])]? ?[A-Za-z0-9-]+)*(?: ?[\[(](?:dot|DOT)[\])] ?| (?:dot|DOT) |\.)[A-Za-z]{2,6}"),
     "ip": re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"),
     "card": re.compile(r"[0-9](?:[\x20.-]{0,2}[0-9])+"),
     "phone": re.compile(r"(?:\+[0-9]|\([0-9]{2,4}\) ?[0-9]|[0-9]{2,4}[.-][0-9])[\x20().0-9-]*[0-9]"),
@@ -339,10 +452,13 @@ def valid(kind: str, text: str) -> bool:
 
 def all_spans(text: str, base: list[Span], found: list[Span]) -> list[Span]:
     """The base spans, and those of the network that are valid and touch no base span or neighbouring digit."""
-    taken = sorted((a, b) for _, a, b in base)
-    out = list(base)
+    starts, reach, out = [], [], list(base)
+    for a, b in sorted((a, b) for _, a, b in base):
+        starts.append(a)
+        reach.append(max(b, reach[-1]) if reach else b)
     for kind, a, b in found:
-        if any(x < b and a < y for x, y in taken) or not valid(kind, text[a:b]):
+        before = bisect_right(starts, b - 1)
+        if before and reach[before - 1] > a or not valid(kind, text[a:b]):
             continue
         if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
             continue
@@ -358,15 +474,15 @@ def find_spans(df: DataFrame) -> DataFrame:
     """(doc_id, text) -> counts of the base patterns' spans, their digest, and all spans.
 
     Null and empty texts have none.  Texts are read whole; positions count code points; repeated rows give repeated
-    results.
+    results, null ids stay null; an empty table gives an empty result.
     """
-    p = df.sparkSession.sparkContext.broadcast(model())  # about 30 kB
+    p = df.sparkSession.sparkContext.broadcast(model())  # about 100 kB
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             texts = [t or "" for t in part.column(1).to_pylist()]
             bases = [base_spans(t) for t in texts]
-            every = [all_spans(t, b, f) for t, b, f in zip(texts, bases, decode_windows(p.value, texts), strict=True)]
+            every = [all_spans(t, b, f) for t, b, f in zip(texts, bases, decode(p.value, texts), strict=True)]
             count = [[sum(k == kind for k, _, _ in b) for b in bases] for kind in KINDS]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *(pa.array(c, pa.int64()) for c in count), pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b in bases]), pa.array([written(e) for e in every])],
@@ -395,7 +511,7 @@ def masked(df: DataFrame) -> DataFrame:
         for part in slices(batch):
             given = part.column(place).to_pylist()
             texts = [t or "" for t in given]
-            spans = [all_spans(t, base_spans(t), f) for t, f in zip(texts, decode_windows(p.value, texts), strict=True)]
+            spans = [all_spans(t, base_spans(t), f) for t, f in zip(texts, decode(p.value, texts), strict=True)]
             new = pa.array([None if t is None else mask(t, s) for t, s in zip(given, spans, strict=True)], pa.string())
             yield part.set_column(place, "text", new)
 

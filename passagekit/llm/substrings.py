@@ -1,9 +1,10 @@
 """Substring deduplication by level-wise doubling of word windows.
 
-Level one looks at windows of half the length.  Of the half windows inside each full window only the one with the
-smallest hash is looked at: two equal full windows choose equal half windows, so no repeat is lost, and a few hundredths
-of the positions remain.  Only full windows whose half window repeats in another document become candidates at the
-doubled length, and only those that repeat there are removed.
+Levels have lengths that double up to the window's.  On each level short of the last, of the short windows inside each
+full window only the one with the smallest hash is looked at: two equal full windows choose equal short windows, so no
+repeat is lost, and a few hundredths of the positions remain.  Only full windows whose short window repeats in another
+document go on to twice the length, until the window is reached or no candidates survive; only full windows that repeat
+are removed.  Windows are compared by two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from .common import Scratch, clean, documents, map_batches, slices
 from .textkit import Words, mix, words
 
 WINDOW = 50
+LEAST = 20  # words of the shortest level, at least
 KEY = ["doc_id", "d1"]  # a row: its id and a hash of its words, for tables that repeat an id
+DIGEST = "__words__"  # stands beside columns of any name
+HITS = "h long, g long, doc_id long, d1 long, pos int"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -46,14 +50,21 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each full window: the smallest hash of a half window in it; and whether the window is of one row."""
-    half = (window + 1) // 2
-    hashes, _ = w.windows(half)
+def levels(window: int) -> list[int]:
+    """Lengths that double up to the window: 25, 50 for 50; 25, 50, 100, 200 for 200."""
+    out = [window]
+    while out[0] >= 2 * LEAST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def anchors(w: Words, window: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each full window: the smallest hash of a window of ``length`` words in it; and whether the full window is of one row."""
+    hashes, _ = w.windows(length)
     n = len(w.hash) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    return sliding_min(hashes, window - half + 1)[:n], w.doc[:n] == w.doc[window - 1 :]
+    return sliding_min(hashes, window - length + 1)[:n], w.doc[:n] == w.doc[window - 1 :]
 
 
 def joined(w: Words, row: int, keep: np.ndarray | None = None) -> bytes:
@@ -66,14 +77,14 @@ def joined(w: Words, row: int, keep: np.ndarray | None = None) -> bytes:
     return b" ".join(data[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True))
 
 
-def _profile(window: int):
+def _profile(window: int, length: int):
     """(doc_id, text) -> a row's words, the hash it has if nothing goes, and its distinct anchors."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             w = words(part.column(1))
             d1, d2 = sequence_digests(w)
-            low, one = anchors(w, window)
+            low, one = anchors(w, window, length)
             low, row = low[one].view(np.int64), w.doc[: len(low)][one]
             new = np.ones(len(low), bool)
             new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
@@ -94,27 +105,34 @@ def _profile(window: int):
     return run
 
 
-def _candidates(window: int):
-    """(doc_id, d1, text, found) -> full windows whose anchor is among those found."""
+def _longer(window: int, before: int, length: int):
+    """(doc_id, d1, text, found) -> of full windows whose window of the length before is among those found: the windows
+    of the next length, each once a row; of the full length all, with their places and a second hash."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             w = words(part.column(2))
-            low, one = anchors(w, window)
-            full, _ = w.windows(window)
+            low, one = anchors(w, window, before)
+            own, _ = anchors(w, window, length)
+            second = w.windows(window, 2)[0] if length == window else None
+            row, found = w.doc[: len(low)], part.column(3)
+            live = np.zeros(len(low), bool)
             for i in range(part.num_rows):
                 a, b = w.first[i], max(w.first[i], w.first[i + 1] - window + 1)
-                pos = np.flatnonzero(np.isin(low[a:b].view(np.int64), part.column(3)[i].values.to_numpy()))
-                if len(pos):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(full[a + pos].view(np.int64)),
-                            pa.array(np.full(len(pos), part.column(0)[i].as_py())),
-                            pa.array(np.full(len(pos), part.column(1)[i].as_py())),
-                            pa.array(pos, pa.int32()),
-                        ],
-                        ["h", "doc_id", "d1", "pos"],
-                    )
+                live[a:b] = np.isin(low[a:b].view(np.int64), found[i].values.to_numpy())
+            pos = np.flatnonzero(live & one)
+            if length < window:
+                pos = pos[np.unique(np.stack([row[pos], own[pos].view(np.int64)]), axis=1, return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(own[pos].view(np.int64)),
+                    pa.array(second[pos].view(np.int64) if second is not None else np.zeros(len(pos), np.int64)),
+                    part.column(0).take(pa.array(row[pos])),
+                    part.column(1).take(pa.array(row[pos])),
+                    pa.array(pos - w.first[row[pos]], pa.int32()),
+                ],
+                ["h", "g", "doc_id", "d1", "pos"],
+            )
 
     return run
 
@@ -142,23 +160,29 @@ def _cut(window: int):
 def _search(df: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of (doc_id, text): each row's profile; for each word sequence the smallest id that has it; and what is cut."""
     scratch = Scratch(df.sparkSession, "substrings")
+    lengths = levels(window)
     profile = scratch.table(
-        map_batches(df, _profile(window), "doc_id long, d1 long, d2 long, n_words long, all_sha256 string, anchors array<long>"), "profile"
+        map_batches(df, _profile(window, lengths[0]), "doc_id long, d1 long, d2 long, n_words long, all_sha256 string, anchors array<long>"), "profile"
     )
-    # of texts with equal words the smallest id stands for all
-    first = profile.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_id"))
-    # level one
+    # What is grouped is written before it is joined, here and below: a join on its own grouping's shuffle could not be
+    # split where one passage, or one text, is very common.  Of texts with equal words the smallest id stands for all.
+    first = scratch.table(profile.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_id")), "first")
     lead = profile.join(first, ["d1", "d2"]).where("doc_id = first_id")
-    half = scratch.table(lead.select(*KEY, F.explode("anchors").alias("h")), "half")
-    # what repeats is written before it is joined: else the join would sit on the grouping's shuffle, and Spark could not split a common passage
-    again = scratch.table(half.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "again")
-    live = half.join(again, "h", "left_semi").groupBy(*KEY).agg(F.collect_list("h").alias("found"))
-    # level two: only texts with a repeated half window go on
-    kept = scratch.table(with_digest(df).join(live, KEY).select(*KEY, "text", "found").dropDuplicates(KEY), "texts")
-    full = scratch.table(map_batches(kept, _candidates(window), "h long, doc_id long, d1 long, pos int"), "windows")
-    twice = scratch.table(full.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("b")).where("low < b").select("h", "low"), "twice")
-    gone = full.join(twice, "h").where("doc_id > low").groupBy(*KEY).agg(F.collect_list("pos").alias("found"))
-    cut = map_batches(kept.drop("found").join(gone, KEY).select(*KEY, "text", "found"), _cut(window), "doc_id long, d1 long, n_removed long, kept_sha256 string, kept string")
+    hits = scratch.table(lead.select(*KEY, F.explode("anchors").alias("h")), "level-0")
+    text = with_digest(df).withColumnRenamed(DIGEST, "d1")
+    for nth, (before, length) in enumerate(zip(lengths, lengths[1:], strict=False), 1):
+        again = scratch.table(hits.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h"), f"again-{nth}")
+        live = hits.join(again, "h", "left_semi").groupBy(*KEY).agg(F.collect_list("h").alias("found"))
+        # only texts with a repeated window go on
+        text = scratch.table(text.select(*KEY, "text").join(live, KEY).dropDuplicates(KEY), f"texts-{nth}")
+        hits = scratch.table(map_batches(text.select(*KEY, "text", "found"), _longer(window, before, length), HITS), f"level-{nth}")
+    if len(lengths) == 1:
+        whole = profile.select(*KEY, F.col("anchors").alias("found"))
+        text = scratch.table(text.select(*KEY, "text").join(whole, KEY).dropDuplicates(KEY), "texts-1")
+        hits = scratch.table(map_batches(text, _longer(window, window, window), HITS), "level-1")
+    twice = scratch.table(hits.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low"), "twice")
+    gone = hits.join(twice, ["h", "g"]).where("doc_id > low").groupBy(*KEY).agg(F.collect_list("pos").alias("found"))
+    cut = map_batches(text.select(*KEY, "text").join(gone, KEY).select(*KEY, "text", "found"), _cut(window), "doc_id long, d1 long, n_removed long, kept_sha256 string, kept string")
     return profile.drop("anchors"), first, cut
 
 
@@ -167,7 +191,8 @@ def repeated_windows(df: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Returns doc_id, n_words, n_removed and kept_sha256.  Null and empty texts have no words; texts shorter than the
     window lose nothing; a later exact copy of a long enough text loses all; repeats inside one document, or between
-    rows of one id, stay.
+    rows of one id, stay.  Repeated rows give repeated results; rows without an id are compared with nothing; an empty
+    table gives an empty result.
     """
     profile, first, cut = _search(df, window)
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window)
@@ -185,28 +210,29 @@ def repeated_windows(df: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def without_repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of df, further columns included, with repeated windows cut from ``text``.
+    """The rows of df, further columns of any name included, with repeated windows cut from ``text``.
 
     Texts that lose nothing stay as they are, white space included; others have their kept words with one space
-    between; rows that lose all their words go.
+    between; rows that lose all their words go.  Rows without an id are compared with nothing and stay as they are.
     """
-    profile, first, cut = _search(df.select(*clean()), window)
+    profile, first, cut = _search(df.select(*clean()).where("doc_id IS NOT NULL"), window)
     copies = profile.where(F.col("n_words") >= window).join(first, ["d1", "d2"]).where("doc_id > first_id").select(*KEY, F.lit("").alias("kept")).distinct()
-    changed = copies.union(cut.select(*KEY, "kept"))
-    rows = with_digest(df).join(changed, KEY, "left").where("kept IS NULL OR kept != ''")
-    return rows.select(*(F.coalesce("kept", "text").alias("text") if c == "text" else F.col(c) for c in df.columns))
+    changed = copies.union(cut.select(*KEY, "kept")).select(F.col("doc_id").alias(f"{DIGEST}id"), F.col("d1").alias(DIGEST), F.col("kept").alias(f"{DIGEST}kept"))
+    rows = with_digest(df).withColumn(f"{DIGEST}id", F.col("doc_id").cast("long")).join(changed, [f"{DIGEST}id", DIGEST], "left")
+    kept = F.col(f"{DIGEST}kept")
+    return rows.where(kept.isNull() | (kept != "")).select(*(F.coalesce(kept, "text").alias("text") if c == "text" else F.col(c) for c in df.columns))
 
 
 def with_digest(df: DataFrame) -> DataFrame:
-    """df and a column d1, a hash of the text's words."""
+    """df and a column DIGEST, a hash of the text's words."""
     place = df.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             d1 = sequence_digests(words(part.column(place)))[0]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(d1)], [*part.schema.names, "d1"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(d1)], [*part.schema.names, DIGEST])
 
-    return map_batches(df, run, StructType([*df.schema.fields, StructField("d1", LongType())]))
+    return map_batches(df, run, StructType([*df.schema.fields, StructField(DIGEST, LongType())]))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

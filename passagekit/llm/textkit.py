@@ -16,7 +16,7 @@ BREAK[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, hence invertible modulo 2**64
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407)  # odd, hence invertible modulo 2**64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -63,13 +63,13 @@ class Words:
     hash: np.ndarray
     first: np.ndarray
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of the n words from each word on, and whether they are of one row."""
+    def windows(self, n: int, which: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of the n words from each word on, and whether they are of one row; ``which`` 2 is another hash."""
         count = len(self.hash) - n + 1
         if count <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        sums = prefix(self.hash, 1)
-        out = mix((sums[n:] - sums[:-n]) * _pow(1, len(self.hash))[1][:count])
+        sums = prefix(self.hash, which)
+        out = mix((sums[n:] - sums[:-n]) * _pow(which, len(self.hash))[1][:count])
         return out, self.doc[: count] == self.doc[n - 1 :]
 
 
