@@ -69,10 +69,10 @@ _grams = GramVectors()
 
 def document_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The bundle of each text's trigrams (words are padded by one space), and its number of letters."""
-    code = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.frombuffer("".join(t + "\0" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     # one space before, between and behind words; texts are set apart by their row
     size = np.array([len(t) + 1 for t in texts])
-    row = np.repeat(np.arange(len(texts)), size)[: len(code)]
+    row = np.repeat(np.arange(len(texts)), size)
     letter = _letters()[code]
     full = letter > 0
     keep = full.copy()

@@ -10,7 +10,7 @@ import pytest
 
 from passagekit.llm import jaccard
 from passagekit.llm.jaccard import Lists, block_links, jaccard_components, op4_jaccard_join
-from passagekit.llm.substrings import op3_substring_dedup, without_repeats
+from passagekit.llm.substrings import op3_substring_dedup, repeated_windows, without_repeats
 
 from .data import awkward, folder, frame, words
 
@@ -192,3 +192,14 @@ def test_block_links_join_what_is_linked():
     side = np.array([i % 3 == 0 for i in range(40)])
     number, _ = block_links(list(range(40)), sets, copies, side)
     assert number.sum() == sum(copies[i] + copies[j] for i, j in every if side[i] != side[j])
+
+
+def test_clashing_columns_and_longer_windows(spark):
+    rows = repeated()
+    df = frame(spark, rows).selectExpr("*", "1 AS d1", "2 AS kept", "3 AS found")
+    out = without_repeats(df)
+    assert out.columns == df.columns and {(r.d1, r.kept, r.found) for r in out.collect()} == {(1, 2, 3)}
+    for window in (30, 120):
+        want = {i: (n, r) for i, n, r, _ in removed(rows, window)}
+        got = {r.doc_id: (r.n_words, r.n_removed) for r in repeated_windows(frame(spark, rows).select("doc_id", "text"), window).collect()}
+        assert got == want

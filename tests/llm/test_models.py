@@ -3,15 +3,19 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from passagekit.llm.curves import nearest, op9_nearest_neighbours
-from passagekit.llm.html_text import PATH, WORD, Block, features, leaf_blocks, main_text
+from passagekit.llm import pii
+from passagekit.llm.curves import _rank, nearest, op9_nearest_neighbours
+from passagekit.llm.html_text import PATH, WORD, Block, features, label, leaf_blocks, main_text
+from passagekit.llm.html_text import model as page_model
 from passagekit.llm.jpeg import decode, encode, op7_media_columns, pad, unpack
-from passagekit.llm.language import op8_language_id
-from passagekit.llm.pii import all_spans, base_spans, card_ok, decode_windows, find_spans, mask, masked, model, op6_pii, training_lines
+from passagekit.llm.language import DIMENSIONS, held_out, letter_vectors, op8_language_id, predict, train
+from passagekit.llm.pii import all_spans, base_spans, card_ok, find_spans, mask, masked, model, op6_pii, training_lines
 
 from .data import awkward, folder, frame
 
@@ -38,6 +42,45 @@ def test_language_of_awkward_texts(spark, tmp_path):
     assert op8_language_id(spark, folder(spark, tmp_path / "e", [])).count() == 0
 
 
+def plain_profile(text):
+    """The bundle of a text's trigrams, one by one."""
+    words = ["".join(x.lower() if len(x.lower()) == 1 else x for x in w) for w in re.findall(r"[^\W\d_]+", text or "")]
+    line = f" {' '.join(words)} " if words else ""
+    bag = Counter(zip(line, line[1:], line[2:], strict=False))
+    out = np.zeros(DIMENSIONS)
+    for gram, n in bag.items():
+        bound = np.ones(DIMENSIONS)
+        for i, c in enumerate(gram):
+            bound *= np.roll(letter_vectors(np.array([0 if c == " " else ord(c)]))[0], 2 - i)
+        out += n * bound
+    return out / max(np.linalg.norm(out), 1e-12)
+
+
+def test_language_against_a_plain_version(spark, tmp_path):
+    rows = [r for r in awkward() if "日" not in (r[1] or "")]
+    rows += [(500 + i, t, lang, "s", 0) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("Straße über ÄÖÜ", "de"), ("a-b c1d 2 e_f", "en")] * 5)]
+    learn = {i: (t, lang) for i, t, lang, *_ in rows if lang and t is not None and zlib.crc32(str(i).encode()) % 5}
+    repeats = Counter(i for i, *_ in rows)
+    langs = sorted({lang for _, lang in learn.values()})
+    prototypes = np.array([sum(repeats[i] * plain_profile(t) for i, (t, own) in learn.items() if own == lang) for lang in langs])
+    prototypes /= np.linalg.norm(prototypes, axis=1, keepdims=True)
+    for r in op8_language_id(spark, folder(spark, tmp_path / "d", rows)).collect():
+        text = next(t for i, t, *_ in rows if i == r.doc_id)
+        cosine = prototypes @ plain_profile(text)
+        if any(c.isalpha() for c in text or ""):
+            assert r.score == pytest.approx(max(0, cosine.max()), abs=2e-4)
+            assert cosine[langs.index(r.lang_pred)] == pytest.approx(cosine.max(), abs=2e-4)
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0)
+
+
+def test_language_columns_of_the_same_names(spark):
+    df = frame(spark, [(1, "some words", "en", "s", 0)]).selectExpr("*", "'x' AS lang_pred", "5 AS score")
+    langs, prototypes = train(df.where(~held_out(5)))
+    out = predict(df, langs, prototypes)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "lang_pred", "score", "has_letter"] and out.count() == 1
+
+
 def plain_spans(text):
     """The stated patterns, by the re module."""
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
@@ -81,13 +124,31 @@ def test_network_adds_spans_and_leaves_other_numbers(spark):
 def test_network_on_lines_that_it_was_not_trained_on():
     lines = training_lines(400, 99)
     right = wrong = missed = 0
-    for (text, gold), found in zip(lines, decode_windows(model(), [t for t, _ in lines]), strict=True):
-        inner = lambda spans: {s for s in spans if s[1] > 0 and s[2] < len(text)}  # noqa: E731 - ends may be cut
-        got, want = inner(all_spans(text, base_spans(text), found)), inner(gold)
+    for (text, gold), found in zip(lines, pii.decode(model(), [t for t, _ in lines]), strict=True):
+        got, want = set(all_spans(text, base_spans(text), found)), set(gold)
         right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
     assert right >= 0.9 * (right + missed) and right >= 0.9 * (right + wrong)
 
 
+def test_one_path_over_whole_texts(monkeypatch):
+    """The path is that of one Viterbi run over all characters, however the text is cut for it."""
+    p = model()
+    texts = [" ".join(t for t, _ in training_lines(n, 50 + n)) for n in (1, 3, 12)] + ["", "7", "no numbers at all " * 40]
+    scores, at = pii.scores(p, [pii.codes(t) for t in texts])
+    tags = pii.best_path(scores, at, p["M"])
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if b > a:
+            assert (tags[a:b] == pii.viterbi(scores[a:b][None], np.ones((1, b - a), bool), p["M"])[0]).all()
+    whole = pii.decode(p, texts)
+    monkeypatch.setattr(pii, "BLOCK", 300)
+    assert pii.decode(p, texts) == whole and any(whole)
+
+
+def test_network_finds_what_no_pattern_has():
+    texts = ["write to jane at example dot com now", "call (555) 123-4567 today"]
+    assert all(all_spans(t, base_spans(t), f) for t, f in zip(texts, pii.decode(model(), texts), strict=True))
+
+
 def test_masks(spark):
     assert mask("to a@b.co now", [("email", 3, 9)]) == "to [EMAIL] now"
     df = frame(spark, [(1, "to a@b.co now", "en", "s", 0), (2, None, None, None, None)]).selectExpr("*", "lang AS spans")
@@ -164,6 +225,31 @@ def test_neighbours_of_awkward_vectors(spark):
     assert nearest(df.limit(0)).count() == 0
 
 
+def test_tied_neighbours_are_those_of_smallest_id(spark):
+    """More equal inner products than are asked for, in an order that has nothing to do with the ids."""
+    rng = np.random.default_rng(5)
+    tied = np.zeros((200, 12))
+    tied[np.arange(200), rng.integers(1, 12, 200)] = rng.uniform(1, 9, 200).round(3)
+    tied[:, 0] = 1.0
+    place = rng.permutation(200)
+    table = pa.table({"vec": [x.tobytes() for x in [*tied[place], np.eye(12)[0]]], "rep": np.append(place, 999), "place": np.arange(201), "query": np.arange(201) == 200})
+    assert _rank("<f8", 300, 21)(table)["rep"].to_pylist() == list(range(21))
+    rows = [(i, x) for i, x in enumerate(tied.tolist())] + [(1000, np.eye(12)[0].tolist())]
+    got = [r.vec_id for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 1000).where("query_id = 1000").orderBy("rank").collect()]
+    assert got == list(range(20))
+
+
+def test_vectors_of_several_dimensions(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [1.0, 0.0, 3.0]), (None, [1.0, 1.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 1, 0.5)]
+
+
+def test_neighbours_of_a_table_much_larger_than_its_windows(spark):
+    x = unit_vectors(20_000, 32, 3) + 2 * unit_vectors(200, 32, 4)[np.arange(20_000) % 200]
+    assert recall_of(spark, x, 200, curves=8, window=60) >= 0.9
+
+
 def recall_of(spark, x, every, k=20, **how):
     """The share of true neighbours found, by brute force over the rows of x."""
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
@@ -199,12 +285,65 @@ def test_neighbours_of_mixed_lengths(spark):
 def test_blocks_of_open_elements():
     texts = lambda html: [b.text for b in leaf_blocks(html)]
     assert texts("<html><head><title>T</title><meta charset=x><body><article><p>a</p></article>") == ["a"]
-    assert leaf_blocks("<html><head><title>T</title><body><p>a</p>")[0].path == leaf_blocks("<html><head></head><body><p>a</p>")[0].path
+    assert (leaf_blocks("<html><head><title>T</title><body><p>a</p>")[0].path == leaf_blocks("<html><head></head><body><p>a</p>")[0].path).all()
     assert texts("<head><style>b{}</style><title>T</title><p>a</p>") == ["a"]
     assert texts('<p>a <svg class="i" /> b</p><p>c</p><svg><text>no</text></svg><p>d</p>') == ["a b", "c", "d"]
+    assert texts("<template-card><p>a</p></template-card><select-box>b</select-box>") == ["a", "b"]
     assert texts("<p>a</p><noscript><p>b</p>") == ["a", "b"] and texts("<p>a</p><textarea>b") == ["a"]
 
 
 def test_features_see_whole_blocks():
-    x = features([[Block((), "x" * 300 + tail, 0)] for tail in ("", "©", "9" * 300)])
+    x = features([[Block(np.zeros(PATH), "x" * 300 + tail, 0)] for tail in ("", "©", "9" * 300)])
     assert (x[0] != x[1]).any() and x[2][0, PATH + WORD + 5] == 0.5
+
+
+def test_paths_are_whole():
+    """Elements beyond any depth count in a block's path."""
+    deep = "<div>" * 30 + "<p>a</p>"
+    assert (leaf_blocks(f'<div class="comments">{deep}')[0].path != leaf_blocks(f'<div class="story">{deep}')[0].path).any()
+    assert len(leaf_blocks("<div>" * 5000 + "<p>a</p>")) == 1
+
+
+#: Layouts with class names that no training page has: (opening, closing, is article).
+PARTS = [('<nav class="mainlinks">', "</nav>", False), ('<header class="hd">', "</header>", False), ('<aside class="rail">', "</aside>", False), ('<footer class="ft">', "</footer>", False), ('<form action="/s">', "</form>", False), ('<section id="comments-area"><div class="comment">', "</div></section>", False)]
+STORIES = [('<article class="x1">', "</article>"), ("<main>", "</main>"), ('<div class="article-content">', "</div>")]
+
+
+def strange_pages(count, seed=77):
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("abcdefghiklmnoprstu"), int(rng.integers(2, 9)))) for _ in range(300)]
+    say = lambda a, b: " ".join(rng.choice(words, int(rng.integers(a, b))))
+    for _ in range(count):
+        html, labels = "<html><head><title>t</title></head><body>", []
+        order = [PARTS[i] for i in (1, 0)] + [STORIES[int(rng.integers(3))]] + [PARTS[i] for i in rng.permutation([2, 4, 5])] + [PARTS[3]]
+        for part in order:
+            html += part[0]
+            if len(part) == 2:
+                for _ in range(int(rng.integers(2, 9))):
+                    html += f"<p>{say(8, 60).capitalize()} &amp; {say(2, 9)}.</p>"
+                    labels.append(True)
+            else:
+                for _ in range(int(rng.integers(1, 5))):
+                    html += f"<p>{say(3, 20)}.</p>" if "comment" in part[0] else f'<div><a href="#">{say(1, 4)}</a></div>'
+                    labels.append(False)
+            html += part[1]
+        yield html + "</body></html>", labels
+
+
+def test_labels_of_pages_unlike_those_of_training():
+    pages = list(strange_pages(60))
+    blocks = [leaf_blocks(html) for html, _ in pages]
+    right = wrong = missed = 0
+    for page, found, (_, want) in zip(blocks, label(page_model(), blocks), pages, strict=True):
+        assert len(page) == len(want)
+        right, wrong, missed = right + sum(found & want), wrong + sum(found & ~np.array(want)), missed + sum(~found & want)
+    assert right >= 0.95 * (right + wrong) and right >= 0.95 * (right + missed)
+
+
+def test_pages_with_further_columns(spark, tmp_path):
+    from passagekit.llm.html_text import op10_html_extraction
+
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "html AS text", "1 AS n_chars", "url AS path").write.parquet(f"{tmp_path}/pages.parquet")
+    out = op10_html_extraction(spark, str(tmp_path)).collect()
+    assert [r.n_chars for r in out].count(0) == 1 and len({(r.page_id, r.text) for r in out}) == 2 and len(out) == 3

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from passagekit.llm.byte_bpe import op2_byte_bpe
 from passagekit.llm.packing import first_fit_decreasing, op5_packing
 
-from .data import awkward, folder
+from .data import awkward, folder, frame
 
 ODD = ["  two  spaces\n\n\nlines\t\ttabs", "it's we'll I'D 123456 --- …", "ａｂｃ​﻿ é 🇩🇪👩‍👩‍👧", "aaaaaaaa" * 500, "\r\n\r\n \r", "ſ K İ", "\x85\xa0  x"]
 
@@ -83,3 +83,22 @@ def test_first_fit_decreasing_against_a_scan():
             expect[i] = (b, 100 - room[b])
             room[b] -= sizes[i]
         assert [(int(bins[i]), int(at[i])) for i in range(n)] == [expect[i] for i in range(n)]
+
+
+def test_padding(spark, tmp_path):
+    """Groups cost little beside one group for all, and the share of padding is small; one id on all rows spreads too."""
+    import random
+
+    from passagekit.llm.packing import pack_documents
+
+    rng = random.Random(4)
+    texts = [" ".join(["word"] * rng.randrange(1, 3000)) for _ in range(600)]
+    df = frame(spark, [(1, t, "en", "s", 0) for t in texts]).select("doc_id", "text")
+    path = P.path("word_bpe_49k.json")
+    used, total = {}, 0
+    for group in (60, 10**6):
+        rows = pack_documents(df, path, group=group).collect()
+        used[group] = len({r.sequence_id for r in rows})
+        total = sum(r.length for r in rows)
+        assert len({r.sequence_id >> 32 for r in rows if r.length < 2048}) >= (2 if group == 60 else 1)
+    assert used[60] <= 1.03 * used[10**6] and used[10**6] * 2048 <= 1.02 * total
