@@ -23,15 +23,20 @@ def _counted(df: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a letter, whatever was learned of languages: only texts without any letter go."""
+    """Documents whose text has a letter, whatever was learned of languages: only texts without any letter go.
+
+    A null lang is filled with the predicted language; where nothing was learned it stays null.  Repeated rows stay.
+    """
     langs, prototypes = train(docs.where(~held_out(5)))
-    return predict(docs.select(*COLUMNS), langs, prototypes).where("has_letter").select(*COLUMNS)
+    known = predict(docs.select(*COLUMNS), langs, prototypes).where("has_letter")
+    return known.withColumn("lang", F.coalesce("lang", F.when(F.lit(bool(langs)), F.col("lang_pred")))).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar shingle sets the one with the smallest id.
 
-    Rows without an id cannot stand for a group: all stay, but for repeats of the same text.
+    Rows without an id cannot stand for a group: all stay, but for repeats of the same text.  Of repeated rows of one
+    id and text one stays; of rows of one id with several texts, each; texts without words are linked with nothing.
     """
     first = jaccard_components(docs.select(*clean())).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
@@ -39,17 +44,20 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that a document of smaller id has already; texts left empty go."""
+    """Texts without the passages that a document of smaller id has already; texts left empty go.
+
+    Null, empty and short texts have no passages and stay; repeats within a document, or between rows of one id, stay.
+    """
     return _counted(without_repeats(docs.select(*COLUMNS)))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data masked."""
+    """Texts with personal data masked; null texts stay null, repeated rows give repeated results."""
     return _counted(masked(docs.select(*COLUMNS)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences; a null or empty text is one piece of the end id, repeated rows are packed each by itself."""
     import public_tokenizers
 
     return pack_documents(docs.select(*clean()), public_tokenizers.path("word_bpe_49k.json"))
