@@ -6,7 +6,11 @@ turns into a partial limit before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
@@ -14,23 +18,68 @@ from ..functions.text import word_tokens
 RRF = 60
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 50_000
 
 
 # --- index -----------------------------------------------------------------------------------------------------------
 
 
-def postings(chunks: DataFrame, columns: dict[str, Column] | None = None, positions: bool = False) -> DataFrame:
-    """(col, term, chunk_id, tf) of each indexed column's tokens; with ``positions`` also where they stand."""
+@dataclass
+class Index:
+    """postings: (col, term, chunk_id, tf, len), len being the chunk's tokens over all columns; terms: (col, term, df);
+    stats: one row of (n, average): the number of chunks and their average length."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def postings(chunks: DataFrame, columns: dict[str, Column] | None = None, positions: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(col, term, chunk_id, tf, len) of each indexed column's tokens, and the columns to keep; with ``positions`` also
+    where they stand."""
     columns = columns or {"content": word_tokens(F.col("text"))}
     named = F.array(*(F.struct(F.lit(c).alias("col"), tokens.alias("tokens")) for c, tokens in columns.items()))
-    each = chunks.select("chunk_id", F.explode(named).alias("x")).select("chunk_id", "x.col", F.posexplode("x.tokens").alias("pos", "term"))
+    held = chunks.select("chunk_id", *keep, named.alias("named"))
+    size = F.aggregate("named", F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.size(x["tokens"]), F.lit(0)))
+    each = held.select("chunk_id", *keep, size.alias("len"), F.explode("named").alias("x")).select("chunk_id", *keep, "len", "x.col", F.posexplode("x.tokens").alias("pos", "term"))
     tf = [F.count("*").alias("tf")] + ([F.collect_list("pos").alias("positions")] if positions else [])
-    return each.groupBy("col", "term", "chunk_id").agg(*tf)
+    return each.groupBy("col", "term", "chunk_id", *keep, "len").agg(*tf)
 
 
 def doc_lengths(index: DataFrame) -> DataFrame:
     """Tokens of each chunk over all indexed columns."""
-    return index.groupBy("chunk_id").agg(F.sum("tf").alias("len"))
+    return index.select("chunk_id", "len").distinct()
+
+
+def index_over(rows: DataFrame, chunks: DataFrame) -> Index:
+    """The index of written postings: document frequencies and statistics over all chunks, also those without a token."""
+    terms = rows.groupBy("col", "term").agg(F.count("*").alias("df"))
+    stats = chunks.agg(F.count("*").alias("n")).crossJoin(doc_lengths(rows).agg(F.sum("len").alias("total")))
+    return Index(rows, terms, stats.select("n", (F.coalesce("total", F.lit(0)) / F.greatest("n", F.lit(1))).alias("average")))
+
+
+def write_index(chunks: DataFrame, path: str, columns: dict[str, Column] | None = None) -> None:
+    """Store chunks (chunk_id, source_id and what ``columns`` name) as an index.
+
+    Postings lie by ranges of terms, so that a search for some terms reads few row groups.
+    """
+    spark = chunks.sparkSession
+    rows = postings(chunks, columns, keep=("source_id",))
+    rows.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    chunks.select("chunk_id", "source_id").write.mode("overwrite").parquet(f"{path}/chunks")
+    whole = index_over(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/chunks"))
+    whole.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    whole.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")))
+
+
+def without_sources(spark: SparkSession, path: str, gone: DataFrame) -> Index:
+    """A stored index without some sources (source_id): their rows go, and frequencies and statistics are those of the rest."""
+    left = lambda name: spark.read.parquet(f"{path}/{name}").join(gone.select("source_id").distinct(), "source_id", "left_anti")
+    return index_over(left("postings"), left("chunks"))
 
 
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -47,22 +96,24 @@ def phrase_hits(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
     return met.where("met = n").groupBy("query_id", "phrase_no", "chunk_id").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, n_chunks: DataFrame, terms: DataFrame, pool: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score) of chunks that hold a query term.
+def bm25(index: Index, terms: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score) of chunks that hold a query term in its column.
 
-    Statistics are those of the whole index (``n_chunks``: one row with n), even where ``pool`` (chunk_id) scopes the rows.
+    Statistics are those of the whole index, even where ``pool`` (chunk_id) scopes the rows.
     """
-    stats = doc_lengths(index).agg(F.sum("len").alias("total")).crossJoin(n_chunks).select(F.col("n"), (F.col("total") / F.col("n")).alias("average"))
-    wanted = index.join(terms.select("col", "term").distinct(), ["col", "term"], "left_semi")
-    df = wanted.groupBy("col", "term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weighted = terms.join(df, ["col", "term"]).crossJoin(F.broadcast(stats)).select("query_id", "col", "term", (idf * F.col("weight")).alias("idf"), "average")
-    hits = wanted if pool is None else wanted.join(pool, "chunk_id", "left_semi")
-    hits = hits.join(weighted, ["col", "term"]).join(doc_lengths(index), "chunk_id")
+    weighted = terms.join(index.terms, ["col", "term"]).crossJoin(F.broadcast(index.stats)).select("query_id", "col", "term", (idf * F.col("weight")).alias("idf"), "average")
+    rows = index.postings if pool is None else index.postings.join(pool, "chunk_id", "left_semi")
+    hits = rows.select("col", "term", "chunk_id", "tf", "len").join(weighted, ["col", "term"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("average")))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
+def best_chunks(scores: DataFrame, k: int | Column) -> DataFrame:
+    """The k best of each query, ties by chunk_id."""
+    return top_k(scores, k, [F.desc(F.round("score", 9)), F.asc("chunk_id")])
+
+
 def top_k(df: DataFrame, k: int | Column, order: list[Column], by: str = "query_id", rank: str = "rank") -> DataFrame:
     """The first k of each query, ranked from 1."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= k)
@@ -71,18 +122,52 @@ def top_k(df: DataFrame, k: int | Column, order: list[Column], by: str = "query_
 # --- vectors ----------------------------------------------------------------------------------------------------------
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+def _scores(k: int, names: list[str], types: list[pa.DataType]):
+    """A block of vectors and a block of queries: each query's k nearest of the block, ties by rounded distance and id."""
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        return table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if vectors.num_rows and queries.num_rows:
+            x, q = matrix(vectors), matrix(queries)
+            ids, asked = np.array(vectors["chunk_id"].to_pylist(), object), queries["query_id"].to_pylist()
+            square, own = (x * x).sum(axis=1), (q * q).sum(axis=1)
+            near = min(k, len(x))
+            for lo in range(0, len(q), 64):
+                rough = own[lo : lo + 64, None] + square - 2 * q[lo : lo + 64] @ x.T
+                limit = np.partition(rough, near - 1, axis=1)[:, near - 1] + 2e-9 + 1e-12 * x.shape[1] * (own[lo : lo + 64] + square.max())
+                for i, (row, most) in enumerate(zip(rough, limit, strict=True), lo):
+                    some = np.flatnonzero(row <= most)
+                    exact = ((x[some] - q[i]) ** 2).sum(axis=1)
+                    order = sorted(range(len(some)), key=lambda j: (round(exact[j], 9), ids[some[j]]))[:k]
+                    out += [(asked[i], ids[some[j]], float(exact[j])) for j in order]
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return run
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, max_distance: float | None = None) -> DataFrame:
     """The k nearest vectors (chunk_id, vector) of each query (query_id, vector), then those within a distance.
 
-    Exact: each query meets each vector once, and each task keeps k rows a query before the shuffle.  The floor comes
-    after the cut: far neighbours make no room for others.
+    Exact: blocks of queries meet blocks of vectors as matrices, and a block gives k rows a query.  The floor comes after
+    the cut: far neighbours make no room for others.  Null vectors, and vectors of another number of components than a
+    query's, are none of its neighbours.
     """
-    pairs = vectors.crossJoin(queries.select("query_id", F.col("vector").alias("asked")))
-    near = top_k(pairs.select("query_id", "chunk_id", squared_distance(F.col("vector"), F.col("asked")).alias("distance")), k, [F.asc("distance"), F.asc("chunk_id")])
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    blocks, splits = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // VECTOR_BLOCK))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.where("vector IS NOT NULL").select("chunk_id", "vector", F.size("vector").alias("size"), F.pmod(F.xxhash64("chunk_id"), F.lit(splits)).cast("int").alias("split"), numbers(blocks).alias("block"))
+    q = queries.where("vector IS NOT NULL").select("query_id", "vector", F.size("vector").alias("size"), numbers(splits).alias("split"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("chunk_id", vectors.schema["chunk_id"].dataType), StructField("distance", DoubleType())])
+    run = _scores(k, schema.fieldNames(), [to_arrow_type(f.dataType) for f in schema])
+    key = ["split", "block", "size"]
+    found = v.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(run, schema)
+    near = top_k(found, k, [F.asc(F.round("distance", 9)), F.asc("chunk_id")])
     return near if max_distance is None else near.where(F.col("distance") <= max_distance)
 
 
@@ -137,3 +222,17 @@ def coverage(hits: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("chunk_id", F.coalesce(-F.col("score"), F.col("distance")).alias("best")), "rank")
     out = hits.groupBy("query_id", "source_id").agg(F.count("*").alias("n_chunks"), first.alias("f"))
     return out.select("query_id", "source_id", "n_chunks", F.col("f.chunk_id").alias("first_chunk_id"), F.col("f.best").alias("best_score"))
+
+
+def retrieve(queries: DataFrame, terms: DataFrame, index: Index, vectors: DataFrame, chunks: DataFrame, scope: DataFrame, keep, k: int = 8) -> DataFrame:
+    """The first k chunks of each question (query_id, text, vector) among a scope of sources (source_id).
+
+    Each arm gives as many candidates as the scope's size asks for; the arms are fused where both found something; what
+    they found is reranked.  ``keep`` writes a small frame under a name and reads it again, so that it is made once.
+    """
+    pool = chunks.join(scope, "source_id", "left_semi").select("chunk_id")
+    size = scope.agg(pool_size(F.count("*"), k).alias("size")).first()["size"]
+    text_arm = keep(best_chunks(bm25(index, terms, pool), size), "text-arm")
+    vector_arm = keep(nearest(queries, vectors.join(pool, "chunk_id", "left_semi"), size), "vector-arm")
+    found = keep(hybrid(vector_arm, text_arm).where(F.col("rank") <= size), "candidates")
+    return lexical_rerank(found, queries, chunks.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi")).where(F.col("rank") <= k)

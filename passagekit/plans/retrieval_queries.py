@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence as E
 from ..operators import retrieval as R
 from ..operators import segmentation as S
+from ..sources import stored
 from ..sources import tables as T
 from .registry import query
 
@@ -20,17 +21,19 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, d: str) -> DataFrame:
-    return S.derive_sections(T.segments(spark, d), SECTION_TOKENS)
+    return stored.table(spark, d, f"sections-{SECTION_TOKENS}", ("documents",), lambda: S.derive_sections(T.segments(spark, d), SECTION_TOKENS))
+
+
+def index_path(spark: SparkSession, d: str) -> str:
+    return stored.place(spark, d, "index", ("documents",), lambda path: R.write_index(T.chunks(spark, d), path))
 
 
-def n_chunks(chunks: DataFrame) -> DataFrame:
-    return chunks.agg(F.count("*").alias("n"))
+def index(spark: SparkSession, d: str) -> R.Index:
+    return R.read_index(spark, index_path(spark, d))
 
 
 def text_arm(spark: SparkSession, d: str, k: int = 60) -> DataFrame:
-    chunks = T.chunks(spark, d)
-    scores = R.bm25(R.postings(chunks), n_chunks(chunks), R.query_terms(questions(spark, d)))
-    return R.top_k(scores, k, [F.desc(F.round("score", 9)), F.asc("chunk_id")])
+    return R.best_chunks(R.bm25(index(spark, d), R.query_terms(questions(spark, d))), k)
 
 
 def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -40,15 +43,28 @@ def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.join(first, "source_id").select("chunk_id", "vector")
 
 
-def vector_arm(spark: SparkSession, d: str, k: int = 60) -> DataFrame:
+def question_vectors(spark: SparkSession, d: str) -> DataFrame:
     v = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return R.nearest(questions(spark, d).select("query_id").join(v, "query_id"), chunk_vectors(spark, d), k)
+    return questions(spark, d).join(v, "query_id")
+
+
+def vector_arm(spark: SparkSession, d: str, k: int = 60) -> DataFrame:
+    return R.nearest(question_vectors(spark, d).select("query_id", "vector"), chunk_vectors(spark, d), k)
+
+
+def arms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Both arms, made once: some rows a question, to which fusion refers several times."""
+    return stored.once(vector_arm(spark, d), "vector-arm"), stored.once(text_arm(spark, d), "text-arm")
 
 
 def retrieved(spark: SparkSession, d: str) -> DataFrame:
     """The first eight chunks of each question after fusion, without reranking."""
-    best = R.hybrid(vector_arm(spark, d), text_arm(spark, d)).where(F.col("rank") <= K)
-    return best.join(T.chunks(spark, d).drop("text", "chunk_index"), "chunk_id")
+    best = R.hybrid(*arms(spark, d)).where(F.col("rank") <= K)
+    return stored.once(best.join(T.chunks(spark, d).drop("text", "chunk_index"), "chunk_id"), "retrieved")
+
+
+def list_pool(spark: SparkSession, d: str, list_id: str) -> DataFrame:
+    return T.chunks(spark, d).join(T.sources(spark, d).where(F.col("list_id") == list_id), "source_id", "left_semi").select("chunk_id")
 
 
 # --- segmentation ----------------------------------------------------------------------------------------------------
@@ -61,7 +77,7 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 
 @query("derive_sections", "SELECT source_id, section_seq, seg_start, seg_end, token_count, timestamp_start, timestamp_end FROM section")
 def derive_sections(spark: SparkSession, d: str) -> DataFrame:
-    return sections(spark, d)
+    return S.derive_sections(T.segments(spark, d), SECTION_TOKENS)
 
 
 @query("chunk_segments")
@@ -130,10 +146,8 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 )
 def bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of all chunks, rows of one list."""
-    chunks = T.chunks(spark, d)
-    pool = chunks.join(T.sources(spark, d).where("list_id = 'src1'"), "source_id", "left_semi").select("chunk_id")
-    scores = R.bm25(R.postings(chunks), n_chunks(chunks), R.query_terms(questions(spark, d)), pool)
-    return R.top_k(scores, 10, [F.desc(F.round("score", 9)), F.asc("chunk_id")]).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    scores = R.bm25(index(spark, d), R.query_terms(questions(spark, d)), list_pool(spark, d, "src1"))
+    return R.best_chunks(scores, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("phrase_hits", r"""
@@ -174,7 +188,7 @@ def distance_floor(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rrf_fuse", "SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM fused")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    return R.fuse(vector_arm(spark, d), text_arm(spark, d)).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+    return R.fuse(*arms(spark, d)).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
 @query(
@@ -188,8 +202,8 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
 )
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """A third of the questions has both arms, the others one of them, as when an arm fails."""
-    v, t = vector_arm(spark, d).where("query_id % 3 != 0"), text_arm(spark, d).where("query_id % 3 != 1")
-    return R.hybrid(v, t).select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.round("distance", 6).alias("distance"), "rank")
+    v, t = arms(spark, d)
+    return R.hybrid(v.where("query_id % 3 != 0"), t.where("query_id % 3 != 1")).select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.round("distance", 6).alias("distance"), "rank")
 
 
 @query("retrieve", "SELECT query_id, chunk_id, source_id, rank, score, seg_start, seg_end FROM found")
@@ -206,7 +220,7 @@ def retrieve(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT query_id, chunk_id, rank, len(list_intersect(q, held)) / greatest(len(q), 1) AS share FROM fused JOIN asked USING (query_id) JOIN word USING (chunk_id))""",
 )
 def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
-    out = R.lexical_rerank(R.hybrid(vector_arm(spark, d), text_arm(spark, d)), questions(spark, d), T.chunks(spark, d))
+    out = R.lexical_rerank(R.hybrid(*arms(spark, d)), questions(spark, d), T.chunks(spark, d))
     return out.select("query_id", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), "rank")
 
 

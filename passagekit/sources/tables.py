@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_tokens
+from . import stored
 
 EPOCH = 1_704_067_200
 SENTENCE = r"\n*[^\n.!?]+[.!?]*"
@@ -36,6 +37,11 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of all documents, stored on first use."""
+    return stored.table(spark, sf_dir, "segments", ("documents",), lambda: split_segments(spark, sf_dir))
+
+
+def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
     found = F.filter(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SENTENCE), F.lit(0)), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     parts = d.select("source_id", F.posexplode(found).alias("seq", "part"))
@@ -59,8 +65,12 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, sf_dir: str, size: int = 6) -> DataFrame:
-    """Runs of six segments, the retrieval unit of registered queries."""
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of six segments, the retrieval unit of registered queries, stored on first use."""
+    return stored.table(spark, sf_dir, "chunks", ("documents",), lambda: joined_chunks(spark, sf_dir))
+
+
+def joined_chunks(spark: SparkSession, sf_dir: str, size: int = 6) -> DataFrame:
     s = segments(spark, sf_dir).withColumn("chunk_index", F.floor(F.col("seq") / size).cast("int"))
     return s.groupBy("source_id", "chunk_index").agg(
         F.min("seq").alias("seg_start"),

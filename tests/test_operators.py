@@ -11,7 +11,7 @@ from passagekit.operators import retrieval as R
 def test_bm25_ranks_the_denser_text_first(spark):
     chunks = spark.createDataFrame([(1, "cat dog bird"), (2, "cat cat cat cat cat"), (3, "fish whale shark")], "chunk_id long, text string")
     terms = R.query_terms(spark.createDataFrame([(0, "cat")], "query_id long, text string"))
-    out = R.top_k(R.bm25(R.postings(chunks), chunks.agg(F.count("*").alias("n")), terms), 10, [F.desc("score"), F.asc("chunk_id")]).orderBy("rank").collect()
+    out = R.top_k(R.bm25(R.index_over(R.postings(chunks), chunks), terms), 10, [F.desc("score"), F.asc("chunk_id")]).orderBy("rank").collect()
     assert [r.chunk_id for r in out] == [2, 1]
 
 
@@ -19,7 +19,7 @@ def test_columns_do_not_meet(spark):
     chunks = spark.createDataFrame([(1, "zzz", "bar")], "chunk_id long, text string, spoken string")
     index = R.postings(chunks, {"content": F.split("text", " "), "spoken": F.split("spoken", " ")})
     terms = R.query_terms(spark.createDataFrame([(0, "foo bar")], "query_id long, text string"))
-    assert R.bm25(index, chunks.agg(F.count("*").alias("n")), terms).count() == 0
+    assert R.bm25(R.index_over(index, chunks), terms).count() == 0
 
 
 def test_phrases(spark):
