@@ -1,18 +1,21 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped sorted arrays.
-
-Counting: words get dense numbers by the order of their hashes; bigrams are counted per task, then per shard.  Each
-shard becomes a file of sorted keys and counts in the shared folder; contexts' weights and continuation counts become
-dense arrays.  Scoring: workers map the files and look up a slice of documents at a time by binary search, so a worker
-holds in memory only its slice; the model's pages are the operating system's.
-
-A word is a run of non-space bytes in lower case; every text ends in one end token, which counts as a token.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and scored from memory-mapped sorted arrays.
+
+Counting: words get dense numbers by the order of their hashes; n-grams are counted per task, then per shard.  A trigram
+lies in the shard of its middle word, so that one shard knows all that its trigrams say of their contexts and of the
+bigrams behind them; the trigrams of very frequent middle words are spread by their last word, and the statistics of
+their contexts are added up in shards of their own.  Each shard becomes files of sorted keys and counts in the shared
+folder; what is known of single words becomes dense arrays.  Scoring: workers map the files and look up a slice of
+documents at a time by binary search, so a worker holds in memory only its slice; the model's pages are the operating
+system's.
+
+A word is a run of non-space bytes in lower case; every text ends in one end token, which counts as a token, and begins
+with start symbols, which do not.
 """
 
 from __future__ import annotations
 
 import io
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +34,10 @@ from .textkit import mix, words
 
 FOLDS = 10
 END = np.int64(0x45)  # stands for the hash of the end token
+ORDER = 3
 HOLD = 3_000_000  # distinct n-grams that a counting task holds before it gives them out
+SHARD = 4_000_000  # tokens of a shard, about; words of a vocabulary range, at most about half as many
+WIDTH = np.int64(0xFFFFFFFF)  # a word's number, and the start symbol's, in a packed key
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -50,16 +57,19 @@ def put(folder: str, name: str, array: np.ndarray) -> None:
 
 @lru_cache(maxsize=4096)
 def mapped(folder: str, name: str) -> np.ndarray:
-    """A memory-mapped array.  From a folder that cannot be mapped it is copied to a file that is unlinked at once."""
+    """A memory-mapped array.  From a folder that cannot be mapped it is copied once an executor, to Spark's own folder for
+    files, which goes with the executor."""
     store, path = pafs.FileSystem.from_uri(folder)
     if isinstance(store, pafs.LocalFileSystem):
         return np.load(f"{path}/{name}.npy", mmap_mode="r")
-    with store.open_input_stream(f"{path}/{name}.npy") as source, tempfile.NamedTemporaryFile(delete=False) as copy:
-        while block := source.read(1 << 24):
-            copy.write(block)
-    array = np.load(copy.name, mmap_mode="r")
-    os.unlink(copy.name)
-    return array
+    copy = f"{SparkFiles.getRootDirectory()}/{path.rsplit('/', 1)[-1]}-{name}.npy"
+    if not os.path.exists(copy):
+        part = f"{copy}.{uuid.uuid4().hex}"
+        with store.open_input_stream(f"{path}/{name}.npy") as source, open(part, "wb") as out:
+            while block := source.read(1 << 24):
+                out.write(block)
+        os.replace(part, copy)
+    return np.load(copy, mmap_mode="r")
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -106,6 +116,80 @@ class Tally:
         return out
 
 
+def _grouped(context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of (context, word), equal ones added up."""
+    order = np.lexsort((word, context))
+    context, word = context[order], word[order]
+    at = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))[: len(word)]
+    return context[at], word[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+
+
+class PairTally:
+    """Counts of (context, word), gathered over a task."""
+
+    def __init__(self) -> None:
+        self.rows, self.size = [], 0
+
+    def add(self, context: np.ndarray, word: np.ndarray) -> bool:
+        self.rows.append(_grouped(context, word, np.ones(len(word), np.int64)))
+        self.size += len(self.rows[-1][1])
+        return self.size > HOLD
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = _grouped(*(np.concatenate([r[i] for r in self.rows]) for i in range(3))) if self.rows else (np.zeros(0, np.int64),) * 3
+        self.__init__()
+        return out
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1]))[: len(x)]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2**32, their bytes in four planes."""
+    return _pack(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+
+
+def _unplane(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+_ROWS = "shard int, contexts binary, sizes binary, words binary, counts binary"
+
+
+def _pack_rows(context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    at = _starts(context)
+    return [_deltas(context[at]), _planes(np.diff(np.append(at, len(context)))), _planes(word), _planes(counts)]
+
+
+def _unpack_rows(contexts: bytes, sizes: bytes, words_: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.repeat(_undelta(contexts), _unplane(sizes)), _unplane(words_), _unplane(counts)
+
+
+def _put_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    """Counts as bytes; those of 255 or more stand in a list of their own, by place."""
+    put(folder, name, np.minimum(counts, 255).astype(np.uint8))
+    many = np.flatnonzero(counts >= 255)
+    put(folder, f"{name}-many", np.stack([many, counts[many]]))
+
+
+def _get_counts(folder: str, name: str, at: np.ndarray) -> np.ndarray:
+    out = mapped(folder, name)[at].astype(np.int64)
+    if (full := out == 255).any():
+        many = mapped(folder, f"{name}-many")
+        out[full] = many[1][np.searchsorted(many[0], at[full])]
+    return out
+
+
+def _put_contexts(folder: str, name: str, keys: np.ndarray, stats: np.ndarray) -> None:
+    """Contexts by key, with the row of each in the table of all statistics that occur; these are few."""
+    table, row = np.unique(stats, axis=1, return_inverse=True)
+    put(folder, f"{name}-keys", keys)
+    put(folder, f"{name}-row", row.ravel().astype(np.uint16 if table.shape[1] < 1 << 16 else np.uint32))
+    put(folder, f"{name}-table", table)
+
+
 # --- the model ---------------------------------------------------------------------------------------------------
 
 
@@ -143,22 +227,27 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(w.hash.view(np.int64), w.first[1:], END), w.first + np.arange(len(w.first))
 
 
-def _previous(number: np.ndarray, at: np.ndarray, start: int) -> np.ndarray:
-    """The number of the token before each; the first of a row follows the start symbol."""
-    out = np.empty_like(number)
-    out[1:] = number[:-1]
-    out[at[:-1]] = start
+def _before(number: np.ndarray, at: np.ndarray, start: int, by: int) -> np.ndarray:
+    """The number of the token ``by`` places before each; the start symbol's before a row's first."""
+    out = np.full_like(number, start)
+    out[by:] = number[:-by]
+    for i in range(by):
+        early = at[:-1] + i
+        out[early[early < at[1:]]] = start
     return out
 
 
-def _shard(key: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    """Bigrams lie with their first word, but those of frequent first words are spread."""
-    v, w = key >> 32, key & 0xFFFFFFFF
-    place = mix(v.view(np.uint64))
-    place += np.where(np.isin(v, hot), mix(w.view(np.uint64)), np.uint64(0))
+def _shard(v: np.ndarray, w: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+    """N-grams lie with the word before their last, but those of frequent ones are spread by the last."""
+    place = mix(v.astype(np.uint64))
+    place += np.where(np.isin(v, hot), mix(w.astype(np.uint64)), np.uint64(0))
     return (place % np.uint64(shards)).astype(np.int64)
 
 
+def _hot_shard(context: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(context.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tally = Tally()
 
@@ -195,64 +284,113 @@ def _write_words(folder: str, hot_count: float):
     return run
 
 
-def _count_bigrams(vocabulary: Vocabulary, hot: np.ndarray, shards: int):
+def _count_ngrams(vocabulary: Vocabulary, hot: np.ndarray, shards: int, order: int):
+    """Texts -> counts of n-grams by shard.  A context is (word before, and for trigrams the one before that)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tally = PairTally()
 
         def give() -> Iterator[pa.RecordBatch]:
-            keys, counts = tally.take()
-            shard = _shard(keys, hot, shards)
-            order = np.argsort(shard, kind="stable")
-            keys, counts, shard = keys[order], counts[order], shard[order]
+            context, word, counts = tally.take()
+            shard = _shard(context >> 32, word, hot, shards)
+            place = np.argsort(shard, kind="stable")
+            context, word, counts, shard = context[place], word[place], counts[place], shard[place]
             edge = np.searchsorted(shard, np.arange(shards + 1))
             for s in np.unique(shard).tolist():
-                a, b = edge[s], edge[s + 1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s], pa.int32()), pa.array([_deltas(keys[a:b])], pa.binary()), pa.array([_pack(counts[a:b].astype(np.uint32))], pa.binary())], ["shard", "keys", "counts"]
-                )
+                own = slice(edge[s], edge[s + 1])
+                packed = _pack_rows(context[own], word[own], counts[own])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["shard", "contexts", "sizes", "words", "counts"])
 
         for batch in batches:
             for part in slices(batch):
                 hashes, at = tokens(part.column(0))
                 number, _ = vocabulary.find(hashes)
-                if tally.add(_previous(number, at, len(vocabulary)) << 32 | number):
+                context = _before(number, at, len(vocabulary), 1) << 32
+                if order > 2:
+                    context |= _before(number, at, len(vocabulary), 2)
+                if tally.add(context, number):
                     yield from give()
         yield from give()
 
     return run
 
 
-def _write_bigrams(folder: str, vocabulary_base: np.ndarray):
-    """A shard's counts -> its files; gives counts of counts, and what it knows of first and second words, by range."""
+def _context_stats(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of runs of counts: their sums, and how many are 1, 2 and more."""
+    if not len(at):
+        return np.zeros((4, 0), np.int64)
+    return np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (counts, counts == 1, counts == 2, counts > 2)])
+
+
+def _counts_of_counts(counts: np.ndarray) -> list[int]:
+    return [int((counts == i).sum()) for i in (1, 2, 3, 4)] + [len(counts)]
+
+
+def _write_ngrams(folder: str, vocabulary_base: np.ndarray, hot: np.ndarray, shards: int, order: int):
+    """A shard's counts -> its files; gives counts of counts, what it knows of contexts of spread words, and what it knows
+    of single words as first and second ones, by range."""
+    names = ["kind", "range", "number", "values"]
+
+    def row(kind: str, place: int, number: bytes, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([place], pa.int32()), pa.array([number], pa.binary()), pa.array([_pack(values)], pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_shard: dict[int, list] = {}
         for batch in batches:
-            for s, k, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                by_shard.setdefault(s, []).append((_undelta(k), _unpack(c, np.uint32).astype(np.int64)))
-        names = ["kind", "range", "number", "values"]
-        for s, rows in sorted(by_shard.items()):
-            keys, counts = _summed(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]))
-            put(folder, f"pairs-{s}", keys)
-            put(folder, f"times-{s}", np.minimum(counts, 255).astype(np.uint8))
-            many = counts >= 255
-            put(folder, f"many-{s}", np.stack([keys[many], counts[many]]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["totals"]), pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([_pack(np.array([(counts == i).sum() for i in (1, 2, 3, 4)] + [len(keys)], np.int64))], pa.binary())], names
-            )
-            v = keys >> 32
-            at = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
-            stats = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (counts, counts == 1, counts == 2, counts > 2)]) if len(at) else np.zeros((4, 0), np.int64)
-            w, followed = np.unique(keys & 0xFFFFFFFF, return_counts=True)
-            for kind, number, values in (("context", v[at], stats), ("word", w, followed[None])):
+            for s, *packed in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                by_shard.setdefault(s, []).append(_unpack_rows(*packed))
+        for s in sorted(by_shard):
+            rows = by_shard.pop(s)
+            context, word, counts = _grouped(*(np.concatenate([r[i] for r in rows]) for i in range(3)))
+            del rows
+            first = counts
+            if order > 2:
+                at = _starts(context)
+                nth = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(context))))
+                put(folder, f"trigrams-{s}", nth << 32 | word)
+                _put_counts(folder, f"trigram-counts-{s}", counts)
+                keys, stats = context[at], _context_stats(counts, at)
+                _put_contexts(folder, f"contexts-{s}", keys, stats)
+                spread = np.isin(keys >> 32, hot)
+                keys, stats = keys[spread], stats[:, spread]
+                place = _hot_shard(keys, shards)
+                for i in np.unique(place).tolist():
+                    yield row("spread", i, _deltas(keys[place == i]), stats[:, place == i])
+                first = np.ones(len(counts), np.int64)  # below the highest order a count is of the words before
+            top = _counts_of_counts(counts)
+            pairs, times = _summed(context >> 32 << 32 | word, first)
+            put(folder, f"pairs-{s}", pairs)
+            _put_counts(folder, f"times-{s}", times)
+            yield row("totals", s, b"", np.array([top, _counts_of_counts(times)], np.int64))
+            v = pairs >> 32
+            at = _starts(v)
+            w, followed = np.unique(pairs & WIDTH, return_counts=True)
+            for kind, number, values in (("context", v[at], _context_stats(times, at)), ("word", w, followed[None])):
                 edge = np.searchsorted(number, vocabulary_base)
                 edge[-1] = len(number)  # the start symbol has the number behind the last word
                 for i in range(len(edge) - 1):
                     if edge[i + 1] > edge[i]:
                         own = slice(edge[i], edge[i + 1])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([kind]), pa.array([i], pa.int32()), pa.array([_deltas(number[own])], pa.binary()), pa.array([_pack(values[:, own].astype(np.uint32 if kind == "word" else np.int64))], pa.binary())], names
-                        )
+                        yield row(kind, i, _deltas(number[own]), values[:, own].astype(np.uint32 if kind == "word" else np.int64))
+
+    return run
+
+
+def _write_spread(folder: str):
+    """What shards know of contexts of spread words -> files of these contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for i, number, values in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                held.setdefault(i, []).append((_undelta(number), _unpack(values, np.int64).reshape(4, -1)))
+        for i, rows in held.items():
+            keys, back = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+            stats = np.zeros((4, len(keys)), np.int64)
+            for k, values in enumerate(np.concatenate([r[1] for r in rows], axis=1)):
+                np.add.at(stats[k], back, values)
+            _put_contexts(folder, f"spread-{i}", keys, stats)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32())], ["range"])
 
     return run
 
@@ -295,8 +433,7 @@ class Model:
 
     def __init__(self, vocabulary: Vocabulary, hot: np.ndarray, shards: int, ranges: set[int], stats: dict):
         self.vocabulary, self.hot, self.shards, self.ranges = vocabulary, hot, shards, ranges
-        self.tokens, self.pairs, self.filled = stats["tokens"], stats["pairs"], stats["filled"]
-        self.d2, self.d1, self.spare = stats["d2"], stats["d1"], stats["spare"]
+        self.__dict__.update(stats)  # order, tokens, pairs, filled, spread, d1, d2, d3, spare
 
     def _dense(self, name: str, number: np.ndarray) -> np.ndarray:
         """The value of each word number in a dense array; 0 for the unknown."""
@@ -308,89 +445,141 @@ class Model:
                 out[own] = mapped(self.vocabulary.folder, f"{name}-{i}")[number[own] - self.vocabulary.base[i]]
         return out
 
-    def _times(self, key: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(key), np.int64)
-        shard = _shard(key, self.hot, self.shards)
-        order = np.lexsort((key, shard))
+    def _by_shard(self, shard: np.ndarray, there: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """The rows of each shard that has files."""
+        order = np.argsort(shard, kind="stable")
         edge = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        folder = self.vocabulary.folder
         for s in np.unique(shard).tolist():
-            if s not in self.filled:
-                continue
-            own = order[edge[s] : edge[s + 1]]
+            if s in there:
+                yield s, order[edge[s] : edge[s + 1]]
+
+    def _pair_counts(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        out, folder, key = np.zeros(len(v), np.int64), self.vocabulary.folder, v << 32 | w
+        for s, own in self._by_shard(_shard(v, w, self.hot, self.shards), self.filled):
             keys = mapped(folder, f"pairs-{s}")
             at = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
-            count = np.where(keys[at] == key[own], mapped(folder, f"times-{s}")[at], 0).astype(np.int64)
-            if (full := count == 255).any():
-                many = mapped(folder, f"many-{s}")
-                count[full] = many[1][np.searchsorted(many[0], key[own][full])]
-            out[own] = count
+            hit = keys[at] == key[own]
+            out[own[hit]] = _get_counts(folder, f"times-{s}", at[hit])
         return out
 
-    def score(self, column: pa.Array) -> tuple[np.ndarray, ...]:
-        """Each row's tokens, known tokens, base score and log10 probability."""
+    def _stats(self, name: str, at: np.ndarray) -> np.ndarray:
+        """Totals and weights of contexts at places of a file."""
+        folder = self.vocabulary.folder
+        table = mapped(folder, f"{name}-table")
+        both = np.stack([table[0], (self.d3[:, None] * table[1:]).sum(axis=0) / np.maximum(table[0], 1)])
+        return both[:, mapped(folder, f"{name}-row")[at]]
+
+    def _trigram_counts(self, context: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each trigram was counted, and its context's total and weight."""
+        count, stats, folder = np.zeros(len(w), np.int64), np.zeros((2, len(w))), self.vocabulary.folder
+        v = context >> 32
+        spread = np.isin(v, self.hot)
+        for s, own in self._by_shard(_shard(v, w, self.hot, self.shards), self.filled):
+            keys = mapped(folder, f"contexts-{s}-keys")
+            at = np.minimum(np.searchsorted(keys, context[own]), len(keys) - 1)
+            own, at = own[keys[at] == context[own]], at[keys[at] == context[own]]
+            local = ~spread[own]
+            stats[:, own[local]] = self._stats(f"contexts-{s}", at[local])
+            grams = mapped(folder, f"trigrams-{s}")
+            key = at << 32 | w[own] & WIDTH
+            place = np.minimum(np.searchsorted(grams, key), len(grams) - 1)
+            hit = grams[place] == key
+            count[own[hit]] = _get_counts(folder, f"trigram-counts-{s}", place[hit])
+        far = np.flatnonzero(spread)
+        for s, own in self._by_shard(_hot_shard(context[far], self.shards), self.spread):
+            keys, own = mapped(folder, f"spread-{s}-keys"), far[own]
+            at = np.minimum(np.searchsorted(keys, context[own]), len(keys) - 1)
+            hit = keys[at] == context[own]
+            stats[:, own[hit]] = self._stats(f"spread-{s}", at[hit])
+        return count, stats
+
+    def token_scores(self, column: pa.Array) -> tuple[np.ndarray, ...]:
+        """Offsets of the rows' tokens, and each token's training count, base score and probability."""
         hashes, at = tokens(column)
         number, count = self.vocabulary.find(hashes)
         size = len(self.vocabulary)
         base = np.log10((count + 0.1) / (self.tokens + 0.1 * (size + 1)))
-        before = self._dense("before", number)
-        cut = np.where(before > 0, self.d1[np.clip(before, 1, 3).astype(int) - 1], 0)
-        word = (before - cut) / max(1, self.pairs) + self.spare / (size + 1)
-        previous = _previous(number, at, size)
-        total, weight = self._dense("total", previous), self._dense("weight", previous)
-        both = (previous >= 0) & (number >= 0)
+        # words, then words after one, then after two: each order falls back on the one below
+        seen = self._dense("before", number)
+        p = (seen - _cut(seen, self.d1)) / max(1, self.pairs) + self.spare / (size + 1)
+        v = _before(number, at, size, 1)
+        total, weight = self._dense("total", v), self._dense("weight", v)
+        both = (v >= 0) & (number >= 0)
         times = np.zeros(len(number), np.int64)
         if both.any():
-            key, back = np.unique(previous[both] << 32 | number[both], return_inverse=True)
-            times[both] = self._times(key)[back]
-        cut = np.where(times > 0, self.d2[np.clip(times, 1, 3) - 1], 0)
-        p = np.where(total > 0, (times - cut) / np.maximum(total, 1) + weight * word, word)
+            pair, back = np.unique(v[both] << 32 | number[both], return_inverse=True)
+            times[both] = self._pair_counts(pair >> 32, pair & WIDTH)[back]
+        p = np.where(total > 0, (times - _cut(times, self.d2)) / np.maximum(total, 1) + weight * p, p)
+        if self.order > 2:
+            u = _before(number, at, size, 2)
+            own = np.flatnonzero((u >= 0) & (v >= 0))
+            if len(own):
+                context, word = v[own] << 32 | u[own], number[own]
+                order = np.lexsort((word, context))
+                context, word, own = context[order], word[order], own[order]
+                new = np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))
+                times, (total, weight) = self._trigram_counts(context[new], word[new])
+                nth = np.cumsum(new) - 1
+                times, total, weight = times[nth], total[nth], weight[nth]
+                p[own] = np.where(total > 0, (times - _cut(times, self.d3)) / np.maximum(total, 1) + weight * p[own], p[own])
+        return at, count, base, p
+
+    def score(self, column: pa.Array) -> tuple[np.ndarray, ...]:
+        """Each row's tokens, known tokens, base score and log10 probability."""
+        at, count, base, p = self.token_scores(column)
         rows = np.arange(len(at) - 1)
         row = np.repeat(rows, np.diff(at))
         return np.diff(at), np.bincount(row, count > 0, len(rows)).astype(np.int64), np.bincount(row, base, len(rows)), np.bincount(row, np.log10(p), len(rows))
 
 
-def train(df: DataFrame) -> Model:
-    """Count a model over all (text) rows."""
+def _cut(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The discount of each count."""
+    return np.where(counts > 0, d[np.clip(counts, 1, 3).astype(int) - 1], 0)
+
+
+def train(df: DataFrame, order: int = ORDER) -> Model:
+    """Count a model of order 2 or 3 over all (text) rows."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = df.sparkSession
-    scratch, shards = Scratch(spark, "kneser-ney"), partitions(spark)
+    scratch = Scratch(spark, "kneser-ney")
     folder = scratch.path
     counted = scratch.table(df.select("text").mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
-    n_tokens = counted.agg(F.sum("c")).first()[0] or 0
-    ranged = counted.repartitionByRange(max(1, shards // 4), "h").sortWithinPartitions("h")
+    n_tokens, n_words = (x or 0 for x in counted.agg(F.sum("c"), F.count("*")).first())
+    if n_words >= 1 << 31:
+        raise ValueError("more distinct words than half of a packed key can tell apart")
+    shards = max(partitions(spark), -(-n_tokens // SHARD))  # what a task holds does not grow with the input
+    ranged = counted.repartitionByRange(max(1, partitions(spark) // 4, -(-n_words * 2 // SHARD)), "h").sortWithinPartitions("h")
     ranges = ranged.mapInArrow(_write_words(folder, max(1000, n_tokens / (4 * shards))), "part int, first long, rows long, hot array<long>").collect()
     vocabulary = Vocabulary(folder, [(r["part"], r["first"], r["rows"]) for r in ranges])
     start = {s[0]: int(vocabulary.base[i]) for i, s in enumerate(vocabulary.shards)}
     hot = np.array(sorted([len(vocabulary), *(start[r["part"]] + i for r in ranges for i in r["hot"])]), np.int64)
-    parts = df.select("text").mapInArrow(_count_bigrams(vocabulary, hot, shards), "shard int, keys binary, counts binary")
-    stats = parts.repartition(shards, "shard").mapInArrow(_write_bigrams(folder, vocabulary.base), "kind string, range int, number binary, values binary")
+    parts = df.select("text").mapInArrow(_count_ngrams(vocabulary, hot, shards, order), _ROWS)
+    stats = parts.repartition(shards, "shard").mapInArrow(_write_ngrams(folder, vocabulary.base, hot, shards, order), "kind string, range int, number binary, values binary")
     stats = scratch.table(stats, "statistics")
-    totals = np.zeros(5, np.int64)
-    for r in stats.where("kind = 'totals'").select("values").collect():  # five numbers a shard
-        totals += _unpack(bytes(r["values"]), np.int64)
-    d2 = discounts(totals)
+    totals, filled = np.zeros((2, 5), np.int64), set()
+    for r in stats.where("kind = 'totals'").select("range", "values").collect():  # ten numbers a shard
+        totals += _unpack(bytes(r["values"]), np.int64).reshape(2, 5)
+        filled.add(r["range"])
+    d3, d2 = discounts(totals[0]), discounts(totals[1])
     sizes = [s[2] for s in vocabulary.shards]
-    dense = stats.where("kind != 'totals'").repartition(max(1, len(sizes)), "range").mapInArrow(_write_dense(folder, sizes, d2), "range int, n array<long>")
+    dense = stats.where("kind IN ('context', 'word')").repartition(max(1, len(sizes)), "range").mapInArrow(_write_dense(folder, sizes, d2), "range int, n array<long>")
     done = dense.collect()  # seven numbers a range
+    spread = stats.where("kind = 'spread'").repartition(shards, "range").mapInArrow(_write_spread(folder), "range int").collect()  # a number a shard
     n = np.sum([r["n"] for r in done], axis=0) if done else np.zeros(7, np.int64)
     d1 = discounts(n)
-    pairs = int(totals[4])
+    pairs = int(totals[1][4])
     spare = float((d1 * n[4:]).sum() / pairs) if pairs else 1.0
-    filled = {r[0] for r in _filled(scratch, spark, shards)}
-    return Model(vocabulary, hot, shards, {r["range"] for r in done}, {"tokens": int(n_tokens), "pairs": pairs, "filled": filled, "d1": d1, "d2": d2, "spare": spare})
-
-
-def _filled(scratch: Scratch, spark: SparkSession, shards: int) -> list[tuple[int]]:
-    """The shards that have a file."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return [(s,) for s in range(shards) if scratch._files.exists(path(f"{scratch.path}/pairs-{s}.npy"))]
+    known = {"order": order, "tokens": int(n_tokens), "pairs": pairs, "filled": filled, "spread": {r["range"] for r in spread}, "d1": d1, "d2": d2, "d3": d3, "spare": spare}
+    return Model(vocabulary, hot, shards, {r["range"] for r in done}, known)
 
 
 def score_documents(df: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, text) -> the contract's columns.
 
     A null or empty text is its end token alone.  Unknown words get the share that discounting leaves to them; without
-    any training text every token is unknown.  Repeated rows score alike; texts of any length are scored whole.
+    any training text every token is unknown.  Repeated rows score alike, null ids stay null; texts of any length are
+    scored whole; an empty table gives an empty result.
     """
     shipped = df.sparkSession.sparkContext.broadcast(model)  # shard bounds and discounts: a few numbers a shard
 
@@ -425,21 +614,26 @@ CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transfo
 
 OP1_SQL = rf"""
 WITH doc AS (SELECT doc_id, {CRC32_SQL} % 10 = 0 AS held_out,
-               list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), chr(10)) AS ws FROM documents),
-tok AS (SELECT doc_id, held_out, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), chr(9)) AS v, w
-        FROM (SELECT doc_id, held_out, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM doc)),
+               list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) AS ws FROM documents),
+tok AS (SELECT doc_id, held_out, coalesce(lag(w, 2) OVER o, chr(9)) AS u, coalesce(lag(w) OVER o, chr(9)) AS v, w
+        FROM (SELECT doc_id, held_out, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM doc) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 uni AS (SELECT w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY w),
-pair AS (SELECT v, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY v, w),
+triple AS (SELECT u, v, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY u, v, w),
+pair AS (SELECT v, w, count(*) AS c FROM triple GROUP BY v, w),
 before AS (SELECT w, count(*) AS c FROM pair GROUP BY w),
-d1 AS ({_discount_sql("before")}), d2 AS ({_discount_sql("pair")}),
+d1 AS ({_discount_sql("before")}), d2 AS ({_discount_sql("pair")}), d3 AS ({_discount_sql("triple")}),
 size AS (SELECT (SELECT sum(c) FROM uni)::DOUBLE AS n, (SELECT count(*) FROM uni) AS size, (SELECT count(*) FROM pair)::DOUBLE AS pairs),
 low AS (SELECT w, (c - d[least(c, 3)]) / pairs AS p FROM before, d1, size),
 spare AS (SELECT sum(d[least(c, 3)]) / any_value(pairs) / (any_value(size) + 1) AS p FROM before, d1, size),
-context AS (SELECT v, sum(c)::DOUBLE AS total, sum(d[least(c, 3)]) / sum(c) AS weight FROM pair, d2 GROUP BY v),
-high AS (SELECT v, w, c - d[least(c, 3)] AS c FROM pair, d2)
-SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(uni.c) AS n_known, any_value(n)::BIGINT AS train_tokens,
-       sum(log10((coalesce(uni.c, 0) + 0.1) / (n + 0.1 * (size + 1)))) AS base_score,
-       sum(log10(CASE WHEN total IS NULL THEN coalesce(low.p, 0) + spare.p ELSE coalesce(high.c, 0) / total + weight * (coalesce(low.p, 0) + spare.p) END)) AS score
-FROM tok LEFT JOIN uni USING (w) LEFT JOIN low USING (w) LEFT JOIN context USING (v) LEFT JOIN high USING (v, w), spare, size
-GROUP BY doc_id
+one AS (SELECT v, sum(c)::DOUBLE AS total, sum(d[least(c, 3)]) / sum(c) AS weight FROM pair, d2 GROUP BY v),
+two AS (SELECT u, v, sum(c)::DOUBLE AS total2, sum(d[least(c, 3)]) / sum(c) AS weight2 FROM triple, d3 GROUP BY u, v),
+mid AS (SELECT v, w, c - d[least(c, 3)] AS c FROM pair, d2),
+high AS (SELECT u, v, w, c - d[least(c, 3)] AS c FROM triple, d3),
+each AS (SELECT doc_id, held_out, uni.c AS known, n, size, high.c AS c3, total2, weight2,
+           CASE WHEN total IS NULL THEN coalesce(low.p, 0) + spare.p ELSE coalesce(mid.c, 0) / total + weight * (coalesce(low.p, 0) + spare.p) END AS p2
+         FROM tok LEFT JOIN uni USING (w) LEFT JOIN low USING (w) LEFT JOIN one USING (v) LEFT JOIN mid USING (v, w) LEFT JOIN two USING (u, v) LEFT JOIN high USING (u, v, w), spare, size)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(known) AS n_known, any_value(n)::BIGINT AS train_tokens,
+       sum(log10((coalesce(known, 0) + 0.1) / (n + 0.1 * (size + 1)))) AS base_score,
+       sum(log10(CASE WHEN total2 IS NULL THEN p2 ELSE coalesce(c3, 0) / total2 + weight2 * p2 END)) AS score
+FROM each GROUP BY doc_id
 """

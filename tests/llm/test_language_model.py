@@ -1,109 +1,94 @@
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
-from passagekit.llm.language_model import discounts, op1_kneser_ney
+from passagekit.llm import language_model
+from passagekit.llm.language import held_out
+from passagekit.llm.language_model import OP1_SQL, discounts, op1_kneser_ney, score_documents, train
 
-from .data import awkward, folder
+from .data import awkward, folder, frame
 
 
-def tokens(text):
-    return [w.translate({i: i + 32 for i in range(65, 91)}) for w in (text or "").encode().decode("latin-1").split()]
-
-
-def reference(rows):
-    """The same model with dictionaries."""
+def reference(rows, order):
+    """The same model with dictionaries, order by order from the words up."""
     table = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-    seq = [(i, [*(t or "").encode().translate(table).split(), "</s>"]) for i, t, *_ in rows]
+    seq = [(i, [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(table)), "</s>"]) for i, t, *_ in rows]
     train = [s for i, s in seq if zlib.crc32(str(i).encode()) % 10]
-    uni, big = Counter(w for s in train for w in s), Counter((a, b) for s in train for a, b in zip(["<s>", *s], s, strict=False))
+    grams = lambda s: list(zip(*([*["<s>"] * (order - 1), *s][i:] for i in range(order)), strict=False))
+    uni = Counter(w for s in train for w in s)
+    levels = [Counter(g for s in train for g in grams(s))]
+    while len(next(iter(levels[0]))) > 1:
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
     n, v = sum(uni.values()), len(uni)
-    before = Counter(b for _, b in big)
-    ctx = defaultdict(lambda: [0, 0, 0, 0])
-    for (a, _), c in big.items():
-        ctx[a][0] += c
-        ctx[a][min(c, 3)] += 1
-    coc = lambda x: [sum(1 for c in x.values() if c == k) for k in (1, 2, 3, 4)]
-    d2, d1 = discounts(coc(big)), discounts(coc(before))
-    spare = sum(d1[min(c, 3) - 1] for c in before.values()) / len(big)
+    cuts = [discounts([sum(1 for c in x.values() if c == k) for k in (1, 2, 3, 4)]) for x in levels]
+    stats = []
+    for level in levels:
+        ctx = defaultdict(lambda: [0, 0, 0, 0])
+        for g, c in level.items():
+            ctx[g[:-1]][0] += c
+            ctx[g[:-1]][min(c, 3)] += 1
+        stats.append(ctx)
     out = []
     for i, s in seq:
         score = 0
-        for a, b in zip(["<s>", *s], s, strict=False):
-            p = (before[b] - d1[min(before[b], 3) - 1] if b in before else 0) / len(big) + spare / (v + 1)
-            if a in ctx:
-                t, c = ctx[a], big[a, b]
-                p = (c - d2[min(c, 3) - 1] if c else 0) / t[0] + sum(d * x for d, x in zip(d2, t[1:], strict=True)) / t[0] * p
+        for g in grams(s):
+            p = 1 / (v + 1)
+            for m, (level, d, ctx) in enumerate(zip(levels, cuts, stats, strict=True), 1):
+                own = g[-m:]
+                if own[:-1] in ctx:
+                    t, c = ctx[own[:-1]], level[own]
+                    p = (c - d[min(c, 3) - 1] if c else 0) / t[0] + sum(x * y for x, y in zip(d, t[1:], strict=True)) / t[0] * p
             score += math.log10(p)
         out.append((i, len(s), sum(w in uni for w in s), n, sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in s), score))
     return out
 
 
-def test_against_dictionaries(spark, tmp_path):
-    rows = awkward()
-    got = sorted(tuple(r)[:1] + tuple(r)[2:] for r in op1_kneser_ney(spark, folder(spark, tmp_path / "d", rows)).collect())
-    want = sorted(reference(rows))
+ODD = [(600, "vertical\x0btab and\x0cform feed\r\nreturn", "en", "s", 30), (601, "a b a c a b a d " * 80, "en", "s", 0), (602, "hot " * 3000 + "a b", "en", "s", 0)]
+
+
+@pytest.mark.parametrize(("order", "shard", "hold"), [(2, None, None), (3, None, None), (3, 500, 300)])
+def test_against_dictionaries(spark, tmp_path, monkeypatch, order, shard, hold):
+    """Also with many shards, tasks that hold little, and words so frequent that their n-grams are spread."""
+    if shard:
+        monkeypatch.setattr(language_model, "SHARD", shard)
+        monkeypatch.setattr(language_model, "HOLD", hold)
+    rows = [*awkward(), *ODD]
+    folder(spark, tmp_path / "d", rows)
+    docs = frame(spark, rows).selectExpr("doc_id", "coalesce(text, '') AS text").select("doc_id", held_out(10).alias("held_out"), "text")
+    model = train(docs.where("not held_out"), order)
+    assert not shard or len(model.hot) > 1
+    got = sorted(tuple(r)[:1] + tuple(r)[2:] for r in score_documents(docs, model).collect())
+    want = sorted(reference(rows, order))
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
         assert g[:4] == w[:4]
         assert g[4:] == pytest.approx(w[4:], abs=1e-6)
+    if order == language_model.ORDER and not shard:
+        query = op1_kneser_ney(spark, str(tmp_path / "d")).collect()
+        assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in query) == got
 
 
-def test_probabilities_sum_to_one(spark, tmp_path):
-    from passagekit.llm.language_model import train
-    import pyarrow as pa
-    from .data import frame
-
-    m = train(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(["a b a c", "b a b", "a b a"])]))
-    # P(next | a) over a, b, c, end and one unknown word: the texts end after "a x"
-    total = 0
-    for w in ("a", "b", "c", None, "zzz"):
-        text = "a" if w is None else f"a {w}"
-        longer, shorter = m.score(pa.array([text]))[3][0], m.score(pa.array([text]))
-        del shorter
-        start = math.log10(_first(m))
-        end = 0 if w is None else math.log10(_end_after(m, w))
-        total += 10 ** (longer - start - end)
-    assert total == pytest.approx(1, abs=1e-6)
-
-
-def _first(m):
-    """P(a | start), from the score of "a" less that of its end, which the table of the model gives."""
-    import numpy as np
-
-    return _p(m, np.int64(len(m.vocabulary)), "a")
-
-
-def _end_after(m, w):
-    number = m.vocabulary.find(_hash(w))[0][0]
-    return _p(m, number, None)
-
-
-def _hash(w):
-    import pyarrow as pa
-
-    from passagekit.llm.language_model import tokens as toks
-
-    return toks(pa.array([w]))[0][:1]
-
+def test_query_equals_sql_on_odd_white_space(spark, tmp_path):
+    from tests.compare import difference
 
-def _p(m, previous, word):
-    import numpy as np
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(["a b a", "a\x0bb\x0cc", "b\r\nc A", None, "", "a b a c", "b a \x85 c"])]
+    assert difference(spark, op1_kneser_ney, OP1_SQL, folder(spark, tmp_path / "d", rows)) == ""
 
-    from passagekit.llm.language_model import END
 
-    h = np.array([END]) if word is None else _hash(word)
-    number = m.vocabulary.find(h)[0]
-    before = m._dense("before", number)
-    base = (before - (m.d1[int(min(before[0], 3)) - 1] if before[0] else 0)) / m.pairs + m.spare / (len(m.vocabulary) + 1)
-    if previous < 0:
-        return base[0]
-    prev = np.array([previous])
-    total, weight = m._dense("total", prev)[0], m._dense("weight", prev)[0]
-    c = m._times(prev << 32 | number)[0] if number[0] >= 0 else 0
-    return ((c - (m.d2[min(c, 3) - 1] if c else 0)) / total + weight * base[0]) if total else base[0]
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one(spark, order):
+    texts = ["a b a c", "b a b", "a b a", "c c a b"]
+    m = train(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), order)
+    for before in ("", "a", "a b", "c c", "b zzz", "zzz a", "a b a"):
+        total = 0
+        for word in ("a", "b", "c", None, "unknown"):
+            at, _, _, p = m.token_scores(pa.array([f"{before} {word or ''}"]))
+            total += p[-1] if word is None else p[-2]
+        assert total == pytest.approx(1, abs=1e-9)
 
 
 def test_no_training_text(spark, tmp_path):
