@@ -229,3 +229,46 @@ def connections(jobs: Column) -> Column:
 
 def over_budget(tokens: Column, answer: int, window: int, spare: int = 2048) -> Column:
     return tokens + answer + spare > window
+
+
+def with_defaults(values: Column, defaults: dict[str, str]) -> Column:
+    """A map of the known keys: trimmed values, or the default where there is none or a blank one."""
+    return F.create_map(*(x for k, v in defaults.items() for x in (F.lit(k), F.coalesce(F.nullif(F.trim(values[k]), F.lit("")), F.lit(v)))))
+
+
+def unmasked(old: Column, new: Column) -> Column:
+    """The trimmed new value, or the old one where the new is null or a mask."""
+    t = F.trim(new)
+    return F.when(t.isNull() | (t == "***") | t.contains("..."), old).otherwise(t)
+
+
+def composite_title(part: Column, base: Column) -> Column:
+    """part - base; the base alone where there is no part or it says the same."""
+    return F.when(F.coalesce(F.nullif(F.trim(part), F.lit("")), base) == base, base).otherwise(F.concat(part, F.lit(" - "), base))
+
+
+def blocks_text(blocks: Column) -> Column:
+    """Text of content blocks (kind, content): a break is a blank line, citations are silent; marks of old tokens go."""
+    said = F.transform(blocks, lambda b: F.when(b["kind"] == "break", "\n\n").when(b["kind"] == "text", b["content"]).otherwise(""))
+    return F.regexp_replace(F.array_join(said, ""), r"\[\[[a-z]+:[0-9]+\]\]", "")
+
+
+def iso_time(seconds_: Column) -> Column:
+    """Seconds of the epoch as UTC, YYYY-MM-DDTHH:MM:SSZ."""
+    return F.date_format(F.timestamp_seconds(seconds_), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def from_iso(text: Column) -> Column:
+    """Seconds of the epoch; null for what is no such time."""
+    return F.unix_seconds(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))
+
+
+def merged_deep(base: Column, patch: Column, depth: int = 3) -> Column:
+    """Two JSON objects as one, objects inside them too down to a depth; the patch wins, and its nulls are values."""
+    kind = "map<string,variant>"
+    a, b = F.from_json(base, kind), F.from_json(patch, kind)
+    if depth == 1:
+        return F.to_json(F.map_zip_with(a, b, lambda k, x, y: F.when(F.map_contains_key(b, k), y).otherwise(x)))
+    inner = lambda x: F.to_json(x)
+    both = lambda x, y: F.schema_of_variant(x).startswith("OBJECT") & F.schema_of_variant(y).startswith("OBJECT")
+    return F.to_json(F.map_zip_with(a, b, lambda k, x, y: F.when(both(x, y), F.parse_json(merged_deep(inner(x), inner(y), depth - 1))).when(F.map_contains_key(b, k), y).otherwise(x)))

@@ -196,3 +196,18 @@ def merge_json(base: Column, patch: Column) -> Column:
     a, b = F.from_json(base, kind), F.from_json(patch, kind)
     left = F.map_filter(F.coalesce(a, F.create_map().cast(kind)), lambda k, _: ~F.coalesce(F.map_contains_key(b, k), F.lit(False)))
     return F.to_json(F.map_concat(left, F.coalesce(b, F.create_map().cast(kind))))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with each row's place in an order over all rows, from 1.
+
+    Rows are dealt by ranges of the order and numbered there; each range adds what stands before it, so no task holds all.
+    """
+    from ..sources.stored import once
+
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    held = once(ranged, "numbered")
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each range
+    before = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    return held.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int")).drop("_part", "_at", "_n", "_first", "_before")
