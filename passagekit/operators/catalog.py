@@ -39,9 +39,13 @@ def jobs_with_meta(jobs: DataFrame, path: str, value: str, active: bool = True)
     return found.where(F.col("status").isin(ACTIVE)) if active else found
 
 
-def activity_order(jobs: DataFrame) -> DataFrame:
+def activity() -> list[Column]:
     """Unfinished jobs first, then the latest."""
-    return jobs.orderBy(F.col("status").isin(TERMINAL).cast("int"), F.desc("updated_at"), "job_id")
+    return [F.col("status").isin(TERMINAL).cast("int").asc(), F.desc("updated_at"), F.asc("job_id")]
+
+
+def activity_order(jobs: DataFrame) -> DataFrame:
+    return jobs.orderBy(*activity())
 
 
 def host_platform(urls: DataFrame, domains: list[tuple[str, str]], url: str = "url") -> DataFrame:

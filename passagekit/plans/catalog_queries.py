@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
@@ -52,12 +52,11 @@ def job_meta_merge(spark: SparkSession, d: str) -> DataFrame:
     return j.select("job_id", F.get_json_object("m", "$.k").cast("int").alias("k"), F.get_json_object("m", "$.stage").alias("stage"))
 
 
-@query("activity_sort", "SELECT job_id, status, row_number() OVER (ORDER BY status IN ('done', 'failed', 'needs_auth'), updated_at DESC, job_id) AS place FROM job ORDER BY place LIMIT 100")
+@query("activity_sort", "SELECT job_id, status, row_number() OVER (ORDER BY status IN ('done', 'failed', 'needs_auth'), updated_at DESC, job_id) AS place FROM job")
 def activity_sort(spark: SparkSession, d: str) -> DataFrame:
-    """The hundred jobs that an activity list shows."""
-    top = C.activity_order(T.jobs(spark, d).select("job_id", "status", "updated_at")).limit(100)
-    w = Window.orderBy(F.col("status").isin(C.TERMINAL).cast("int"), F.desc("updated_at"), "job_id")
-    return top.select("job_id", "status", F.row_number().over(w).alias("place"))
+    """All jobs as an activity list shows them, with their places."""
+    jobs = T.jobs(spark, d).select("job_id", "status", "updated_at")
+    return C.numbered(jobs, C.activity(), "place").select("job_id", "status", "place")
 
 
 @query("job_latest_state", "SELECT entity, arg_max(status, (updated_at, job_id)) AS status, max(updated_at) AS updated_at FROM job GROUP BY entity")

@@ -88,13 +88,13 @@ def bm25_raw_text(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", F.md5(F.coalesce(F.nullif("raw", F.lit("")), "text")).alias("text_md5"))
 
 
-@query("ingest_admission", "SELECT video_id, CASE WHEN video_id IN (SELECT video_id FROM src) THEN 'skipped' ELSE 'queued' END AS decision FROM (SELECT DISTINCT 'v' || c_custkey AS video_id FROM customer)")
+@query("ingest_admission", "SELECT video_id, CASE WHEN video_id IN (SELECT video_id FROM src UNION SELECT video_id FROM job WHERE status IN ('queued', 'downloading', 'transcribing', 'processing', 'needs_auth')) THEN 'skipped' ELSE 'queued' END AS decision FROM (SELECT DISTINCT 'v' || c_custkey AS video_id FROM customer)")
 def ingest_admission(spark: SparkSession, d: str) -> DataFrame:
     """New videos are queued, all others skipped."""
     from ..operators.catalog import video_statuses
 
     ids = T.table(spark, d, "customer").select(F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("video_id")).distinct()
-    status = video_statuses(ids, T.jobs(spark, d).limit(0), T.sources(spark, d))
+    status = video_statuses(ids, T.jobs(spark, d), T.sources(spark, d))
     return status.select("video_id", F.when(F.col("status") == "new", "queued").otherwise("skipped").alias("decision"))
 
 
@@ -121,6 +121,6 @@ def json_documents(spark: SparkSession, d: str) -> DataFrame:
 def committed_tables(spark: SparkSession, d: str) -> DataFrame:
     path = folder(spark, "commit")
     s = T.segments(spark, d).select("source_id", "seq")
-    store.commit({"sources": T.sources(spark, d), "segments": s.limit(0)}, path, "v1")
-    store.commit({"sources": T.sources(spark, d), "segments": s}, path, "v2")
+    store.commit({"sources": T.sources(spark, d), "segments": s.limit(0)}, path, 9)
+    store.commit({"sources": T.sources(spark, d), "segments": s}, path, 10)
     return store.read_committed(spark, path, "segments").groupBy("source_id").agg(F.count("*").alias("n"))

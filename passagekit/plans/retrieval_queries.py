@@ -80,19 +80,46 @@ def derive_sections(spark: SparkSession, d: str) -> DataFrame:
     return S.derive_sections(T.segments(spark, d), SECTION_TOKENS)
 
 
-@query("chunk_segments")
+def _lanes(source: str, section: str, target: str) -> str:
+    """SQL of the segments of each section as lists: what a chunk is cut from."""
+    return f"""lane AS (SELECT source_id, {section} AS section_seq, any_value({target}) AS target, list(tokens ORDER BY seq) AS t, list(start_s ORDER BY seq) AS s, list(end_s ORDER BY seq) AS e, list(seq ORDER BY seq) AS q,
+        list(text ORDER BY seq) AS texts, list(regexp_matches(rtrim(text), '[。！？．…!?]$') ORDER BY seq) AS ends FROM {source} GROUP BY ALL)"""
+
+
+BY_LANGUAGE = _lanes("(SELECT seg.*, language FROM seg JOIN src USING (source_id))", "0", "CASE language WHEN 'zh' THEN 800 ELSE 300 END")
+BY_SECTION = _lanes("(SELECT g.*, x.section_seq FROM seg g JOIN section x ON x.source_id = g.source_id AND g.seq BETWEEN x.seg_start AND x.seg_end)", "section_seq", "120")
+#: The fold over the segments of a section: a row a segment, with up to two chunks that it closes; then all closed chunks.
+CHUNK_FOLD = """fold AS (SELECT source_id, section_seq, 1 AS i, 1 AS b, 0::BIGINT AS held, NULL::INT AS a1, NULL::INT AS z1, NULL::VARCHAR AS w1, NULL::INT AS a2, NULL::INT AS z2, NULL::VARCHAR AS w2 FROM lane
+        UNION ALL SELECT source_id, section_seq, (i + 1)::INT, (CASE WHEN big THEN i + 1 WHEN bd IS NOT NULL THEN bd + 1 WHEN over AND h1 >= target * 0.5 THEN i ELSE b1 END)::INT,
+            (CASE WHEN big THEN 0 WHEN bd = i THEN 0 WHEN bd IS NOT NULL THEN h1 - coalesce(list_sum(t[b1:bd]), 0) + size WHEN over AND h1 >= target * 0.5 THEN size ELSE h1 + size END)::BIGINT,
+            (CASE WHEN p OR big AND i > b THEN b END)::INT, (CASE WHEN p OR big AND i > b THEN i - 1 END)::INT, CASE WHEN p THEN 'pause' WHEN big AND i > b THEN 'oversized' END,
+            (CASE WHEN big THEN i WHEN over AND (bd IS NOT NULL OR h1 >= target * 0.5) THEN b1 END)::INT, (CASE WHEN big THEN i WHEN bd IS NOT NULL THEN bd WHEN over AND h1 >= target * 0.5 THEN i - 1 END)::INT,
+            CASE WHEN big THEN 'oversized_own' WHEN bd IS NOT NULL THEN 'sentence' WHEN over AND h1 >= target * 0.5 THEN 'token' END
+        FROM (SELECT *, CASE WHEN over THEN list_max(list_filter(range(b1, i + 1), lambda j: ends[j] AND list_sum(t[b1:j]) >= target * 0.5)) END AS bd FROM (
+          SELECT *, NOT big AND i > b1 AND h1 + size > target AS over FROM (
+            SELECT *, CASE WHEN p THEN i ELSE b END AS b1, CASE WHEN p THEN 0 ELSE held END AS h1 FROM (
+              SELECT fold.source_id, fold.section_seq, i, b, held, t, ends, target, t[i] AS size, t[i] >= floor(target * 4 / 3) AS big, i > b AND s[i] - e[i - 1] > 1.5 AND held >= target * 0.5 AND t[i] < floor(target * 4 / 3) AS p
+              FROM fold JOIN lane ON lane.source_id = fold.source_id AND lane.section_seq = fold.section_seq WHERE i <= len(t)))))),
+    closed AS (SELECT source_id, section_seq, row_number() OVER (PARTITION BY source_id, section_seq ORDER BY a) - 1 AS local_index, a, z, flush FROM (
+          SELECT source_id, section_seq, a1 AS a, z1 AS z, w1 AS flush FROM fold WHERE a1 IS NOT NULL UNION ALL SELECT source_id, section_seq, a2, z2, w2 FROM fold WHERE a2 IS NOT NULL
+          UNION ALL SELECT source_id, section_seq, b, i - 1, 'end' FROM (SELECT f.*, len(t) AS n FROM fold f JOIN lane USING (source_id, section_seq)) WHERE i = n + 1 AND b <= n))"""
+CHUNKS = "SELECT c.source_id, c.section_seq, local_index, q[a] AS seg_start, q[z] AS seg_end, s[a] AS timestamp_start, e[z] AS timestamp_end, array_to_string(texts[a:z], ' ') AS text, flush FROM closed c JOIN lane USING (source_id, section_seq)"
+
+
+@query("chunk_segments", f"WITH RECURSIVE {BY_LANGUAGE}, {CHUNK_FOLD} {CHUNKS}")
 def chunk_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Whole recordings, by the target of their language."""
     language = T.sources(spark, d).select("source_id", "language")
-    return S.chunk_segments(T.segments(spark, d).join(language, "source_id").withColumn("section_seq", F.lit(0)), target=120)
+    return S.chunk_segments(T.segments(spark, d).join(language, "source_id").withColumn("section_seq", F.lit(0)))
 
 
-@query("chunk_by_sections")
+@query("chunk_by_sections", f"WITH RECURSIVE {BY_SECTION}, {CHUNK_FOLD} SELECT * EXCLUDE (local_index), row_number() OVER (PARTITION BY source_id ORDER BY section_seq, local_index) - 1 AS sequence_index FROM ({CHUNKS})")
 def chunk_by_sections(spark: SparkSession, d: str) -> DataFrame:
     language = T.sources(spark, d).select("source_id", "language")
     return S.chunk_by_sections(T.segments(spark, d).join(language, "source_id"), sections(spark, d), target=120)
 
 
-@query("chunk_flush_counts")
+@query("chunk_flush_counts", f"WITH RECURSIVE {BY_LANGUAGE}, {CHUNK_FOLD} SELECT flush, count(*) AS n FROM closed GROUP BY flush")
 def chunk_flush_counts(spark: SparkSession, d: str) -> DataFrame:
     return chunk_segments(spark, d).groupBy("flush").agg(F.count("*").alias("n"))
 
@@ -117,7 +144,18 @@ def section_tokens(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("source_id", "section_seq").agg(F.sum("tokens").alias("token_count"))
 
 
-@query("punctuation_alignment")
+@query(
+    "punctuation_alignment",
+    r"""
+    WITH ch AS (SELECT source_id, seq, speaker, start_s, end_s, unnest(cs) AS c, unnest(range(1, len(cs) + 1)) AS i FROM (SELECT *, list_filter(string_split(replace(text, ' ', ''), ''), lambda x: x <> '') AS cs FROM seg)),
+    mark AS (SELECT *, regexp_matches(c, '[，。！？、；：．…,.!?;: 　]') AS m, regexp_matches(c, '[。！？．…!?]') AS stop FROM ch),
+    near AS (SELECT *, last_value(CASE WHEN NOT m THEN speaker END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY seq, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS said,
+                    lag(stop) OVER (PARTITION BY source_id ORDER BY seq, i) AS stopped FROM mark),
+    part AS (SELECT *, sum(CASE WHEN coalesce(stopped, false) OR (NOT m AND said <> speaker) THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY seq, i) AS k FROM near)
+    SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY k) - 1 AS seq, text, start_s, end_s, speaker FROM (
+      SELECT source_id, k, string_agg(c, '' ORDER BY seq, i) AS text, arg_min(start_s, (seq, i)) FILTER (WHERE NOT m) AS start_s, arg_max(end_s, (seq, i)) FILTER (WHERE NOT m) AS end_s, arg_min(speaker, (seq, i)) FILTER (WHERE NOT m) AS speaker
+      FROM part GROUP BY source_id, k HAVING bool_or(NOT m))""",
+)
 def punctuation_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Sentences joined without their marks and aligned again with the text that has them."""
     s = T.segments(spark, d).withColumn("text", F.translate("text", " ", ""))
@@ -419,3 +457,128 @@ def registry_reseed(spark: SparkSession, d: str) -> DataFrame:
     rows = placed.join(E.allocate(placed).drop("first_rank"), ["query_id", "source_id", "section_seq"])
     rows = rows.select(F.floor(F.col("query_id") / 4).alias("query_id"), (F.col("query_id") % 4).alias("call"), F.col("rank").alias("ord"), F.concat_ws(":", "source_id", "section_seq").alias("section_id"), "index", "chunk_id")
     return E.reseed(rows).select(F.col("query_id").alias("turn_id"), "section_id", "index", F.size("chunk_ids").alias("n_chunks"))
+
+
+# --- the index as a table, and retrieval as one step ---------------------------------------------------------------------
+
+
+def _cleared(name: str, where: str) -> str:
+    return f"""SELECT term, count(*) AS df, (SELECT count(*) FROM chunk WHERE {where}) AS n FROM posting p WHERE chunk_id IN (SELECT chunk_id FROM chunk WHERE {where}) GROUP BY term"""
+
+
+@query("index_clear_list", _cleared("index_clear_list", "source_id NOT IN (SELECT source_id FROM src WHERE list_id = 'src1')"))
+def index_clear_list(spark: SparkSession, d: str) -> DataFrame:
+    """Frequencies and size of the stored index without the sources of one list."""
+    left = R.without_sources(spark, index_path(spark, d), T.sources(spark, d).where("list_id = 'src1'"))
+    return left.terms.crossJoin(F.broadcast(left.stats)).select("term", "df", "n")
+
+
+@query("index_clear_source", _cleared("index_clear_source", "source_id <> 3"))
+def index_clear_source(spark: SparkSession, d: str) -> DataFrame:
+    left = R.without_sources(spark, index_path(spark, d), T.sources(spark, d).where("source_id = 3"))
+    return left.terms.crossJoin(F.broadcast(left.stats)).select("term", "df", "n")
+
+
+@query("vector_sink", "SELECT source_id, count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) * CASE WHEN list_id = 'src2' THEN 2 ELSE 1 END), 6) AS total FROM embeddings JOIN src ON source_id = vec_id WHERE list_id <> 'src3' AND source_id IN (SELECT source_id FROM chunk WHERE chunk_index = 0) GROUP BY source_id, list_id")
+def vector_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors stored by list: one list is written again, one is cleared, an empty write changes nothing."""
+    from ..sources import store
+    from ..sources.scratch import folder
+
+    path = folder(spark, "vectors") + "/table"
+    v = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("source_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    v = v.join(T.sources(spark, d).select("source_id", "list_id"), "source_id").join(T.chunks(spark, d).where("chunk_index = 0").select("source_id"), "source_id", "left_semi")
+    store.replace_partitions(v, path, "list_id")
+    store.replace_partitions(v.where("list_id = 'src2'").withColumn("vector", F.transform("vector", lambda x: x * 2)), path, "list_id")
+    store.replace_partitions(v.limit(0), path, "list_id")
+    store.clear_partition(spark, path, "list_id", "src3")
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return spark.read.parquet(path).groupBy("source_id").agg(F.count("*").alias("n"), F.round(F.sum(total), 6).alias("total"))
+
+
+SCOPED = "(SELECT source_id FROM src WHERE list_id IN ('src1', 'src2'))"
+
+
+@query(
+    "knn_scoped",
+    f"""SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM (
+          SELECT query_id, c.vec_id || '_0' AS chunk_id, list_sum(list_transform(range(1, len(c.embedding) + 1), lambda i: (c.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) ** 2)) AS distance
+          FROM embeddings c, question JOIN embeddings q ON q.vec_id = query_id WHERE c.vec_id IN (SELECT source_id FROM chunk WHERE chunk_index = 0) AND c.vec_id IN {SCOPED})) WHERE rank <= 12 AND distance <= 2.2""",
+)
+def knn_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours among the sources of two lists, then those within a distance."""
+    pool = list_pool(spark, d, "src1").union(list_pool(spark, d, "src2"))
+    near = R.nearest(question_vectors(spark, d).select("query_id", "vector"), chunk_vectors(spark, d).join(pool, "chunk_id", "left_semi"), 12, 2.2)
+    return near.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+FULL = f"""pooled AS (SELECT least(greatest(count(*) * 3, 8, 10), 60) AS k FROM src WHERE list_id IN ('src1', 'src2')),
+    ta AS (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm25 WHERE chunk_id IN (SELECT chunk_id FROM chunk WHERE source_id IN {SCOPED})), pooled WHERE rank <= k),
+    va AS (SELECT query_id, chunk_id, rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM (
+          SELECT query_id, c.vec_id || '_0' AS chunk_id, list_sum(list_transform(range(1, len(c.embedding) + 1), lambda i: (c.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) ** 2)) AS distance
+          FROM embeddings c, question JOIN embeddings q ON q.vec_id = query_id WHERE c.vec_id IN (SELECT source_id FROM chunk WHERE chunk_index = 0) AND c.vec_id IN {SCOPED})), pooled WHERE rank <= k),
+    both_ AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, arm, first_rank) AS rank FROM (
+          SELECT query_id, chunk_id, sum(1e0 / (60 + rank)) AS score, min(arm) AS arm, arg_min(rank, arm) AS first_rank FROM (SELECT *, 0 AS arm FROM va UNION ALL SELECT *, 1 FROM ta) GROUP BY query_id, chunk_id)),
+    cand AS (SELECT query_id, chunk_id, rank FROM both_, pooled WHERE query_id IN (SELECT query_id FROM ta) AND query_id IN (SELECT query_id FROM va) AND rank <= k
+             UNION ALL SELECT query_id, chunk_id, rank FROM va WHERE query_id NOT IN (SELECT query_id FROM ta) UNION ALL SELECT query_id, chunk_id, rank FROM ta WHERE query_id NOT IN (SELECT query_id FROM va)),
+    held AS (SELECT chunk_id, list_distinct(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{{L}}\\p{{N}}]+')) AS h FROM chunk WHERE chunk_id IN (SELECT chunk_id FROM cand)),
+    asked AS (SELECT query_id, list_distinct(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{{L}}\\p{{N}}]+')) AS q FROM question)"""
+
+
+@query(
+    "retrieve_full",
+    f"""WITH {FULL} SELECT query_id, chunk_id, round(share, 9) AS rerank_score, rank FROM (
+          SELECT query_id, chunk_id, share, row_number() OVER (PARTITION BY query_id ORDER BY share DESC, rank) AS rank FROM (
+            SELECT query_id, chunk_id, rank, len(list_intersect(q, h)) / greatest(len(q), 1) AS share FROM cand JOIN asked USING (query_id) JOIN held USING (chunk_id))) WHERE rank <= 8""",
+)
+def retrieve_full(spark: SparkSession, d: str) -> DataFrame:
+    """Questions over two lists: as many candidates an arm as the scope asks for, fused, reranked, cut to eight."""
+    scope = T.sources(spark, d).where("list_id IN ('src1', 'src2')").select("source_id")
+    q = question_vectors(spark, d)
+    out = R.retrieve(q, R.query_terms(questions(spark, d)), index(spark, d), chunk_vectors(spark, d), T.chunks(spark, d), scope, stored.once, K)
+    return out.select("query_id", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), "rank")
+
+
+#: Ten Han characters, two for each of five syllables.
+HAN_LETTERS, HAN_SYLLABLES = "苹平果国地敌方房中终", "aabbccddee"
+HAN_SQL = f"""han AS (SELECT doc_id, translate(lpad(doc_id::VARCHAR, 6, '0'), '0123456789', '{HAN_LETTERS}') AS t FROM documents),
+    asked AS (SELECT doc_id AS query_id, translate(lpad(doc_id::VARCHAR, 6, '0'), '0123456789', '{HAN_LETTERS[1]}{HAN_LETTERS[0]}{HAN_LETTERS[2:]}')[3:6] AS t FROM documents WHERE doc_id % 50 = 0),
+    pairs AS (SELECT 'content' AS col, doc_id, unnest([t[i:i + 1] FOR i IN range(1, length(t))]) AS term FROM han UNION ALL SELECT 'spoken', doc_id, unnest([s[i:i + 1] FOR i IN range(1, length(s))]) FROM (SELECT doc_id, translate(t, '{HAN_LETTERS}', '{HAN_SYLLABLES}') AS s FROM han)),
+    terms AS (SELECT 'content' AS col, query_id, unnest([t[i:i + 1] FOR i IN range(1, length(t))]) AS term FROM asked UNION ALL SELECT 'spoken', query_id, unnest([s[i:i + 1] FOR i IN range(1, length(s))]) FROM (SELECT query_id, translate(t, '{HAN_LETTERS}', '{HAN_SYLLABLES}') AS s FROM asked))"""
+
+
+def _han(spark: SparkSession, d: str):
+    """Texts of Han characters with their syllables, and questions in which two characters are written as homophones."""
+    from ..functions import cjk as H
+
+    digits = F.lpad(F.col("doc_id").cast("string"), 6, "0")
+    syllables = F.create_map(*(F.lit(x) for pair in zip(HAN_LETTERS, HAN_SYLLABLES, strict=True) for x in pair))
+    doc = T.table(spark, d, "documents")
+    chunks = doc.select(F.col("doc_id").alias("chunk_id"), F.translate(digits, "0123456789", HAN_LETTERS).alias("text"))
+    asked = doc.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.substring(F.translate(digits, "0123456789", HAN_LETTERS[1] + HAN_LETTERS[0] + HAN_LETTERS[2:]), 3, 4).alias("text"))
+    tokens = {"content": H.query_tokens(F.col("text")), "spoken": H.syllable_tokens(F.col("text"), syllables)}
+    index_ = R.index_over(stored.once(R.postings(chunks, tokens), "han"), chunks)
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), t.alias("tokens")) for c, t in tokens.items())))
+    terms = asked.select("query_id", each.alias("x")).select("query_id", "x.col", F.explode("x.tokens").alias("term")).groupBy("query_id", "col", "term").agg(F.count("*").alias("weight"))
+    return index_, terms
+
+
+@query("match_columns", f"WITH {HAN_SQL} SELECT t.query_id, p.doc_id AS chunk_id, count(DISTINCT (p.col, p.term)) AS n FROM terms t JOIN pairs p USING (col, term) GROUP BY ALL")
+def match_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth document asks, of all; terms of one column never meet those of the other."""
+    index_, terms = _han(spark, d)
+    hits = terms.join(index_.postings, ["col", "term"])
+    return hits.groupBy("query_id", "chunk_id").agg(F.count_distinct("col", "term").alias("n"))
+
+
+@query(
+    "homophone_arm",
+    f"""WITH {HAN_SQL}, tf AS (SELECT col, term, doc_id, count(*) AS tf FROM pairs GROUP BY ALL), df AS (SELECT col, term, count(*)::DOUBLE AS df FROM tf GROUP BY ALL), len AS (SELECT doc_id, count(*)::DOUBLE AS len FROM pairs GROUP BY doc_id),
+    st AS (SELECT (SELECT count(*) FROM han)::DOUBLE AS n, (SELECT sum(len) FROM len) / (SELECT count(*) FROM han) AS average), w AS (SELECT query_id, col, term, count(*) AS weight FROM terms WHERE col = 'spoken' GROUP BY ALL)
+    SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT query_id, doc_id AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (
+      SELECT query_id, doc_id, sum(weight * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / average))) AS score FROM w JOIN tf USING (col, term) JOIN df USING (col, term) JOIN len USING (doc_id), st GROUP BY ALL)) WHERE rank <= 10""",
+)
+def homophone_arm(spark: SparkSession, d: str) -> DataFrame:
+    """The column of syllables finds what is written with other characters."""
+    index_, terms = _han(spark, d)
+    return R.best_chunks(R.bm25(index_, terms.where("col = 'spoken'")), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")

@@ -12,6 +12,12 @@ def replace_partitions(df: DataFrame, path: str, key: str = "source_id") -> None
     df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
+def clear_partition(spark: SparkSession, path: str, key: str, value: str) -> None:
+    """Drop the rows of one key: its folder goes, others are not touched; a key that is not there changes nothing."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={value}")
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def read_documents(spark: SparkSession, path: str, schema: StructType | str, key: str) -> DataFrame:
     """JSON documents, one a line; those that do not parse or lack their key are left out."""
     bad = "_corrupt_record"
@@ -29,15 +35,15 @@ def write_text(df: DataFrame, path: str, text: str = "text", by: str = "list_id"
     df.select(by, F.col(text).alias("value")).write.mode("overwrite").partitionBy(by).text(path)
 
 
-def commit(tables: dict[str, DataFrame], path: str, version: str) -> None:
-    """Write several tables under a version, then name it in a manifest: readers see all of them or none."""
+def commit(tables: dict[str, DataFrame], path: str, version: int) -> None:
+    """Write several tables under a version number, then name it in a manifest: readers see all of them or none."""
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{version}/{name}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{path}/manifest")
+    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{path}/manifest")
 
 
 def read_committed(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table of the latest version that was committed; versions sort by name."""
-    version = spark.read.schema("version string").json(f"{path}/manifest").agg(F.max("version")).first()[0]
+    """A table of the latest version that was committed."""
+    version = spark.read.schema("version long").json(f"{path}/manifest").agg(F.max("version")).first()[0]
     return spark.read.parquet(f"{path}/{version}/{name}")

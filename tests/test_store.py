@@ -24,8 +24,8 @@ def test_bad_documents_are_left_out(spark, tmp_path):
 def test_readers_see_committed_versions_only(spark, tmp_path):
     path = str(tmp_path / "c")
     one = spark.createDataFrame([(1,)], "x int")
-    store.commit({"a": one, "b": one}, path, "v1")
-    one.union(one).write.parquet(f"{path}/v2/a")  # a writer that died before its manifest
+    store.commit({"a": one, "b": one}, path, 1)
+    one.union(one).write.parquet(f"{path}/2/a")  # a writer that died before its manifest
     assert store.read_committed(spark, path, "a").count() == 1
 
 
