@@ -23,7 +23,7 @@ from .common import clean, documents, map_batches, slices
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 LINE, HIDDEN = 48, 16  # characters of a training line, at least
-SIZE, STRIDE = 160, 128  # windows of a text; a character lies in at most two
+SIZE, STRIDE = 256, 224  # windows of a text; a character lies in at most two
 BATCH = 512  # windows read together
 BLOCK = 1 << 20  # characters of a very long text whose scores are held at once, about
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -154,18 +154,21 @@ def crf_loss(score: np.ndarray, mask: np.ndarray, tags: np.ndarray, move: np.nda
 
 
 def viterbi(score: np.ndarray, mask: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """The best tags of each window."""
+    """The best tags of each window.  The best sums are kept, and the way back is found from them."""
     batch, steps, n = score.shape
-    best, came = score[:, 0], np.zeros((batch, steps, n), np.int64)
+    score, on = np.ascontiguousarray(score.transpose(1, 2, 0)), mask.T > 0
+    best = np.empty_like(score)
+    best[0] = score[0]
     for t in range(1, steps):
-        grid = best[:, :, None] + move
-        came[:, t] = np.where(mask[:, t, None] > 0, grid.argmax(axis=1), np.arange(n))
-        best = np.where(mask[:, t, None] > 0, grid.max(axis=1) + score[:, t], best)
-    out = np.zeros((batch, steps), np.int64)
-    out[:, -1] = best.argmax(axis=1)
+        new = (best[t - 1][:, None] + move[:, :, None]).max(axis=0)
+        new += score[t]
+        best[t] = new if on[t].all() else np.where(on[t], new, best[t - 1])
+    out = np.zeros((steps, batch), np.int64)
+    out[-1] = best[-1].argmax(axis=0)
     for t in range(steps - 1, 0, -1):
-        out[:, t - 1] = came[np.arange(batch), t, out[:, t]]
-    return out
+        came = (best[t - 1] + move[:, out[t]]).argmax(axis=0)
+        out[t - 1] = np.where(on[t], came, out[t])
+    return out.T
 
 
 def training_lines(count: int, seed: int) -> list[tuple[str, list[Span]]]:
@@ -271,38 +274,48 @@ def model(lines: int = 6000, epochs: int = 6, seed: int = 6) -> recurrent.Params
 # --- from windows to spans -----------------------------------------------------------------------------------------
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
+def _sigmoid(x: np.ndarray) -> None:
     np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
-    return np.reciprocal(x, out=x)
+    np.reciprocal(x, out=x)
 
 
 def _states(p: recurrent.Params, side: str, code: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The LSTM's states over windows, steps x windows x hidden; ``size`` is each window's length, the longest first or equal."""
+    """The LSTM's states over windows, steps x hidden x windows; ``size`` is each window's length."""
     n = HIDDEN
-    # one sigmoid serves all gates: tanh(x) = 2 sigmoid(2x) - 1
+    # one sigmoid serves all gates: tanh(x) = 2 sigmoid(2x) - 1; rows are units, so that all steps work on whole rows
     stretch = np.ones(4 * n, np.float32)
     stretch[3 * n :] = 2
-    table = ((_inputs() @ p[f"W{side}"] + p[f"b{side}"]) * stretch).astype(np.float32)
-    move = (p[f"U{side}"] * stretch).astype(np.float32)
+    table = np.ascontiguousarray(((_inputs() @ p[f"W{side}"] + p[f"b{side}"]) * stretch).T.astype(np.float32))
+    move = np.ascontiguousarray((p[f"U{side}"] * stretch).T.astype(np.float32))
     steps, count = code.shape
-    out = np.empty((steps, count, n), np.float32)
-    h, c = np.zeros((count, n), np.float32), np.zeros((count, n), np.float32)
-    uneven = size.min() < steps
+    code = code.astype(np.intp)
+    out = np.zeros((steps, n, count), np.float32)
+    h, c = np.zeros((n, count), np.float32), np.zeros((n, count), np.float32)
+    z, given, new = np.empty((4 * n, count), np.float32), np.empty((4 * n, count), np.float32), np.empty((n, count), np.float32)
+    uneven = side == "b" and size.min() < steps
     for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
-        z = h @ move
-        z += table[code[t]]
-        z = _sigmoid(z)
-        c *= z[:, n : 2 * n]
-        c += z[:, :n] * (2 * z[:, 3 * n :] - 1)
-        if uneven and side == "b":
-            c *= (size > t)[:, None]
-        h = 2 * _sigmoid(2 * c) - 1
-        h *= z[:, 2 * n : 3 * n]
-        if uneven and side == "b":
-            h *= (size > t)[:, None]
-        out[t] = h
+        np.matmul(move, h, out=z)
+        np.take(table, code[t], axis=1, out=given, mode="clip")
+        z += given
+        _sigmoid(z)
+        new[:] = z[3 * n :]
+        new *= 2
+        new -= 1
+        new *= z[:n]
+        c *= z[n : 2 * n]
+        c += new
+        h = out[t]
+        np.multiply(c, 2, out=h)
+        _sigmoid(h)
+        h *= 2
+        h -= 1
+        h *= z[2 * n : 3 * n]
+        if uneven:  # a window begins, from behind, at its own end
+            on = size > t
+            c *= on
+            h *= on
     return out
 
 
@@ -332,12 +345,12 @@ def scores(p: recurrent.Params, text: list[np.ndarray], lo: int = 0, hi: int | N
         code = flat[where]
         code[step[:, None] >= size[own]] = CODES - 1
         with np.errstate(over="ignore"):
-            score = _states(p, "f", code, size[own]) @ p["V"][:HIDDEN] + _states(p, "b", code, size[own]) @ p["V"][HIDDEN:] + p["c"]
+            score = p["V"][:HIDDEN].T @ _states(p, "f", code, size[own]) + p["V"][HIDDEN:].T @ _states(p, "b", code, size[own]) + p["c"][:, None]
         # how central: the text's own ends are no edges
         left = np.where(start[own] == 0, SIZE, step[:, None] + 1)
         right = np.where(start[own] + size[own] == total[of[own]], SIZE, size[own] - step[:, None])
         central = np.where(step[:, None] < size[own], np.minimum(left, right), 0).astype(np.float32)
-        score = np.ascontiguousarray((score * central[:, :, None]).transpose(1, 0, 2))
+        score = np.ascontiguousarray((score * central[:, None, :]).transpose(2, 0, 1))
         central = np.ascontiguousarray(central.T)
         begin = at[of[own]] + start[own]
         for i, (a, n) in enumerate(zip(begin.tolist(), size[own].tolist(), strict=True)):
