@@ -7,16 +7,27 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_OWN: dict[str, str] = {}  # folders of our own, by application
+
+
+def root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or a folder of our own where that is unset and all tasks run in this process's machine."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="passagekit-")
+    return _OWN[app]
+
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, or under one of our own where that is unset; it goes with the driver's JVM."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="passagekit-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    """A new folder under the root, with its full address; it goes with the driver's JVM."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}")
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(target)
     files.deleteOnExit(target)
-    return path
+    address = files.makeQualified(target).toString()
+    return "file://" + address[5:] if address.startswith("file:/") and not address.startswith("file://") else address
