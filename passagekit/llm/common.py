@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,14 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or one of our own where none is set (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="passagekit-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from ..sources.scratch import folder
 
 
 class Scratch:
@@ -29,14 +20,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.mkdirs(target)
-        files.deleteOnExit(target)
-        self._files, self._target = files, jvm.org.apache.hadoop.fs.Path
+        self.spark, self.path = spark, folder(spark, name)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
@@ -47,7 +31,8 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Remove a table that no later step reads."""
-        self._files.delete(self._target(f"{self.path}/{name}"), True)
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 SMALL = 1_000_000
