@@ -182,14 +182,48 @@ def _get_counts(folder: str, name: str, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _put_contexts(folder: str, name: str, keys: np.ndarray, stats: np.ndarray) -> None:
-    """Contexts by key, with the row of each in the table of all statistics that occur; these are few."""
+def _put_stats(folder: str, name: str, stats: np.ndarray) -> None:
+    """Statistics as rows of the table of all that occur; these are few."""
     table, row = np.unique(stats, axis=1, return_inverse=True)
-    put(folder, f"{name}-keys", keys)
     put(folder, f"{name}-row", row.ravel().astype(np.uint16 if table.shape[1] < 1 << 16 else np.uint32))
     put(folder, f"{name}-table", table)
 
 
+def _put_edges(folder: str, name: str, at: np.ndarray, size: int) -> None:
+    """Where each run of a longer array begins, and the end."""
+    put(folder, name, np.append(at, size).astype(np.uint32 if size < 1 << 32 else np.int64))
+
+
+def _put_pairs(folder: str, name: str, first: np.ndarray, second: np.ndarray) -> None:
+    """Sorted pairs of numbers: each first once, where its run begins, and all seconds."""
+    at = _starts(first)
+    put(folder, f"{name}-first", first[at])
+    _put_edges(folder, f"{name}-edge", at, len(second))
+    put(folder, f"{name}-second", second.astype(np.uint32))
+
+
+def _within(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """The place of each wanted value in its run lo to hi of a mapped array, by binary search; -1 where it is not there."""
+    out = np.full(len(want), -1, np.int64)
+    live = np.flatnonzero(lo < hi)
+    lo, hi = lo.astype(np.int64), hi.astype(np.int64) - 1
+    while len(live):
+        mid = (lo[live] + hi[live]) >> 1
+        seen, asked = values[mid], want[live]
+        out[live[seen == asked]] = mid[seen == asked]
+        lo[live] = np.where(seen < asked, mid + 1, lo[live])
+        hi[live] = np.where(seen > asked, mid - 1, hi[live])
+        live = live[(seen != asked) & (lo[live] <= hi[live])]
+    return out
+
+
+def _find_pairs(folder: str, name: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The places of pairs, -1 for those that are not there."""
+    keys, edge = mapped(folder, f"{name}-first"), mapped(folder, f"{name}-edge")
+    i = np.minimum(np.searchsorted(keys, first), len(keys) - 1)
+    return _within(mapped(folder, f"{name}-second"), edge[i], np.where(keys[i] == first, edge[i + 1], edge[i]), second)
+
+
 # --- the model ---------------------------------------------------------------------------------------------------
 
 
@@ -346,11 +380,12 @@ def _write_ngrams(folder: str, vocabulary_base: np.ndarray, hot: np.ndarray, sha
             first = counts
             if order > 2:
                 at = _starts(context)
-                nth = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(context))))
-                put(folder, f"trigrams-{s}", nth << 32 | word)
+                put(folder, f"trigrams-{s}", word.astype(np.uint32))
+                _put_edges(folder, f"trigrams-{s}-edge", at, len(word))
                 _put_counts(folder, f"trigram-counts-{s}", counts)
                 keys, stats = context[at], _context_stats(counts, at)
-                _put_contexts(folder, f"contexts-{s}", keys, stats)
+                _put_pairs(folder, f"contexts-{s}", keys >> 32, keys & WIDTH)
+                _put_stats(folder, f"contexts-{s}", stats)
                 spread = np.isin(keys >> 32, hot)
                 keys, stats = keys[spread], stats[:, spread]
                 place = _hot_shard(keys, shards)
@@ -359,7 +394,7 @@ def _write_ngrams(folder: str, vocabulary_base: np.ndarray, hot: np.ndarray, sha
                 first = np.ones(len(counts), np.int64)  # below the highest order a count is of the words before
             top = _counts_of_counts(counts)
             pairs, times = _summed(context >> 32 << 32 | word, first)
-            put(folder, f"pairs-{s}", pairs)
+            _put_pairs(folder, f"pairs-{s}", pairs >> 32, pairs & WIDTH)
             _put_counts(folder, f"times-{s}", times)
             yield row("totals", s, b"", np.array([top, _counts_of_counts(times)], np.int64))
             v = pairs >> 32
@@ -389,7 +424,8 @@ def _write_spread(folder: str):
             stats = np.zeros((4, len(keys)), np.int64)
             for k, values in enumerate(np.concatenate([r[1] for r in rows], axis=1)):
                 np.add.at(stats[k], back, values)
-            _put_contexts(folder, f"spread-{i}", keys, stats)
+            put(folder, f"spread-{i}-keys", keys)
+            _put_stats(folder, f"spread-{i}", stats)
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32())], ["range"])
 
     return run
@@ -454,12 +490,10 @@ class Model:
                 yield s, order[edge[s] : edge[s + 1]]
 
     def _pair_counts(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        out, folder, key = np.zeros(len(v), np.int64), self.vocabulary.folder, v << 32 | w
+        out, folder = np.zeros(len(v), np.int64), self.vocabulary.folder
         for s, own in self._by_shard(_shard(v, w, self.hot, self.shards), self.filled):
-            keys = mapped(folder, f"pairs-{s}")
-            at = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
-            hit = keys[at] == key[own]
-            out[own[hit]] = _get_counts(folder, f"times-{s}", at[hit])
+            at = _find_pairs(folder, f"pairs-{s}", v[own], w[own])
+            out[own[at >= 0]] = _get_counts(folder, f"times-{s}", at[at >= 0])
         return out
 
     def _stats(self, name: str, at: np.ndarray) -> np.ndarray:
@@ -475,16 +509,13 @@ class Model:
         v = context >> 32
         spread = np.isin(v, self.hot)
         for s, own in self._by_shard(_shard(v, w, self.hot, self.shards), self.filled):
-            keys = mapped(folder, f"contexts-{s}-keys")
-            at = np.minimum(np.searchsorted(keys, context[own]), len(keys) - 1)
-            own, at = own[keys[at] == context[own]], at[keys[at] == context[own]]
+            at = _find_pairs(folder, f"contexts-{s}", v[own], context[own] & WIDTH)
+            own, at = own[at >= 0], at[at >= 0]
             local = ~spread[own]
             stats[:, own[local]] = self._stats(f"contexts-{s}", at[local])
-            grams = mapped(folder, f"trigrams-{s}")
-            key = at << 32 | w[own] & WIDTH
-            place = np.minimum(np.searchsorted(grams, key), len(grams) - 1)
-            hit = grams[place] == key
-            count[own[hit]] = _get_counts(folder, f"trigram-counts-{s}", place[hit])
+            edge = mapped(folder, f"trigrams-{s}-edge")
+            place = _within(mapped(folder, f"trigrams-{s}"), edge[at], edge[at + 1], w[own])
+            count[own[place >= 0]] = _get_counts(folder, f"trigram-counts-{s}", place[place >= 0])
         far = np.flatnonzero(spread)
         for s, own in self._by_shard(_hot_shard(context[far], self.shards), self.spread):
             keys, own = mapped(folder, f"spread-{s}-keys"), far[own]
@@ -566,6 +597,8 @@ def train(df: DataFrame, order: int = ORDER) -> Model:
     dense = stats.where("kind IN ('context', 'word')").repartition(max(1, len(sizes)), "range").mapInArrow(_write_dense(folder, sizes, d2), "range int, n array<long>")
     done = dense.collect()  # seven numbers a range
     spread = stats.where("kind = 'spread'").repartition(shards, "range").mapInArrow(_write_spread(folder), "range int").collect()  # a number a shard
+    scratch.drop("statistics")
+    scratch.drop("vocabulary")
     n = np.sum([r["n"] for r in done], axis=0) if done else np.zeros(7, np.int64)
     d1 = discounts(n)
     pairs = int(totals[1][4])
