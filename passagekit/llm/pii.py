@@ -22,9 +22,9 @@ from .common import clean, documents, map_batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-LINE, HIDDEN = 48, 16  # characters of a training line, at least
-SIZE, STRIDE = 256, 224  # windows of a text; a character lies in at most two
-BATCH = 512  # windows read together
+LINE, HIDDEN = 48, 12  # characters of a training line, at least
+SIZE, STRIDE = 512, 480  # windows of a text; a character lies in at most two
+BATCH = 1024  # windows read together
 BLOCK = 1 << 20  # characters of a very long text whose scores are held at once, about
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
@@ -293,15 +293,15 @@ def _states(p: recurrent.Params, side: str, code: np.ndarray, size: np.ndarray)
     code = code.astype(np.intp)
     out = np.zeros((steps, n, count), np.float32)
     h, c = np.zeros((n, count), np.float32), np.zeros((n, count), np.float32)
-    z, given, new = np.empty((4 * n, count), np.float32), np.empty((4 * n, count), np.float32), np.empty((n, count), np.float32)
+    z, given = np.empty((4 * n, count), np.float32), np.empty((4 * n, count), np.float32)
+    new = given[:n]
     uneven = side == "b" and size.min() < steps
     for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
         np.matmul(move, h, out=z)
         np.take(table, code[t], axis=1, out=given, mode="clip")
         z += given
         _sigmoid(z)
-        new[:] = z[3 * n :]
-        new *= 2
+        np.multiply(z[3 * n :], 2, out=new)
         new -= 1
         new *= z[:n]
         c *= z[n : 2 * n]
