@@ -35,26 +35,63 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return C.drain(C.parse_stream(_replayed(_deltas(spark, d), path)), path)
 
 
+_BODY = r"(?:[Ss][Oo][Uu][Rr][Cc][Ee]|来源)? ?\d+(?: *[,，、] *\d+)*(?: *@ *\d+:\d\d(?::\d\d)?(?: *[-–—] *\d+:\d\d(?::\d\d)?)?)?"
+CITED = "|".join(f"\\{a}{_BODY}\\{b}" if ord(a) < 128 else f"{a}{_BODY}{b}" for a, b in (("[", "]"), ("(", ")"), ("（", "）"), ("【", "】"), ("［", "］")))
+#: The answers once more, what they cite, and what stands between; parsed by DuckDB's regular expressions.
+ANSWERS = f"""answer AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'As said [' || (doc_id % 9) || '] and (Source 2, 3).' WHEN 1 THEN 'See 【1，' || (doc_id % 9) || '】 or [4 @ 1:02-1:05] here' WHEN 2 THEN 'No [12] nor [2) or [x]' ELSE 'Ends in [' END AS t FROM documents),
+    split AS (SELECT doc_id, regexp_extract_all(t, '{CITED}') AS h, string_split_regex(t, '{CITED}') AS g FROM answer),
+    read AS (SELECT doc_id, h, g, [[n::INT FOR n IN regexp_extract_all(regexp_replace(x, ' *@.*', ''), '[0-9]+')] FOR x IN h] AS ns FROM split)"""
+
+
 @query(
     "citation_stream",
-    """SELECT message_id, citations, text FROM (
-         SELECT doc_id AS message_id, m, CASE doc_id % 4
-             WHEN 0 THEN array_to_string(list_filter([m, 2, 3], lambda x: x BETWEEN 1 AND 5), ',') WHEN 1 THEN array_to_string(list_filter([1, m, 4], lambda x: x BETWEEN 1 AND 5), ',') ELSE '' END AS citations,
-           CASE doc_id % 4 WHEN 0 THEN 'As said ' || CASE WHEN m BETWEEN 1 AND 5 THEN '' ELSE '[' || m || ']' END || ' and .'
-             WHEN 1 THEN 'See ' || CASE WHEN m BETWEEN 1 AND 5 THEN '' ELSE m::VARCHAR END || ' or  here' WHEN 2 THEN 'No [12] nor [2) or [x]' ELSE 'Ends in [' END AS text
-         FROM (SELECT doc_id, doc_id % 9 AS m FROM documents))""",
+    f"""WITH {ANSWERS} SELECT doc_id AS message_id, array_to_string(list_filter(flatten(ns), lambda n: n BETWEEN 1 AND 5), ',') AS citations,
+         array_to_string([g[i] || CASE WHEN i > len(h) THEN '' WHEN len(ns[i]) > 1 THEN array_to_string(list_filter(ns[i], lambda n: NOT n BETWEEN 1 AND 5), '') WHEN ns[i][1] BETWEEN 1 AND 5 THEN '' ELSE h[i] END FOR i IN range(1, len(g) + 1)], '') AS text FROM read""",
 )
 def citation_stream(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d)
+    return _told(_events(spark, d))
+
+
+def _told(e: DataFrame) -> DataFrame:
     own = lambda kind, sep: F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("ord", "kind", "content"))), lambda x: x["kind"] == kind), lambda x: x["content"]), sep)
     return e.groupBy("message_id").agg(own("citation", ",").alias("citations"), own("text", "").alias("text"))
 
 
-@query("content_blocks", "SELECT kind, count(*) AS n FROM (SELECT unnest(CASE doc_id % 4 WHEN 0 THEN CASE WHEN doc_id % 9 BETWEEN 1 AND 5 THEN ['text', 'citation', 'text', 'citation', 'citation', 'text'] ELSE ['text', 'citation', 'citation', 'text'] END WHEN 1 THEN CASE WHEN doc_id % 9 BETWEEN 1 AND 5 THEN ['text', 'citation', 'citation', 'text', 'citation', 'text'] ELSE ['text', 'citation', 'text', 'citation', 'text'] END ELSE ['text'] END) AS kind FROM documents) GROUP BY kind")
+@query(
+    "citation_stream_late",
+    f"""WITH {ANSWERS} SELECT doc_id AS message_id, array_to_string(list_filter(flatten(ns), lambda n: n BETWEEN 1 AND 5), ',') AS citations,
+         array_to_string([g[i] || CASE WHEN i > len(h) THEN '' WHEN len(ns[i]) > 1 THEN array_to_string(list_filter(ns[i], lambda n: NOT n BETWEEN 1 AND 5), '') WHEN ns[i][1] BETWEEN 1 AND 5 THEN '' ELSE h[i] END FOR i IN range(1, len(g) + 1)], '') AS text FROM read""",
+)
+def citation_stream_late(spark: SparkSession, d: str) -> DataFrame:
+    """Later deltas come in earlier files, and every delta comes twice."""
+    path = folder(spark, "late")
+    deltas = _deltas(spark, d)
+    deltas.orderBy(F.desc("pos"), "message_id").write.parquet(f"{path}/in")
+    deltas.repartition(2).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(deltas.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    return _told(C.drain(C.parse_stream(stream), path))
+
+
+@query("content_blocks", f"""WITH {ANSWERS}, bit AS (SELECT doc_id, i, 0 AS j, 'text' AS kind, g[i] AS c FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM read) UNION ALL
+    SELECT doc_id, i, j, CASE WHEN n BETWEEN 1 AND 5 THEN 'citation' ELSE 'text' END, CASE WHEN len(ns) = 1 THEN h ELSE n::VARCHAR END FROM (SELECT *, ns[j] AS n FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS j FROM (SELECT doc_id, i, h[i] AS h, ns[i] AS ns FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM read))))),
+    parted AS (SELECT doc_id, kind, CASE WHEN kind = 'text' AND lag(kind) OVER w = 'text' THEN 0 ELSE 1 END AS new FROM bit WHERE c <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i, j))
+    SELECT kind, sum(new)::BIGINT AS n FROM parted GROUP BY kind""")
 def content_blocks(spark: SparkSession, d: str) -> DataFrame:
     return C.content_blocks(_events(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("sse_payloads", "SELECT message_id AS stream_id, ord, CASE ord WHEN 0 THEN role ELSE '{\"n\":' || turn || '}' END AS payload FROM msg, (SELECT unnest([0, 1]) AS ord)")
+def sse_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Two payloads, comments and a line without an end, cut into pieces of nine characters that come in any order."""
+    number = F.concat(F.lit('{"n":'), F.col("turn").cast("string"), F.lit("}"))
+    whole = F.concat(F.lit(": hello\n"), C.sse_text(F.col("role")), F.lit("event: x\n"), C.sse_text(number), F.lit("data: cut"))
+    m = T.messages(spark, d).select(F.col("message_id").alias("stream_id"), whole.alias("t"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 9).cast("int")), lambda i: F.substring("t", i * 9 + 1, F.lit(9)))
+    pieces = m.select("stream_id", F.posexplode(cut).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
+    path = folder(spark, "sse")
+    return C.drain(C.sse_payloads(_replayed(pieces, path)), path)
+
+
 @query("job_state_stream", "SELECT entity, arg_max(status, (updated_at, job_id)) AS status, max(updated_at) AS updated_at FROM job GROUP BY entity")
 def job_state_stream(spark: SparkSession, d: str) -> DataFrame:
     path = folder(spark, "jobs")

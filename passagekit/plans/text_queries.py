@@ -183,12 +183,14 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d, text.alias("text"))
 
 
-@query(
-    "citations_batch",
-    """SELECT doc_id, pos, n AS index, n <= 5 AND n >= 1 AS known FROM (
-         SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS n FROM (
-           SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN [doc_id % 9, 2, 3] WHEN 1 THEN [1, doc_id % 9, 4] WHEN 2 THEN [12] ELSE [] END AS p FROM documents))""",
-)
+#: The answers of ``_answers``, and the numbers in their brackets by DuckDB's own regular expressions.
+BRACKETED = r"""SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p)::BIGINT AS n FROM (
+    SELECT doc_id, flatten([regexp_extract_all(regexp_replace(x, ' *@.*', ''), '[0-9]+') FOR x IN
+        regexp_extract_all(t, '\[(?:Source|来源)? ?\d+(?: *[,，、] *\d+)*(?: *@ *[\d:]+(?: *[-–—] *[\d:]+)?)?\]|\((?:Source|来源)? ?\d+(?: *[,，、] *\d+)*\)|【(?:Source|来源)? ?\d+(?: *[,，、] *\d+)*】')]) AS p
+    FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'As said [' || (doc_id % 9) || '] and (Source 2, 3).' WHEN 1 THEN 'See 【1，' || (doc_id % 9) || '】 or [4 @ 1:02-1:05] here' WHEN 2 THEN 'No [12] nor [2) or [x]' ELSE 'Ends in [' END AS t FROM documents))"""
+
+
+@query("citations_batch", f"SELECT doc_id, pos, n AS index, n BETWEEN 1 AND 5 AS known FROM ({BRACKETED})")
 def citations_batch(spark: SparkSession, d: str) -> DataFrame:
     """Numbers cited by whole answers; five sections are known."""
     cited = Q.cited_numbers(_answers(spark, d), "doc_id", "text")
@@ -199,8 +201,10 @@ def citations_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "grade_parse",
-    """SELECT doc_id, score, CASE WHEN score IS NULL THEN 'no score from 1 to 5' END AS reason FROM (
-         SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN CASE WHEN doc_id % 8 BETWEEN 1 AND 5 THEN (doc_id % 8)::INT END WHEN 1 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 4 END AS score FROM documents)""",
+    r"""SELECT doc_id, score, CASE WHEN score IS NULL THEN 'no score from 1 to 5' END AS reason FROM (SELECT doc_id, CASE WHEN n BETWEEN 1 AND 5 THEN n::INT END AS score FROM (
+         SELECT doc_id, round_even(TRY_CAST(CASE WHEN json_valid(body) THEN json_extract_string(body, '$.score') END AS DOUBLE), 0) AS n FROM (
+           SELECT doc_id, regexp_replace(regexp_replace(trim(raw), '^```[a-z]*\s*', ''), '\s*```$', '') AS body FROM (
+             SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '{"score": ' || (doc_id % 8) || '}' WHEN 1 THEN '```json' || chr(10) || '{"score": 3}' || chr(10) || '```' WHEN 2 THEN 'not JSON' WHEN 3 THEN '{"score": 2.5}' WHEN 4 THEN '{"score": 3.5}' ELSE '{"score": true}' END AS raw FROM documents))))""",
 )
 def grade_parse(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")

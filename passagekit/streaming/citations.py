@@ -9,7 +9,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,17 +17,28 @@ from ..functions.citations import events, feed
 
 EVENT = "message_id long, ord long, kind string, content string"
 STATE = "next long, ord long, held string, early string"
+ENDED = -1  # in place of the next delta: the message is complete
 
 
-def parse_stream(deltas: DataFrame) -> DataFrame:
+def parse_stream(deltas: DataFrame, forget: int | None = None) -> DataFrame:
     """(message_id, pos, delta, last, known) -> events of each message: text, or the number of a known section.
 
     An end that may become a citation is held in the state until more comes; the delta marked ``last`` lets all go.
-    Deltas that arrive before their turn wait; deltas that arrive again change nothing.
+    Deltas that arrive before their turn wait; deltas that arrive again change nothing.  The state of a message that has
+    ended is a mark alone; with ``forget`` it goes so many milliseconds later (for queries that never end: a query that
+    takes what is there would wait for it).
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        empty = pd.DataFrame({"message_id": [], "ord": [], "kind": [], "content": []})
+        if forget and state.hasTimedOut:
+            state.remove()
+            yield empty
+            return
         at, ord_, held, early = state.get if state.exists else (0, 0, "", "{}")
+        if at == ENDED:
+            yield empty
+            return
         waiting = {int(k): v for k, v in json.loads(early).items()}
         for batch in batches:
             for pos, delta, last, known in zip(batch["pos"], batch["delta"], batch["last"], batch["known"], strict=True):
@@ -41,10 +52,45 @@ def parse_stream(deltas: DataFrame) -> DataFrame:
                 new, held = [*new, *events(held, set())], ""
             out += new
             at += 1
+            if last:
+                at, waiting = ENDED, {}
         state.update((at, ord_ + len(out), held, json.dumps(waiting)))
+        if at == ENDED and forget:
+            state.setTimeoutDuration(forget)
         yield pd.DataFrame({"message_id": key[0], "ord": range(ord_, ord_ + len(out)), "kind": [x for x, _ in out], "content": [x for _, x in out]})
 
-    return deltas.groupBy("message_id").applyInPandasWithState(run, EVENT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("message_id").applyInPandasWithState(run, EVENT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
+
+
+def sse_text(payload: Column) -> Column:
+    """A payload as a server sends it: its data line and a blank one."""
+    return F.concat(F.lit("data: "), payload, F.lit("\n\n"))
+
+
+SSE_STATE = "next long, ord long, carry string, early string"
+
+
+def sse_payloads(pieces: DataFrame) -> DataFrame:
+    """(stream_id, pos, piece) -> (stream_id, ord, payload): the data lines of a text that arrives in pieces.
+
+    A line that is not yet whole is carried to the next piece; comments and other fields go; pieces that arrive before
+    their turn wait, pieces that arrive again change nothing.  What follows the last line break stays in the state.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, ord_, carry, early = state.get if state.exists else (0, 0, "", "{}")
+        waiting = {int(k): v for k, v in json.loads(early).items()}
+        for batch in batches:
+            waiting.update((int(pos), piece or "") for pos, piece in zip(batch["pos"], batch["piece"], strict=True) if pos >= at)
+        while at in waiting:
+            carry += waiting.pop(at)
+            at += 1
+        *lines, carry = carry.split("\n")
+        out = [x.removesuffix("\r")[5:].removeprefix(" ") for x in lines if x.startswith("data:")]
+        state.update((at, ord_ + len(out), carry, json.dumps(waiting)))
+        yield pd.DataFrame({"stream_id": key[0], "ord": range(ord_, ord_ + len(out)), "payload": out})
+
+    return pieces.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, ord long, payload string", SSE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def content_blocks(parsed: DataFrame) -> DataFrame:

@@ -103,3 +103,19 @@ def test_citations_in_parts_equal_the_whole(text, step):
         return done
 
     assert merged(out) == merged(events(text, KNOWN))
+
+
+def test_citations_of_columns_equal_those_of_the_reader(spark):
+    from passagekit.functions.citations import cited_numbers, scan
+
+    texts = ["[1] (2, 3)", "[[4]]", "(1] [2)", "[Source 5 @ 1:02]", "[source  6]", "【来源7，8】[9 @ 1:02 - 1:03:04]", "[10 ]", "[11 @ 1:2]", "[12 ,13]", "［14］(x)[15", "[1@2:00–3:00] [ 16]", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {}
+    for r in cited_numbers(df, "k", "t").orderBy("k", "pos").collect():
+        got.setdefault(r.k, []).append(r["index"])
+    assert got == {i: n for i, t in enumerate(texts) if (n := [x for _, end, ns in scan(t) if end for x in ns])}
+
+
+def test_merged_settings(spark):
+    merged = X.merged_deep(L('{"a": {"b": 1, "c": 2}, "d": 3}'), L('{"a": {"c": null}, "e": "x"}'))
+    assert value(spark, merged) == '{"a":{"b":1,"c":null},"d":3,"e":"x"}'
