@@ -5,7 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op2_byte_bpe
 from .curves import op9_nearest_neighbours
 from .html_text import op10_html_extraction
-from .jaccard import op4_jaccard_join
+from .jaccard import OP4_SQL, op4_jaccard_join
 from .jpeg import op7_media_columns
 from .language import op8_language_id
 from .language_model import OP1_SQL, op1_kneser_ney
@@ -29,4 +29,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_kneser_ney": OP1_SQL,
     "op3_substring_dedup": OP3_SQL,
+    "op4_jaccard_join": OP4_SQL,
 }
