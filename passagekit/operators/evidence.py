@@ -161,8 +161,15 @@ def section_texts(segments: DataFrame, sections: DataFrame) -> DataFrame:
     return speaker_turns(with_sections(segments, sections), ["source_id", "section_seq"])
 
 
-def single_batch(texts: DataFrame, titles: DataFrame, by: str = "list_id") -> DataFrame:
-    """Each list's section texts under one header a source."""
-    per = texts.groupBy("source_id").agg(joined("text", "section_seq").alias("_body")).join(titles, "source_id")
+def single_batch(texts: DataFrame, titles: DataFrame, budget: int, by: str = "list_id") -> DataFrame:
+    """Each list's section texts under one header a source, and their characters.
+
+    A list whose texts exceed the budget of characters has no single text: it is for batches (``segmentation.pack``), and
+    its texts are never gathered.
+    """
+    held = texts.join(titles, "source_id")
+    size = held.groupBy(by).agg(F.sum(F.length("text")).alias("n_chars"))
+    small = held.join(size.where(F.col("n_chars") <= budget).select(by), by, "left_semi")
+    per = small.groupBy(by, "source_id").agg(joined("text", "section_seq").alias("_body"), F.first("title").alias("title"))
     per = per.withColumn("_block", F.concat(F.lit("=== Source: "), F.col("title"), F.lit(" ===\n"), F.col("_body")))
-    return per.groupBy(by).agg(joined("_block", "source_id", "\n\n").alias("text"))
+    return size.join(per.groupBy(by).agg(joined("_block", "source_id", "\n\n").alias("text")), by, "left")

@@ -13,6 +13,7 @@ from ..sources import tables as T
 from .registry import query
 
 SECTION_TOKENS = 400
+SINGLE_BATCH = 400_000  # characters that one call of a model takes
 K = 8
 
 
@@ -319,12 +320,12 @@ def section_texts(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "single_batch_text",
     f"""
-    WITH one AS (SELECT source_id, string_agg(text, chr(10) ORDER BY section_seq) AS body FROM ({SECTION_TURNS}) GROUP BY source_id)
-    SELECT list_id, md5(string_agg('=== Source: ' || title || ' ===' || chr(10) || body, chr(10) || chr(10) ORDER BY source_id)) AS text_md5 FROM one JOIN src USING (source_id) GROUP BY list_id""",
+    WITH one AS (SELECT source_id, string_agg(text, chr(10) ORDER BY section_seq) AS body, sum(length(text)) AS size FROM ({SECTION_TURNS}) GROUP BY source_id)
+    SELECT list_id, sum(size)::BIGINT AS n_chars, CASE WHEN sum(size) <= {SINGLE_BATCH} THEN md5(string_agg('=== Source: ' || title || ' ===' || chr(10) || body, chr(10) || chr(10) ORDER BY source_id)) END AS text_md5 FROM one JOIN src USING (source_id) GROUP BY list_id""",
 )
 def single_batch_text(spark: SparkSession, d: str) -> DataFrame:
     texts = E.section_texts(T.segments(spark, d), sections(spark, d))
-    return E.single_batch(texts, T.sources(spark, d).select("source_id", "title", "list_id")).select("list_id", F.md5("text").alias("text_md5"))
+    return E.single_batch(texts, T.sources(spark, d).select("source_id", "title", "list_id"), SINGLE_BATCH).select("list_id", "n_chars", F.md5("text").alias("text_md5"))
 
 
 @query("citation_alloc", "SELECT query_id, source_id, section_seq, index FROM numbered")

@@ -102,5 +102,5 @@ def job_state_stream(spark: SparkSession, d: str) -> DataFrame:
 @query("turn_dedup_stream", "SELECT DISTINCT entity AS turn_id, video_id || ':' || status AS chunk_id FROM job")
 def turn_dedup_stream(spark: SparkSession, d: str) -> DataFrame:
     path = folder(spark, "dedup")
-    shown = T.jobs(spark, d).select(F.col("entity").alias("turn_id"), F.concat_ws(":", "video_id", "status").alias("chunk_id"))
-    return C.drain(C.unseen(_replayed(shown, path)), path)
+    shown = T.jobs(spark, d).select(F.col("entity").alias("turn_id"), F.concat_ws(":", "video_id", "status").alias("chunk_id"), F.timestamp_micros("updated_at").alias("at"))
+    return C.drain(C.unseen(_replayed(shown, path), "400 days").select("turn_id", "chunk_id"), path)
