@@ -24,7 +24,7 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 LINE, HIDDEN = 48, 12  # characters of a training line, at least
 SIZE, STRIDE = 512, 480  # windows of a text; a character lies in at most two
-BATCH = 1024  # windows read together
+BATCH = 448  # windows read together: a product of a step stays below what BLAS spreads over threads, which would spin
 BLOCK = 1 << 20  # characters of a very long text whose scores are held at once, about
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
