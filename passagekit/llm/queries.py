@@ -11,11 +11,13 @@ from .language import op8_language_id
 from .language_model import OP1_SQL, op1_kneser_ney
 from .packing import op5_packing
 from .pii import op6_pii
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .substrings import OP3_SQL, op3_substring_dedup
 
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op10_html_extraction": op10_html_extraction,
+    "op13_prefix_trie": op13_prefix_trie,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
@@ -28,6 +30,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_kneser_ney": OP1_SQL,
+    "op13_prefix_trie": OP13_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op4_jaccard_join": OP4_SQL,
 }

@@ -14,4 +14,4 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in names}
+    assert "pipeline" in names and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} <= {n.split("_")[0] for n in names}
