@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op2_byte_bpe
+from .collocations import OP11_SQL, op11_collocations
 from .curves import op9_nearest_neighbours
 from .html_text import op10_html_extraction
 from .jaccard import OP4_SQL, op4_jaccard_join
@@ -17,6 +18,7 @@ from .substrings import OP3_SQL, op3_substring_dedup
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op10_html_extraction": op10_html_extraction,
+    "op11_collocations": op11_collocations,
     "op13_prefix_trie": op13_prefix_trie,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
@@ -30,6 +32,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_kneser_ney": OP1_SQL,
+    "op11_collocations": OP11_SQL,
     "op13_prefix_trie": OP13_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op4_jaccard_join": OP4_SQL,

@@ -84,13 +84,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words(column: pa.Array, lower: bool = False) -> Words:
+def words(column: pa.Array, lower: bool = False, breaks: np.ndarray = BREAK) -> Words:
     data, at = buffers(column)
     if lower:
         data = LOWER[data]
     size = len(data)
     solid = np.empty(size + 1, bool)
-    solid[:size] = ~BREAK[data]
+    solid[:size] = ~breaks[data]
     solid[size] = False
     opens = solid.copy()
     opens[1:] &= ~solid[:-1]
