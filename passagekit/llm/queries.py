@@ -10,6 +10,7 @@ from .jaccard import OP4_SQL, op4_jaccard_join
 from .jpeg import op7_media_columns
 from .language import op8_language_id
 from .language_model import OP1_SQL, op1_kneser_ney
+from .licenses import OP12_SQL, op12_license_scan
 from .packing import op5_packing
 from .pii import op6_pii
 from .prefix_trie import OP13_SQL, op13_prefix_trie
@@ -19,6 +20,7 @@ QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op10_html_extraction": op10_html_extraction,
     "op11_collocations": op11_collocations,
+    "op12_license_scan": op12_license_scan,
     "op13_prefix_trie": op13_prefix_trie,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
@@ -33,6 +35,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_kneser_ney": OP1_SQL,
     "op11_collocations": OP11_SQL,
+    "op12_license_scan": OP12_SQL,
     "op13_prefix_trie": OP13_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op4_jaccard_join": OP4_SQL,
