@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, partitions, slices
+from .common import Scratch, broadcast_if_small, documents, partitions, slices
 from .textkit import mix, words
 
 MOST = 5  # words of a phrase
@@ -46,7 +46,7 @@ RESULT = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 def pack(x: np.ndarray) -> bytes:
     """An array of 32-bit numbers by the planes of their bytes, compressed: small numbers cost little."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<i4").reshape(-1).view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype("<i4").reshape(-1).view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def unpack(raw: bytes) -> np.ndarray:
@@ -295,8 +295,10 @@ def phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[Data
     bound = max(1000, -(-occurrences // (2 * buckets)))
     hot = known.where(F.col("f") > bound).orderBy("id").select("f").collect()  # at most two rows a bucket
     parts = np.array([-(-r["f"] // bound) for r in hot], np.int64)
-    numbers = entries.select("block", "lang", "place", F.col("words").alias("word")).join(known.select("id", "lang", "word"), ["lang", "word"])
-    numbers = numbers.groupBy("block").agg(F.collect_list(F.struct(F.col("place"), F.col("id").cast("int").alias("id"))).alias("ids"))
+    # every entry is looked up; infrequent ones get no number
+    looked = entries.select("block", "lang", "place", F.col("words").alias("word")).join(broadcast_if_small(known.select("id", "lang", "word")), ["lang", "word"], "left")
+    number = F.when(F.col("id").isNotNull(), F.struct(F.col("place"), F.col("id").cast("int").alias("id")))
+    numbers = looked.groupBy("block").agg(F.collect_list(number).alias("ids"))
     placed = blocks.select("block", "tokens", F.size("words").alias("size")).join(numbers, "block").select("tokens", "size", "ids")
     routed = placed.mapInArrow(_route(buckets, parts), "bucket int, fragments binary")
     dealt = routed.repartitionById(min(buckets, TASKS), "bucket").sortWithinPartitions("bucket")
