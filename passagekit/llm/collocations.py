@@ -193,6 +193,8 @@ def _route(buckets: int, parts: np.ndarray):
                 number = np.zeros(row["size"].as_py() + 1, np.int32)
                 number[known[0].to_numpy() + 1] = known[1].to_numpy()
                 frag, h, count = counted(fragments(number[unpack(row["tokens"].as_py())]))
+                if not len(frag):
+                    continue
                 pivot = frag[:, SIDE].astype(np.int64)
                 salt = np.zeros(len(frag), np.uint64)
                 hot = pivot <= len(parts)
