@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -25,16 +26,10 @@ from .textkit import words
 PATH, WORD, EXTRA, HIDDEN = 96, 48, 8, 20
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<svg(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<=/)>"
-    r"|<title(?=[\s/>])[^>]*>[^<]*(?:</title\s*>)?"
-    r"|<(?:(script|style|iframe|textarea)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|(noscript|template|svg|select)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?</\2\s*>)"
-    r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
-    r"|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+NAME = re.compile(r"</?([a-z][^\s/>]*)", re.I)
+MARK = re.compile(r"[\"'>]")
+TO_THE_END = frozenset(["script", "style", "iframe", "textarea"])  # where their end tag is missing, as in browsers
+TO_ITS_END = frozenset(["noscript", "template", "svg", "select"])  # skipped only where they end
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -76,17 +71,94 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+class Markup:
+    """The tags of a page, in one pass: work grows with the page's length whatever is broken in it.
+
+    What was searched once and is not there is not searched again: no end tag, no further quotation mark.  A quotation mark
+    without a partner is an ordinary character; a tag that the page's end cuts off takes the rest of the page.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.missing = html, set()
+
+    def _tag_end(self, at: int) -> int:
+        """Behind the tag's bracket, or -1."""
+        while m := MARK.search(self.html, at):
+            at = m.end()
+            if m[0] == ">":
+                return at
+            if m[0] not in self.missing:
+                partner = self.html.find(m[0], at)
+                if partner < 0:
+                    self.missing.add(m[0])
+                else:
+                    at = partner + 1
+        return -1
+
+    def _past_end_tag(self, name: str, at: int) -> int:
+        """Behind the next end tag of this name, or -1."""
+        if name in self.missing:
+            return -1
+        m = re.compile(rf"</{name}\s*>", re.I).search(self.html, at)
+        if m is None:
+            self.missing.add(name)
+            return -1
+        return m.end()
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, is an end tag, attributes); name is empty for what is no tag, and ``skip`` for an element that
+        is passed over with all in it."""
+        html, at = self.html, 0
+        while (start := html.find("<", at)) >= 0:
+            m = NAME.match(html, start)
+            if m is None:
+                if html.startswith("<!--", start):
+                    end = html.find("-->", start + 4)
+                    at = end + 3 if end >= 0 else len(html)
+                elif html[start + 1 : start + 2] in ("!", "?", "/"):
+                    end = html.find(">", start)
+                    at = end + 1 if end >= 0 else len(html)
+                else:  # a sign in a text
+                    at = start + 1
+                    continue
+                yield start, at, "", False, ""
+                continue
+            name, closing = m[1].lower(), html[start + 1] == "/"
+            end = self._tag_end(m.end())
+            if end < 0:
+                yield start, len(html), name, closing, html[m.end() :]
+                return
+            rest = html[m.end() : end - 1]
+            at = end
+            if not closing:
+                if name in TO_THE_END:
+                    past = self._past_end_tag(name, end)
+                    at = past if past >= 0 else len(html)
+                    name = "skip"
+                elif name == "svg" and rest.endswith("/"):
+                    name = ""
+                elif name in TO_ITS_END and (past := self._past_end_tag(name, end)) >= 0:
+                    at, name = past, "" if name == "svg" else "skip"
+                elif name == "title":
+                    at = max(end, html.find("<", end)) if html.find("<", end) >= 0 else len(html)
+                    if close := re.compile(r"</title\s*>", re.I).match(html, at):
+                        at = close.end()
+                    name = ""
+            yield start, at, name, closing, rest
+
+
 def leaf_blocks(html: str) -> list[Block]:
     """The non-empty leaf blocks in page order.  Broken markup is read leniently; a tag cut off at the end is none.
 
     Only script, style, iframe and textarea run to the page's end where their end tag is missing, as in browsers; an open
-    head ends at the first tag that belongs to the body, and a closed-in-itself svg is empty.
+    head ends at the first tag that belongs to the body, and a closed-in-itself svg is empty.  Work is linear in the page.
     """
     blocks: list[Block] = []
     stack: list[Node] = []
     parts: list[str] = []
     where: np.ndarray | None = None
     linked = in_link = at = 0
+    opened: Counter[str] = Counter()  # open elements by name
 
     def close() -> None:
         nonlocal parts, linked, where
@@ -105,27 +177,23 @@ def leaf_blocks(html: str) -> list[Block]:
 
     def pop(name: str) -> None:
         nonlocal in_link
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].name == name:
-                for gone in stack[i:]:
-                    in_link -= gone.name == "a"
-                del stack[i:]
+        while opened[name]:  # an unmatched end tag costs nothing
+            gone = stack.pop().name
+            opened[gone] -= 1
+            in_link -= gone == "a"
+            if gone == name:
                 return
 
-    for m in TOKEN.finditer(html):
-        say(html[at : m.start()])
-        at = m.end()
-        raw, closed, slash, name, rest = m.groups()
-        if skipped := raw or closed:
-            if skipped.lower() not in ("svg",):
-                close()
-            continue
-        if name is None:
+    for start, end, name, closing, rest in Markup(html).tags():
+        say(html[at:start])
+        at = end
+        if name == "skip":
+            close()
+        if name in ("", "skip"):
             continue
-        name = name.lower()
         if name not in INLINE:
             close()
-        if slash:
+        if closing:
             pop(name)
             continue
         if name not in IN_HEAD and any(x.name == "head" for x in stack[:2]):
@@ -135,13 +203,14 @@ def leaf_blocks(html: str) -> list[Block]:
         if name in CLOSES_P and any(x.name == "p" for x in stack[-4:]):
             pop("p")
         if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1].name == name:
-            stack.pop()
+            pop(name)
         if name == "a":
             if in_link:
                 pop("a")
             in_link += 1
         marks = tuple(t for _, *v in ATTRIBUTE.findall(rest) for t in re.split(r"[^a-z]+", "".join(v).lower()) if t) if rest else ()
         stack.append(Node(name, marks, stack[-1] if stack else None))
+        opened[name] += 1
     say(html[at:])
     close()
     return blocks
@@ -178,12 +247,12 @@ def features(pages: list[list[Block]]) -> list[np.ndarray]:
 
 # --- training pages ------------------------------------------------------------------------------------------------
 
-_ARTICLE = ["<article>", "<main>", '<div class="content">', '<div id="main-content">', '<section class="post">', '<div class="entry-content">', '<div class="article-body">', '<article class="story">', "<main><article>", '<div class="wrapper"><article>', '<div id="content"><div class="text">', "<div>"]
+_ARTICLE = ["<article>", "<main>", '<div class="content">', '<div id="main-content">', '<section class="post">', '<div class="entry-content">', '<div class="article-body">', '<article class="story">', "<main><article>", '<div id="page">', '<div id="story">', '<div class="wrapper"><article>', '<div id="content"><div class="text">', "<div>"]
 _MENU = ['<nav>', '<div class="menu">', '<ul class="nav">', '<div id="navigation">', '<header><nav>', '<div class="breadcrumb">', '<nav role="navigation">', '<div class="topbar">']
 _SIDE = ['<aside>', '<div class="sidebar">', '<div class="related">', '<aside class="widget">', '<div id="side">', '<section class="recommended">', '<div class="share social">', '<div class="tags">']
 _ADVERT = ['<div class="ad">', '<div class="ads banner">', '<div id="advert">', '<div class="sponsored">', '<aside class="promo">', '<div class="advertisement">']
 _NOTICE = ['<div class="cookie">', '<div id="cookie-banner">', '<div class="notice">', '<div class="alert">', '<div class="newsletter">', '<div role="dialog" class="consent">', '<p class="notice">']
-_COMMENT = ['<section id="comments">', '<div class="comment-list">', '<div class="comments">', '<ol class="commentlist">', '<div id="disqus">', '<section class="responses">']
+_COMMENT = ['<section id="comments">', '<div class="comment-list">', '<div class="comments">', '<ol class="commentlist">', '<div id="disqus">', '<section class="responses">', '<div id="respond">', '<div class="discussion">', '<ul class="replies">', '<section id="reactions">', '<div class="thread">', '<div id="reader-talk">']
 _FOOTER = ['<footer>', '<div class="footer">', '<div id="footer">', '<footer class="site-footer">', '<div class="copyright">']
 _HEADER = ['<header>', '<div class="header">', '<div id="masthead">', '<header class="site">', '<div class="logo">']
 
@@ -224,6 +293,8 @@ def training_page(rng: np.random.Generator) -> list[tuple[str, bool]]:
         return rng.random() < p
 
     page: list[tuple[str, bool]] = []
+    if some(0.04):  # a page of bare text
+        return [(pick(["<br>", "<br><br>", "\n<p>"]).join(prose(3, 60) for _ in range(int(rng.integers(1, 6)))), True)]
     if some(0.5):
         o = pick(_HEADER)
         page.append((f"{o}{pick(['<h1>', '<p>', '<a href=\"/\">'])}{prose(1, 5, False)}{_closing(o)}", False))
@@ -241,10 +312,13 @@ def training_page(rng: np.random.Generator) -> list[tuple[str, bool]]:
     page.append((o, True))
     if some(0.85):
         page.append((f"<{(h := pick(['h1', 'h2']))}>{prose(1, 14, False)}</{h}>", True))
-    for _ in range(int(rng.integers(1, 14))):
+    para = "p" if some(0.9) else "div"
+    for _ in range(int(rng.integers(1, 50 if some(0.15) else 14))):
         kind, text = rng.random(), prose(1, int(rng.choice([3, 12, 60, 150])))
-        if kind < 0.65:
-            page.append((f"<p>{text}</p>", True))
+        if kind < 0.6:
+            page.append((f"<{para}>{text}</{para}>", True))
+        elif kind < 0.65:
+            page.append((f"<div>{text}</div>", True))
         elif kind < 0.75:
             page.append((f"<p><b>{text}<br>", True))
         elif kind < 0.82:
@@ -253,8 +327,12 @@ def training_page(rng: np.random.Generator) -> list[tuple[str, bool]]:
             page.append((f"<blockquote>{text}</blockquote>", True))
         elif kind < 0.93:
             page.append((f"<h3>{prose(1, 6, False)}</h3>", True))
-        elif kind < 0.96:
+        elif kind < 0.945:
             page.append((f'<p>{text} <a href="#">{prose(1, 4, False)}</a> {prose(2, 20)}</p>', True))
+        elif kind < 0.96:
+            page.append((f'<figure><img src="a.png"><figcaption>{prose(1, 20)}</figcaption></figure>', True))
+        elif kind < 0.97:
+            page.append((f"<table><tr><th>{prose(1, 3, False)}</th><th>{prose(1, 3, False)}</th></tr><tr><td>{prose(1, 6, False)}</td><td>{prose(1, 6)}</td></tr></table>", True))
         else:
             a = pick(_ADVERT + _SIDE)
             page.append((f"{a}{prose(1, 12)}{_closing(a)}", False))
@@ -263,7 +341,9 @@ def training_page(rng: np.random.Generator) -> list[tuple[str, bool]]:
         page += links(pick(_SIDE), int(rng.integers(2, 7)))
     if some(0.3):
         o = pick(_COMMENT)
-        page.append((o + "".join(f'<div class="comment"><p>{prose(2, 40)}</p></div>' for _ in range(int(rng.integers(1, 6)))) + _closing(o), False))
+        one = pick(['<div class="comment"><p>', '<div class="comment"><p>', "<li><p>", '<div class="reply">', "<p>", '<div class="post"><b>', "<article><p>"])
+        head = f"<h3>{prose(1, 4, False)}</h3>" if some(0.4) else ""
+        page.append((o + head + "".join(f"{one}{prose(2, 40)}{_closing(one)}" for _ in range(int(rng.integers(1, 6)))) + _closing(o), False))
     if some(0.25):
         page.append((f"<form><label>{prose(1, 3, False)}</label><input><p>{prose(1, 10)}</p><button>{prose(1, 2, False)}</button></form>", False))
     if some(0.9):
@@ -295,7 +375,7 @@ def _padded(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=1)
-def model(pages: int = 700, epochs: int = 8, seed: int = 10) -> recurrent.Params:
+def model(pages: int = 900, epochs: int = 8, seed: int = 10) -> recurrent.Params:
     """Train the labeller; the same parameters each time."""
     blocks, labels = training_set(pages, seed)
     xs = features(blocks)
