@@ -32,7 +32,8 @@ MOST = 5  # words of a phrase
 LEAST = 100  # occurrences of a phrase
 TOP = 2000
 BLOCK = 16 << 20  # bytes of text in a block
-BUCKET = 1_000_000  # occurrences of pivots in a bucket, about
+BUCKET = 500_000  # occurrences of pivots in a bucket, about
+SLICE = 600_000  # words of a block whose fragments a task holds at a time
 TASKS = 20_000
 SIDE = MOST - 1
 WIDTH = 2 * SIDE + 1
@@ -152,11 +153,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- fragments ---------------------------------------------------------------------------------------------------
 
 
-def fragments(ids: np.ndarray) -> np.ndarray:
-    """A row for each word that is the rarest beside a neighbour: the words around it, itself in the middle, 0 where a word
-    is rarer, infrequent or of another piece.  Equal words may stand right of the pivot only."""
+def fragments(ids: np.ndarray, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """A row for each word, of those from ``start`` to ``stop``, that is the rarest beside a neighbour: the words around it,
+    itself in the middle, 0 where a word is rarer, infrequent or of another piece.  Equal words may stand right of the
+    pivot only."""
     wide = np.concatenate([np.zeros(SIDE, ids.dtype), ids, np.zeros(SIDE, ids.dtype)])
-    at = np.flatnonzero(ids > 0)
+    at = np.flatnonzero(ids[start:stop] > 0) + start
     pivot = ids[at]
     out = np.zeros((len(at), WIDTH), np.int32)
     out[:, SIDE] = pivot
@@ -182,6 +184,23 @@ def counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[at], h[at], np.diff(np.append(at, len(rows)))
 
 
+def _routed(frag: np.ndarray, h: np.ndarray, count: np.ndarray, buckets: int, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket that gets fragments."""
+    if not len(frag):
+        return
+    pivot = frag[:, SIDE].astype(np.int64)
+    salt = np.zeros(len(frag), np.uint64)
+    hot = pivot <= len(parts)
+    salt[hot] = (h[hot] >> np.uint64(20)) % parts[pivot[hot] - 1].astype(np.uint64)
+    bucket = (mix(pivot.astype(np.uint64) + (salt << np.uint64(40))) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((pivot, bucket))
+    table = np.column_stack([frag, count.astype(np.int32)])[order]
+    bucket = bucket[order]
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(starts[1:], len(bucket))
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array([pack(table[a:b].T) for a, b in zip(starts, ends, strict=True)], pa.binary())], ["bucket", "fragments"])
+
+
 def _route(buckets: int, parts: np.ndarray):
     """parts: into how many buckets the pivots 1, 2, ... are split; the others are whole."""
 
@@ -192,22 +211,9 @@ def _route(buckets: int, parts: np.ndarray):
                 known = row["ids"].values.flatten()
                 number = np.zeros(row["size"].as_py() + 1, np.int32)
                 number[known[0].to_numpy() + 1] = known[1].to_numpy()
-                frag, h, count = counted(fragments(number[unpack(row["tokens"].as_py())]))
-                if not len(frag):
-                    continue
-                pivot = frag[:, SIDE].astype(np.int64)
-                salt = np.zeros(len(frag), np.uint64)
-                hot = pivot <= len(parts)
-                salt[hot] = (h[hot] >> np.uint64(20)) % parts[pivot[hot] - 1].astype(np.uint64)
-                bucket = (mix(pivot.astype(np.uint64) + (salt << np.uint64(40))) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((pivot, bucket))
-                table = np.column_stack([frag, count.astype(np.int32)])[order]
-                bucket = bucket[order]
-                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                ends = np.append(starts[1:], len(bucket))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[starts], pa.int32()), pa.array([pack(table[a:b].T) for a, b in zip(starts, ends, strict=True)], pa.binary())], ["bucket", "fragments"]
-                )
+                ids = number[unpack(row["tokens"].as_py())]
+                for start in range(0, len(ids), SLICE):
+                    yield from _routed(*counted(fragments(ids, start, start + SLICE)), buckets, parts)
 
     return run
 
