@@ -21,21 +21,22 @@ def cited_numbers(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, index) of every number cited, in order; null texts cite nothing.
 
     A bracket without brackets inside is a citation if what closes it fits, its part before an @ is a list of numbers,
-    perhaps after a label, and its part behind the @ is one time or two with a dash between.
+    perhaps after a label, and its part behind the @ is one time or two with a dash between.  A number that no section can
+    have, beyond 31 bits, is null.
     """
     ends = "".join(BRACKETS) + "".join(BRACKETS.values())
     body = "".join("\\" + c for c in ends)
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[{body}][^{body}]+(?=([{body}]))"), F.lit(0))
     closing = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[{body}][^{body}]+(?=([{body}]))"), F.lit(1))
     fits = lambda x: F.concat(F.substring(x["open"], 1, 1), x["close"]).isin([a + b for a, b in BRACKETS.items()])
-    parts = F.transform(F.filter(F.arrays_zip(found.alias("open"), closing.alias("close")), fits), lambda x: F.split(F.substring(x["open"], 2, 1 << 20), "@"))
+    parts = F.transform(F.filter(F.arrays_zip(found.alias("open"), closing.alias("close")), fits), lambda x: F.split(F.substr(x["open"], F.lit(2)), "@"))
     listed = lambda x: F.split(F.regexp_replace(F.lower(x[0]), f"^(?:{'|'.join(LABELS)})? ?", ""), f"[{SEPARATORS}]")
     timed = lambda x: F.transform(F.split(x, f"[{DASHES}]"), lambda t: F.trim(t))
     number = lambda x: F.forall(listed(x), lambda n: F.trim(n).rlike("^[0-9]+$")) & ~F.lower(x[0]).rlike(f"^(?:{'|'.join(LABELS)})? {{2,}}")
     plain = lambda x: (F.size(x) == 1) & ~x[0].endswith(" ")
     clocks = lambda x: (F.size(x) == 2) & (F.size(timed(x[1])) <= 2) & F.forall(timed(x[1]), lambda t: t.rlike("^[0-9]+:[0-9]{2}(:[0-9]{2})?$")) & ~x[1].endswith(" ")
     numbers = F.flatten(F.transform(F.filter(parts, lambda x: number(x) & (plain(x) | clocks(x))), lambda x: F.transform(listed(x), lambda n: F.trim(n))))
-    return df.select(key, F.posexplode(numbers).alias("pos", "index")).withColumn("index", F.col("index").cast("int"))
+    return df.select(key, F.posexplode(numbers).alias("pos", "index")).withColumn("index", F.col("index").try_cast("int"))
 
 
 # --- text that is still being written -----------------------------------------------------------------------------------

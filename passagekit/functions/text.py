@@ -51,9 +51,8 @@ def human_duration(seconds: Column) -> Column:
 
 
 def facet_int(raw: Column) -> Column:
-    """An integer of at least 1 from text: trimmed, integral decimals accepted, anything else null."""
-    t = F.trim(raw)
-    n = F.when(t.rlike(r"^[+-]?[0-9]+(\.0*)?$"), t.cast("double")).cast("long")
+    """An integer of at least 1 from text: trimmed, integral decimals accepted, anything else and beyond 63 bits null."""
+    n = F.regexp_extract(F.trim(raw), r"^([+-]?[0-9]+)(?:\.0*)?$", 1).try_cast("long")
     return F.when(n >= 1, n)
 
 
@@ -70,10 +69,10 @@ def truncate_caption(text: Column, limit: int = 120, least: int = 60) -> Column:
 
 
 def split_video_id(video: Column) -> tuple[Column, Column]:
-    """Base id and part number of ids that end in _p and digits."""
+    """Base id and part number of ids that end in _p and digits; a number beyond 31 bits is null."""
     base = F.regexp_extract(video, r"^(.+?)_p([0-9]+)$", 1)
     part = F.regexp_extract(video, r"^(.+?)_p([0-9]+)$", 2)
-    return F.when(base != "", base).otherwise(video), F.when(part != "", part.cast("int"))
+    return F.when(base != "", base).otherwise(video), part.try_cast("int")
 
 
 def ends_sentence(text: Column) -> Column:
@@ -143,11 +142,13 @@ def fence_header(index: Column, title: Column, section: Column, start: Column, e
     )
 
 
+#: Fixed value: how a section is named: a number, perhaps after a label and in a bracket; after the bracket any text.
+SECTION_REFERENCE = r"(?i)^\s*(?:source\s*)?\[?\s*([0-9]+)\s*(?:\].*|)$"
+
+
 def section_reference(raw: Column) -> Column:
-    """The number of "[N] any text" or of a bare "N"."""
-    n = F.regexp_extract(F.trim(raw), r"^(?i:\[\s*(?:source|section)?\s*([0-9]+)\s*\].*|([0-9]+))$", 1)
-    bare = F.regexp_extract(F.trim(raw), r"^([0-9]+)$", 1)
-    return F.coalesce(F.nullif(n, F.lit("")), F.nullif(bare, F.lit(""))).cast("int")
+    """The number of "[N] any text", "source [N]" or a bare "N"; null for other texts and for numbers beyond 31 bits."""
+    return F.regexp_extract(raw, SECTION_REFERENCE, 1).try_cast("int")
 
 
 #: Marks that a punctuation model may insert, and both spaces.
@@ -202,7 +203,7 @@ def resource_type(url: Column) -> Column:
 
 
 def part_number(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(url, "[?&]p(?:age)?=([0-9]+)", 1), F.lit("")).cast("int")
+    return F.regexp_extract(url, "[?&]p(?:age)?=([0-9]+)", 1).try_cast("int")
 
 
 def cookies(header: Column) -> Column:

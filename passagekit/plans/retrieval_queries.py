@@ -401,7 +401,8 @@ def outline_expansion(spark: SparkSession, d: str) -> DataFrame:
     "read_section",
     f"""
     WITH asked AS (SELECT query_id, raw, CASE WHEN query_id % 5 <> 4 THEN (query_id % 9 + 1)::INT END AS index FROM (
-           SELECT query_id, CASE query_id % 5 WHEN 4 THEN 'the last' WHEN 3 THEN '' || (query_id % 9 + 1) ELSE '[' || (query_id % 9 + 1) || '] please' END AS raw FROM question)),
+           SELECT query_id, CASE WHEN query_id % 25 = 4 THEN '[99999999999]' ELSE CASE query_id % 5 WHEN 4 THEN 'the last' WHEN 3 THEN '' || (query_id % 9 + 1) WHEN 2 THEN 'Source [' || (query_id % 9 + 1) || ']'
+             WHEN 1 THEN 'source ' || (query_id % 9 + 1) ELSE '[' || (query_id % 9 + 1) || '] please' END END AS raw FROM question)),
     txt AS ({_turns("source_id, section_seq", "speaker", True, "(SELECT g.*, s.section_seq FROM seg g JOIN section s ON s.source_id = g.source_id AND g.seq BETWEEN s.seg_start AND s.seg_end)")})
     SELECT a.query_id, raw, a.index, md5(text) AS text_md5, CASE WHEN a.index IS NULL THEN 'not a section number' WHEN n.section_seq IS NULL THEN 'unknown section' WHEN text IS NULL THEN 'no transcript' END AS error
     FROM asked a LEFT JOIN numbered n ON n.query_id = a.query_id AND n.index = a.index LEFT JOIN txt ON txt.source_id = n.source_id AND txt.section_seq = n.section_seq""",
@@ -411,7 +412,8 @@ def read_section(spark: SparkSession, d: str) -> DataFrame:
 
     i, s = F.col("query_id"), sections(spark, d)
     n = (i % 9 + 1).cast("string")
-    raw = F.when(i % 5 == 4, "the last").when(i % 5 == 3, n).otherwise(F.concat(F.lit("["), n, F.lit("] please")))
+    raw = F.when(i % 25 == 4, "[99999999999]").when(i % 5 == 4, "the last").when(i % 5 == 3, n).when(i % 5 == 2, F.concat(F.lit("Source ["), n, F.lit("]")))
+    raw = raw.when(i % 5 == 1, F.concat(F.lit("source "), n)).otherwise(F.concat(F.lit("["), n, F.lit("] please")))
     asked = questions(spark, d).select("query_id", raw.alias("raw")).withColumn("index", section_reference(F.col("raw")))
     out = E.read_sections(asked, E.allocate(E.chunk_sections(retrieved(spark, d), s)), s, T.segments(spark, d))
     return out.select("query_id", "raw", "index", F.md5("text").alias("text_md5"), "error")

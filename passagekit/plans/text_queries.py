@@ -36,15 +36,16 @@ def human_duration(spark: SparkSession, d: str) -> DataFrame:
     return T.sources(spark, d).select("source_id", X.human_duration(F.col("duration_seconds") * 10).alias("said"))
 
 
-RAW = "CASE doc_id % 8 WHEN 0 THEN ' ' || doc_id || ' ' WHEN 1 THEN doc_id || '.0' WHEN 2 THEN '-3' WHEN 3 THEN 'eight' WHEN 4 THEN '' WHEN 5 THEN '8.5' WHEN 6 THEN '0' END"
+RAW = "CASE doc_id % 8 WHEN 0 THEN ' ' || doc_id || ' ' WHEN 1 THEN doc_id || '.0' WHEN 2 THEN '-3' WHEN 3 THEN 'eight' WHEN 4 THEN '' WHEN 5 THEN '8.5' WHEN 6 THEN '0' ELSE '99999999999999999999' END"
 
 
-@query("facet_int", f"SELECT doc_id, CASE WHEN regexp_full_match(trim(raw), '[+-]?[0-9]+(\\.0*)?') AND trim(raw)::DOUBLE >= 1 THEN trim(raw)::DOUBLE::BIGINT END AS n FROM (SELECT doc_id, {RAW} AS raw FROM documents)")
+@query("facet_int", f"SELECT doc_id, CASE WHEN regexp_full_match(trim(raw), '[+-]?[0-9]+(\\.0*)?') AND TRY_CAST(split_part(trim(raw), '.', 1) AS BIGINT) >= 1 THEN TRY_CAST(split_part(trim(raw), '.', 1) AS BIGINT) END AS n FROM (SELECT doc_id, {RAW} AS raw FROM documents)")
 def facet_int(spark: SparkSession, d: str) -> DataFrame:
     i, s = F.col("doc_id"), F.col("doc_id").cast("string")
     raw = F.when(i % 8 == 0, F.concat(F.lit(" "), s, F.lit(" "))).when(i % 8 == 1, F.concat(s, F.lit(".0")))
     for k, v in {2: "-3", 3: "eight", 4: "", 5: "8.5", 6: "0"}.items():
         raw = raw.when(i % 8 == k, v)
+    raw = raw.otherwise("99999999999999999999")
     return documents(spark, d, X.facet_int(raw).alias("n"))
 
 
@@ -190,10 +191,15 @@ BRACKETED = r"""SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p)::
     FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'As said [' || (doc_id % 9) || '] and (Source 2, 3).' WHEN 1 THEN 'See 【1，' || (doc_id % 9) || '】 or [4 @ 1:02-1:05] here' WHEN 2 THEN 'No [12] nor [2) or [x]' ELSE 'Ends in [' END AS t FROM documents))"""
 
 
-@query("citations_batch", f"SELECT doc_id, pos, n AS index, n BETWEEN 1 AND 5 AS known FROM ({BRACKETED})")
+#: Every fifth answer ends in a number that no section can have.
+OVER_LONG = BRACKETED.replace("END AS t FROM documents", "END || CASE WHEN doc_id % 5 = 0 THEN ' [99999999999]' ELSE '' END AS t FROM documents")
+
+
+@query("citations_batch", f"SELECT doc_id, pos, TRY_CAST(n AS INT)::BIGINT AS index, TRY_CAST(n AS INT) BETWEEN 1 AND 5 AS known FROM ({OVER_LONG})")
 def citations_batch(spark: SparkSession, d: str) -> DataFrame:
     """Numbers cited by whole answers; five sections are known."""
-    cited = Q.cited_numbers(_answers(spark, d), "doc_id", "text")
+    answers = _answers(spark, d).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 5 == 0, " [99999999999]").otherwise("")))
+    cited = Q.cited_numbers(answers, "doc_id", "text")
     return cited.select("doc_id", "pos", F.col("index").cast("long").alias("index"), F.col("index").between(1, 5).alias("known"))
 
 

@@ -37,7 +37,7 @@ def test_grades(spark, raw, n):
     assert value(spark, X.parse_grade(L(raw).cast("string"))) == n
 
 
-@pytest.mark.parametrize(("raw", "n"), [("[3]", 3), ("[ 12 ] as said", 12), ("4", 4), ("4 or so", None), ("[Source 2]", 2), ("none", None)])
+@pytest.mark.parametrize(("raw", "n"), [("[3]", 3), ("[ 12 ] as said", 12), ("4", 4), ("4 or so", None), ("[Source 2]", None), ("none", None)])
 def test_section_reference(spark, raw, n):
     assert value(spark, X.section_reference(L(raw))) == n
 
@@ -119,3 +119,22 @@ def test_citations_of_columns_equal_those_of_the_reader(spark):
 def test_merged_settings(spark):
     merged = X.merged_deep(L('{"a": {"b": 1, "c": 2}, "d": 3}'), L('{"a": {"c": null}, "e": "x"}'))
     assert value(spark, merged) == '{"a":{"b":1,"c":null},"d":3,"e":"x"}'
+
+
+def test_over_long_numbers_and_section_references(spark):
+    """One odd answer must not stop a job: numbers that fit no section are null."""
+    from passagekit.functions import citations, text
+
+    long = "99999999999999999999"
+    cited = spark.createDataFrame([(1, f"see [{long}] and [2, {long}, 3]"), (2, f"[{'7,' * 600000}8]")], "doc_id long, text string")
+    got = citations.cited_numbers(cited, "doc_id", "text")
+    assert [r["index"] for r in got.where("doc_id = 1").orderBy("pos").collect()] == [None, 2, None, 3]
+    assert got.where("doc_id = 2").count() == 600_001  # a bracket is read whole, however long
+    rows = [("[4] \"title\"", 4), ("source 3", 3), ("Source [3]", 3), (" 5 ", 5), ("[ 6 ] any text [7]", 6), ("7]", 7), ("[section 3]", None), ("Episode 5 talk", None), ("5 talk", None), (f"[{long}]", None), (None, None)]
+    df = spark.createDataFrame(rows, "raw string, n int")
+    assert df.select(text.section_reference(F.col("raw")).alias("got"), "n").where("NOT got <=> n").collect() == []
+    rows = [(long, None), ("9007199254740993", 9007199254740993), ("9007199254740993.00", 9007199254740993), (" +7. ", 7), ("-3", None), ("0", None), ("1.5", None), (f"v_p{long}", None)]
+    df = spark.createDataFrame(rows, "raw string, n long")
+    assert df.select(text.facet_int(F.col("raw")).alias("got"), "n").where("NOT got <=> n").collect() == []
+    odd = spark.createDataFrame([(f"v_p{long}", f"http://a?p={long}")], "video string, url string").select(text.split_video_id(F.col("video"))[1].alias("part"), text.part_number(F.col("url")).alias("page"))
+    assert odd.collect()[0] == (None, None)
