@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fence_header, format_hms
+from .intervals import merged, within
 
 GAP = "\n\n[…]\n\n"
 
@@ -21,14 +22,12 @@ def joined(texts: str, order: str | list[str], separator: str = "\n") -> Column:
 
 def chunk_sections(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     """Each chunk with the section of its source that holds its first segment; chunks in no section go."""
-    s = sections.select("source_id", "section_seq", F.col("seg_start").alias("_a"), F.col("seg_end").alias("_b"))
-    return chunks.join(s, "source_id").where(F.col("seg_start").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    return within(chunks, "seg_start", sections, "seg_start", "seg_end", ["section_seq"])
 
 
 def segments_in_ranges(segments: DataFrame, ranges: DataFrame) -> DataFrame:
     """Segments inside any of the ranges (source_id, seg_start, seg_end), each once."""
-    r = ranges.select(F.col("source_id").alias("_s"), "seg_start", "seg_end")
-    return segments.join(r, (F.col("source_id") == F.col("_s")) & F.col("seq").between(F.col("seg_start"), F.col("seg_end")), "left_semi")
+    return within(segments, "seq", merged(ranges, "seg_start", "seg_end"), "seg_start", "seg_end", [])
 
 
 def speaker_namespace(segments: DataFrame, scope: list[str]) -> DataFrame:
@@ -109,8 +108,9 @@ def find_passages(hits: DataFrame, sections: DataFrame, segments: DataFrame, tit
     placed = chunk_sections(hits, sections)
     numbers = allocate(placed)
     key = ["query_id", "source_id", "section_seq"]
-    inside = placed.select(*key, "chunk_id", "seg_start", "seg_end").join(segments.select("source_id", "seq", "start_s", "speaker", "text"), "source_id")
-    inside = inside.where(F.col("seq").between(F.col("seg_start"), F.col("seg_end")))
+    # a hit shows all of its segments, so it is met with them by their numbers
+    asked = placed.select(*key, "chunk_id", "seg_start", "seg_end").where("seg_start <= seg_end").withColumn("seq", F.explode(F.sequence("seg_start", "seg_end")))
+    inside = asked.join(segments.select("source_id", "seq", "start_s", "speaker", "text"), ["source_id", "seq"])
     first = F.min("seq").over(Window.partitionBy("query_id", "source_id", "speaker"))
     spk = F.dense_rank().over(Window.partitionBy("query_id", "source_id").orderBy("_first")) - 1
     named = inside.withColumn("_first", first).withColumn("spk", spk).join(numbers.select(*key, "index"), key)
@@ -134,7 +134,7 @@ def read_sections(asked: DataFrame, numbers: DataFrame, sections: DataFrame, seg
     """Whole text of sections asked for by number (query_id, raw, index); what cannot be read has an error instead."""
     found = asked.join(numbers, ["query_id", "index"], "left").join(sections.select("source_id", "section_seq", "seg_start", "seg_end"), ["source_id", "section_seq"], "left")
     own = found.where("seg_start IS NOT NULL").select("source_id", "section_seq", "seg_start", "seg_end").distinct()
-    inside = segments.join(own, "source_id").where(F.col("seq").between(F.col("seg_start"), F.col("seg_end"))).drop("seg_start", "seg_end")
+    inside = within(segments, "seq", own, "seg_start", "seg_end", ["section_seq"])
     text = speaker_turns(inside, ["source_id", "section_seq"], times=True)
     error = F.when(F.col("index").isNull(), "not a section number").when(F.col("seg_start").isNull(), "unknown section").when(F.col("text").isNull(), "no transcript")
     return found.join(text, ["source_id", "section_seq"], "left").select("query_id", "raw", "index", "source_id", "section_seq", "text", error.alias("error"))

@@ -1,4 +1,4 @@
-"""Hybrid retrieval: an inverted index with BM25, exact nearest neighbours, rank fusion, reranking and the final cut.
+"""Hybrid retrieval: postings, exact nearest neighbours, rank fusion, reranking and the final cut.
 
 Every operator works on a batch of queries at once; a limit for each query is a row number over the query, which Spark
 turns into a partial limit before the shuffle.
@@ -6,11 +6,12 @@ turns into a partial limit before the shuffle.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
@@ -20,98 +21,21 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 50_000
 
+Scorer = Callable[[str, list[str]], list[float]]
+Rerank = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
-# --- index -----------------------------------------------------------------------------------------------------------
 
+# --- postings --------------------------------------------------------------------------------------------------------
 
-@dataclass
-class Index:
-    """postings: (col, term, chunk_id, tf, len), len being the chunk's tokens over all columns; terms: (col, term, df);
-    stats: one row of (n, average): the number of chunks and their average length."""
 
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
-
-
-def postings(chunks: DataFrame, columns: dict[str, Column] | None = None, positions: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(col, term, chunk_id, tf, len) of each indexed column's tokens, and the columns to keep; with ``positions`` also
-    where they stand."""
+def postings(chunks: DataFrame, columns: dict[str, Column] | None = None) -> DataFrame:
+    """(col, term, chunk_id, tf, len) of each indexed column's tokens."""
     columns = columns or {"content": word_tokens(F.col("text"))}
     named = F.array(*(F.struct(F.lit(c).alias("col"), tokens.alias("tokens")) for c, tokens in columns.items()))
-    held = chunks.select("chunk_id", *keep, named.alias("named"))
+    held = chunks.select("chunk_id", named.alias("named"))
     size = F.aggregate("named", F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.size(x["tokens"]), F.lit(0)))
-    each = held.select("chunk_id", *keep, size.alias("len"), F.explode("named").alias("x")).select("chunk_id", *keep, "len", "x.col", F.posexplode("x.tokens").alias("pos", "term"))
-    tf = [F.count("*").alias("tf")] + ([F.collect_list("pos").alias("positions")] if positions else [])
-    return each.groupBy("col", "term", "chunk_id", *keep, "len").agg(*tf)
-
-
-def doc_lengths(index: DataFrame) -> DataFrame:
-    """Tokens of each chunk over all indexed columns."""
-    return index.select("chunk_id", "len").distinct()
-
-
-def index_over(rows: DataFrame, chunks: DataFrame) -> Index:
-    """The index of written postings: document frequencies and statistics over all chunks, also those without a token."""
-    terms = rows.groupBy("col", "term").agg(F.count("*").alias("df"))
-    stats = chunks.agg(F.count("*").alias("n")).crossJoin(doc_lengths(rows).agg(F.sum("len").alias("total")))
-    return Index(rows, terms, stats.select("n", (F.coalesce("total", F.lit(0)) / F.greatest("n", F.lit(1))).alias("average")))
-
-
-def write_index(chunks: DataFrame, path: str, columns: dict[str, Column] | None = None) -> None:
-    """Store chunks (chunk_id, source_id and what ``columns`` name) as an index.
-
-    Postings lie by ranges of terms, so that a search for some terms reads few row groups.
-    """
-    spark = chunks.sparkSession
-    rows = postings(chunks, columns, keep=("source_id",))
-    rows.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-    chunks.select("chunk_id", "source_id").write.mode("overwrite").parquet(f"{path}/chunks")
-    whole = index_over(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/chunks"))
-    whole.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    whole.stats.write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")))
-
-
-def without_sources(spark: SparkSession, path: str, gone: DataFrame) -> Index:
-    """A stored index without some sources (source_id): their rows go, and frequencies and statistics are those of the rest."""
-    left = lambda name: spark.read.parquet(f"{path}/{name}").join(gone.select("source_id").distinct(), "source_id", "left_anti")
-    return index_over(left("postings"), left("chunks"))
-
-
-def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
-    """(query_id, col, term, weight): repeated terms count as often as they stand."""
-    terms = queries.select("query_id", F.explode(word_tokens(F.col(text))).alias("term"))
-    return terms.groupBy("query_id", "term").agg(F.count("*").alias("weight")).select("query_id", F.lit("content").alias("col"), "term", "weight")
-
-
-def phrase_hits(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(query_id, phrase_no, chunk_id, tf) of phrases (query_id, phrase_no, terms): places where the terms stand in a row."""
-    where = chunks.select("chunk_id", F.posexplode(word_tokens(F.col("text"))).alias("pos", "term"))
-    asked = phrases.select("query_id", "phrase_no", F.size("terms").alias("n"), F.posexplode("terms").alias("nth", "term"))
-    met = asked.join(where, "term").groupBy("query_id", "phrase_no", "chunk_id", "n", (F.col("pos") - F.col("nth")).alias("start")).agg(F.count("*").alias("met"))
-    return met.where("met = n").groupBy("query_id", "phrase_no", "chunk_id").agg(F.count("*").alias("tf"))
-
-
-def bm25(index: Index, terms: DataFrame, pool: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score) of chunks that hold a query term in its column.
-
-    Statistics are those of the whole index, even where ``pool`` (chunk_id) scopes the rows.
-    """
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weighted = terms.join(index.terms, ["col", "term"]).crossJoin(F.broadcast(index.stats)).select("query_id", "col", "term", (idf * F.col("weight")).alias("idf"), "average")
-    rows = index.postings if pool is None else index.postings.join(pool, "chunk_id", "left_semi")
-    hits = rows.select("col", "term", "chunk_id", "tf", "len").join(weighted, ["col", "term"])
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("average")))
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-
-
-def best_chunks(scores: DataFrame, k: int | Column) -> DataFrame:
-    """The k best of each query, ties by chunk_id."""
-    return top_k(scores, k, [F.desc(F.round("score", 9)), F.asc("chunk_id")])
+    each = held.select("chunk_id", size.alias("len"), F.explode("named").alias("x")).select("chunk_id", "len", "x.col", F.explode("x.tokens").alias("term"))
+    return each.groupBy("col", "term", "chunk_id", "len").agg(F.count("*").alias("tf"))
 
 
 def top_k(df: DataFrame, k: int | Column, order: list[Column], by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -205,16 +129,47 @@ def pool_size(sources_total: Column | int, k: int) -> Column:
 
 
 def lexical_rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Candidates by the share of the query's distinct terms that they hold; ties keep their rank.
-
-    Stands for a cross-encoder: any scorer that adds a score column to (query_id, chunk_id, rank) can take its place.
-    """
+    """Candidates by the share of the query's distinct terms that they hold; ties keep their rank.  A scorer without a model."""
     q = queries.select("query_id", F.array_distinct(word_tokens(F.col("text"))).alias("asked"))
     c = chunks.select("chunk_id", F.array_distinct(word_tokens(F.col("text"))).alias("held"))
     share = F.size(F.array_intersect("asked", "held")) / F.greatest(F.size("asked"), F.lit(1))
     scored = candidates.join(q, "query_id").join(c, "chunk_id").withColumn("rerank_score", share).drop("asked", "held")
-    w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
-    return scored.withColumn("rank", F.row_number().over(w))
+    return by_score(scored)
+
+
+def by_score(scored: DataFrame) -> DataFrame:
+    """Candidates (query_id, rank, rerank_score) in the order of their scores, ties as they were ranked.
+
+    A query of whose candidates any has no score was not reranked: it keeps its order, and ``reranked`` says so.
+    """
+    whole = F.min(F.col("rerank_score").isNotNull()).over(Window.partitionBy("query_id"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.when(F.col("reranked"), F.col("rerank_score"))), "rank")
+    return scored.withColumn("reranked", whole).withColumn("rank", F.row_number().over(w))
+
+
+def model_rerank(scorer: Scorer) -> Rerank:
+    """Reranking by a function of (question, texts) to as many numbers, such as a cross-encoder.
+
+    A task gives it one question and its candidates at a time.  Where it raises, or gives no finite number for each text, the
+    question's candidates have no score and keep their order.
+    """
+
+    def scores(question: str | None, texts: list[str]) -> list[float | None]:
+        try:
+            out = [float(x) for x in scorer(question or "", texts)]
+        except Exception:  # noqa: BLE001 - a model may fail in any way, and only this question must not suffer
+            return [None] * len(texts)
+        return out if len(out) == len(texts) and all(map(math.isfinite, out)) else [None] * len(texts)
+
+    def run(table: pa.Table) -> pa.Table:
+        got = scores(table["question"][0].as_py(), [t or "" for t in table["text"].to_pylist()])
+        return table.drop_columns(["question", "text"]).append_column("rerank_score", pa.array(got, pa.float64()))
+
+    def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+        pairs = candidates.join(queries.select("query_id", F.col("text").alias("question")), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+        return by_score(pairs.groupBy("query_id").applyInArrow(run, pairs.drop("question", "text").withColumn("rerank_score", F.lit(None).cast("double")).schema))
+
+    return rerank
 
 
 def coverage(hits: DataFrame) -> DataFrame:
@@ -224,15 +179,19 @@ def coverage(hits: DataFrame) -> DataFrame:
     return out.select("query_id", "source_id", "n_chunks", F.col("f.chunk_id").alias("first_chunk_id"), F.col("f.best").alias("best_score"))
 
 
-def retrieve(queries: DataFrame, terms: DataFrame, index: Index, vectors: DataFrame, chunks: DataFrame, scope: DataFrame, keep, k: int = 8) -> DataFrame:
+def retrieve(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, scope: DataFrame, text_arm, keep, k: int = 8, rerank: Rerank | None = lexical_rerank) -> DataFrame:
     """The first k chunks of each question (query_id, text, vector) among a scope of sources (source_id).
 
-    Each arm gives as many candidates as the scope's size asks for; the arms are fused where both found something; what
-    they found is reranked.  ``keep`` writes a small frame under a name and reads it again, so that it is made once.
+    Each arm gives as many candidates as the scope's size asks for: ``text_arm`` of (size, pool) ranks chunks by words; the
+    arms are fused where both found something; what they found is reranked, unless ``rerank`` is None.  Questions that the
+    reranker fails for, and all without one, keep the order of the fusion, and ``reranked`` is false.  ``keep`` writes a
+    small frame under a name and reads it again, so that it is made once.
     """
     pool = chunks.join(scope, "source_id", "left_semi").select("chunk_id")
     size = scope.agg(pool_size(F.count("*"), k).alias("size")).first()["size"]
-    text_arm = keep(best_chunks(bm25(index, terms, pool), size), "text-arm")
-    vector_arm = keep(nearest(queries, vectors.join(pool, "chunk_id", "left_semi"), size), "vector-arm")
-    found = keep(hybrid(vector_arm, text_arm).where(F.col("rank") <= size), "candidates")
-    return lexical_rerank(found, queries, chunks.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi")).where(F.col("rank") <= k)
+    words = keep(text_arm(size, pool), "text-arm")
+    near = keep(nearest(queries, vectors.join(pool, "chunk_id", "left_semi"), size), "vector-arm")
+    found = keep(hybrid(near, words).where(F.col("rank") <= size), "candidates")
+    if rerank is None:
+        return found.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("reranked", F.lit(False)).where(F.col("rank") <= k)
+    return rerank(found, queries, chunks.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi")).where(F.col("rank") <= k)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import cjk as H
 from ..operators import evidence as E
+from ..operators import inverted as V
 from ..operators import retrieval as R
 from ..operators import segmentation as S
 from ..sources import stored
@@ -25,16 +27,30 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
     return stored.table(spark, d, f"sections-{SECTION_TOKENS}", ("documents",), lambda: S.derive_sections(T.segments(spark, d), SECTION_TOKENS))
 
 
+#: Ten Han characters, two for each of five syllables.
+HAN_LETTERS, HAN_SYLLABLES = "苹平果国地敌方房中终", "aabbccddee"
+
+
+def _spoken(text):
+    """Bigrams of syllables; texts without Han characters have none."""
+    syllables = F.create_map(*(F.lit(x) for pair in zip(HAN_LETTERS, HAN_SYLLABLES, strict=True) for x in pair))
+    return F.when(text.rlike(f"[{H.HAN}]"), H.syllable_tokens(text, syllables)).otherwise(F.array().cast("array<string>"))
+
+
+#: What the index holds of a text: words, Han characters and pairs of them; and how it sounds.
+COLUMNS = {"content": V.search_tokens, "spoken": _spoken}
+
+
 def index_path(spark: SparkSession, d: str) -> str:
-    return stored.place(spark, d, "index", ("documents",), lambda path: R.write_index(T.chunks(spark, d), path))
+    return stored.place(spark, d, "index", ("documents",), lambda path: V.write_segment(T.chunks(spark, d), path, COLUMNS))
 
 
-def index(spark: SparkSession, d: str) -> R.Index:
-    return R.read_index(spark, index_path(spark, d))
+def index(spark: SparkSession, d: str) -> V.Index:
+    return V.read_index(spark, index_path(spark, d))
 
 
 def text_arm(spark: SparkSession, d: str, k: int = 60) -> DataFrame:
-    return R.best_chunks(R.bm25(index(spark, d), R.query_terms(questions(spark, d))), k)
+    return V.search(index(spark, d), V.query_terms(questions(spark, d)), k)
 
 
 def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -185,8 +201,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 )
 def bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of all chunks, rows of one list."""
-    scores = R.bm25(index(spark, d), R.query_terms(questions(spark, d)), list_pool(spark, d, "src1"))
-    return R.best_chunks(scores, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return V.search(index(spark, d), V.query_terms(questions(spark, d)), 10, list_pool(spark, d, "src1")).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("phrase_hits", r"""
@@ -198,7 +213,7 @@ def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.text import word_tokens
 
     phrases = questions(spark, d).select("query_id", F.lit(0).alias("phrase_no"), F.slice(word_tokens(F.col("text")), 1, 2).alias("terms"))
-    return R.phrase_hits(T.chunks(spark, d), phrases.where("size(terms) = 2"))
+    return V.phrase_hits(index(spark, d), phrases.where("size(terms) = 2"))
 
 
 KNN_SQL = """SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM (
@@ -465,21 +480,53 @@ def registry_reseed(spark: SparkSession, d: str) -> DataFrame:
 # --- the index as a table, and retrieval as one step ---------------------------------------------------------------------
 
 
-def _cleared(name: str, where: str) -> str:
-    return f"""SELECT term, count(*) AS df, (SELECT count(*) FROM chunk WHERE {where}) AS n FROM posting p WHERE chunk_id IN (SELECT chunk_id FROM chunk WHERE {where}) GROUP BY term"""
+def _counts(index_: V.Index) -> DataFrame:
+    """Of each term: chunks by the signed counts, and chunks and places by the living entries; and the index's size."""
+    held = index_.entries(index_.lists, "col", "term").groupBy("col", "term").agg(F.count("*").alias("n_held"), F.sum("tf").alias("tf"))
+    return index_.terms.join(held, ["col", "term"], "full").crossJoin(F.broadcast(index_.stats)).select("term", "df", "n_held", "tf", "n", F.round("average", 6).alias("average"))
+
+
+def _counts_sql(chunks: str) -> str:
+    """The same of an index that is made of these chunks from scratch."""
+    return rf"""WITH own AS ({chunks}), p AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{{L}}\p{{N}}]+')) AS term FROM own) GROUP BY chunk_id, term)
+      SELECT term, count(*) AS df, count(*) AS n_held, sum(tf)::BIGINT AS tf, (SELECT count(*) FROM own) AS n, round((SELECT sum(tf) FROM p)::DOUBLE / (SELECT count(*) FROM own), 6) AS average FROM p GROUP BY term"""
+
+
+def _own_index(spark: SparkSession, d: str, name: str) -> str:
+    """An index of this query alone, in two segments."""
+    from ..sources.scratch import folder
+
+    path = folder(spark, name) + "/index"
+    for half in (0, 1):
+        V.write_segment(T.chunks(spark, d).where(F.col("source_id") % 2 == half), path, COLUMNS)
+    return path
 
 
-@query("index_clear_list", _cleared("index_clear_list", "source_id NOT IN (SELECT source_id FROM src WHERE list_id = 'src1')"))
+@query("index_clear_list", _counts_sql("SELECT * FROM chunk WHERE source_id NOT IN (SELECT source_id FROM src WHERE list_id = 'src1')"))
 def index_clear_list(spark: SparkSession, d: str) -> DataFrame:
-    """Frequencies and size of the stored index without the sources of one list."""
-    left = R.without_sources(spark, index_path(spark, d), T.sources(spark, d).where("list_id = 'src1'"))
-    return left.terms.crossJoin(F.broadcast(left.stats)).select("term", "df", "n")
+    """An index from which the sources of one list were cleared in place."""
+    path = _own_index(spark, d, "cleared-list")
+    V.clear_sources(spark, path, T.sources(spark, d).where("list_id = 'src1'"))
+    return _counts(V.read_index(spark, path))
 
 
-@query("index_clear_source", _cleared("index_clear_source", "source_id <> 3"))
+@query("index_clear_source", _counts_sql("SELECT * FROM chunk WHERE source_id NOT IN (3, 4)"))
 def index_clear_source(spark: SparkSession, d: str) -> DataFrame:
-    left = R.without_sources(spark, index_path(spark, d), T.sources(spark, d).where("source_id = 3"))
-    return left.terms.crossJoin(F.broadcast(left.stats)).select("term", "df", "n")
+    """One source after the other cleared in place, one of them twice, then all segments merged into one."""
+    path = _own_index(spark, d, "cleared-source")
+    for gone in ("source_id = 3", "source_id = 4", "source_id = 3"):
+        V.clear_sources(spark, path, T.sources(spark, d).where(gone))
+    V.merge(spark, path, path + "-merged")
+    return _counts(V.read_index(spark, path + "-merged"))
+
+
+@query("index_replaced_source", _counts_sql("SELECT chunk_id, CASE WHEN source_id % 10 = 3 THEN 'replaced ' || text ELSE text END AS text FROM chunk WHERE source_id % 10 <> 3 OR chunk_index % 2 = 0"))
+def index_replaced_source(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth source replaced in place by half of its chunks, with a word more."""
+    path = _own_index(spark, d, "replaced")
+    new = T.chunks(spark, d).where("source_id % 10 = 3 AND chunk_index % 2 = 0").withColumn("text", F.concat(F.lit("replaced "), "text"))
+    V.replace_sources(new, path, COLUMNS, T.sources(spark, d).where("source_id % 10 = 3"))
+    return _counts(V.read_index(spark, path))
 
 
 @query("vector_sink", "SELECT source_id, count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) * CASE WHEN list_id = 'src2' THEN 2 ELSE 1 END), 6) AS total FROM embeddings JOIN src ON source_id = vec_id WHERE list_id <> 'src3' AND source_id IN (SELECT source_id FROM chunk WHERE chunk_index = 0) GROUP BY source_id, list_id")
@@ -538,39 +585,53 @@ def retrieve_full(spark: SparkSession, d: str) -> DataFrame:
     """Questions over two lists: as many candidates an arm as the scope asks for, fused, reranked, cut to eight."""
     scope = T.sources(spark, d).where("list_id IN ('src1', 'src2')").select("source_id")
     q = question_vectors(spark, d)
-    out = R.retrieve(q, R.query_terms(questions(spark, d)), index(spark, d), chunk_vectors(spark, d), T.chunks(spark, d), scope, stored.once, K)
+    words = lambda size, pool: V.search(index(spark, d), V.query_terms(questions(spark, d)), size, pool)
+    out = R.retrieve(q, chunk_vectors(spark, d), T.chunks(spark, d), scope, words, stored.once, K)
     return out.select("query_id", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), "rank")
 
 
-#: Ten Han characters, two for each of five syllables.
-HAN_LETTERS, HAN_SYLLABLES = "苹平果国地敌方房中终", "aabbccddee"
+def _word_scorer(question: str, texts: list[str]) -> list[float]:
+    """A stand-in for a cross-encoder: characters of the text, negated; fails for questions of an odd number of characters."""
+    if len(question) % 2:
+        raise RuntimeError("the model does not load")
+    return [-float(len(t)) for t in texts]
+
+
+@query(
+    "retrieve_rerank_failure",
+    f"""WITH {FULL} SELECT query_id, chunk_id, reranked, rank FROM (
+          SELECT query_id, chunk_id, length(q.text) % 2 = 0 AS reranked, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN length(q.text) % 2 = 0 THEN length(c.text) END, cand.rank) AS rank
+          FROM cand JOIN question q USING (query_id) JOIN chunk c USING (chunk_id)) WHERE rank <= 8""",
+)
+def retrieve_rerank_failure(spark: SparkSession, d: str) -> DataFrame:
+    """A model that fails for some questions: these keep the order of the fusion and lose no chunk."""
+    scope = T.sources(spark, d).where("list_id IN ('src1', 'src2')").select("source_id")
+    words = lambda size, pool: V.search(index(spark, d), V.query_terms(questions(spark, d)), size, pool)
+    out = R.retrieve(question_vectors(spark, d), chunk_vectors(spark, d), T.chunks(spark, d), scope, words, stored.once, K, R.model_rerank(_word_scorer))
+    return out.select("query_id", "chunk_id", "reranked", "rank")
+
+
 HAN_SQL = f"""han AS (SELECT doc_id, translate(lpad(doc_id::VARCHAR, 6, '0'), '0123456789', '{HAN_LETTERS}') AS t FROM documents),
     asked AS (SELECT doc_id AS query_id, translate(lpad(doc_id::VARCHAR, 6, '0'), '0123456789', '{HAN_LETTERS[1]}{HAN_LETTERS[0]}{HAN_LETTERS[2:]}')[3:6] AS t FROM documents WHERE doc_id % 50 = 0),
-    pairs AS (SELECT 'content' AS col, doc_id, unnest([t[i:i + 1] FOR i IN range(1, length(t))]) AS term FROM han UNION ALL SELECT 'spoken', doc_id, unnest([s[i:i + 1] FOR i IN range(1, length(s))]) FROM (SELECT doc_id, translate(t, '{HAN_LETTERS}', '{HAN_SYLLABLES}') AS s FROM han)),
+    pairs AS (SELECT 'content' AS col, doc_id, unnest(string_split(t, '') || [t[i:i + 1] FOR i IN range(1, length(t))]) AS term FROM han UNION ALL SELECT 'spoken', doc_id, unnest([s[i:i + 1] FOR i IN range(1, length(s))]) FROM (SELECT doc_id, translate(t, '{HAN_LETTERS}', '{HAN_SYLLABLES}') AS s FROM han)),
     terms AS (SELECT 'content' AS col, query_id, unnest([t[i:i + 1] FOR i IN range(1, length(t))]) AS term FROM asked UNION ALL SELECT 'spoken', query_id, unnest([s[i:i + 1] FOR i IN range(1, length(s))]) FROM (SELECT query_id, translate(t, '{HAN_LETTERS}', '{HAN_SYLLABLES}') AS s FROM asked))"""
 
 
 def _han(spark: SparkSession, d: str):
-    """Texts of Han characters with their syllables, and questions in which two characters are written as homophones."""
-    from ..functions import cjk as H
-
+    """An index of texts of Han characters, and questions in which two characters are written as homophones."""
     digits = F.lpad(F.col("doc_id").cast("string"), 6, "0")
-    syllables = F.create_map(*(F.lit(x) for pair in zip(HAN_LETTERS, HAN_SYLLABLES, strict=True) for x in pair))
     doc = T.table(spark, d, "documents")
-    chunks = doc.select(F.col("doc_id").alias("chunk_id"), F.translate(digits, "0123456789", HAN_LETTERS).alias("text"))
+    chunks = doc.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("source_id"), F.translate(digits, "0123456789", HAN_LETTERS).alias("text"))
     asked = doc.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.substring(F.translate(digits, "0123456789", HAN_LETTERS[1] + HAN_LETTERS[0] + HAN_LETTERS[2:]), 3, 4).alias("text"))
-    tokens = {"content": H.query_tokens(F.col("text")), "spoken": H.syllable_tokens(F.col("text"), syllables)}
-    index_ = R.index_over(stored.once(R.postings(chunks, tokens), "han"), chunks)
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), t.alias("tokens")) for c, t in tokens.items())))
-    terms = asked.select("query_id", each.alias("x")).select("query_id", "x.col", F.explode("x.tokens").alias("term")).groupBy("query_id", "col", "term").agg(F.count("*").alias("weight"))
-    return index_, terms
+    path = stored.place(spark, d, "han", ("documents",), lambda path: V.write_segment(chunks, path, COLUMNS))
+    return V.read_index(spark, path), V.query_terms(asked, columns={"content": V.asked_tokens, "spoken": _spoken})
 
 
 @query("match_columns", f"WITH {HAN_SQL} SELECT t.query_id, p.doc_id AS chunk_id, count(DISTINCT (p.col, p.term)) AS n FROM terms t JOIN pairs p USING (col, term) GROUP BY ALL")
 def match_columns(spark: SparkSession, d: str) -> DataFrame:
     """Every fiftieth document asks, of all; terms of one column never meet those of the other."""
     index_, terms = _han(spark, d)
-    hits = terms.join(index_.postings, ["col", "term"])
+    hits = terms.join(index_.entries(index_.lists, "col", "term"), ["col", "term"])
     return hits.groupBy("query_id", "chunk_id").agg(F.count_distinct("col", "term").alias("n"))
 
 
@@ -584,4 +645,4 @@ def match_columns(spark: SparkSession, d: str) -> DataFrame:
 def homophone_arm(spark: SparkSession, d: str) -> DataFrame:
     """The column of syllables finds what is written with other characters."""
     index_, terms = _han(spark, d)
-    return R.best_chunks(R.bm25(index_, terms.where("col = 'spoken'")), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return V.search(index_, terms.where("col = 'spoken'"), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")

@@ -8,26 +8,6 @@ from passagekit.operators import evidence as E
 from passagekit.operators import retrieval as R
 
 
-def test_bm25_ranks_the_denser_text_first(spark):
-    chunks = spark.createDataFrame([(1, "cat dog bird"), (2, "cat cat cat cat cat"), (3, "fish whale shark")], "chunk_id long, text string")
-    terms = R.query_terms(spark.createDataFrame([(0, "cat")], "query_id long, text string"))
-    out = R.top_k(R.bm25(R.index_over(R.postings(chunks), chunks), terms), 10, [F.desc("score"), F.asc("chunk_id")]).orderBy("rank").collect()
-    assert [r.chunk_id for r in out] == [2, 1]
-
-
-def test_columns_do_not_meet(spark):
-    chunks = spark.createDataFrame([(1, "zzz", "bar")], "chunk_id long, text string, spoken string")
-    index = R.postings(chunks, {"content": F.split("text", " "), "spoken": F.split("spoken", " ")})
-    terms = R.query_terms(spark.createDataFrame([(0, "foo bar")], "query_id long, text string"))
-    assert R.bm25(R.index_over(index, chunks), terms).count() == 0
-
-
-def test_phrases(spark):
-    chunks = spark.createDataFrame([(1, "a machine-learning text, machine learning"), (2, "learning machine")], "chunk_id long, text string")
-    asked = spark.createDataFrame([(0, 0, ["machine", "learning"])], "query_id long, phrase_no int, terms array<string>")
-    assert [(r.chunk_id, r.tf) for r in R.phrase_hits(chunks, asked).collect()] == [(1, 2)]
-
-
 def test_no_cap_on_chunks_of_one_source(spark):
     hits = spark.createDataFrame([(0, i, 0 if i < 6 else 1, i + 1, None, float(i)) for i in range(7)], "query_id long, chunk_id long, source_id long, rank int, score double, distance double")
     assert {(r.source_id, r.n_chunks, r.first_chunk_id) for r in R.coverage(hits).collect()} == {(0, 6, 0), (1, 1, 6)}
