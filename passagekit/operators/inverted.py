@@ -5,8 +5,8 @@ Layout below a path, all plain Parquet tables with a number for each change:
 * ``lists/seg=/bucket=``: for each column and term the chunks that hold it, in lists of a bounded number of chunks; a
   bucket is a hash of the term, so a search reads the buckets of its terms.  Where the terms stand lies in a column of its
   own, which only phrases read.
-* ``chunks/seg=``: each chunk's source, length and distinct terms, in the order of sources, so that clearing a source reads
-  that source's rows and no list.
+* ``chunks/seg=``: each chunk's number in the segment, its id, source, length and tokens, in the order of sources, so that
+  clearing a source reads that source's rows and no list.  Lists and scores name chunks by segment and number.
 * ``terms/seg=`` and ``stats/seg=``: signed changes of document frequencies and sizes; readers add them up.
 * ``gone/seg=``: sources whose rows in earlier segments are dead.
 
@@ -30,6 +30,7 @@ from .retrieval import B, K1, LEAST_IDF, top_k
 BUCKETS = 32
 SHARD = 20_000  # chunks a list may name, about
 SEED = 2_000  # chunks of a query's rarest terms from which its first bound is taken
+SHARE = 0.5  # of the bound that terms which are not scored first may reach: less of it, and fewer chunks are looked up
 SLACK = 1e-6  # far above the rounding by which ties are told
 
 Columns = dict[str, Callable[[Column], Column]]
@@ -50,7 +51,7 @@ CONTENT: Columns = {"content": search_tokens}
 
 @dataclass
 class Index:
-    """lists: (seg, bucket, col, term, shard, entries, positions); chunks: (chunk_id, source_id, len, held, seg);
+    """lists: (seg, bucket, col, term, shard, entries, positions); chunks: (seg, no, chunk_id, source_id, len, named);
     terms: (col, term, df, most_tf, least_len); stats: one row (n, average); gone: (source_id, before), null if none is."""
 
     lists: DataFrame
@@ -67,8 +68,12 @@ class Index:
         return rows.join(g, (F.col("source_id") == F.col("_s")) & (F.col("seg") <= F.col("before")), "left_anti")
 
     def entries(self, lists: DataFrame, *keep: str) -> DataFrame:
-        """A row for each living chunk of these lists."""
-        return self.alive(lists.select("seg", *keep, F.explode("entries").alias("e")).select("seg", *keep, "e.*")).drop("seg")
+        """A row (seg, no, source_id, tf, len) for each living chunk of these lists."""
+        return self.alive(lists.select("seg", *keep, F.explode("entries").alias("e")).select("seg", *keep, "e.*"))
+
+    def ids(self, rows: DataFrame) -> DataFrame:
+        """Rows (seg, no) with their chunk_id instead."""
+        return rows.join(self.chunks.select("seg", "no", "chunk_id"), ["seg", "no"]).drop("seg", "no")
 
 
 # --- writing ----------------------------------------------------------------------------------------------------------
@@ -85,27 +90,33 @@ def _numbers(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(x.getPath().getName().partition("=")[2]) for x in files.listStatus(folder)) if files.exists(folder) else []
 
 
-def _write(rows: DataFrame, chunks: DataFrame, path: str, number: int) -> None:
-    """rows: (col, term, chunk_id, source_id, len, tf, positions), dealt by bucket and shard; chunks: (chunk_id, source_id, len, held)."""
-    spark = rows.sparkSession
-    entry = F.struct("chunk_id", "source_id", "tf", "len", "positions")
+def _write(chunks: DataFrame, path: str, number: int) -> None:
+    """chunks: (chunk_id, source_id, named), named being the tokens of each column."""
+    spark = chunks.sparkSession
+    size = F.aggregate("named", F.lit(0).cast("long"), lambda n, x: n + F.size(x["tokens"]))
+    ranged = chunks.select("chunk_id", "source_id", size.alias("len"), "named").repartitionByRange("source_id", "chunk_id").sortWithinPartitions("source_id")
+    ranged.withColumn("no", F.monotonically_increasing_id()).write.parquet(f"{path}/chunks/seg={number}")
+    held = spark.read.parquet(f"{path}/chunks/seg={number}")
+    n, total = held.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    shards = max(1, -(-n // SHARD))
+    each = held.select("no", "source_id", "len", F.explode("named").alias("x")).select("no", "source_id", "len", "x.col", F.posexplode("x.tokens").alias("pos", "term"))
+    # by bucket and a share of the chunks, so that no term is one task's alone
+    dealt = each.withColumn("bucket", _bucket(F.col("term"))).withColumn("shard", F.pmod(F.xxhash64("no"), F.lit(shards)).cast("int")).repartition("bucket", "shard")
+    rows = dealt.groupBy("bucket", "shard", "col", "term", "no", "source_id", "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     lists = rows.groupBy("bucket", "shard", "col", "term").agg(
-        F.sort_array(F.collect_list(entry)).alias("all"), F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("len").alias("least_len")
+        F.sort_array(F.collect_list(F.struct("no", "source_id", "tf", "len", "positions"))).alias("all"), F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("len").alias("least_len")
     )
-    short = F.transform("all", lambda e: F.struct(e["chunk_id"].alias("chunk_id"), e["source_id"].alias("source_id"), e["tf"].alias("tf"), e["len"].alias("len")))
+    short = F.transform("all", lambda e: F.struct(e["no"].alias("no"), e["source_id"].alias("source_id"), e["tf"].alias("tf"), e["len"].alias("len")))
     lists = lists.select("bucket", "col", "term", "shard", "n", "most_tf", "least_len", short.alias("entries"), F.transform("all", lambda e: e["positions"]).alias("positions"))
     lists.write.partitionBy("bucket").parquet(f"{path}/lists/seg={number}")
-    chunks.repartitionByRange("source_id", "chunk_id").sortWithinPartitions("source_id").write.parquet(f"{path}/chunks/seg={number}")
-    written = spark.read.schema(_lists_schema(chunks.schema)).parquet(f"{path}/lists/seg={number}")
+    written = spark.read.schema(_lists_schema(held.schema)).parquet(f"{path}/lists/seg={number}")
     terms = written.groupBy("col", "term").agg(F.sum("n").alias("df"), F.max("most_tf").alias("most_tf"), F.min("least_len").alias("least_len"))
-    stored = spark.read.parquet(f"{path}/chunks/seg={number}")
-    stored.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).write.parquet(f"{path}/stats/seg={number}")
+    spark.createDataFrame([(n, total)], "n long, total long").write.parquet(f"{path}/stats/seg={number}")
     terms.write.parquet(f"{path}/terms/seg={number}")  # last: its folder counts the change
 
 
 def _lists_schema(chunks: StructType) -> StructType:
-    kind = {name: chunks[name].dataType for name in ("chunk_id", "source_id")}
-    entry = StructType([StructField("chunk_id", kind["chunk_id"]), StructField("source_id", kind["source_id"]), StructField("tf", LongType()), StructField("len", LongType())])
+    entry = StructType([StructField("no", LongType()), StructField("source_id", chunks["source_id"].dataType), StructField("tf", LongType()), StructField("len", LongType())])
     return StructType(
         [
             *(StructField(c, StringType()) for c in ("col", "term")),
@@ -118,12 +129,6 @@ def _lists_schema(chunks: StructType) -> StructType:
     )
 
 
-def _dealt(rows: DataFrame, chunks: int) -> DataFrame:
-    """By bucket and a share of the chunks, so that no term is one task's alone."""
-    shards = max(1, -(-chunks // SHARD))
-    return rows.withColumn("bucket", _bucket(F.col("term"))).withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int")).repartition("bucket", "shard")
-
-
 def write_segment(chunks: DataFrame, path: str, columns: Columns = CONTENT) -> int:
     """Add chunks (chunk_id, source_id, text) to an index, which begins with its first segment; gives the change's number.
 
@@ -131,13 +136,8 @@ def write_segment(chunks: DataFrame, path: str, columns: Columns = CONTENT) -> i
     """
     spark = chunks.sparkSession
     named = F.array(*(F.struct(F.lit(c).alias("col"), F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens")) for c, tokens in columns.items()))
-    held = chunks.select("chunk_id", "source_id", named.alias("named"))
-    size = F.aggregate("named", F.lit(0).cast("long"), lambda n, x: n + F.size(x["tokens"]))
-    each = held.select("chunk_id", "source_id", size.alias("len"), F.explode("named").alias("x")).select("chunk_id", "source_id", "len", "x.col", F.posexplode("x.tokens").alias("pos", "term"))
-    rows = _dealt(each, chunks.count()).groupBy("bucket", "shard", "col", "term", "chunk_id", "source_id", "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    distinct = F.transform("named", lambda x: F.struct(x["col"].alias("col"), F.array_distinct(x["tokens"]).alias("terms")))
     number = (_numbers(spark, path) or [0])[-1] + 1
-    _write(rows, held.select("chunk_id", "source_id", size.alias("len"), distinct.alias("held")), path, number)
+    _write(chunks.select("chunk_id", "source_id", named.alias("named")), path, number)
     return number
 
 
@@ -147,7 +147,7 @@ def clear_sources(spark: SparkSession, path: str, sources: DataFrame) -> int:
     asked = sources.select("source_id").distinct()
     dead = whole.alive(whole.chunks).join(asked, "source_id", "left_semi")
     number = _numbers(spark, path)[-1] + 1
-    counts = dead.select(F.explode("held").alias("x")).select("x.col", F.explode("x.terms").alias("term")).groupBy("col", "term").agg((-F.count("*")).alias("df"))
+    counts = dead.select(F.explode("named").alias("x")).select("x.col", F.explode(F.array_distinct("x.tokens")).alias("term")).groupBy("col", "term").agg((-F.count("*")).alias("df"))
     none = F.lit(None).cast("long")
     dead.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("len"), F.lit(0))).alias("total")).write.parquet(f"{path}/stats/seg={number}")
     asked.select("source_id", F.lit(number).alias("before")).write.parquet(f"{path}/gone/seg={number}")
@@ -164,9 +164,7 @@ def replace_sources(chunks: DataFrame, path: str, columns: Columns = CONTENT, so
 def merge(spark: SparkSession, path: str, into: str) -> None:
     """All living rows as one segment of a new index."""
     old = read_index(spark, path)
-    chunks = old.alive(old.chunks).select("chunk_id", "source_id", "len", "held")
-    each = old.lists.select("seg", "col", "term", F.explode(F.arrays_zip("entries", "positions")).alias("x")).select("seg", "col", "term", "x.entries.*", F.col("x.positions").alias("positions"))
-    _write(_dealt(old.alive(each).drop("seg"), chunks.count()), chunks, into, 1)
+    _write(old.alive(old.chunks).select("chunk_id", "source_id", "named"), into, 1)
 
 
 # --- reading ----------------------------------------------------------------------------------------------------------
@@ -202,9 +200,9 @@ def search(index: Index, terms: DataFrame, k: int, pool: DataFrame | None = None
     Exact, ties by chunk_id; statistics are those of the whole index, even where ``pool`` (chunk_id) scopes the rows.
 
     MaxScore: the k-th best sum over a query's rarest terms is a bound that any result must reach.  Terms whose largest
-    possible parts together stay below it cannot make a result by themselves; only the lists of the others are scored.  Of
-    what these find, chunks that could not reach the bound with all the rest go, and only for those that are left the
-    common terms are looked up.  ``keep`` writes a small frame under a name and reads it again.
+    possible parts together stay below a share of it cannot make a result by themselves; only the lists of the others are
+    scored.  Of what these find, chunks that could not reach the bound, by now a better one, with all the rest go, and only
+    for those that are left the common terms are looked up.  ``keep`` writes a frame under a name and reads it again.
     """
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF)) * F.col("weight")
     asked = terms.join(index.terms, ["col", "term"]).crossJoin(F.broadcast(index.stats)).withColumn("idf", idf).withColumn("most", _part("most_tf", "least_len"))
@@ -214,24 +212,30 @@ def search(index: Index, terms: DataFrame, k: int, pool: DataFrame | None = None
     buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS numbers
     lists = index.lists.where(F.col("bucket").isin(buckets)).select("seg", "bucket", "col", "term", "entries")
 
+    among = None if pool is None else index.chunks.join(pool, "chunk_id", "left_semi").select("seg", "no")
+
     def scored(some: DataFrame) -> DataFrame:
         hits = index.entries(lists.join(some.select("query_id", "bucket", "col", "term", "idf", "average"), ["bucket", "col", "term"]), "query_id", "idf", "average")
-        hits = hits if pool is None else hits.join(pool.select("chunk_id"), "chunk_id", "left_semi")
-        return hits.groupBy("query_id", "chunk_id").agg(F.sum(_part("tf", "len")).alias("score"))
+        hits = hits if among is None else hits.join(among, ["seg", "no"], "left_semi")
+        return hits.groupBy("query_id", "seg", "no").agg(F.sum(_part("tf", "len")).alias("score"))
+
+    def kth(scores: DataFrame, name: str) -> DataFrame:
+        best = top_k(scores, k, [F.desc("score")]).groupBy("query_id").agg(F.min("score").alias(name), F.count("*").alias("n"))
+        return best.where(F.col("n") == k).select("query_id", name)
 
-    first = top_k(scored(asked.where("seed")), k, [F.desc("score")]).groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("n")).where(F.col("n") == k)
     below = F.sum("most").over(by_query.orderBy("most", "col", "term"))
-    bounded = asked.join(first.select("query_id", "bound"), "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
-    bounded = keep(bounded.withColumn("needed", below >= F.col("bound") - SLACK), "bounded")
+    bounded = asked.join(kth(scored(asked.where("seed")), "bound"), "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    bounded = keep(bounded.withColumn("needed", below >= F.col("bound") * SHARE - SLACK), "bounded")
     rest = bounded.groupBy("query_id").agg(F.max("bound").alias("bound"), F.coalesce(F.sum(F.when(~F.col("needed"), F.col("most"))), F.lit(0.0)).alias("rest"))
-    found = scored(bounded.where("needed")).join(rest, "query_id").where(F.col("score") + F.col("rest") >= F.col("bound") - SLACK)
-    found = keep(found.select("query_id", "chunk_id", "score"), "found")
+    some = keep(scored(bounded.where("needed")), "scored")
+    rest = rest.join(kth(some, "better"), "query_id", "left").select("query_id", "rest", F.greatest("bound", F.coalesce("better", F.lit(0.0))).alias("bound"))
+    found = keep(some.join(rest, "query_id").where(F.col("score") + F.col("rest") >= F.col("bound") - SLACK).select("query_id", "seg", "no", "score"), "found")
     common = bounded.where("NOT needed").select("query_id", "bucket", "col", "term", "idf", "average")
     held = index.entries(lists.join(common.select("bucket", "col", "term").distinct(), ["bucket", "col", "term"]), "col", "term")
-    held = held.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi").select("col", "term", "chunk_id", "tf", "len")
-    more = found.select("query_id", "chunk_id").join(held, "chunk_id").join(common, ["query_id", "col", "term"]).select("query_id", "chunk_id", _part("tf", "len").alias("score"))
-    total = found.union(more).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
-    return top_k(total, k, [F.desc(F.round("score", 9)), F.asc("chunk_id")])
+    held = held.join(found.select("seg", "no").distinct(), ["seg", "no"], "left_semi").select("col", "term", "seg", "no", "tf", "len")
+    more = found.select("query_id", "seg", "no").join(held, ["seg", "no"]).join(common, ["query_id", "col", "term"]).select("query_id", "seg", "no", _part("tf", "len").alias("score"))
+    total = found.union(more).groupBy("query_id", "seg", "no").agg(F.sum("score").alias("score"))
+    return top_k(index.ids(total), k, [F.desc(F.round("score", 9)), F.asc("chunk_id")]).select("query_id", "chunk_id", "score", "rank")
 
 
 def phrase_hits(index: Index, phrases: DataFrame, col: str = "content") -> DataFrame:
@@ -243,7 +247,7 @@ def phrase_hits(index: Index, phrases: DataFrame, col: str = "content") -> DataF
     asked = asked.withColumn("bucket", _bucket(F.col("term")))
     met = index.lists.where(F.col("col") == col).select("seg", "bucket", "term", "entries", "positions").join(asked, ["bucket", "term"])
     each = met.select("seg", "query_id", "phrase_no", "n", "nth", F.explode(F.arrays_zip("entries", "positions")).alias("x")).select("seg", "query_id", "phrase_no", "n", "nth", "x.entries.*", F.col("x.positions").alias("positions"))
-    starts = index.alive(each).withColumn("starts", F.transform("positions", lambda p: p - F.col("nth"))).groupBy("query_id", "phrase_no", "chunk_id", "n")
+    starts = index.alive(each).withColumn("starts", F.transform("positions", lambda p: p - F.col("nth"))).groupBy("query_id", "phrase_no", "seg", "no", "n")
     both = starts.agg(F.collect_list("starts").alias("all")).where(F.size("all") == F.col("n"))
     shared = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.element_at("all", 1), lambda a, b: F.array_intersect(a, b))
-    return both.withColumn("tf", F.size(shared).cast("long")).where("tf > 0").select("query_id", "phrase_no", "chunk_id", "tf")
+    return index.ids(both.withColumn("tf", F.size(shared).cast("long")).where("tf > 0")).select("query_id", "phrase_no", "chunk_id", "tf")

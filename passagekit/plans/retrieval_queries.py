@@ -631,7 +631,7 @@ def _han(spark: SparkSession, d: str):
 def match_columns(spark: SparkSession, d: str) -> DataFrame:
     """Every fiftieth document asks, of all; terms of one column never meet those of the other."""
     index_, terms = _han(spark, d)
-    hits = terms.join(index_.entries(index_.lists, "col", "term"), ["col", "term"])
+    hits = index_.ids(terms.join(index_.entries(index_.lists, "col", "term"), ["col", "term"]))
     return hits.groupBy("query_id", "chunk_id").agg(F.count_distinct("col", "term").alias("n"))
 
 

@@ -131,7 +131,7 @@ def test_han_words_and_columns(spark, tmp_path):
     V.write_segment(spark.createDataFrame([("a", 1, "机器 学习 Café 3"), ("b", 2, "学"), ("c", 3, "cafe")], CHUNK), path, columns)
     index = V.read_index(spark, path)
     held = defaultdict(set)
-    for r in index.entries(index.lists, "col", "term").collect():
+    for r in index.ids(index.entries(index.lists, "col", "term")).collect():
         held[r.col, r.chunk_id].add(r.term)
     assert held["content", "a"] == {"机", "器", "学", "习", "机器", "器学", "学习", "cafe", "3"} and held["spoken", "a"] == {"zzz"}
     ask = lambda t: {r.chunk_id for r in V.search(index, V.query_terms(spark.createDataFrame([(0, t)], "query_id long, text string")), 9).collect()}
