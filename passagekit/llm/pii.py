@@ -265,7 +265,7 @@ def model(lines: int = 6000, epochs: int = 6, seed: int = 6) -> recurrent.Params
                 dmove += dm.astype(np.float32)
                 return value, ds.astype(np.float32)
 
-            _, grad = recurrent.gradients(p, x, mask, loss)
+            _, grad = recurrent.gradients(p, x, mask, loss, recurrent.Hard)
             grad["M"] = dmove
             adam.step(grad)
     return p
@@ -274,43 +274,35 @@ def model(lines: int = 6000, epochs: int = 6, seed: int = 6) -> recurrent.Params
 # --- from windows to spans -----------------------------------------------------------------------------------------
 
 
-def _sigmoid(x: np.ndarray) -> None:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    np.reciprocal(x, out=x)
-
-
 def _states(p: recurrent.Params, side: str, code: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The LSTM's states over windows, steps x hidden x windows; ``size`` is each window's length."""
     n = HIDDEN
-    # one sigmoid serves all gates: tanh(x) = 2 sigmoid(2x) - 1; rows are units, so that all steps work on whole rows
-    stretch = np.ones(4 * n, np.float32)
-    stretch[3 * n :] = 2
-    table = np.ascontiguousarray(((_inputs() @ p[f"W{side}"] + p[f"b{side}"]) * stretch).T.astype(np.float32))
+    # gates are lines of slope 1/4 through 1/2, put into the weights; rows are units, so that all steps work on whole rows
+    stretch, lift = np.full(4 * n, 0.25, np.float32), np.full(4 * n, 0.5, np.float32)
+    stretch[3 * n :], lift[3 * n :] = 1, 0
+    table = np.ascontiguousarray(((_inputs() @ p[f"W{side}"] + p[f"b{side}"]) * stretch + lift).T.astype(np.float32))
     move = np.ascontiguousarray((p[f"U{side}"] * stretch).T.astype(np.float32))
     steps, count = code.shape
     code = code.astype(np.intp)
     out = np.zeros((steps, n, count), np.float32)
     h, c = np.zeros((n, count), np.float32), np.zeros((n, count), np.float32)
     z, given = np.empty((4 * n, count), np.float32), np.empty((4 * n, count), np.float32)
-    new = given[:n]
+    gates, new = z[: 3 * n], z[3 * n :]
     uneven = side == "b" and size.min() < steps
     for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
         np.matmul(move, h, out=z)
         np.take(table, code[t], axis=1, out=given, mode="clip")
         z += given
-        _sigmoid(z)
-        np.multiply(z[3 * n :], 2, out=new)
-        new -= 1
+        np.maximum(gates, 0, out=gates)
+        np.minimum(gates, 1, out=gates)
+        np.maximum(new, -1, out=new)
+        np.minimum(new, 1, out=new)
         new *= z[:n]
         c *= z[n : 2 * n]
         c += new
         h = out[t]
-        np.multiply(c, 2, out=h)
-        _sigmoid(h)
-        h *= 2
-        h -= 1
+        np.maximum(c, -1, out=h)
+        np.minimum(h, 1, out=h)
         h *= z[2 * n : 3 * n]
         if uneven:  # a window begins, from behind, at its own end
             on = size > t
@@ -335,8 +327,10 @@ def scores(p: recurrent.Params, text: list[np.ndarray], lo: int = 0, hi: int | N
         own = (start < hi) & (start + size > lo)
         of, nth, start, size = of[own], nth[own], start[own], size[own]
     base, end = (lo, hi) if hi is not None else (0, int(at[-1]))
-    out, weight = np.zeros((end - base, TAGS), np.float32), np.zeros(end - base, np.float32)
+    out = np.zeros((TAGS, end - base), np.float32)
     order = np.argsort(-size, kind="stable")
+    # where two windows overlap, a character counts the more in each the further it lies from that window's edge
+    ramp = (np.arange(1, SIZE - STRIDE + 1, dtype=np.float32) / (SIZE - STRIDE + 1))[:, None, None]
     for first in range(0, len(order), BATCH):
         own = order[first : first + BATCH]
         steps = int(size[own[0]])
@@ -345,36 +339,41 @@ def scores(p: recurrent.Params, text: list[np.ndarray], lo: int = 0, hi: int | N
         code = flat[where]
         code[step[:, None] >= size[own]] = CODES - 1
         with np.errstate(over="ignore"):
-            score = p["V"][:HIDDEN].T @ _states(p, "f", code, size[own]) + p["V"][HIDDEN:].T @ _states(p, "b", code, size[own]) + p["c"][:, None]
-        # how central: the text's own ends are no edges
-        left = np.where(start[own] == 0, SIZE, step[:, None] + 1)
-        right = np.where(start[own] + size[own] == total[of[own]], SIZE, size[own] - step[:, None])
-        central = np.where(step[:, None] < size[own], np.minimum(left, right), 0).astype(np.float32)
-        score = np.ascontiguousarray((score * central[:, None, :]).transpose(2, 0, 1))
-        central = np.ascontiguousarray(central.T)
+            score = p["V"][:HIDDEN].T @ _states(p, "f", code, size[own])
+            score += p["V"][HIDDEN:].T @ _states(p, "b", code, size[own])
+        score += p["c"][:, None]
+        later, more = start[own] > 0, start[own] + size[own] < total[of[own]]
+        head = score[: SIZE - STRIDE]
+        head *= np.where(later, ramp[: len(head)], 1)
+        if more.any():  # windows with another behind them are full
+            score[STRIDE:SIZE] *= np.where(more, 1 - ramp[: steps - STRIDE], 1)
+        score = np.ascontiguousarray(score.transpose(2, 1, 0))
         begin = at[of[own]] + start[own]
         for i, (a, n) in enumerate(zip(begin.tolist(), size[own].tolist(), strict=True)):
             x, y = max(a, base), min(a + n, end)
-            out[x - base : y - base] += score[i, x - a : y - a]
-            weight[x - base : y - base] += central[i, x - a : y - a]
-    out /= np.maximum(weight, 1e-9)[:, None]
-    return out, at
+            out[:, x - base : y - base] += score[i, :, x - a : y - a]
+    return out.T, at
+
+
+def _gains(score: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The most that each character can gain inside a stretch of other tags than outside."""
+    top = np.maximum(score[:, 1], score[:, 2])
+    for k in range(3, TAGS):
+        np.maximum(top, score[:, k], out=top)
+    return (top - score[:, 0]).astype(np.float64) + (move[1:, 1:].max() - move[0, 0])
 
 
-def sure(score: np.ndarray, move: np.ndarray) -> np.ndarray:
+def sure(score: np.ndarray, move: np.ndarray, so_far: float = 0.0, least: float = np.inf, most: float = -np.inf) -> np.ndarray:
     """Characters that the best path surely leaves outside.
 
     A stretch of other tags gains at most its characters' scores above ``outside`` and the best transitions into, inside
-    and out of such a stretch.  Where no stretch around a character can gain anything, the path is outside there.
+    and out of such a stretch.  Where no stretch around a character can gain anything, the path is outside there.  Of a part
+    of a text, ``so_far`` are the gains before it, ``least`` their smallest sum yet and ``most`` the largest sum behind it.
     """
-    other = move[1:, 1:].max() - move[0, 0]
-    ends = max(0.0, move[0, 1:].max() - move[0, 0]) + max(0.0, move[1:, 0].max() - move[0, 0]) - other
-    top = score[:, 1].copy()
-    for k in range(2, TAGS):
-        np.maximum(top, score[:, k], out=top)
-    total = np.append(0.0, np.cumsum((top - score[:, 0]).astype(np.float64) + other))
-    before = np.minimum.accumulate(total)[:-1]
-    after = np.maximum.accumulate(total[:0:-1])[::-1]
+    ends = max(0.0, move[0, 1:].max() - move[0, 0]) + max(0.0, move[1:, 0].max() - move[0, 0]) - (move[1:, 1:].max() - move[0, 0])
+    total = np.append(so_far, so_far + np.cumsum(_gains(score, move)))
+    before = np.minimum(least, np.minimum.accumulate(total)[:-1])
+    after = np.maximum(most, np.maximum.accumulate(total[:0:-1])[::-1])
     return after - before + ends < -1e-6
 
 
@@ -415,17 +414,39 @@ def _runs(tags: np.ndarray, offset: int) -> list[Span]:
     return [(KINDS[kind[s] - 1], offset + s, offset + e) for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(tags)], strict=True) if kind[s]]
 
 
+def long_path(block, size: int, move: np.ndarray, step: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The one best path over a very long text, as (start, tags) of its parts; ``block(lo, hi)`` gives scores.
+
+    Scores are made twice: first for the largest sum of gains in each block, so that then each part is cut where a
+    character is surely outside whatever stands before and behind it in the whole text.
+    """
+    edges = [*range(0, size, step), size]
+    peaks, total = [], 0.0
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        sums = total + np.cumsum(_gains(block(lo, hi), move))
+        peaks.append(sums.max())
+        total = sums[-1]
+    behind = [-np.inf]
+    for peak in peaks[:0:-1]:
+        behind.insert(0, max(behind[0], peak))
+    held, begin, so_far, least = np.zeros((0, TAGS), np.float32), 0, 0.0, np.inf
+    for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        held = np.concatenate([held, block(lo, hi)])
+        if hi == size:
+            yield begin, best_path(held, np.array([0, len(held)]), move)
+            return
+        outside = np.flatnonzero(sure(held, move, so_far, least, behind[i]))
+        cut = int(outside[-1]) if len(outside) else 0
+        if cut:  # the character at the cut stands in both parts, outside in both
+            yield begin, best_path(held[: cut + 1], np.array([0, cut + 1]), move)[:cut]
+            sums = so_far + np.cumsum(_gains(held[:cut], move))
+            least = min(least, so_far, float(sums.min()))
+            held, begin, so_far = held[cut:], begin + cut, float(sums[-1])
+
+
 def _long(p: recurrent.Params, text: np.ndarray) -> list[Span]:
-    """The spans of a very long text: scores are made block by block, and a path ends where a character is surely outside."""
-    out, held, begin = [], np.zeros((0, TAGS), np.float32), 0
-    for lo in range(0, len(text), BLOCK):
-        hi = min(len(text), lo + BLOCK)
-        held = np.concatenate([held, scores(p, [text], lo, hi)[0]])
-        cut = len(held) if hi == len(text) else int(np.flatnonzero(np.append(True, sure(held, p["M"])))[-1])
-        if cut:
-            out += _runs(best_path(held[:cut], np.array([0, cut]), p["M"]), begin)
-            held, begin = held[cut:], begin + cut
-    return out
+    """The spans of a very long text, whose scores are made block by block."""
+    return [x for begin, tags in long_path(lambda lo, hi: scores(p, [text], lo, hi)[0], len(text), p["M"], BLOCK) for x in _runs(tags, begin)]
 
 
 def decode(p: recurrent.Params, texts: list[str]) -> list[list[Span]]:

@@ -144,6 +144,29 @@ def test_one_path_over_whole_texts(monkeypatch):
     assert pii.decode(p, texts) == whole and any(whole)
 
 
+def test_long_paths_are_exact_whatever_stands_behind():
+    """Random scores and transitions, among them gains that come only after a cut could have been made."""
+    rng = np.random.default_rng(0)
+    value = lambda s, t, move: s[np.arange(len(t)), t].sum(dtype=float) + move[t[:-1], t[1:]].sum(dtype=float)
+    cuts = 0
+    for trial in range(150):
+        n = int(rng.integers(2, 300))
+        move = rng.normal(0, 1.5, (pii.TAGS, pii.TAGS)).astype(np.float32) if trial % 2 else np.zeros((pii.TAGS, pii.TAGS), np.float32)
+        score = rng.normal(0, 1.5, (n, pii.TAGS)).astype(np.float32)
+        score[:, 0] += rng.choice([0.5, 2, 4, 6])
+        want = pii.viterbi(score[None], np.ones((1, n), bool), move)[0]
+        assert not want[pii.sure(score, move)].any()
+        parts = list(pii.long_path(lambda lo, hi, s=score: s[lo:hi], n, move, int(rng.integers(1, 60))))
+        cuts += len(parts) - 1
+        got = np.concatenate([t for _, t in parts])
+        assert len(got) == n and abs(value(score, got, move) - value(score, want, move)) < 1e-3
+    assert cuts > 50
+    # the first of two characters is outside alone, but not with the second behind it
+    score, move = np.full((2, pii.TAGS), -9, np.float32), np.full((pii.TAGS, pii.TAGS), -9, np.float32)
+    score[:, 0], score[:, 1], move[0, 0], move[1, 1], move[0, 1] = 0, [-0.5, 3], 0, 1, -2
+    assert [t for _, tags in pii.long_path(lambda lo, hi: score[lo:hi], 2, move, 1) for t in tags.tolist()] == pii.viterbi(score[None], np.ones((1, 2), bool), move)[0].tolist() == [1, 1]
+
+
 def test_network_finds_what_no_pattern_has():
     texts = ["write to jane at example dot com now", "call (555) 123-4567 today"]
     assert all(all_spans(t, base_spans(t), f) for t, f in zip(texts, pii.decode(model(), texts), strict=True))
