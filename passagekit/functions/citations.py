@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,14 +134,37 @@ def feed(held: str, delta: str, known: set[int]) -> tuple[list[tuple[str, str]],
     return out, (held + delta)[end:]
 
 
-def tree_paths(df: DataFrame, key: str, tree: str, depth: int) -> DataFrame:
-    """(key, path, parent, label) of each node of {"label", "children"} trees down to a depth; the root's path is 0."""
-    level = df.select(key, F.lit("0").alias("path"), F.lit(None).cast("string").alias("parent"), F.col(tree).alias("node"))
-    out = None
-    for _ in range(depth):
-        named = level.select(key, "path", "parent", F.get_json_object("node", "$.label").alias("label"))
-        out = named if out is None else out.unionByName(named)
-        kids = F.from_json(F.get_json_object("node", "$.children"), "array<string>")
-        level = level.select(key, F.col("path").alias("parent"), F.posexplode(kids).alias("i", "node"))
-        level = level.select(key, F.concat_ws(".", "parent", "i").alias("path"), "parent", "node")
-    return out
+def _nodes(tree: str | None) -> Iterator[tuple[str, str | None, str | None]]:
+    """(path, parent's path, label) of all nodes, each before its children."""
+    try:
+        root = json.loads(tree or "null")
+    except (ValueError, RecursionError):
+        return
+    open_ = [("0", None, root)]
+    while open_:
+        path, parent, node = open_.pop()
+        if not isinstance(node, dict):
+            continue
+        label, kids = node.get("label"), node.get("children")
+        yield path, parent, label if isinstance(label, str) or label is None else json.dumps(label, ensure_ascii=False)
+        if isinstance(kids, list):
+            open_ += [(f"{path}.{i}", path, kid) for i, kid in reversed(list(enumerate(kids)))]
+
+
+def tree_paths(df: DataFrame, key: str, tree: str) -> DataFrame:
+    """(key, path, parent, label) of each node of {"label", "children"} trees, however deep; the root's path is 0.
+
+    A missing label is null, missing or null children are none, and children that are no objects go.  A text that is no
+    JSON, or nested beyond what its parser takes, has no nodes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = list(_nodes(batch.column(1)[i].as_py()))
+                if rows:
+                    own = batch.column(0).take(pa.array([i] * len(rows)))
+                    yield pa.RecordBatch.from_arrays([own, *(pa.array(c, pa.string()) for c in zip(*rows, strict=True))], [key, "path", "parent", "label"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, tree).mapInArrow(run, f"{key} {kind}, path string, parent string, label string")

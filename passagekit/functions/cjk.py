@@ -44,11 +44,29 @@ def query_tokens(text: Column) -> Column:
     return F.flatten(F.transform(runs(text), lambda r: F.when(han(r), own(r)).otherwise(_split(r))))
 
 
-def syllable_tokens(text: Column, syllables: Column) -> Column:
-    """Bigrams of syllables of each Han run, by a map from character to syllable; single characters give none."""
+def syllables_of(run: Column, syllables: Column, phrases: Column | None = None, longest: int = 4) -> Column:
+    """The syllables of a Han run: of the longest phrase that begins where the last one ended, else of the character.
+
+    ``phrases`` maps phrases of two to ``longest`` characters to a syllable for each; a character without one stands for
+    itself.
+    """
+    one = lambda c: F.coalesce(syllables[c], c)
+    if phrases is None:
+        return F.transform(_characters(run), one)
+    at = lambda i: F.coalesce(*(phrases[F.substring(run, i, F.lit(n))] for n in range(longest, 1, -1)), F.array(one(F.substring(run, i, F.lit(1)))))
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("said"))
+
+    def read(state: Column, i: Column) -> Column:
+        more = F.struct((i + F.size(at(i))).alias("next"), F.concat(state["said"], at(i)).alias("said"))
+        return F.when(i < state["next"], state).otherwise(more)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(run)), start, read, lambda state: state["said"])
+
+
+def syllable_tokens(text: Column, syllables: Column, phrases: Column | None = None, longest: int = 4) -> Column:
+    """Bigrams of syllables of each Han run, by maps from characters and from phrases; single characters give none."""
     only = F.filter(runs(collapse_spaces(text)), lambda r: r.rlike(f"^[{HAN}]"))
-    spoken = lambda r: F.transform(_characters(r), lambda c: F.coalesce(syllables[c], c))
     pairs = lambda s: F.when(F.size(s) < 2, F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: F.concat(F.element_at(s, i), F.element_at(s, i + 1)))
     )
-    return F.flatten(F.transform(only, lambda r: pairs(spoken(r))))
+    return F.flatten(F.transform(only, lambda r: pairs(syllables_of(r, syllables, phrases, longest))))

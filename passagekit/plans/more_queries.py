@@ -115,12 +115,3 @@ def json_documents(spark: SparkSession, d: str) -> DataFrame:
     doc = F.to_json(F.struct(F.col("item_id").alias("id"), F.concat(F.lit("cat"), (F.col("item_id") % 9).cast("string")).alias("category")))
     T.table(spark, d, "benchmark").select(F.when(F.col("item_id") % 4 == 3, F.substring(doc, 1, 9)).otherwise(doc).alias("value")).write.text(path)
     return store.read_documents(spark, path, "id long, category string", "id")
-
-
-@query("committed_tables", "SELECT source_id, count(*) AS n FROM seg GROUP BY source_id")
-def committed_tables(spark: SparkSession, d: str) -> DataFrame:
-    path = folder(spark, "commit")
-    s = T.segments(spark, d).select("source_id", "seq")
-    store.commit({"sources": T.sources(spark, d), "segments": s.limit(0)}, path, 9)
-    store.commit({"sources": T.sources(spark, d), "segments": s}, path, 10)
-    return store.read_committed(spark, path, "segments").groupBy("source_id").agg(F.count("*").alias("n"))

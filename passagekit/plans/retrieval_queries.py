@@ -29,12 +29,15 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
 
 #: Ten Han characters, two for each of five syllables.
 HAN_LETTERS, HAN_SYLLABLES = "苹平果国地敌方房中终", "aabbccddee"
+#: Phrases in which characters sound otherwise than alone.
+HAN_PHRASES = {"国地": "xc", "地敌方": "cyz"}
 
 
 def _spoken(text):
-    """Bigrams of syllables; texts without Han characters have none."""
+    """Bigrams of syllables, phrases before characters; texts without Han characters have none."""
     syllables = F.create_map(*(F.lit(x) for pair in zip(HAN_LETTERS, HAN_SYLLABLES, strict=True) for x in pair))
-    return F.when(text.rlike(f"[{H.HAN}]"), H.syllable_tokens(text, syllables)).otherwise(F.array().cast("array<string>"))
+    phrases = F.create_map(*(x for phrase, said in HAN_PHRASES.items() for x in (F.lit(phrase), F.array(*map(F.lit, said)))))
+    return F.when(text.rlike(f"[{H.HAN}]"), H.syllable_tokens(text, syllables, phrases, 3)).otherwise(F.array().cast("array<string>"))
 
 
 #: What the index holds of a text: words, Han characters and pairs of them; and how it sounds.
@@ -611,10 +614,12 @@ def retrieve_rerank_failure(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "chunk_id", "reranked", "rank")
 
 
+#: A phrase of these that begins first ends before another could, so they may be replaced one after the other.
+SAID = "translate(" + "replace(" * len(HAN_PHRASES) + "t" + "".join(f", '{a}', '{b}')" for a, b in HAN_PHRASES.items()) + f", '{HAN_LETTERS}', '{HAN_SYLLABLES}')"
 HAN_SQL = f"""han AS (SELECT doc_id, translate(lpad(doc_id::VARCHAR, 6, '0'), '0123456789', '{HAN_LETTERS}') AS t FROM documents),
     asked AS (SELECT doc_id AS query_id, translate(lpad(doc_id::VARCHAR, 6, '0'), '0123456789', '{HAN_LETTERS[1]}{HAN_LETTERS[0]}{HAN_LETTERS[2:]}')[3:6] AS t FROM documents WHERE doc_id % 50 = 0),
-    pairs AS (SELECT 'content' AS col, doc_id, unnest(string_split(t, '') || [t[i:i + 1] FOR i IN range(1, length(t))]) AS term FROM han UNION ALL SELECT 'spoken', doc_id, unnest([s[i:i + 1] FOR i IN range(1, length(s))]) FROM (SELECT doc_id, translate(t, '{HAN_LETTERS}', '{HAN_SYLLABLES}') AS s FROM han)),
-    terms AS (SELECT 'content' AS col, query_id, unnest([t[i:i + 1] FOR i IN range(1, length(t))]) AS term FROM asked UNION ALL SELECT 'spoken', query_id, unnest([s[i:i + 1] FOR i IN range(1, length(s))]) FROM (SELECT query_id, translate(t, '{HAN_LETTERS}', '{HAN_SYLLABLES}') AS s FROM asked))"""
+    pairs AS (SELECT 'content' AS col, doc_id, unnest(string_split(t, '') || [t[i:i + 1] FOR i IN range(1, length(t))]) AS term FROM han UNION ALL SELECT 'spoken', doc_id, unnest([s[i:i + 1] FOR i IN range(1, length(s))]) FROM (SELECT doc_id, {SAID} AS s FROM han)),
+    terms AS (SELECT 'content' AS col, query_id, unnest([t[i:i + 1] FOR i IN range(1, length(t))]) AS term FROM asked UNION ALL SELECT 'spoken', query_id, unnest([s[i:i + 1] FOR i IN range(1, length(s))]) FROM (SELECT query_id, {SAID} AS s FROM asked))"""
 
 
 def _han(spark: SparkSession, d: str):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources import tables as T
 from ..sources.scratch import folder
 from ..streaming import citations as C
+from ..streaming import jobs as J
 from .registry import query
 from .text_queries import _answers
 
@@ -104,3 +105,39 @@ def turn_dedup_stream(spark: SparkSession, d: str) -> DataFrame:
     path = folder(spark, "dedup")
     shown = T.jobs(spark, d).select(F.col("entity").alias("turn_id"), F.concat_ws(":", "video_id", "status").alias("chunk_id"), F.timestamp_micros("updated_at").alias("at"))
     return C.drain(C.unseen(_replayed(shown, path), "400 days").select("turn_id", "chunk_id"), path)
+
+
+#: Jobs of the events' users; every third job that transcribes processes, and some need a sign-in.
+STATUS = "CASE WHEN status = 'transcribing' AND job_id % 3 = 0 THEN 'processing' WHEN status = 'failed' AND job_id % 5 = 0 THEN 'needs_auth' ELSE status END"
+MOVES = ", ".join(f"('{a}', '{b}', {J.PROGRESS.get(b, (0, 0))[0]}, {int(a in J.RETRIED)})" for a, bs in J.NEXT.items() for b in bs)
+AGAIN = ", ".join(f"('{a}', '{a}', {J.PROGRESS[a][1]}, 0)" for a in J.PROGRESS if J.NEXT[a])
+TRANSITIONS = f"""WITH RECURSIVE move AS (SELECT * FROM (VALUES {MOVES}, {AGAIN}) v(a, b, p, r)),
+    ev AS (SELECT entity, updated_at, job_id, {STATUS} AS status, row_number() OVER (PARTITION BY entity ORDER BY updated_at, job_id) AS i FROM job WHERE entity IS NOT NULL),
+    told AS (SELECT entity, 0::BIGINT AS i, NULL::BIGINT AS updated_at, NULL::BIGINT AS job_id, NULL::VARCHAR AS status, NULL::BOOLEAN AS accepted, '' AS state, 0 AS progress, 0 AS retries FROM (SELECT DISTINCT entity FROM ev)
+      UNION ALL SELECT told.entity, ev.i, ev.updated_at, ev.job_id, ev.status, b IS NOT NULL, coalesce(b, state), coalesce(p, progress), retries + coalesce(r, 0)
+                FROM told JOIN ev ON ev.entity = told.entity AND ev.i = told.i + 1 LEFT JOIN move ON a = state AND b = ev.status)
+    SELECT entity, updated_at, job_id, status, accepted, state, progress, retries FROM told WHERE i > 0"""
+
+
+def _job_events(spark: SparkSession, d: str) -> DataFrame:
+    return T.jobs(spark, d).select("entity", "updated_at", "job_id", F.expr(STATUS).alias("status"))
+
+
+@query("job_transitions", TRANSITIONS)
+def job_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """The events of all users' jobs: which are accepted, and where each leaves its job."""
+    return J.transitions(_job_events(spark, d), "entity", ("updated_at", "job_id"))
+
+
+@query("job_transitions_stream", TRANSITIONS)
+def job_transitions_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same events as a stream of three files in the order of time."""
+    path = folder(spark, "transitions")
+    jobs = _job_events(spark, d)
+    cuts = [None, *jobs.approxQuantile("updated_at", [0.33, 0.66], 0.1), None]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        part = jobs if lo is None else jobs.where(F.col("updated_at") > lo)
+        part = part if hi is None else part.where(F.col("updated_at") <= hi)
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return C.drain(J.stream_transitions(stream, "entity", ("updated_at", "job_id")), path)

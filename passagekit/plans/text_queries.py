@@ -147,15 +147,22 @@ def thumbnail_argmax(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "mindmap_paths",
-    """SELECT doc_id, '0' AS path, NULL AS parent, lang AS label FROM documents UNION ALL SELECT doc_id, '0.0', '0', source FROM documents
-       UNION ALL SELECT doc_id, '0.1', '0', 'n' || n_chars FROM documents UNION ALL SELECT doc_id, '0.1.0', '0.1', 'leaf' FROM documents""",
+    """WITH RECURSIVE made AS (SELECT doc_id, list_reduce(list_prepend('{"label":"leaf","children":[]}', [i::VARCHAR FOR i IN range(1, (doc_id % 40)::BIGINT + 1)]),
+           lambda tree, i: CASE WHEN i::INT % 3 = 0 THEN '{"children":[' ELSE '{"label":"n' || i || '","children":[' END || tree || CASE WHEN i::INT % 2 = 0 THEN ',{"label":"side' || i || '"}' ELSE '' END || ']}') AS tree FROM documents),
+         descent AS (SELECT doc_id, '0' AS path, NULL::VARCHAR AS parent, tree::JSON AS node FROM made
+           UNION ALL SELECT doc_id, path || '.' || i, path, json_extract(node, '$.children[' || i || ']') FROM (SELECT *, unnest(range(0, coalesce(json_array_length(node, '$.children'), 0)::BIGINT)) AS i FROM descent))
+       SELECT doc_id, path, parent, json_extract_string(node, '$.label') AS label FROM descent""",
 )
 def mindmap_paths(spark: SparkSession, d: str) -> DataFrame:
-    """A tree of JSON, walked level by level."""
-    node = lambda label, *kids: F.concat(F.lit('{"label":"'), label, F.lit('","children":['), F.concat_ws(",", *kids), F.lit("]}"))
-    tree = node(F.col("lang"), node(F.col("source")), node(F.concat(F.lit("n"), F.col("n_chars").cast("string")), node(F.lit("leaf"))))
+    """Trees of depth 1 to 40, with missing labels, side branches, and leaves with and without a list of children."""
+    i = lambda x: x.cast("string")
+    side = lambda x: F.when(x % 2 == 0, F.concat(F.lit(',{"label":"side'), i(x), F.lit('"}'))).otherwise("")
+    head = lambda x: F.when(x % 3 == 0, '{"children":[').otherwise(F.concat(F.lit('{"label":"n'), i(x), F.lit('","children":[')))
+    depth = F.col("doc_id") % 40
+    levels = F.when(depth > 0, F.sequence(F.lit(1).cast("long"), F.greatest(depth, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+    tree = F.aggregate(levels, F.lit('{"label":"leaf","children":[]}'), lambda inner, x: F.concat(head(x), inner, side(x), F.lit("]}")))
     fenced = F.concat(F.lit("```json\n"), tree, F.lit("\n```"))
-    return Q.tree_paths(documents(spark, d, X.strip_fences(fenced).alias("tree")), "doc_id", "tree", 3)
+    return Q.tree_paths(documents(spark, d, X.strip_fences(fenced).alias("tree")), "doc_id", "tree")
 
 
 @query(

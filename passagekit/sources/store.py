@@ -33,17 +33,3 @@ def write_documents(df: DataFrame, path: str) -> None:
 def write_text(df: DataFrame, path: str, text: str = "text", by: str = "list_id") -> None:
     """Finished texts as files, a folder a list."""
     df.select(by, F.col(text).alias("value")).write.mode("overwrite").partitionBy(by).text(path)
-
-
-def commit(tables: dict[str, DataFrame], path: str, version: int) -> None:
-    """Write several tables under a version number, then name it in a manifest: readers see all of them or none."""
-    spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{version}/{name}")
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{path}/manifest")
-
-
-def read_committed(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table of the latest version that was committed."""
-    version = spark.read.schema("version long").json(f"{path}/manifest").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/{version}/{name}")

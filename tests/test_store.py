@@ -21,14 +21,6 @@ def test_bad_documents_are_left_out(spark, tmp_path):
     assert [(r.id, r.x) for r in store.read_documents(spark, path, "id long, x string", "id").collect()] == [(1, "a")]
 
 
-def test_readers_see_committed_versions_only(spark, tmp_path):
-    path = str(tmp_path / "c")
-    one = spark.createDataFrame([(1,)], "x int")
-    store.commit({"a": one, "b": one}, path, 1)
-    one.union(one).write.parquet(f"{path}/2/a")  # a writer that died before its manifest
-    assert store.read_committed(spark, path, "a").count() == 1
-
-
 def test_upsert_keeps_the_old_id_and_facets_unless_new(spark):
     kind = "video_id string, list_id string, source_id string, title string, sequence_number int"
     base = spark.createDataFrame([("v1", "l", "old", "t", 3), ("v2", "l", "two", "u", None)], kind)
