@@ -73,6 +73,16 @@ def _scores(k: int, names: list[str], types: list[pa.DataType]):
     return run
 
 
+def block_scores(vectors: DataFrame, queries: DataFrame, key: list[str], k: int) -> DataFrame:
+    """(query_id, chunk_id, distance): of each block of vectors (chunk_id, vector, key) the k nearest of each query in it."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("chunk_id", vectors.schema["chunk_id"].dataType), StructField("distance", DoubleType())])
+    run = _scores(k, schema.fieldNames(), [to_arrow_type(f.dataType) for f in schema])
+    return vectors.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(run, schema)
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, max_distance: float | None = None) -> DataFrame:
     """The k nearest vectors (chunk_id, vector) of each query (query_id, vector), then those within a distance.
 
@@ -80,17 +90,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, max_distance: float
     the cut: far neighbours make no room for others.  Null vectors, and vectors of another number of components than a
     query's, are none of its neighbours.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     blocks, splits = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // VECTOR_BLOCK))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     v = vectors.where("vector IS NOT NULL").select("chunk_id", "vector", F.size("vector").alias("size"), F.pmod(F.xxhash64("chunk_id"), F.lit(splits)).cast("int").alias("split"), numbers(blocks).alias("block"))
     q = queries.where("vector IS NOT NULL").select("query_id", "vector", F.size("vector").alias("size"), numbers(splits).alias("split"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("chunk_id", vectors.schema["chunk_id"].dataType), StructField("distance", DoubleType())])
-    run = _scores(k, schema.fieldNames(), [to_arrow_type(f.dataType) for f in schema])
-    key = ["split", "block", "size"]
-    found = v.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(run, schema)
+    found = block_scores(v, q, ["split", "block", "size"], k)
     near = top_k(found, k, [F.asc(F.round("distance", 9)), F.asc("chunk_id")])
     return near if max_distance is None else near.where(F.col("distance") <= max_distance)
 

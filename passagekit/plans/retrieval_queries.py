@@ -238,6 +238,17 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     return _neighbours(spark, d, None)
 
 
+@query("knn_cells", KNN_SQL)
+def knn_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The same from stored cells, of which each query reads those that may hold a neighbour."""
+    from ..operators import cells as K_
+
+    v = T.table(spark, d, "embeddings")
+    path = stored.place(spark, d, "cells", ("embeddings",), lambda path: K_.write_cells(v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), path))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return K_.nearest_in_cells(asked, K_.read_cells(spark, path), 10).select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query("distance_floor", KNN_SQL + " AND distance <= 1.2")
 def distance_floor(spark: SparkSession, d: str) -> DataFrame:
     return _neighbours(spark, d, 1.2)
