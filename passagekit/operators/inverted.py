@@ -52,14 +52,20 @@ CONTENT: Columns = {"content": search_tokens}
 @dataclass
 class Index:
     """lists: (seg, bucket, col, term, shard, entries, positions); chunks: (seg, no, chunk_id, source_id, len, named);
-    terms: (col, term, df, most_tf, least_len); stats: one row (n, average); gone: (source_id, before), null if none is."""
+    changes: (col, term, df, most_tf, least_len), signed; stats: one row (n, average); gone: (source_id, before), null if
+    none is."""
 
     lists: DataFrame
     chunks: DataFrame
-    terms: DataFrame
+    changes: DataFrame
     stats: DataFrame
     gone: DataFrame | None
 
+    def terms(self, some: DataFrame | None = None) -> DataFrame:
+        """(col, term, df, most_tf, least_len) of all terms that living chunks hold, or of ``some`` (col, term)."""
+        own = self.changes if some is None else self.changes.join(some.select("col", "term").distinct(), ["col", "term"], "left_semi")
+        return own.groupBy("col", "term").agg(F.sum("df").alias("df"), F.max("most_tf").alias("most_tf"), F.min("least_len").alias("least_len")).where("df > 0")
+
     def alive(self, rows: DataFrame) -> DataFrame:
         """Rows (source_id, seg) whose source was not cleared after their segment was written."""
         if self.gone is None:
@@ -174,11 +180,10 @@ def read_index(spark: SparkSession, path: str) -> Index:
     table = lambda name: spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
     chunks = table("chunks")
     lists = spark.read.schema(_lists_schema(chunks.schema)).parquet(f"{path}/lists")
-    terms = table("terms").groupBy("col", "term").agg(F.sum("df").alias("df"), F.max("most_tf").alias("most_tf"), F.min("least_len").alias("least_len")).where("df > 0")
     stats = table("stats").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("average"))
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/gone")
     cleared = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-    return Index(lists, chunks, terms, stats, table("gone").groupBy("source_id").agg(F.max("before").alias("before")) if cleared else None)
+    return Index(lists, chunks, table("terms"), stats, table("gone").groupBy("source_id").agg(F.max("before").alias("before")) if cleared else None)
 
 
 def query_terms(queries: DataFrame, text: str = "text", columns: Columns | None = None) -> DataFrame:
@@ -205,7 +210,7 @@ def search(index: Index, terms: DataFrame, k: int, pool: DataFrame | None = None
     for those that are left the common terms are looked up.  ``keep`` writes a frame under a name and reads it again.
     """
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF)) * F.col("weight")
-    asked = terms.join(index.terms, ["col", "term"]).crossJoin(F.broadcast(index.stats)).withColumn("idf", idf).withColumn("most", _part("most_tf", "least_len"))
+    asked = terms.join(index.terms(terms), ["col", "term"]).crossJoin(F.broadcast(index.stats)).withColumn("idf", idf).withColumn("most", _part("most_tf", "least_len"))
     by_query = Window.partitionBy("query_id")
     rarest = F.sum("df").over(by_query.orderBy("df", "col", "term").rowsBetween(Window.unboundedPreceding, -1))
     asked = keep(asked.select("query_id", "col", "term", _bucket(F.col("term")).alias("bucket"), "idf", "average", "most", (F.coalesce(rarest, F.lit(0)) < SEED).alias("seed")), "asked")

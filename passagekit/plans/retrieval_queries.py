@@ -497,7 +497,7 @@ def registry_reseed(spark: SparkSession, d: str) -> DataFrame:
 def _counts(index_: V.Index) -> DataFrame:
     """Of each term: chunks by the signed counts, and chunks and places by the living entries; and the index's size."""
     held = index_.entries(index_.lists, "col", "term").groupBy("col", "term").agg(F.count("*").alias("n_held"), F.sum("tf").alias("tf"))
-    return index_.terms.join(held, ["col", "term"], "full").crossJoin(F.broadcast(index_.stats)).select("term", "df", "n_held", "tf", "n", F.round("average", 6).alias("average"))
+    return index_.terms().join(held, ["col", "term"], "full").crossJoin(F.broadcast(index_.stats)).select("term", "df", "n_held", "tf", "n", F.round("average", 6).alias("average"))
 
 
 def _counts_sql(chunks: str) -> str:
