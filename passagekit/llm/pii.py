@@ -25,6 +25,7 @@ TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 LINE, HIDDEN = 48, 12  # characters of a training line, at least
 SIZE, STRIDE = 512, 480  # windows of a text; a character lies in at most two
 BATCH = 448  # windows read together: a product of a step stays below what BLAS spreads over threads, which would spin
+LONE = 400  # characters of a stretch beyond which its path is searched in parts side by side
 BLOCK = 1 << 20  # characters of a very long text whose scores are held at once, about
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
@@ -153,22 +154,61 @@ def crf_loss(score: np.ndarray, mask: np.ndarray, tags: np.ndarray, move: np.nda
     return float(total - gold) / batch, dscore / batch, dmove / batch
 
 
-def viterbi(score: np.ndarray, mask: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """The best tags of each window.  The best sums are kept, and the way back is found from them."""
-    batch, steps, n = score.shape
-    score, on = np.ascontiguousarray(score.transpose(1, 2, 0)), mask.T > 0
+def _sums(score: np.ndarray, on: np.ndarray, move: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The best sums up to each step and tag: steps x tags x windows; ``first`` are those of the first step."""
     best = np.empty_like(score)
-    best[0] = score[0]
-    for t in range(1, steps):
+    best[0] = first
+    for t in range(1, len(score)):
         new = (best[t - 1][:, None] + move[:, :, None]).max(axis=0)
         new += score[t]
         best[t] = new if on[t].all() else np.where(on[t], new, best[t - 1])
-    out = np.zeros((steps, batch), np.int64)
-    out[-1] = best[-1].argmax(axis=0)
-    for t in range(steps - 1, 0, -1):
+    return best
+
+
+def _back(best: np.ndarray, on: np.ndarray, move: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The way back from the last tags, found from the sums: steps x windows."""
+    out = np.zeros((len(best), best.shape[2]), np.int64)
+    out[-1] = last
+    for t in range(len(best) - 1, 0, -1):
         came = (best[t - 1] + move[:, out[t]]).argmax(axis=0)
         out[t - 1] = np.where(on[t], came, out[t])
-    return out.T
+    return out
+
+
+def viterbi(score: np.ndarray, mask: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The best tags of each window.  The best sums are kept, and the way back is found from them."""
+    score, on = np.ascontiguousarray(score.transpose(1, 2, 0)), mask.T > 0
+    best = _sums(score, on, move, score[0])
+    return _back(best, on, move, best[-1].argmax(axis=0)).T
+
+
+def viterbi_long(score: np.ndarray, move: np.ndarray, part: int = 128) -> np.ndarray:
+    """The best tags of one long sequence: its parts are searched side by side, from each tag that may stand before them,
+    and then joined; exact, and a step is one for all parts."""
+    n = len(score)
+    parts = -(-n // part)
+    padded = np.zeros((parts * part, TAGS), score.dtype)
+    padded[:n] = score
+    cut = np.ascontiguousarray(padded.reshape(parts, part, TAGS).transpose(1, 2, 0))  # steps x tags x parts
+    on = (np.arange(parts * part) < n).reshape(parts, part).T
+    first = cut[0][None] + move[:, :, None]  # tag before x first tag x part
+    first[:, :, 0] = cut[0][:, 0]  # nothing stands before the first part
+    wide = np.repeat(cut, TAGS, axis=2).reshape(part, TAGS, parts, TAGS)  # the tag before varies fastest
+    wide = wide.reshape(part, TAGS, parts * TAGS)
+    best = _sums(wide, np.repeat(on, TAGS, axis=1), move, first.transpose(1, 2, 0).reshape(TAGS, parts * TAGS))
+    ends = best[-1].reshape(TAGS, parts, TAGS)  # last tag x part x tag before
+    reach, came = ends[:, 0, 0].astype(np.float64), np.zeros((parts, TAGS), np.int64)
+    for k in range(1, parts):
+        every = reach[:, None] + ends[:, k].T
+        came[k] = every.argmax(axis=0)
+        reach = every.max(axis=0)
+    last, before = np.zeros(parts, np.int64), np.zeros(parts, np.int64)
+    last[-1] = reach.argmax()
+    for k in range(parts - 1, 0, -1):
+        before[k] = came[k, last[k]]
+        last[k - 1] = before[k]
+    own = best.reshape(part, TAGS, parts, TAGS)[:, :, np.arange(parts), before]
+    return _back(own, on, move, last).T.reshape(-1)[:n]
 
 
 def training_lines(count: int, seed: int) -> list[tuple[str, list[Span]]]:
@@ -395,6 +435,10 @@ def best_path(score: np.ndarray, edge: np.ndarray, move: np.ndarray) -> np.ndarr
     lo, hi = np.where(begins[lo], lo, lo - 1), np.where(begins[hi], hi, hi + 1)
     order = np.argsort(lo - hi, kind="stable")
     done = 0
+    while done < len(order) and (hi - lo)[order[done]] > LONE:  # few and long
+        a, b = lo[order[done]], hi[order[done]]
+        tags[a:b] = viterbi_long(score[a:b], move)
+        done += 1
     while done < len(order):
         steps = int(hi[order[done]] - lo[order[done]])
         own = order[done : done + max(1, 200_000 // steps)]
