@@ -1,5 +1,7 @@
 """The registry with and without the training-data subpackage."""
 
+import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -31,3 +33,17 @@ def test_without_the_subpackage(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
     assert int(out.stdout.split()[0]) == len(plans.QUERIES)
+
+
+def test_the_rest_passes_without_the_subpackage(tmp_path):
+    """In a copy without both folders and the pipeline all other tests are found, and some of each kind pass."""
+    skip = shutil.ignore_patterns("llm", "__pycache__", ".git", ".pytest_cache")
+    for name in ("passagekit", "tests"):
+        shutil.copytree(ROOT / name, tmp_path / name, ignore=skip)
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = lambda *args: subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *args], cwd=tmp_path, env=env, capture_output=True, text=True)
+    found = run("--collect-only", "tests")
+    assert found.returncode == 0, found.stdout
+    some = run("tests/test_segmentation.py", "tests/test_models.py", "tests/test_entry.py::test_every_sql_has_a_query", "tests/test_queries.py::test_query_equals_sql[lists_sorted]")
+    assert some.returncode == 0, some.stdout
