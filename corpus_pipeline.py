@@ -1,6 +1,7 @@
 """From documents to packed training sequences: five stages over all rows, each written and reread.
 
-Each stage takes (spark, docs, sf_dir), docs having the columns of ``documents``, and all but the last return these.
+Each stage takes (spark, docs, sf_dir), docs having the columns of ``documents``, and all but the last return these; further
+columns go, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
