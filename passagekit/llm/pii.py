@@ -182,33 +182,53 @@ def viterbi(score: np.ndarray, mask: np.ndarray, move: np.ndarray) -> np.ndarray
     return _back(best, on, move, best[-1].argmax(axis=0)).T
 
 
-def viterbi_long(score: np.ndarray, move: np.ndarray, part: int = 128) -> np.ndarray:
-    """The best tags of one long sequence: its parts are searched side by side, from each tag that may stand before them,
-    and then joined; exact, and a step is one for all parts."""
-    n = len(score)
-    parts = -(-n // part)
-    padded = np.zeros((parts * part, TAGS), score.dtype)
-    padded[:n] = score
+def viterbi_long(scores: list[np.ndarray], move: np.ndarray, part: int = 128) -> list[np.ndarray]:
+    """The best tags of long sequences; all their parts are searched side by side, so that a step is one for all of them.
+
+    Each part's sums are first made as if nothing stood before it, then made again from the sums at the end of the part
+    before, until they differ from the first ones by one number for all tags: from there on every choice is the same.  Parts
+    whose sums differ otherwise up to their end have the next part made again.
+    """
+    size = np.array([len(x) for x in scores], np.int64)
+    number = -(-size // part)
+    at = np.append(0, np.cumsum(number))
+    parts = int(at[-1])
+    padded, real = np.zeros((parts * part, TAGS)), np.zeros(parts * part, bool)
+    for x, lo in zip(scores, at[:-1] * part, strict=True):
+        padded[lo : lo + len(x)] = x
+        real[lo : lo + len(x)] = True
     cut = np.ascontiguousarray(padded.reshape(parts, part, TAGS).transpose(1, 2, 0))  # steps x tags x parts
-    on = (np.arange(parts * part) < n).reshape(parts, part).T
-    first = cut[0][None] + move[:, :, None]  # tag before x first tag x part
-    first[:, :, 0] = cut[0][:, 0]  # nothing stands before the first part
-    wide = np.repeat(cut, TAGS, axis=2).reshape(part, TAGS, parts, TAGS)  # the tag before varies fastest
-    wide = wide.reshape(part, TAGS, parts * TAGS)
-    best = _sums(wide, np.repeat(on, TAGS, axis=1), move, first.transpose(1, 2, 0).reshape(TAGS, parts * TAGS))
-    ends = best[-1].reshape(TAGS, parts, TAGS)  # last tag x part x tag before
-    reach, came = ends[:, 0, 0].astype(np.float64), np.zeros((parts, TAGS), np.int64)
-    for k in range(1, parts):
-        every = reach[:, None] + ends[:, k].T
-        came[k] = every.argmax(axis=0)
-        reach = every.max(axis=0)
-    last, before = np.zeros(parts, np.int64), np.zeros(parts, np.int64)
-    last[-1] = reach.argmax()
-    for k in range(parts - 1, 0, -1):
-        before[k] = came[k, last[k]]
-        last[k - 1] = before[k]
-    own = best.reshape(part, TAGS, parts, TAGS)[:, :, np.arange(parts), before]
-    return _back(own, on, move, last).T.reshape(-1)[:n]
+    on = real.reshape(parts, part).T
+    head = np.zeros(parts + 1, bool)
+    head[at] = True  # parts with nothing before them, and the end
+    wide = move.astype(np.float64)
+    best = _sums(cut, on, wide, cut[0])
+    again = np.flatnonzero(~head)
+    while len(again):
+        new = (best[-1][:, again - 1][:, None] + wide[:, :, None]).max(axis=0) + cut[0][:, again]
+        for t in range(part):
+            apart = new - best[t][:, again]
+            best[t][:, again] = new
+            differ = apart.max(axis=0) - apart.min(axis=0) > 1e-9
+            again, new = again[differ], new[:, differ]
+            if t + 1 == part or not len(again):
+                break
+            step = (new[:, None] + wide[:, :, None]).max(axis=0) + cut[t + 1][:, again]
+            new = np.where(on[t + 1, again], step, new)
+        again = again[~head[again + 1]] + 1
+    # the way back from each tag that may end a part, and then from the one that does
+    way = np.zeros((part, TAGS, parts), np.uint8)
+    way[-1] = np.arange(TAGS)[:, None]
+    column = np.arange(parts)
+    for t in range(part - 1, 0, -1):
+        before = (best[t - 1][:, None] + wide[:, :, None]).argmax(axis=0)  # of each tag the best one before it
+        way[t - 1] = np.where(on[t], before[way[t], column], way[t])
+    last = np.zeros(parts, np.int64)
+    for k in range(parts - 1, -1, -1):
+        into = 0 if head[k + 1] else wide[:, way[0, last[k + 1], k + 1]]
+        last[k] = (best[-1][:, k] + into).argmax()
+    tags = way[:, last, column].T.reshape(-1).astype(np.int64)
+    return [tags[lo : lo + n] for lo, n in zip((at[:-1] * part).tolist(), size.tolist(), strict=True)]
 
 
 def training_lines(count: int, seed: int) -> list[tuple[str, list[Span]]]:
@@ -435,10 +455,12 @@ def best_path(score: np.ndarray, edge: np.ndarray, move: np.ndarray) -> np.ndarr
     lo, hi = np.where(begins[lo], lo, lo - 1), np.where(begins[hi], hi, hi + 1)
     order = np.argsort(lo - hi, kind="stable")
     done = 0
-    while done < len(order) and (hi - lo)[order[done]] > LONE:  # few and long
-        a, b = lo[order[done]], hi[order[done]]
-        tags[a:b] = viterbi_long(score[a:b], move)
-        done += 1
+    lone = np.cumsum((hi - lo)[order[: int(((hi - lo) > LONE).sum())]])
+    while done < len(lone):  # few and long
+        own = order[done : max(done + 1, int(np.searchsorted(lone, (lone[done - 1] if done else 0) + BLOCK // 2)))]
+        done += len(own)
+        for i, found in zip(own.tolist(), viterbi_long([score[lo[i] : hi[i]] for i in own.tolist()], move), strict=True):
+            tags[lo[i] : hi[i]] = found
     while done < len(order):
         steps = int(hi[order[done]] - lo[order[done]])
         own = order[done : done + max(1, 200_000 // steps)]

@@ -156,8 +156,11 @@ def test_long_paths_are_exact_whatever_stands_behind():
         score[:, 0] += rng.choice([0.5, 2, 4, 6])
         want = pii.viterbi(score[None], np.ones((1, n), bool), move)[0]
         assert not want[pii.sure(score, move)].any()
-        alone = pii.viterbi_long(score, move, int(rng.choice([1, 2, 7, 64, 128])))
+        part, other = int(rng.choice([1, 2, 7, 64, 128])), score[: n // 2]
+        alone, half = pii.viterbi_long([score, other], move, part)
         assert len(alone) == n and abs(value(score, alone, move) - value(score, want, move)) < 1e-3
+        if len(other):
+            assert abs(value(other, half, move) - value(other, pii.viterbi(other[None], np.ones((1, len(other)), bool), move)[0], move)) < 1e-3
         parts = list(pii.long_path(lambda lo, hi, s=score: s[lo:hi], n, move, int(rng.integers(1, 60))))
         cuts += len(parts) - 1
         got = np.concatenate([t for _, t in parts])
