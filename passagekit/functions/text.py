@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HAN = r"\u4e00-\u9fff\u3400-\u4dbf"
@@ -273,3 +273,9 @@ def merged_deep(base: Column, patch: Column, depth: int = 3) -> Column:
     inner = lambda x: F.to_json(x)
     both = lambda x, y: F.schema_of_variant(x).startswith("OBJECT") & F.schema_of_variant(y).startswith("OBJECT")
     return F.to_json(F.map_zip_with(a, b, lambda k, x, y: F.when(both(x, y), F.parse_json(merged_deep(inner(x), inner(y), depth - 1))).when(F.map_contains_key(b, k), y).otherwise(x)))
+
+
+def compression(counts: DataFrame, by: str) -> DataFrame:
+    """(by, words, fact_words, ratio) of rows (by, words, facts): whole words of text for one of facts."""
+    out = counts.groupBy(by).agg(F.sum("words").cast("long").alias("words"), F.sum("facts").cast("long").alias("fact_words"))
+    return out.withColumn("ratio", F.expr("words DIV greatest(1, fact_words)"))

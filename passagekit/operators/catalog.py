@@ -25,8 +25,10 @@ def by_keys(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
-def exists(df: DataFrame, condition: Column) -> bool:
-    return not df.where(condition).limit(1).isEmpty()
+def existing(asked: DataFrame, df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows asked for, each with whether df has any row of the same keys; a null key is the key of no row."""
+    held = df.select(*keys).distinct().withColumn("present", F.lit(True))
+    return asked.join(held, keys, "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
 def pending_jobs(jobs: DataFrame) -> DataFrame:

@@ -271,3 +271,21 @@ def jobs_merged(spark: SparkSession, d: str) -> DataFrame:
 @query("selected_duration", "SELECT list_id, sum(coalesce(duration_seconds, 0))::BIGINT AS seconds, count(*) AS n FROM src GROUP BY list_id")
 def selected_duration(spark: SparkSession, d: str) -> DataFrame:
     return T.sources(spark, d).groupBy("list_id").agg(F.sum(F.coalesce("duration_seconds", F.lit(0))).alias("seconds"), F.count("*").alias("n"))
+
+
+@query(
+    "existing_sources",
+    """SELECT DISTINCT j.video_id, list_id, EXISTS (SELECT 1 FROM src s WHERE s.video_id = j.video_id AND s.list_id = l.list_id AND s.season_number = 2) AS present
+       FROM job j, (VALUES ('src1'), ('src2'), ('none')) l(list_id)""",
+)
+def existing_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Of the videos that jobs name, in three lists: which are there already as sources of the second season."""
+    asked = T.jobs(spark, d).select("video_id", F.explode(F.array(*map(F.lit, ("src1", "src2", "none")))).alias("list_id")).distinct()
+    return C.existing(asked, T.sources(spark, d).where("season_number = 2"), ["video_id", "list_id"]).select("video_id", "list_id", "present")
+
+
+@query("list_video_ids", "SELECT DISTINCT list_id, video_id FROM src WHERE list_id IN (SELECT list_id FROM src WHERE source_id IN (SELECT item_id FROM benchmark))")
+def list_video_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The set of videos in each list that holds a source asked for."""
+    s, asked = T.sources(spark, d), T.table(spark, d, "benchmark").select(F.col("item_id").alias("source_id"))
+    return C.by_keys(s, "list_id", C.by_keys(s, "source_id", asked)).select("list_id", "video_id").distinct()

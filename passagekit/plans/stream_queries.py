@@ -141,3 +141,20 @@ def job_transitions_stream(spark: SparkSession, d: str) -> DataFrame:
         part.coalesce(1).write.mode("append").parquet(f"{path}/in")
     stream = spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     return C.drain(J.stream_transitions(stream, "entity", ("updated_at", "job_id")), path)
+
+
+MINUTE = 60_000
+
+
+@query("stream_state_evicted", f"SELECT doc_id AS message_id FROM documents WHERE doc_id * {MINUTE} + {5 * MINUTE} >= (SELECT max(doc_id) FROM documents) * {MINUTE} - {10 * MINUTE}")
+def stream_state_evicted(spark: SparkSession, d: str) -> DataFrame:
+    """Messages a minute apart, a watermark of ten minutes, state kept for five more: whose state is left at the end."""
+    path = folder(spark, "evicted")
+    deltas = _deltas(spark, d).withColumn("at", F.timestamp_millis(F.col("message_id") * MINUTE))
+    most = deltas.agg(F.max("message_id")).first()[0]
+    for nth in range(4):  # files in the order of time
+        own = F.least(F.floor(F.col("message_id") * 4 / (most + 1)), F.lit(3)) == nth
+        deltas.where(own).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(deltas.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").withWatermark("at", "10 minutes")
+    C.drain(C.parse_stream(stream, 5 * MINUTE, "at"), path)
+    return spark.read.format("statestore").load(f"{path}/checkpoint").select("key.message_id")

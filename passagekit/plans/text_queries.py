@@ -95,6 +95,21 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d, X.count_words(F.col("text")).alias("words"))
 
 
+_COUNTED = r"(SELECT CASE WHEN len(w) >= greatest(1.0, length({t}) / 10) THEN len(w) ELSE floor(length({t}) / 1.5) END FROM (SELECT list_filter(string_split_regex({t}, '\s+'), lambda x: x <> '') AS w))"
+
+
+@query(
+    "compression_ratio",
+    f"""SELECT lang, sum(words)::BIGINT AS words, sum(facts)::BIGINT AS fact_words, (sum(words) // greatest(1, sum(facts)))::BIGINT AS ratio
+        FROM (SELECT lang, {_COUNTED.format(t="text")}::BIGINT AS words, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE {_COUNTED.format(t="head")}::BIGINT END AS facts FROM (SELECT doc_id, lang, text, substring(text, 1, 200) AS head FROM documents)) GROUP BY lang""",
+)
+def compression_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Words of each language's texts for one word of what is kept of them: two hundred characters, of two texts in three."""
+    kept = F.when(F.col("doc_id") % 3 == 0, 0).otherwise(X.count_words(F.substring("text", 1, 200)))
+    each = documents(spark, d, F.col("lang"), X.count_words(F.col("text")).alias("words"), kept.alias("facts"))
+    return X.compression(each, "lang")
+
+
 @query("artifact_names", r"SELECT doc_id, CASE WHEN length(l) > 60 THEN substring(l, 1, 60) || '…' ELSE l END AS name FROM (SELECT doc_id, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS l FROM documents)")
 def artifact_names(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d, X.artifact_name(F.col("text")).alias("name"))

@@ -1,4 +1,4 @@
-"""Sinks and document stores: a source's rows replaced, JSON documents with bad ones left out, several tables at once."""
+"""Sinks and document stores: a source's rows replaced, JSON documents with bad ones left out."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ from pyspark.sql.types import StructType
 
 
 def replace_partitions(df: DataFrame, path: str, key: str = "source_id") -> None:
-    """Write rows so that those of each key in df replace what the table had; other keys stay; an empty df changes nothing."""
-    df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    """Write rows so that those of each key in df replace what the table had; other keys stay; an empty df changes nothing.
+
+    Rows are gathered by key, and a key of very many rows is split over several tasks and files.
+    """
+    df.hint("rebalance", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
 def clear_partition(spark: SparkSession, path: str, key: str, value: str) -> None:

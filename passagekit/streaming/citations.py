@@ -20,14 +20,19 @@ STATE = "next long, ord long, held string, early string"
 ENDED = -1  # in place of the next delta: the message is complete
 
 
-def parse_stream(deltas: DataFrame, forget: int | None = None) -> DataFrame:
+def parse_stream(deltas: DataFrame, forget: int | None = None, clock: str | None = None) -> DataFrame:
     """(message_id, pos, delta, last, known) -> events of each message: text, or the number of a known section.
 
     An end that may become a citation is held in the state until more comes; the delta marked ``last`` lets all go.
     Deltas that arrive before their turn wait; deltas that arrive again change nothing.  The state of a message that has
     ended is a mark alone; with ``forget`` it goes so many milliseconds later (for queries that never end: a query that
     takes what is there would wait for it).
+
+    With ``clock``, a column of event times that has a watermark, ``forget`` counts in that time: the state of any message,
+    ended or not, goes once the watermark has passed its latest delta by so many milliseconds, and with it what still waits
+    for its turn.  So state is bounded by the messages of one such span, in a query that ends too.
     """
+    timed = bool(forget and clock)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         empty = pd.DataFrame({"message_id": [], "ord": [], "kind": [], "content": []})
@@ -36,11 +41,16 @@ def parse_stream(deltas: DataFrame, forget: int | None = None) -> DataFrame:
             yield empty
             return
         at, ord_, held, early = state.get if state.exists else (0, 0, "", "{}")
-        if at == ENDED:
+        if at == ENDED and not timed:
             yield empty
             return
         waiting = {int(k): v for k, v in json.loads(early).items()}
+        latest = 0
         for batch in batches:
+            if timed:
+                latest = max(latest, int(batch[clock].max().timestamp() * 1000))
+            if at == ENDED:
+                continue
             for pos, delta, last, known in zip(batch["pos"], batch["delta"], batch["last"], batch["known"], strict=True):
                 if pos >= at:
                     waiting[int(pos)] = [delta or "", bool(last), [int(x) for x in known]]
@@ -55,11 +65,13 @@ def parse_stream(deltas: DataFrame, forget: int | None = None) -> DataFrame:
             if last:
                 at, waiting = ENDED, {}
         state.update((at, ord_ + len(out), held, json.dumps(waiting)))
-        if at == ENDED and forget:
+        if timed:
+            state.setTimeoutTimestamp(max(latest + forget, state.getCurrentWatermarkMs() + 1))
+        elif at == ENDED and forget:
             state.setTimeoutDuration(forget)
         yield pd.DataFrame({"message_id": key[0], "ord": range(ord_, ord_ + len(out)), "kind": [x for x, _ in out], "content": [x for _, x in out]})
 
-    return deltas.groupBy("message_id").applyInPandasWithState(run, EVENT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("message_id").applyInPandasWithState(run, EVENT, STATE, "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
 
 
 def sse_text(payload: Column) -> Column:
