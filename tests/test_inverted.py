@@ -187,3 +187,16 @@ def test_rerankers_that_fail(spark):
     assert [q for q in range(5) if any(r.reranked for r in out if r.query_id == q)] == [0, 4]
     assert order(0) == order(4) == ["c6", "c7", "c4", "c5", "c2", "c3", "c0", "c1"]
     assert order(1) == order(2) == order(3) == [f"c{i}" for i in range(8)]
+
+
+def test_matches_of_queries_that_ask_alike(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "SHARD", 60)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 2)
+    path = f"{tmp_path}/index"
+    have = corpus(4, list(range(30)))
+    V.write_segment(spark.createDataFrame(have, CHUNK), path)
+    V.clear_sources(spark, path, spark.createDataFrame([(3,)], "source_id long"))
+    queries = [(0, "w1 w2 w2"), (1, "w2 w1"), (2, "nothing"), (3, "w5 w1 w3"), (4, "w1 w2"), (5, "w7"), (6, "w9 w8")]
+    want = [(q, c, n) for q, t in queries for c, s, text in have if s != 3 and (n := len(set(tokens(t)) & set(tokens(text))))]
+    got = V.match(V.read_index(spark, path), V.query_terms(spark.createDataFrame(queries, "query_id long, text string")))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
