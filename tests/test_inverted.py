@@ -200,3 +200,22 @@ def test_matches_of_queries_that_ask_alike(spark, tmp_path, monkeypatch):
     want = [(q, c, n) for q, t in queries for c, s, text in have if s != 3 and (n := len(set(tokens(t)) & set(tokens(text))))]
     got = V.match(V.read_index(spark, path), V.query_terms(spark.createDataFrame(queries, "query_id long, text string")))
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_what_is_asked_alike_is_searched_once_and_no_entry_is_a_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "SHARD", 60)
+    path = f"{tmp_path}/index"
+    have = corpus(5, list(range(30)))
+    V.write_segment(spark.createDataFrame(have, CHUNK), path)
+    index, rows = V.read_index(spark, path), {}
+
+    def keep(df, name):
+        got = df.collect()
+        rows[name] = len(got)
+        return df.sparkSession.createDataFrame(got, df.schema)
+
+    queries = [(i, ("w1 w2 w3", "w3 w2 w1")[i % 2]) for i in range(40)]
+    got = V.search(index, V.query_terms(spark.createDataFrame(queries, "query_id long, text string")), 3, keep=keep)
+    assert sorted((r.query_id, r.chunk_id, round(r.score, 6), r["rank"]) for r in got.collect()) == plain(have, queries, 3)
+    shards = index.shards.first()["shards"]
+    assert shards > 1 and rows["asked"] == 1 and rows["found"] <= shards
