@@ -219,3 +219,14 @@ def test_what_is_asked_alike_is_searched_once_and_no_entry_is_a_row(spark, tmp_p
     assert sorted((r.query_id, r.chunk_id, round(r.score, 6), r["rank"]) for r in got.collect()) == plain(have, queries, 3)
     shards = index.shards.first()["shards"]
     assert shards > 1 and rows["asked"] == 1 and rows["found"] <= shards
+
+
+def test_phrases_are_met_in_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "SHARD", 60)
+    path = f"{tmp_path}/index"
+    have = corpus(6, list(range(30)))
+    V.write_segment(spark.createDataFrame(have, CHUNK), path)
+    got = V.phrase_hits(V.read_index(spark, path), spark.createDataFrame([(q, 1, ["w1", "w2"]) for q in range(20)], "query_id long, phrase_no int, terms array<string>"))
+    want = [(q, 1, c, n) for q in range(20) for c, _, t in have if (n := sum(a == ("w1", "w2") for a in zip(tokens(t), tokens(t)[1:])))]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "explode(arrays_zip(entries" not in got._jdf.queryExecution().analyzed().toString()
