@@ -230,3 +230,24 @@ def test_phrases_are_met_in_shards(spark, tmp_path, monkeypatch):
     want = [(q, 1, c, n) for q in range(20) for c, _, t in have if (n := sum(a == ("w1", "w2") for a in zip(tokens(t), tokens(t)[1:])))]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "explode(arrays_zip(entries" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_lists_made_in_parts_are_those_of_the_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "SHARD", 60)
+    have = corpus(7, list(range(30)))
+    queries = [(0, "w1 w2 w2"), (1, "w5 w1 w3"), (2, "nothing"), (3, "w9")]
+    for piece in (50, 10**6):
+        monkeypatch.setattr(V, "PIECE", piece)
+        path = f"{tmp_path}/index-{piece}"
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+        V.write_segment(spark.createDataFrame(have, CHUNK), path)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        index = V.read_index(spark, path)
+        lists = index.lists.join(index.chunks.select(F.col("no").alias("first"), "chunk_id"), F.col("first") == F.col("entries")[0]["no"]).collect()
+        assert (len({(r.col, r.term, r.shard) for r in lists}) < len(lists)) == (piece == 50)
+        ids = {r.no: r.chunk_id for r in index.chunks.collect()}
+        got = {(r.term, ids[e.no]): (e.source_id, e.tf, e.len, p) for r in lists for e, p in zip(r.entries, r.positions, strict=True)}
+        want = {(t, c): (s, x.count(t), len(x), [i for i, y in enumerate(x) if y == t]) for c, s, text in have for x in [tokens(text)] for t in x}
+        assert got == want and all(r.n == len(r.entries) and r.shard == r.entries[0].no >> 33 for r in lists)
+        assert found(index, queries, spark, 5) == plain(have, queries, 5)
+        assert V.phrase_hits(index, spark.createDataFrame([(0, 1, ["w1", "w1"])], "query_id long, phrase_no int, terms array<string>")).count() == sum(("w1", "w1") in set(zip(x, x[1:])) for _, _, t in have for x in [tokens(t)])
