@@ -29,8 +29,14 @@ class Scratch:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def folder(self, name: str) -> str:
+        """An empty folder beside the tables, for files that tasks write by themselves."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+        return f"{self.path}/{name}"
+
     def drop(self, name: str) -> None:
-        """Remove a table that no later step reads."""
+        """Remove a table that no later step reads, or such a folder."""
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 

@@ -2,20 +2,23 @@
 
 Texts with equal sets are one node.  Candidates share enough of the rarest shingles: a set's prefix under an order that
 puts frequent shingles last, long enough that linked sets share several members of it.  Candidates form clusters.  A
-small cluster is searched by itself; a large one is cut into blocks by size and hash, and each pair of blocks whose
-sizes can be similar is searched once.  The search is by T-occurrence (DivideSkip) and verifies every link; a task gives
+small cluster is searched by itself; a large one is cut into blocks by size and hash, each written once to the shared
+folder, and each pair of blocks whose sizes can be similar is read and searched once.  The search is by T-occurrence (DivideSkip) and verifies every link; a task gives
 out how many links each node has, and of the links only those that join components.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil, log, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +30,13 @@ WORDS = 5
 PERCENT = 80
 CELLS_BITS = 24  # of the frequency sketch: 16 MB at any size of the input
 CHUNK_BITS = 20
+LINEAR = 128  # levels of frequency by steps; the others are by the logarithm
 SMALL_LIST = 48  # up to here all pairs of a shared prefix shingle are counted
 SHARD = 2_000_000  # prefix shingles that a task counts pairs of, about
 BLOCK = 1 << 18  # shingles of a block, about
 BUNDLE = 1 << 18  # shingles of the small clusters that are searched in one group, about
+PAIRS = 16  # of blocks that a task searches, about
+BLOCK_SCHEMA = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("copies", pa.int64()), ("members", pa.large_binary())])
 HEAP = 256  # entries of short lists that a heap merges; more are merged by a sort
 STEP = log(1.25)  # linked sets lie in one size class or in neighbouring ones
 
@@ -73,15 +79,25 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _levels(counts: np.ndarray, least: float, step: float) -> np.ndarray:
+    """Counts as levels of a byte: LINEAR of them by steps, beyond that eight for each doubling."""
+    x = np.maximum(counts - least, 0) / step
+    return np.minimum(np.where(x < LINEAR, x, LINEAR + 8 * np.log2(np.maximum(x, LINEAR) / LINEAR)), 255).astype(np.uint8)
+
+
 def frequency_levels(profile: DataFrame) -> bytes:
-    """One level for each cell of the sketch, compressed: 0 for ordinary ones, then by the logarithm of the count.
+    """One level for each cell of the sketch, compressed: by the count, in steps of half of its deviation where all
+    shingles are rare, and by its logarithm far above that.
 
-    Tasks' sketches are added in two rounds of groups, so no group holds all of them.
+    A shingle of more than SMALL_LIST documents must stand out from the rare ones that share its cell also where these
+    are many: the cells' mean grows with the input, but what chance adds to it only as its root.  Tasks' sketches are
+    added in two rounds of groups, so no group holds all of them.
     """
     parts = profile.where(F.col("chunk").isNotNull()).select("chunk", "counts")
     total = profile.agg(F.sum("n")).first()[0] or 0
     tasks = max(1, parts.where("chunk = 0").count())
-    ordinary = 4 * total // (1 << CELLS_BITS) + 16
+    mean = total / (1 << CELLS_BITS)
+    step, least = max(1.0, sqrt(mean) / 2), max(0.0, mean - 8 * sqrt(mean))
 
     def add(dtype: type):
         def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -89,7 +105,7 @@ def frequency_levels(profile: DataFrame) -> bytes:
             for x in table["counts"]:
                 sums += np.frombuffer(unpack(x.as_py()), dtype)
             if dtype is np.uint32:
-                sums = np.where(sums > ordinary, np.log2(np.maximum(sums, 1) / ordinary) + 1, 0).astype(np.uint8)
+                sums = _levels(sums, least, step)
             return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": [zstandard.ZstdCompressor(level=1).compress(sums.tobytes())]})
 
         return run
@@ -357,7 +373,8 @@ def _given(ids: list[int], d1: list[int], links: np.ndarray, edges: list[tuple[i
 
 
 def _search(table: pa.Table) -> pa.Table:
-    """Some small clusters, or two blocks of a large one, or a block by itself: links by node, and joining links.
+    """Some small clusters, or two blocks of a large one, or a block by itself: links by node, and joining links.  Of two
+    blocks the second asks the first.
 
     A node whose row is repeated in the table stands there more than once, and counts once.
     """
@@ -385,34 +402,69 @@ def _sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([doc, d1, members, cluster, copies], ["doc_id", "d1", "members", "cluster", "copies"])
 
 
-def _blocks(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Sets of clusters -> rows with a group to search: bundles of small clusters, pairs of blocks of large ones."""
-    n = F.length("members") / 8
-    step = F.floor(F.log(n) / STEP + 1e-9).cast("long")
-    sized = scratch.table(sets.groupBy("cluster").agg(F.sum(n).alias("total")), "sizes")
+def _small(sets: DataFrame, sized: DataFrame) -> DataFrame:
+    """The sets of small clusters, by bundle."""
     small = sized.where(F.col("total") <= BLOCK)
     bundles = max(1, ceil((small.agg(F.sum("total")).first()[0] or 0) / BUNDLE))
-    whole = sets.join(small.select("cluster"), "cluster").select(
-        F.lit(None).cast("long").alias("large"), F.pmod(F.xxhash64("cluster"), F.lit(bundles)).alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(False).alias("second"), "cluster", "doc_id", "d1", "copies", "members"
-    )
-    large = sized.where(F.col("total") > BLOCK)
+    return sets.join(small.select("cluster"), "cluster").select(F.pmod(F.xxhash64("cluster"), F.lit(bundles)).alias("bundle"), F.lit(False).alias("second"), "cluster", "doc_id", "d1", "copies", "members")
+
+
+def _write_block(folder: str):
+    """A block's sets -> its file; a repeated task writes the same rows again, and a half-written file has another name."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        store, path = pafs.FileSystem.from_uri(folder)
+        name, part = "-".join(str(k.as_py()) for k in key), f"{path}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as out, pa.ipc.new_file(out, BLOCK_SCHEMA) as sink:
+            sink.write_table(table.select(BLOCK_SCHEMA.names).cast(BLOCK_SCHEMA))
+        store.move(part, f"{path}/{name}")
+        return pa.table({name: pa.array([k.as_py()], pa.int64()) for name, k in zip(("cluster", "step", "part"), key, strict=True)})
+
+    return run
+
+
+def _search_blocks(folder: str):
+    """Pairs of blocks -> links by node, and joining links.  A task holds the two blocks that it searches, and no more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = pafs.FileSystem.from_uri(folder)
+
+        @lru_cache(maxsize=2)
+        def block(cluster: int, step: int, part: int) -> pa.Table:
+            with store.open_input_file(f"{path}/{cluster}-{step}-{part}") as source:
+                return pa.ipc.open_file(source).read_all()
+
+        for batch in batches:
+            for cluster, step, part, low_step, low_part in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                sides = [block(cluster, low_step, low_part)]
+                if (step, part) != (low_step, low_part):
+                    sides.append(block(cluster, step, part))  # the higher block asks
+                both = pa.concat_tables([t.append_column("second", [pa.array(np.full(t.num_rows, i == 1))]) for i, t in enumerate(sides)])
+                yield from _search(both.append_column("cluster", [pa.array(np.full(both.num_rows, cluster, np.int64))])).to_batches()
+
+    return run
+
+
+def _large(sets: DataFrame, sized: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Links of large clusters: each set is written once, to its block's file, and tasks read the pairs of blocks."""
+    n = F.length("members") / 8
+    large = sized.where(F.col("total") > BLOCK).select("cluster")
     if not large.limit(1).count():
-        return whole
-    cut = scratch.table(sets.join(large.select("cluster"), "cluster").withColumn("step", step), "large")
-    parts = scratch.table(cut.groupBy("cluster", "step").agg(F.ceil(F.sum(n) / BLOCK).cast("int").alias("parts")), "parts")
-    beside = parts.select("cluster", (F.col("step") + 1).alias("step"), F.col("parts").alias("below"))
-    above = parts.select("cluster", (F.col("step") - 1).alias("step"), F.col("parts").alias("above"))
-    known = parts.join(beside, ["cluster", "step"], "left").join(above, ["cluster", "step"], "left").fillna(0, ["below", "above"])
-    row = cut.join(scratch.table(known, "beside"), ["cluster", "step"]).withColumn("part", F.pmod(F.xxhash64("doc_id", "d1", F.lit(4)), F.col("parts")).cast("int"))
-    # a block is its size class and part; a pair of blocks is met as (lower, higher), and the higher one asks
-    block = lambda s, p: s * (1 << 32) + p
-    own = block(F.col("step"), F.col("part"))
-    up_to = lambda count: F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    same = F.transform(up_to(F.col("parts")), lambda p: F.struct(block(F.col("step"), F.least(p, F.col("part"))).alias("lo"), block(F.col("step"), F.greatest(p, F.col("part"))).alias("hi"), (p < F.col("part")).alias("second")))
-    lower = F.transform(up_to(F.col("below")), lambda p: F.struct(block(F.col("step") - 1, p).alias("lo"), own.alias("hi"), F.lit(True).alias("second")))
-    upper = F.transform(up_to(F.col("above")), lambda p: F.struct(own.alias("lo"), block(F.col("step") + 1, p).alias("hi"), F.lit(False).alias("second")))
-    visits = row.select(F.col("cluster").alias("large"), F.explode(F.concat(same, lower, upper)).alias("v"), "cluster", "doc_id", "d1", "copies", "members")
-    return whole.unionByName(visits.select("large", "v.lo", "v.hi", "v.second", "cluster", "doc_id", "d1", "copies", "members"))
+        return None
+    cut = scratch.table(sets.join(large, "cluster").withColumn("step", F.floor(F.log(n) / STEP + 1e-9).cast("long")), "large")
+    parts = scratch.table(cut.groupBy("cluster", "step").agg(F.ceil(F.sum(n) / BLOCK).cast("long").alias("parts")), "parts")
+    placed = cut.join(parts, ["cluster", "step"]).withColumn("part", F.pmod(F.xxhash64("doc_id", "d1", F.lit(4)), F.col("parts")))
+    folder = scratch.folder("blocks")
+    written = placed.select("cluster", "step", "part", *BLOCK_SCHEMA.names).groupBy("cluster", "step", "part").applyInArrow(_write_block(folder), "cluster long, step long, part long")
+    blocks = scratch.table(written, "block-names")
+    scratch.drop("large")
+    # a block meets itself, the lower ones of its size class, and those of the class below
+    low = blocks.select("cluster", F.col("step").alias("low_step"), F.col("part").alias("low_part"))
+    met = blocks.withColumn("low_step", F.explode(F.array("step", F.col("step") - 1))).join(low, ["cluster", "low_step"]).where("low_step < step OR low_part <= part")
+    pairs = scratch.table(met.select("cluster", "step", "part", "low_step", "low_part"), "block-pairs")
+    tasks = max(partitions(scratch.spark), ceil(pairs.count() / PAIRS))
+    ordered = pairs.repartitionByRange(tasks, "cluster", "low_step", "low_part", "step", "part").sortWithinPartitions("cluster", "low_step", "low_part", "step", "part")
+    return ordered.mapInArrow(_search_blocks(folder), _FOUND)
 
 
 def jaccard_components(df: DataFrame) -> DataFrame:
@@ -441,7 +493,11 @@ def jaccard_components(df: DataFrame) -> DataFrame:
     member = scratch.table(first.join(cluster, "rep").select(F.col("rep").alias("doc_id"), "d1", "copies", "cluster"), "members")
     text = df.join(broadcast_if_small(member), "doc_id").select("doc_id", "text", "d1", "copies", "cluster")
     sets = scratch.table(map_batches(text, _sets, "doc_id long, d1 long, members binary, cluster long, copies long"), "sets")
-    found = scratch.table(_blocks(sets, scratch).groupBy("large", "lo", "hi").applyInArrow(_search, _FOUND), "links")
+    sized = scratch.table(sets.groupBy("cluster").agg(F.sum(F.length("members") / 8).alias("total")), "sizes")
+    links, large = _small(sets, sized).groupBy("bundle").applyInArrow(_search, _FOUND), _large(sets, sized, scratch)
+    found = scratch.table(links if large is None else links.unionByName(large), "links")
+    scratch.drop("sets")
+    scratch.drop("blocks")
     final = components(found.where("b IS NOT NULL").select("a", "b"), scratch, "final")
     number = found.where("d1 IS NOT NULL").groupBy(F.col("a").alias("rep"), "d1").agg(F.sum("links").alias("links"))
     named = first.join(final, first["rep"] == final["node"], "left").join(number, ["rep", "d1"], "left")

@@ -1,14 +1,17 @@
 """Substring deduplication and the Jaccard join against plain versions."""
 
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from passagekit.llm import jaccard
+from passagekit.llm.common import Scratch
 from passagekit.llm.jaccard import Lists, block_links, jaccard_components, op4_jaccard_join
 from passagekit.llm.substrings import op3_substring_dedup, repeated_windows, without_repeats
 
@@ -141,6 +144,45 @@ def test_jaccard(spark, tmp_path, monkeypatch, rows, block):
         assert set(map(tuple, got)) == set(want)
 
 
+def test_common_shingles_stand_out_of_a_full_sketch():
+    """Each cell has 90 rare shingles; a shingle of 49 documents must come after these in nearly all cells."""
+    rng = np.random.default_rng(2)
+    plain = rng.poisson(90, 100_000)
+    levels = [jaccard._levels(c, max(0.0, 90 - 8 * 90**0.5), 90**0.5 / 2) for c in (plain, plain + 49)]
+    assert np.mean(levels[1] > np.quantile(levels[0], 0.95)) > 0.99
+    rising = jaccard._levels(np.arange(0, 1 << 24, 97), 14.0, 4.7).astype(int)
+    assert (np.diff(rising) >= 0).all() and rising[-1] < 256 and rising[0] == 0
+
+
+def test_large_clusters_are_written_once(spark, monkeypatch):
+    """A family of near copies is cut into many blocks; no set is copied for the blocks that it meets."""
+    monkeypatch.setattr(jaccard, "BLOCK", 600)
+    rng, rows = random.Random(4), []
+    base = words(rng, 120, 10_000).split()
+    for i in range(60):
+        own = list(base)
+        own[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    copied = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    table = Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: seen.append((name, table(self, df, name))) or seen[-1][1])
+    drop = Scratch.drop
+    files = {}
+
+    def counted(self, name):
+        if name == "blocks":
+            path = f"{self.path}/blocks".removeprefix("file://")
+            files.update({f: pa.ipc.open_file(f"{path}/{f}").read_all().num_rows for f in os.listdir(path) if not f.startswith(".")})
+        drop(self, name)
+
+    monkeypatch.setattr(Scratch, "drop", counted)
+    got = jaccard_components(copied).collect()
+    assert {(r["component_id"], r["n_links"]) for r in got} == {(0, 59)}
+    assert len(files) > 5 and sum(files.values()) == 60
+    assert dict(seen)["block-pairs"].count() == len(files) * (len(files) + 1) // 2
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_components(frame(spark, []).select("doc_id", "text")).count() == 0
 
