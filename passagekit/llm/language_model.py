@@ -4,9 +4,9 @@ Counting: words get dense numbers by the order of their hashes; n-grams are coun
 lies in the shard of its middle word, so that one shard knows all that its trigrams say of their contexts and of the
 bigrams behind them; the trigrams of very frequent middle words are spread by their last word, and the statistics of
 their contexts are added up in shards of their own.  Each shard becomes files of sorted keys and counts in the shared
-folder; what is known of single words becomes dense arrays.  Scoring: workers map the files and look up a slice of
-documents at a time by binary search, so a worker holds in memory only its slice; the model's pages are the operating
-system's.
+folder; what is known of single words becomes dense arrays.  Scoring: workers map the files and look up TEXTS bytes of
+documents at a time by binary search, in the order of the shards, so a worker holds in memory only these and visits a
+shard once for all of them; the model's pages are the operating system's.
 
 A word is a run of non-space bytes in lower case; every text ends in one end token, which counts as a token, and begins
 with start symbols, which do not.
@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, clean, documents, map_batches, partitions, slices
+from .common import Scratch, clean, documents, partitions, slices
 from .language import held_out
 from .textkit import mix, words
 
@@ -37,6 +37,8 @@ END = np.int64(0x45)  # stands for the hash of the end token
 ORDER = 3
 HOLD = 3_000_000  # distinct n-grams that a counting task holds before it gives them out
 SHARD = 4_000_000  # tokens of a shard, about; words of a vocabulary range, at most about half as many
+TEXTS = 16 << 20  # bytes of the texts that are scored together, about; one longer text is scored by itself
+LOOKUP = 400_000  # tokens that are looked up at a time
 WIDTH = np.int64(0xFFFFFFFF)  # a word's number, and the start symbol's, in a packed key
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -55,7 +57,7 @@ def put(folder: str, name: str, array: np.ndarray) -> None:
     store.move(part, f"{path}/{name}.npy")
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=1 << 15)
 def mapped(folder: str, name: str) -> np.ndarray:
     """A memory-mapped array.  From a folder that cannot be mapped it is copied once an executor, to Spark's own folder for
     files, which goes with the executor."""
@@ -524,16 +526,11 @@ class Model:
             stats[:, own[hit]] = self._stats(f"spread-{s}", at[hit])
         return count, stats
 
-    def token_scores(self, column: pa.Array) -> tuple[np.ndarray, ...]:
-        """Offsets of the rows' tokens, and each token's training count, base score and probability."""
-        hashes, at = tokens(column)
-        number, count = self.vocabulary.find(hashes)
+    def _chances(self, number: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The probability of each word after v, and after u and v: each order falls back on the one below."""
         size = len(self.vocabulary)
-        base = np.log10((count + 0.1) / (self.tokens + 0.1 * (size + 1)))
-        # words, then words after one, then after two: each order falls back on the one below
         seen = self._dense("before", number)
         p = (seen - _cut(seen, self.d1)) / max(1, self.pairs) + self.spare / (size + 1)
-        v = _before(number, at, size, 1)
         total, weight = self._dense("total", v), self._dense("weight", v)
         both = (v >= 0) & (number >= 0)
         times = np.zeros(len(number), np.int64)
@@ -542,7 +539,6 @@ class Model:
             times[both] = self._pair_counts(pair >> 32, pair & WIDTH)[back]
         p = np.where(total > 0, (times - _cut(times, self.d2)) / np.maximum(total, 1) + weight * p, p)
         if self.order > 2:
-            u = _before(number, at, size, 2)
             own = np.flatnonzero((u >= 0) & (v >= 0))
             if len(own):
                 context, word = v[own] << 32 | u[own], number[own]
@@ -553,11 +549,39 @@ class Model:
                 nth = np.cumsum(new) - 1
                 times, total, weight = times[nth], total[nth], weight[nth]
                 p[own] = np.where(total > 0, (times - _cut(times, self.d3)) / np.maximum(total, 1) + weight * p[own], p[own])
+        return p
+
+    def token_scores(self, *columns: pa.Array) -> tuple[np.ndarray, ...]:
+        """Offsets of the rows' tokens over all columns, and each token's training count, base score and probability.
+
+        Tokens are looked up in the order of their shards, LOOKUP at a time, so a shard's files are visited once for all.
+        """
+        size = len(self.vocabulary)
+        numbers, before, counts, edges = [], ([], []), [], [np.zeros(1, np.int64)]
+        for column in columns:
+            hashes, at = tokens(column)
+            number, count = self.vocabulary.find(hashes)
+            numbers.append(number.astype(np.int32))
+            counts.append(count)
+            for by in (1, 2):
+                before[by - 1].append(_before(number, at, size, by).astype(np.int32))
+            edges.append(edges[-1][-1] + at[1:])
+        at = np.concatenate(edges)
+        number, count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (numbers, counts))
+        v, u = (np.concatenate(x) if x else number for x in before)
+        del numbers, before, counts
+        base = np.log10((count + 0.1) / (self.tokens + 0.1 * (size + 1)))
+        shard = np.concatenate([_shard(v[lo : lo + LOOKUP].astype(np.int64), number[lo : lo + LOOKUP].astype(np.int64), self.hot, self.shards).astype(np.int32) for lo in range(0, len(v), LOOKUP)]) if len(v) else v
+        place = np.argsort(shard, kind="stable")
+        p = np.zeros(len(number))
+        for lo in range(0, len(place), LOOKUP):
+            own = place[lo : lo + LOOKUP]
+            p[own] = self._chances(*(x[own].astype(np.int64) for x in (number, v, u)))
         return at, count, base, p
 
-    def score(self, column: pa.Array) -> tuple[np.ndarray, ...]:
+    def score(self, *columns: pa.Array) -> tuple[np.ndarray, ...]:
         """Each row's tokens, known tokens, base score and log10 probability."""
-        at, count, base, p = self.token_scores(column)
+        at, count, base, p = self.token_scores(*columns)
         rows = np.arange(len(at) - 1)
         row = np.repeat(rows, np.diff(at))
         return np.diff(at), np.bincount(row, count > 0, len(rows)).astype(np.int64), np.bincount(row, base, len(rows)), np.bincount(row, np.log10(p), len(rows))
@@ -616,16 +640,28 @@ def score_documents(df: DataFrame, model: Model) -> DataFrame:
     """
     shipped = df.sparkSession.sparkContext.broadcast(model)  # shard bounds and discounts: a few numbers a shard
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        for part in slices(batch):
-            n, known, base, score = m.score(part.column(2))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(part.num_rows, m.tokens, np.int64)), pa.array(base), pa.array(score)],
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, held, size = shipped.value, [], 0
+
+        def give() -> pa.RecordBatch:
+            n, known, base, score = m.score(*(part.column(2) for part in held))
+            ids, out = (pa.concat_arrays([part.column(i) for part in held]) for i in (0, 1))
+            return pa.RecordBatch.from_arrays(
+                [ids, out, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(ids), m.tokens, np.int64)), pa.array(base), pa.array(score)],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return map_batches(df, run, SCHEMA)
+        for batch in batches:
+            for part in slices(batch):
+                if held and size + part.column(2).nbytes > TEXTS:
+                    yield give()
+                    held, size = [], 0
+                held.append(part)
+                size += part.column(2).nbytes
+        if held:
+            yield give()
+
+    return df.mapInArrow(run, SCHEMA)
 
 
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

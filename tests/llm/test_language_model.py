@@ -1,8 +1,10 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -10,7 +12,7 @@ from passagekit.llm import language_model
 from passagekit.llm.language import held_out
 from passagekit.llm.language_model import OP1_SQL, discounts, op1_kneser_ney, score_documents, train
 
-from .data import awkward, folder, frame
+from .data import awkward, folder, frame, words
 
 
 def reference(rows, order):
@@ -96,3 +98,22 @@ def test_no_training_text(spark, tmp_path):
     (row,) = op1_kneser_ney(spark, folder(spark, tmp_path / "d", [(held, "a b", "en", "s", 3)])).collect()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (True, 3, 0, 0)
     assert op1_kneser_ney(spark, folder(spark, tmp_path / "e", [])).count() == 0
+
+
+def test_shards_are_visited_once_for_all_slices(spark, monkeypatch):
+    """Many slices of texts are looked up together: a shard is visited as often as for one of them, with the same scores."""
+    monkeypatch.setattr(language_model, "SHARD", 100)
+    rng = random.Random(8)
+    texts = [words(rng, 200, 90) for _ in range(24)]
+    m = train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert m.shards > 40
+    visits = []
+    find = language_model._find_pairs
+    monkeypatch.setattr(language_model, "_find_pairs", lambda folder, name, a, b: visits.append(name) or find(folder, name, a, b))
+    columns = [pa.array(texts[i : i + 3]) for i in range(0, 24, 3)]
+    at, count, base, p = m.token_scores(*columns)
+    together, alone = len(visits), [m.token_scores(c) for c in columns]
+    assert together <= 2 * m.shards < len(visits) - together
+    assert at[-1] == len(p) == 24 * 201
+    for got, i in ((count, 1), (base, 2), (p, 3)):
+        assert (got == np.concatenate([x[i] for x in alone])).all()
