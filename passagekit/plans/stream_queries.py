@@ -154,7 +154,7 @@ def stream_state_evicted(spark: SparkSession, d: str) -> DataFrame:
     most = deltas.agg(F.max("message_id")).first()[0]
     for nth in range(4):  # files in the order of time
         own = F.least(F.floor(F.col("message_id") * 4 / (most + 1)), F.lit(3)) == nth
-        deltas.where(own).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        deltas.where(own).repartition(1).write.mode("append").parquet(f"{path}/in")
     stream = spark.readStream.schema(deltas.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").withWatermark("at", "10 minutes")
     C.drain(C.parse_stream(stream, 5 * MINUTE, "at"), path)
-    return spark.read.format("statestore").load(f"{path}/checkpoint").select("key.message_id")
+    return C.kept_messages(spark, f"{path}/checkpoint")

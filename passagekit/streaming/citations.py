@@ -9,15 +9,31 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.citations import events, feed
 
 EVENT = "message_id long, ord long, kind string, content string"
-STATE = "next long, ord long, held string, early string"
+STATE = "messages string"
 ENDED = -1  # in place of the next delta: the message is complete
+BITS = 7  # 128 neighbouring messages are one group: a call for each costs far more than its deltas do
+
+
+def _drained(at: int, ord_: int, held: str, waiting: dict[str, list]) -> tuple[tuple, list[tuple[str, str]]]:
+    """A message after all deltas whose turn it is, and their events."""
+    out = []
+    while str(at) in waiting:
+        delta, last, known = waiting.pop(str(at))
+        new, held = feed(held, delta, set(known))
+        if last:
+            new, held = [*new, *events(held, set())], ""
+        out += new
+        at += 1
+        if last:
+            at, waiting = ENDED, {}
+    return (at, ord_ + len(out), held, waiting), out
 
 
 def parse_stream(deltas: DataFrame, forget: int | None = None, clock: str | None = None) -> DataFrame:
@@ -31,47 +47,62 @@ def parse_stream(deltas: DataFrame, forget: int | None = None, clock: str | None
     With ``clock``, a column of event times that has a watermark, ``forget`` counts in that time: the state of any message,
     ended or not, goes once the watermark has passed its latest delta by so many milliseconds, and with it what still waits
     for its turn.  So state is bounded by the messages of one such span, in a query that ends too.
+
+    The messages of a range of 2**BITS ids lie in one group's state, each with its own time to go (``kept_messages``).
     """
     timed = bool(forget and clock)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        empty = pd.DataFrame({"message_id": [], "ord": [], "kind": [], "content": []})
-        if forget and state.hasTimedOut:
-            state.remove()
-            yield empty
-            return
-        at, ord_, held, early = state.get if state.exists else (0, 0, "", "{}")
-        if at == ENDED and not timed:
-            yield empty
-            return
-        waiting = {int(k): v for k, v in json.loads(early).items()}
-        latest = 0
-        for batch in batches:
+        # id -> next delta, number of events, what is held, what waits by its place, time to go
+        messages = json.loads(state.get[0]) if state.exists else {}
+        touched: dict[str, int] = {}
+        now = state.getCurrentWatermarkMs() if timed else state.getCurrentProcessingTimeMs() if forget else 0
+        for batch in [] if state.hasTimedOut else batches:
+            ids = [""] * len(batch) if pd.isna(key[0]) else batch["message_id"].astype("int64").astype(str)
+            times = batch["_at"] if timed else [0] * len(batch)
+            for own, pos, delta, last, known, time in zip(ids, batch["pos"], batch["delta"], batch["last"], batch["known"], times, strict=True):
+                at, _, _, waiting, _ = messages.setdefault(own, [0, 0, "", {}, 0])
+                touched[own] = max(touched.get(own, 0), 0 if pd.isna(time) else int(time))
+                if at != ENDED and pos >= at:
+                    waiting[str(int(pos))] = [delta or "", bool(last), [int(x) for x in known]]
+        out: list[tuple] = []
+        for own, latest in touched.items():
+            *before, until = messages[own]
+            if before[0] != ENDED:
+                after, told = _drained(*before)
+                out += [(own, before[1] + i, kind, content) for i, (kind, content) in enumerate(told)]
+                if after[0] == ENDED and forget and not timed:
+                    until = now + forget
+                before = after
             if timed:
-                latest = max(latest, int(batch[clock].max().timestamp() * 1000))
-            if at == ENDED:
-                continue
-            for pos, delta, last, known in zip(batch["pos"], batch["delta"], batch["last"], batch["known"], strict=True):
-                if pos >= at:
-                    waiting[int(pos)] = [delta or "", bool(last), [int(x) for x in known]]
-        out = []
-        while at in waiting:
-            delta, last, known = waiting.pop(at)
-            new, held = feed(held, delta, set(known))
-            if last:
-                new, held = [*new, *events(held, set())], ""
-            out += new
-            at += 1
-            if last:
-                at, waiting = ENDED, {}
-        state.update((at, ord_ + len(out), held, json.dumps(waiting)))
-        if timed:
-            state.setTimeoutTimestamp(max(latest + forget, state.getCurrentWatermarkMs() + 1))
-        elif at == ENDED and forget:
-            state.setTimeoutDuration(forget)
-        yield pd.DataFrame({"message_id": key[0], "ord": range(ord_, ord_ + len(out)), "kind": [x for x, _ in out], "content": [x for _, x in out]})
-
-    return deltas.groupBy("message_id").applyInPandasWithState(run, EVENT, STATE, "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
+                until = max(until, latest + forget, now + 1)
+            messages[own] = [*before, until]
+        if forget:
+            messages = {m: x for m, x in messages.items() if m in touched or not 0 < x[4] < now}
+        if messages:
+            state.update((json.dumps(messages),))
+            ends = [x[4] for x in messages.values() if x[4]]
+            if timed:
+                state.setTimeoutTimestamp(max(min(ends), now + 1))
+            elif ends:
+                state.setTimeoutDuration(max(1, min(ends) - now))
+        elif state.exists:
+            state.remove()
+        if out:
+            ids, places, kinds, contents = zip(*out, strict=True)
+            yield pd.DataFrame({"message_id": pd.array([int(i) if i else None for i in ids], "Int64"), "ord": places, "kind": kinds, "content": contents})
+
+    rows = deltas.withColumn("_range", F.shiftright("message_id", BITS))
+    if timed:
+        rows = rows.withColumn("_at", F.unix_millis(clock))
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    return rows.groupBy("_range").applyInPandasWithState(run, EVENT, STATE, "append", timeout)
+
+
+def kept_messages(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The ids of messages whose state ``parse_stream`` has kept."""
+    ids = spark.read.format("statestore").load(checkpoint).select(F.explode(F.json_object_keys("value.groupState.messages")).alias("id"))
+    return ids.select(F.expr("try_cast(id AS long)").alias("message_id"))
 
 
 def sse_text(payload: Column) -> Column:
